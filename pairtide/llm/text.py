@@ -19,10 +19,15 @@ CHUNK_BYTES = 4 << 20
 
 
 def string_array(column) -> pa.Array:
-    """One contiguous ``large_string`` array without nulls."""
+    """One contiguous ``large_string`` array without nulls whose bytes start at 0.
+
+    Some string kernels misread slices (``ascii_lower`` does in the pinned version), so slices are rebased."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if len(column) and (column.offset or np.frombuffer(column.buffers()[1], np.int64)[0]):
+        column = from_bytes(*raw_bytes(column))
+    return column
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
