@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, langid, neardup, packing, quality, shards
+from . import chat, decontam, dedup, langid, neardup, packing, quality, shards
 
 #: A file of one of the public tokenizers; resolved where the package that ships it is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,11 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder(4) == 2).alias("held_out"))
     model = langid.fit(docs.where("not held_out"))
@@ -61,5 +66,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op8_substring_dedup, op9_chat, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op8_substring_dedup, op9_chat, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
