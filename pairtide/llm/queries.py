@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, langid, neardup, packing, quality, shards
+from . import chat, ctw, decontam, dedup, langid, neardup, packing, quality, shards
 
 #: A file of one of the public tokenizers; resolved where the package that ships it is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -46,6 +46,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _remainder(5) == 1
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    return ctw.score(docs).withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup.remove_all(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -66,5 +74,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op8_substring_dedup, op9_chat, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op7_lm_score, op8_substring_dedup, op9_chat, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
