@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import grouped, text_bytes
 from .text import chunks, encode_words, hash_words, mix, split_words, string_array, sums_by_text
 
-DEPTH = 5
+DEPTH = 6
 GROUP_BYTES = 16 << 20
 _END = 10
 _END_WORD = hash_words(pa.array(["\n"], pa.large_string()))[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontam, dedup, langid, neardup, packing, quality, shards
+from . import chat, ctw, decontam, dedup, html, langid, neardup, packing, quality, shards
 
 #: A file of one of the public tokenizers; resolved where the package that ships it is installed.
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder(4) == 2).alias("held_out"))
     model = langid.fit(docs.where("not held_out"))
@@ -74,5 +79,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op7_lm_score, op8_substring_dedup, op9_chat, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_main_text, op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op7_lm_score, op8_substring_dedup, op9_chat, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
