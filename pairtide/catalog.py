@@ -1,4 +1,12 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import importlib
+
+from .plans.registry import ORACLE_SQL, QUERIES
+
+for _name in ("scores", "pair_sets", "policies", "monitoring", "resampling", "models", "scalars"):
+    importlib.import_module(f"{__package__}.plans.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
