@@ -32,7 +32,7 @@ def rule_label(method: Column, threshold: Column) -> Column:
 
 def parse_list(x: Column, kind: str = "double") -> Column:
     """A comma list as an array: parts are trimmed, empty ones dropped."""
-    parts = F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.transform(parts, lambda p: p.cast(kind))
 
 

@@ -41,15 +41,15 @@ _Q = ", ".join(f"{q!r}" for q in monitor.quantile_grid())
 _SIG = "sig as (select *, case when mode = 'ranking_first' then auc_drop else ece_uplift end as signal, abs(coverage_drift) as drift from win)"
 
 
-@query(with_(WIN, _SIG, f"cc as (select window_size, mode, unnest(list_distinct(list_transform(quantile_cont(drift, [{_Q}]), lambda x: round(x, 6)))) as coverage_cap from sig where signal is not null and drift is not null group by all)",
-             f"pc as (select window_size, mode, unnest(list_distinct(list_transform(quantile_cont(signal, [{_Q}]), lambda x: round(x, 6)))) as performance_cap from sig where signal is not null and drift is not null group by all)",
+@query(with_(WIN, _SIG, f"cc as (select window_size, mode, unnest(l) as coverage_cap from (select window_size, mode, list_distinct(list_transform(quantile_cont(drift, [{_Q}]), lambda x: round(x, 6))) as l from sig where signal is not null and drift is not null group by window_size, mode))",
+             f"pc as (select window_size, mode, unnest(l) as performance_cap from (select window_size, mode, list_distinct(list_transform(quantile_cont(signal, [{_Q}]), lambda x: round(x, 6))) as l from sig where signal is not null and drift is not null group by window_size, mode))",
              "rated as (select window_size, mode, coverage_cap, performance_cap, count(*) as n_windows, round(avg((drift > coverage_cap or signal > performance_cap)::int), 6) as alert_rate from cc join pc using (window_size, mode) join (from sig where signal is not null and drift is not null) using (window_size, mode) group by all)")
        + sql.best("select *, alert_rate <= 0.05 + 1e-12 as feasible from rated", "window_size, mode", "feasible desc, case when feasible then 0.05::double - alert_rate else alert_rate end, coverage_cap, performance_cap"))
 def cap_tuning(spark, sf_dir):
     return monitor.tune_caps(windows(spark, sf_dir)).select("window_size", "mode", "coverage_cap", "performance_cap", "n_windows", "alert_rate", "feasible")
 
 
-@query(with_(WIN, _SIG, f"pc as (select window_size, mode, unnest(list_distinct(list_transform(quantile_cont(signal, [{_Q}]), lambda x: round(x, 6)))) as performance_cap from sig where signal is not null and drift is not null group by all)",
+@query(with_(WIN, _SIG, f"pc as (select window_size, mode, unnest(l) as performance_cap from (select window_size, mode, list_distinct(list_transform(quantile_cont(signal, [{_Q}]), lambda x: round(x, 6))) as l from sig where signal is not null and drift is not null group by window_size, mode))",
              "rated as (select window_size, mode, performance_cap, round(avg((drift > 0.2 or signal > performance_cap)::int), 6) as alert_rate from pc join (from sig where signal is not null and drift is not null) using (window_size, mode) group by all)")
        + sql.best("select *, alert_rate <= 0.05 + 1e-12 as feasible from rated", "window_size, mode", "feasible desc, performance_cap"))
 def perf_cap_tuning(spark, sf_dir):
@@ -95,8 +95,8 @@ def sql_hash(*parts: str) -> str:
 
 
 _SEQ = f"""keyed as (select *, domain || '/' || window_id as k from win where window_size = 100),
-  num as (select *, row_number() over (partition by mode order by k) - 1 as i, count(*) over (partition by mode) as n from keyed),
-  slots as (select mode, n, s as sequence_id, p as position, {sql_hash("'42'", "s", "p")} % n as i from (select distinct mode, n from num), range(200) a(s), range(1, 21) b(p)),
+  num as (select *, row_number() over (partition by mode order by k) - 1 as i, count(*) over (partition by mode) as total from keyed),
+  slots as (select mode, s as sequence_id, p as position, {sql_hash("'42'", "s", "p")} % total as i from (select distinct mode, total from num), range(200) a(s), range(1, 21) b(p)),
   drawn as (select slots.mode, sequence_id, position, any_alert from slots join num using (mode, i))"""
 
 
