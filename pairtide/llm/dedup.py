@@ -108,18 +108,21 @@ class FingerprintIndex:
             raise ValueError("gram must be between 1 and size")
         self.spark, self.size, self.gram, self.max_runs, self.runs = spark, size, gram, max_runs, []
 
-    def _old(self) -> DataFrame:
-        schema = "bucket int, fps binary"
-        return self.spark.read.schema(schema).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], schema)
+    def _read(self, repeated: bool, *paths: str) -> DataFrame:
+        schema = "bucket int, fps binary, repeated boolean"
+        rows = self.spark.createDataFrame([], schema)
+        for path in paths:  # each run is a table of its own
+            rows = rows.unionByName(self.spark.read.schema(schema).parquet(path))
+        return rows.where(F.col("repeated") == repeated).select("bucket", "fps")
 
     def merge(self, batch: DataFrame) -> DataFrame:
         """Merge a batch with the runs, append its run, and return its repeated anchors as (bucket, fps)."""
         path = new_path(self.spark, "anchors")
-        new, old = batch_anchors(batch, self.size, self.gram), self._old()
+        new, old = batch_anchors(batch, self.size, self.gram), self._read(False, *self.runs)
         merged = new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge, "bucket int, repeated boolean, fps binary")
         merged.write.partitionBy("repeated").parquet(path)
-        self.runs.append(f"{path}/repeated=false")
-        return self.spark.read.schema("bucket int, fps binary").parquet(f"{path}/repeated=true")
+        self.runs.append(path)
+        return self._read(True, path)
 
     def compact(self) -> None:
         """Merge all runs into one if there are more than ``max_runs``."""
@@ -128,10 +131,10 @@ class FingerprintIndex:
 
         def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             fps = np.unique(_numbers(table.column("fps"), np.uint64))
-            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "fps": pa.array([fps.tobytes()], pa.binary())})
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "repeated": [False], "fps": pa.array([fps.tobytes()], pa.binary())})
 
         path = new_path(self.spark, "anchors")
-        self._old().groupBy("bucket").applyInArrow(join, "bucket int, fps binary").write.parquet(path)
+        self._read(False, *self.runs).groupBy("bucket").applyInArrow(join, "bucket int, repeated boolean, fps binary").write.partitionBy("repeated").parquet(path)
         for old in self.runs:
             remove(self.spark, old)
         self.runs = [path]

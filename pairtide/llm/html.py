@@ -106,9 +106,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
         elif tag in _RAW:
             raw = tag if not m[3].endswith("/") else None
         elif tag not in _VOID:
-            if tag == "p" and "p" in tags[-2:]:  # a paragraph ends an open one
-                while tags.pop() != "p":
-                    kinds.pop()
+            if tag in _BLOCK and tags[-1:] == ["p"]:  # a block ends an open paragraph
+                tags.pop()
                 kinds.pop()
             kind = _kind(tag, m[3], kinds[-1])
             if kind != kinds[-1]:
