@@ -198,8 +198,8 @@ def incremental(df: DataFrame, groups: list[str], key: str, label: str, base: li
 def null_gains(df: DataFrame, groups: list[str], key: str, label: str, base: list[str], feature: str, repeats: int, shuffle: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """True and null gains of a feature: ``shuffle`` deals the labels (both models are refitted) or the feature anew in each repeat."""
     column = {"label": label, "feature": feature}[shuffle]
-    null = permuted(df.select(*groups, key, label, *base, feature), groups, key, [column], repeats, seed)
-    null = incremental(null, [*groups, "rep"], key, label, base, {"plus": [*base, feature]}, folds, seed).select(*groups, F.col("gain_plus").alias("null_gain"))
+    null = permuted(df.select(*groups, key, label, *base, feature), groups, key, [column], repeats, seed).withColumnRenamed("rep", "null_rep")
+    null = incremental(null, [*groups, "null_rep"], key, label, base, {"plus": [*base, feature]}, folds, seed).select(*groups, F.col("gain_plus").alias("null_gain"))
     true = incremental(df, groups, key, label, base, {"plus": [*base, feature]}, folds, seed).select(*groups, F.col("gain_plus").alias("true_gain"))
     joined = null.join(F.broadcast(true), groups)  # one row per group
     return joined.groupBy(*groups).agg(
