@@ -2,7 +2,7 @@
 
 A turn is rendered as ``<s>[INST]role`` newline ``text[/INST]</s>``, the model's own turns
 with ``[OUT]`` for ``[INST]``; a conversation is its turns back to back.  The
-deterministic parser reads such text turn by turn.  Each turn is rendered as it
+deterministic parser reads such text turn by turn and refuses control strings inside a turn.  Each turn is rendered as it
 is, parsed, and compared with its source; where they differ the conflicting field is
 escaped (a backslash is put into each control string) until the parser gives
 the source back.  Escaping is undone by the parser, so it is reversible.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 MODEL_ROLE = "assistant"
 _CONTROL = re.compile(r"([<\[])(\\*)(s>|/s>|INST\]|/INST\]|OUT\]|/OUT\]|NL\])")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(s>|/s>|INST\]|/INST\]|OUT\]|/OUT\]|NL\])")
+_BARE = re.compile(r"[<\[](?:s>|/s>|INST\]|/INST\]|OUT\]|/OUT\]|NL\])")
 _TURN = re.compile(r"<s>\[(INST|OUT)\]([^\n]*)\n(.*?)\[/\1\]</s>", re.DOTALL)
 SEGMENTS = "conv_id long, turn long, role string, segment string, loss_start int, loss_end int"
 
@@ -39,6 +40,8 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
         turn = _TURN.match(rendered, at)
         if not turn:
             raise ValueError(f"no turn at {at}")
+        if _BARE.search(turn[2].replace("[NL]", " ")) or _BARE.search(turn[3]):
+            raise ValueError(f"a control string inside the turn at {at}")
         role = unescape(turn[2].replace("[NL]", "\n"))
         if (turn[1] == "OUT") != (role == MODEL_ROLE):
             raise ValueError(f"role and mark differ at {at}")

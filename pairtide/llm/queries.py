@@ -80,4 +80,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_main_text, op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op7_lm_score, op8_substring_dedup, op9_chat, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: A to Z lower-cased and nothing else.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = "'[^\\x20\\x09-\\x0D]+'"
+_BARE = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, {_BARE}) as w from documents),
+i as (select item_id, w, least(10, len(w)) as n from (select item_id, regexp_extract_all({_LOWER}, {_BARE}) as w from benchmark) where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[s : s + n - 1], ' ') as k from (select *, unnest(range(1, len(w) - n + 2)) as s from i)),
+hits as (select doc_id, s, n, item_id from (select doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') as k from
+  (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from win) where len(w) >= n)) join win using (n, k)),
+places as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(s, s + n)) as p from hits) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n_items, list_sort(list_distinct(list(item_id::varchar))) as ids from hits group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(array_to_string(coalesce(ids, []), ',')) as items_sha256, n_hit is not null as contaminated
+from d left join places using (doc_id) left join found using (doc_id)""",
+    "op5_near_duplicates": f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, {_SPACED}) as w from documents),
+sets as (select distinct doc_id, array_to_string(w[s : s + 4], ' ') as k from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as s from d where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as shared from sets x join sets y on x.k = y.k and x.doc_id <> y.doc_id group by all)
+  join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * shared >= 75 * (p.n + q.n - shared)),
+reach as (select doc_id as a, doc_id as b from d union select reach.a, links.b from reach join links on links.a = reach.b)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from d left join sizes using (doc_id) join (select a as doc_id, min(b) as component_id from reach group by a) using (doc_id)""",
+    "op8_substring_dedup": f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) as w from documents),
+win as (select doc_id, s, array_to_string(w[s : s + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as s from d where len(w) >= 20)),
+again as (select doc_id, s from (select doc_id, s, row_number() over (partition by k order by doc_id, s) as r from win) where r > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as p from again),
+kept as (select doc_id, string_agg(w, ' ' order by p) as t from (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as p from d) anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join (select doc_id, count(*) as n from gone group by doc_id) using (doc_id) left join kept using (doc_id)""",
+}
