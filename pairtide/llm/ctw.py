@@ -29,7 +29,9 @@ from .shared import grouped, text_bytes
 from .text import chunks, encode_words, hash_words, mix, split_words, string_array, sums_by_text
 
 DEPTH = 6
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
+#: Text that is coded in one step.
+STEP_BYTES = 4 << 20
 _END = 10
 _END_WORD = hash_words(pa.array(["\n"], pa.large_string()))[0]
 
@@ -74,6 +76,7 @@ def _streams(texts: pa.Array, depth: int):
     keys = keys[own[depth:]]
     byte_bounds = starts - depth * np.arange(len(starts))
     codes, distinct = pd.factorize(keys)
+    codes = codes.astype(np.int32)
     word_codes, vocabulary = encode_words(words)
     hashes = np.append(hash_words(vocabulary), _END_WORD)
     word_codes = np.insert(word_codes, bounds[1:], len(vocabulary))
@@ -95,10 +98,12 @@ class _Tally:
     def add(self, codes, distinct, bounds, train) -> None:
         counted = np.repeat(train, np.diff(bounds))
         self.new.append((distinct.astype(np.uint64), np.bincount(codes[counted], minlength=len(distinct))))
-        if sum(len(k) for k, _ in self.new) > 1 << 20:
+        if sum(len(k) for k, _ in self.new) > 2 << 20:
             self.merge()
 
     def merge(self) -> None:
+        if not self.new:
+            return
         keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
         counts = np.concatenate([self.counts, *(c for _, c in self.new)])
         self.keys, inverse = np.unique(keys, return_inverse=True)
@@ -259,7 +264,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
     def count(batches):
         def parts():
             for batch in batches:
-                yield from chunks(batch, most=1 << 20)
+                yield from chunks(batch, most=STEP_BYTES)
 
         yield _request_rows(_tally(parts(), depth), None, depth, n_parts)
 
@@ -279,7 +284,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
     shared = docs.sparkSession.sparkContext.broadcast(top.tobytes())
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_request_rows(_tally(chunks(table, most=1 << 20), depth), key[0].as_py(), depth, n_parts)])
+        return pa.Table.from_batches([_request_rows(_tally(chunks(table, most=STEP_BYTES), depth), key[0].as_py(), depth, n_parts)])
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, counts, rows = _gather(table)
@@ -290,28 +295,27 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
         return pa.table({"gid": table.column("gid"), "kind": table.column("kind"), "part": table.column("part"), "told": pa.array([_numbers_planes(told[r]) for r in rows], pa.binary())})
 
     def settle(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, values = {}, {}
-        for kind, tally in enumerate(_tally(chunks(left, most=1 << 20), depth)):
-            tally.merge()
-            part = _parts(tally.keys, kind == 0, depth, n_parts)
-            order = np.argsort(part, kind="stable")
-            mine = sorted(((p, raw) for k, p, raw in zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("told"), strict=True) if k == kind), key=lambda x: x[0])
-            values[kind] = np.empty(len(order))
-            values[kind][order] = np.concatenate([_numbers_from(raw.as_buffer(), np.float32 if kind == 0 else np.uint32) for _, raw in mine] or [np.zeros(0)])
-            keys[kind] = tally.keys
-        out = []
-        for part in chunks(left, most=1 << 20):
-            sums = []
-            for kind, (codes, distinct, bounds) in enumerate(_streams(string_array(part.column("text")), depth)):
-                of = values[kind][np.searchsorted(keys[kind], distinct.astype(np.uint64))]
+        parts = list(chunks(left, most=STEP_BYTES))
+        streams = [_streams(string_array(p.column("text")), depth) for p in parts]
+        rows = list(zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("told"), strict=True))
+        sums = [[] for _ in parts]
+        for kind, form in enumerate((np.float32, np.uint32)):
+            each = [s[kind][1].astype(np.uint64) for s in streams]
+            keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
+            order = np.argsort(_parts(keys, kind == 0, depth, n_parts), kind="stable")
+            told = [_numbers_from(raw.as_buffer(), form) for _, _, raw in sorted((r for r in rows if r[0] == kind), key=lambda r: r[1])]
+            values = np.empty(len(keys))
+            values[order] = np.concatenate(told)
+            for out, (codes, _, bounds), at in zip(sums, (s[kind] for s in streams), np.split(inverse, np.cumsum([len(x) for x in each])[:-1]), strict=True):
+                of = values[at]
                 if kind == 0:
-                    sums.append(sums_by_text(of[codes], bounds))
+                    out.append(sums_by_text(of[codes], bounds))
                 else:
-                    base = np.log10((of + 0.5) / (n + 0.5 * (v + 1)))
-                    sums += [np.diff(bounds), sums_by_text((of > 0)[codes], bounds), sums_by_text(base[codes], bounds)]
-            score, n_tokens, n_known, base = sums
-            out.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(score), int(n)), "base_score": base, "score": score}))
-        return pa.concat_tables(out)
+                    out += [np.diff(bounds), sums_by_text((of > 0)[codes], bounds), sums_by_text(np.log10((of + 0.5) / (n + 0.5 * (v + 1)))[codes], bounds)]
+        return pa.concat_tables(
+            pa.table({"doc_id": p.column("doc_id"), "n_tokens": tokens, "n_known": known, "train_tokens": np.full(len(tokens), int(n)), "base_score": base, "score": total})
+            for p, (total, tokens, known, base) in zip(parts, sums, strict=True)
+        )
 
     asked = docs.groupBy("gid").applyInArrow(ask, REQUEST)
     told = asked.groupBy("kind", "part").applyInArrow(answer, "gid int, kind int, part int, told binary")
