@@ -5,9 +5,9 @@
    32 bands with a probability of 5e-6.
 3. Round one pairs each member of a bucket with the bucket's smallest id.  Pairs whose signatures agree
    enough are verified on their full sets; verified pairs are linked into components.
-4. Later rounds look only at buckets that still hold several components, block by block, and pair
-   members of different components: first each member's likeliest partners, then all that are left.
-   Members of one component need no more pairs, so a large group of near copies costs about one pair a member.
+4. Round two looks only at buckets that still hold several components, block by block.  Members of different
+   components whose signatures agree enough are verified inside the block, each pair in the first band that it shares, and only
+   pairs that link components come out.  So no pair is lost, and the pairs of a large group of near copies are never written.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def _signature_rows(column) -> np.ndarray:
 
 
 def bands(sketch: DataFrame) -> DataFrame:
-    """(bucket, doc_id): one row per band of each signature."""
+    """(bucket, band, doc_id): one row per band of each signature."""
 
     def run(batches):
         for batch in batches:
@@ -100,9 +100,10 @@ def bands(sketch: DataFrame) -> DataFrame:
             for k in range(width):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + s[:, k::width])
             ids = np.repeat(np.asarray(batch.column("doc_id"), np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "doc_id"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(ids)], names=["bucket", "band", "doc_id"])
 
-    return sketch.select("doc_id", "signature").mapInArrow(run, "bucket long, doc_id long")
+    return sketch.select("doc_id", "signature").mapInArrow(run, "bucket long, band int, doc_id long")
 
 
 def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -165,33 +166,80 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, linked boolean")
 
 
-def _open_pairs(members: DataFrame, most: int | None) -> DataFrame:
-    """Likely pairs of different components in the buckets ``members`` (bucket, doc_id, component, signature, n_blocks).
-
-    Each bucket is cut into blocks of about BLOCK members by a hash, and each pair of blocks is one
-    group.  ``most``: partners that a member names in a pair of blocks; None for all of them."""
-    own = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("n_blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
-    dealt = members.withColumn("own", own).withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        ids, comp = np.asarray(t.column("doc_id")), np.asarray(t.column("component"))
-        sig, own = _signature_rows(t.column("signature")), np.asarray(t.column("own"))
-        left = np.flatnonzero(own == key[1].as_py())
-        right = np.flatnonzero(own == key[2].as_py())
-        out = []
-        for u in left:
-            partner = right[(comp[right] != comp[u]) & (ids[right] != ids[u])]
-            same = (sig[partner] == sig[u]).sum(axis=1)
-            good = np.flatnonzero(same >= LEAST_AGREEING)
-            if most is not None:
-                good = good[np.lexsort((ids[partner[good]], -same[good]))[:most]]
-            out.append(np.column_stack([np.minimum(ids[u], ids[partner[good]]), np.maximum(ids[u], ids[partner[good]])]))
-        pairs = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), axis=0)
-        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
-
-    columns = dealt.select("bucket", "i", "j", "doc_id", "component", "signature", "own")
-    return columns.groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long").distinct()
+def _cross_pairs(ids, comp, sig, left, right, band: int):
+    """Pairs of places (u, v) of different components that agree enough and share no band before this one, the likeliest first."""
+    out = []
+    for u in left:
+        partner = right[(comp[right] != comp[u]) & (ids[right] != ids[u])]
+        same = sig[partner] == sig[u]
+        agreeing = same.sum(axis=1)
+        first = same.reshape(len(partner), BANDS, -1).all(axis=2).argmax(axis=1)
+        good = np.flatnonzero((agreeing >= LEAST_AGREEING) & (first == band))
+        out.append(np.column_stack([np.full(len(good), u), partner[good], agreeing[good]]))
+    pairs = np.concatenate([*out, np.zeros((0, 3), np.int64)]).astype(np.int64)
+    return pairs[np.argsort(-pairs[:, 2], kind="stable"), :2]
+
+
+def _sides(key: tuple[pa.Scalar, ...], t: pa.Table):
+    ids, comp = np.asarray(t.column("doc_id")), np.asarray(t.column("component"))
+    own, band = np.asarray(t.column("own")), int(t.column("band")[0].as_py())
+    sig = _signature_rows(t.column("signature"))
+    left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+    return ids, comp, _cross_pairs(ids, comp, sig, left, right, band)
+
+
+_BLOCKED = ["bucket", "i", "j", "band", "doc_id", "component", "own", "signature"]
+
+
+def _needed(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """The members of a pair of blocks that have a pair to verify."""
+    _, _, pairs = _sides(key, t)
+    return t.select(_BLOCKED).take(pa.array(np.unique(pairs)))
+
+
+def _links(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Verified pairs of a pair of blocks; pairs that are linked already by others are not verified again."""
+    ids, comp, pairs = _sides(key, t)
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("shingles")]
+    root = {int(c): int(c) for c in comp}
+    out = []
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for u, v in pairs.tolist():
+        a, b = find(int(comp[u])), find(int(comp[v]))
+        if a != b:
+            x, y = sets[u], sets[v]
+            small, large = min(len(x), len(y)), max(len(x), len(y))
+            if 100 * small < PERCENT * large:
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                root[b] = a
+                out.append((int(ids[u]), int(ids[v])))
+    return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+
+def _round_two(members: DataFrame, parts: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) between different components of ``parts`` (node, component) that share a bucket.
+
+    Each bucket is cut into blocks of about BLOCK members by a hash of the id, and each pair of blocks is one group."""
+    now = members.select("bucket", "band", "doc_id", "n").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    split = now.join(mixed, "bucket").withColumn("_blocks", F.ceil(F.col("n") / BLOCK))
+    split = split.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    dealt = split.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = dealt.join(reps, "doc_id").select(*_BLOCKED)
+    schema = "bucket long, i long, j long, band int, doc_id long, component long, own long, signature binary"
+    needed = written(rows.groupBy("bucket", "i", "j").applyInArrow(_needed, schema), "blocks")
+    ids = written(needed.select("doc_id").distinct(), "ids")
+    sets = full_sets(docs, ids).join(ids, "doc_id").dropDuplicates(["doc_id"])
+    full = needed.join(sets, "doc_id").select(*_BLOCKED, "shingles")
+    return full.groupBy("bucket", "i", "j").applyInArrow(_links, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,17 +260,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(_likely(members.where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct(), reps), "pairs")
     tried = written(verified(pairs, docs), "verified")
     parts = written(components(tried.where("linked").select("u", "v")), "components")
-    for most in (8, None):
-        now = members.select("bucket", "doc_id", "n").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        split = now.join(mixed, "bucket").join(reps, "doc_id").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK))
-        more = written(_open_pairs(split, most).join(tried.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if most is None:
-                break
-            continue
-        tried = tried.unionByName(written(verified(more, docs), "verified"))
-        parts = written(components(tried.where("linked").select("u", "v")), "components")
+    more = written(_round_two(members, parts, reps, docs), "links")
+    parts = written(components(tried.where("linked").select("u", "v").unionByName(more)), "components")
     found = sketch.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     found = found.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
