@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import appended, chunks, string_array, sums_by_text, widened, without
+from .text import appended, chunks, string_array, widened, without
 
 ORDERS = (1, 2, 3, 4)
 BITS = 16
