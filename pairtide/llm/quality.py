@@ -234,10 +234,11 @@ def fit(
 
     ``labels`` has (doc_id, quality, toxic); a document is clean if its quality
     is 1 and it is not toxic, bad otherwise.  Rows of ``labels`` with a null id or
-    null quality are ignored, and of several rows of one id the worst counts.  At most about
-    ``max_labelled`` labelled documents are used, chosen by a hash of the id;
-    a third of them serve the words.  The chosen ids are small enough to be
-    broadcast by that bound.  Without labels no cutoff is certified."""
+    null quality are ignored, and of several rows of one id the worst counts.  The words are
+    learnt from a hash sample of a third of the labelled documents, at most about a third of ``max_labelled``, whose
+    ids are small enough to be broadcast by that bound.  The cutoffs are certified on all other labelled
+    documents, however many: every document is reduced to its bins before the labels are joined by a shuffle.
+    Without labels no cutoff is certified."""
     ids = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -245,20 +246,21 @@ def fit(
     )
     share = min(1.0, max_labelled / max(1, ids.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20))
-    ids = ids.where(draw < int(share * (1 << 20))).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)))
-    parts = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).join(F.broadcast(ids), "doc_id")
-    model = QualityModel(insults=fit_insults(parts.where("part = 0").select("text", "toxic")))
-    bins = F.explode(
-        F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.lit(BINS), F.ceil(F.col(f"{r}_score") * BINS)).cast("int").alias("bin")) for r in RULES])
-    )
-    clean = F.col("quality") == 1
+    third = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) == 0
+    ids = ids.withColumn("words", third & (draw < int(share * (1 << 20))))
+    picked = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
+    sample = picked.join(F.broadcast(ids.where("words").select("doc_id", "toxic")), "doc_id")
+    model = QualityModel(insults=fit_insults(sample.select("text", "toxic")))
+    bins = F.array(*[F.least(F.lit(BINS), F.ceil(F.col(f"{r}_score") * BINS)).cast("short") for r in RULES])
+    binned = score(picked, model).select("doc_id", "stratum", bins.alias("bins"))
+    clean = (F.col("quality") == 1) & (F.col("toxic") == 0)
     counts = (
-        score(parts.where("part > 0"), model)
-        .select("stratum", (clean & (F.col("toxic") == 0)).cast("int").alias("clean"), bins.alias("b"))
-        .groupBy("stratum", "b.rule", "b.bin")
+        binned.join(ids.where("not words"), "doc_id")
+        .select("stratum", clean.cast("int").alias("clean"), F.posexplode("bins").alias("at", "bin"))
+        .groupBy("stratum", "at", "bin")
         .agg(F.sum("clean").alias("clean"), F.sum(1 - F.col("clean")).alias("bad"))
     )
-    model.cutoffs, model.report = choose_cutoffs(((r.stratum, r.rule, r.bin, r.clean, r.bad) for r in counts.collect()), alpha, delta)
+    model.cutoffs, model.report = choose_cutoffs(((r.stratum, RULES[r.at], r.bin, r.clean, r.bad) for r in counts.collect()), alpha, delta)
     return model
 
 

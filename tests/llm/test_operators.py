@@ -303,6 +303,19 @@ def test_quality_rules_catch_junk(spark):
     assert all(r["bound"] <= 0.02 for r in model.report)
 
 
+def test_quality_certifies_on_all_labels(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(2000):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60))
+        rows.append((i, text.upper() if i % 4 == 0 else text, "xx"))
+        labels.append((i, int(i % 4 != 0), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labelled=300)
+    assert {r["rule"] for r in model.report} == {"capitals"} and all(r["n_clean"] + r["n_bad"] >= 1800 for r in model.report)
+    assert all(r.kept == (r.doc_id % 4 != 0) for r in quality.apply(docs, model).collect())
+
+
 def test_ctw_is_a_distribution_and_learns(spark, docs, rows, empty):
     keys = np.unique(np.frombuffer(np.random.default_rng(0).integers(97, 101, 8 * 4000, dtype=np.uint8).tobytes(), ">u8") >> np.uint64(40))
     counts = np.arange(len(keys)) % 5
