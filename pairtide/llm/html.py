@@ -1,14 +1,17 @@
 """Main text of web pages: landmarks of the markup, and repeats found by a host's suffix array.
 
 A page becomes blocks of text.  Blocks inside an article landmark are its main text, blocks inside menus, footers,
-adverts and the like are its frame, and the rest is open.  The tokens of all blocks outside the article form the page's stream.  The streams of a host are
+adverts and the like are its frame, and the rest is open.  The tokens of all blocks form the page's stream.  The streams of a host are
 put in suffix order as far as ``LENGTH`` tokens, which is what finding repeats of that length
-needs; neighbours that agree so far and come from distinct pages are boilerplate, and the runs they cover are removed
-from open blocks.  The suffix array is never built in one task: suffixes are dealt by
-(host, first LENGTH tokens), and equal ones are reduced to the smallest and largest page before the shuffle.
+needs: neighbours that agree so far and come from pages of distinct content are a repeat.  The suffix array is never built in one task:
+suffixes are dealt by (host, first LENGTH tokens).  A bit table made of shortened hashes holds all that can repeat; only those are
+compared in full, and equal ones are reduced to the smallest and largest content before the shuffle.
 
-Repetition alone can't tell an article that a host carries twice from a menu, so text inside an article landmark is never removed;
-a page without a landmark keeps the runs of its open blocks that are unique on its host.
+Frames go; in all other blocks, article or open, the repeats decide.  A page's content is its text outside frames, and pages of a host
+with equal content count once, so an article that a host carries twice is no repeat.  A repeated run is boilerplate
+
+* in open blocks if two contents carry it, in article blocks if a tenth of the host's contents do, three at least;
+* if it is ``COPIED`` tokens long or longer, which a copied article with small changes is as well, only if half of them carry it, three at least.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from .shared import written
 from .text import chunks
 
 LENGTH = 8
-#: Pages with removed runs up to this many are broadcast (some 100 bytes each); more are joined by a shuffle.
+#: Tokens from which a repeated run may be a copied article.
+COPIED = 64
+#: Tables of repeats up to this many rows are broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.DOTALL)
@@ -121,44 +126,49 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def _stream(found: list[tuple[int, str]]) -> tuple[list[str], list[int]]:
-    """The tokens outside the article, and each one's block; -1 in frames."""
-    tokens, owner = [], []
-    for i, (kind, text) in enumerate(found):
-        if kind != MAIN:
-            new = text.split(" ")
-            tokens += new
-            owner += [i if kind == OPEN else -1] * len(new)
-    return tokens, owner
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _keys(host: str, found: list[str]) -> np.ndarray:
+    """The hash of host and LENGTH tokens at each place of a page's stream."""
+    tokens = " ".join(found).split(" ") if found else []
+    if len(tokens) < LENGTH:
+        return np.zeros(0, np.int64)
+    known = {t: xxhash.xxh3_64_intdigest(t) for t in set(tokens)}
+    hashes = np.array([known[t] for t in tokens], np.uint64)
+    n = len(tokens) - LENGTH + 1
+    out = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
+    for k in range(LENGTH):
+        out = out * _PRIME + hashes[k : k + n]
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
 
+def _marks(found: list[str], kinds: list[int]) -> np.ndarray:
+    """What each place's LENGTH tokens lie in: MAIN if one of them is of the article, else OPEN if one is open, else FRAME."""
+    of_token = np.repeat(np.array(kinds, np.int8), [text.count(" ") + 1 for text in found])
+    n = max(0, len(of_token) - LENGTH + 1)
+    return np.min([of_token[k : k + n] for k in range(LENGTH)], axis=0) if n else np.zeros(0, np.int8)
 
-PARSED = "row long, text string, open array<string>, suffixes array<struct<key: bigint, at: int>>"
-_SUFFIXES = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+
+PARSED = "row long, host string, content long, texts array<string>, kinds array<int>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with a row number, the article's text, the blocks of a page without one, and the suffixes of its stream by host and first LENGTH tokens; ``at`` is -1 where nothing could be removed."""
+    """pages (page_id, url, html) with a row number, the host, the hash of the text outside frames, and the blocks."""
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in chunks(batch, "html"):
-                texts, opened, suffixes = [], [], []
-                for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    found = blocks(page or "")
-                    main = [text for kind, text in found if kind == MAIN]
-                    texts.append("\n\n".join(main))
-                    rest = [] if main else [text for kind, text in found if kind == OPEN]
-                    opened.append(rest)
-                    tokens, owner = _stream(found if not main else [(FRAME, text) if kind == OPEN else (kind, text) for kind, text in found])
-                    at, keys = 0, []
-                    for i in range(len(tokens) - LENGTH + 1):
-                        key = xxhash.xxh3_64_intdigest("\0".join([host, *tokens[i : i + LENGTH]])) - (1 << 63)
-                        keys.append({"key": key, "at": i if any(o >= 0 for o in owner[i : i + LENGTH]) else -1})
-                    suffixes.append(keys)
+                found = [blocks(page or "") for page in part.column("html").to_pylist()]
+                contents = [xxhash.xxh3_64_intdigest("\0".join(text for kind, text in f if kind != FRAME)) - (1 << 63) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array(np.arange(row, row + part.num_rows)), pa.array(texts, pa.string()), pa.array(opened, pa.list_(pa.string())), pa.array(suffixes, _SUFFIXES)],
-                    names=["page_id", "url", "row", "text", "open", "suffixes"],
+                    [
+                        part.column("page_id"), part.column("url"), pa.array(np.arange(row, row + part.num_rows)), part.column("host"), pa.array(contents, pa.int64()),
+                        pa.array([[text for _, text in f] for f in found], pa.list_(pa.string())), pa.array([[kind for kind, _ in f] for f in found], pa.list_(pa.int32())),
+                    ],
+                    names=["page_id", "url", "row", "host", "content", "texts", "kinds"],
                 )
                 row += part.num_rows
 
@@ -168,39 +178,142 @@ def parsed(pages: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, f"page_id {kind}, url string, {PARSED}")
 
 
-def unique_runs(found: list[str], covered: set[int]) -> list[str]:
-    """The blocks without the tokens that lie in a covered window; empty ones are left out."""
+def _pages_keys(batch: pa.RecordBatch):
+    """Slices of a batch as pages, each with its keys."""
+    for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+        found = part.to_pylist()
+        yield part, found, [_keys(p["host"], p["texts"]) for p in found]
+
+
+def _address(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit tail of each key."""
+    u = keys.view(np.uint64)
+    return ((u >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), (u & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def repeat_filter(pages: DataFrame) -> tuple[int, int, np.ndarray]:
+    """(buckets, bits, table): a bit table that holds every key found at two places or more, and a few others.
+
+    Only three or four bytes of a key are shuffled, dealt evenly by hash; the places of a very common key in a task count
+    as two.  The table has at most 64 MB; at more keys it lets more others pass, which are told apart later."""
+    total = pages.select(F.sum(F.expr("aggregate(texts, 0L, (n, t) -> n + length(t) - length(replace(t, ' ', '')) + 1)"))).first()[0] or 0
+    buckets = min(2048, max(1, total >> 16))
+    each = max(1, total // buckets)
+    width = 3 if each <= 1 << 18 else 4
+    bits = min(18, max(10, each.bit_length() - 1))
+
+    def emit(batches):
+        def packed(held):
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            bucket, tail = _address(np.repeat(keys, np.minimum(n, 2)), buckets)
+            order = np.lexsort((tail, bucket))
+            bucket, raw = bucket[order], tail[order].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+            at = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            blobs = [raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "tails"])
+
+        held, n = [], 0
+        for batch in batches:
+            for _, _, keys in _pages_keys(batch):
+                held += keys
+                n += sum(map(len, keys))
+                if n > 4_000_000:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def reduce(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(table.column("tails").to_pylist()), np.uint8).reshape(-1, width)
+        tails = np.zeros((len(raw), 4), np.uint8)
+        tails[:, :width] = raw
+        tails, n = np.unique(tails.view("<u4").ravel(), return_counts=True)
+        on = np.zeros(1 << bits, np.uint8)
+        on[tails[n > 1] & np.uint32((1 << bits) - 1)] = 1
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    dealt = pages.select("host", "texts").mapInArrow(emit, "bucket int, tails binary")
+    out = np.zeros((buckets, 1 << (bits - 3)), np.uint8)
+    for r in dealt.groupBy("bucket").applyInArrow(reduce, "bucket int, bits binary").toLocalIterator():
+        out[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    return buckets, bits, out.ravel()
+
+
+def suffixes(pages: DataFrame) -> DataFrame:
+    """(row, host, content, key, at) of the places of the streams whose key may be found elsewhere; ``at`` is -1 where all tokens are of frames."""
+    buckets, bits, table = repeat_filter(pages)
+    table = pages.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            for part, found, keys in _pages_keys(batch):
+                places = [np.where(_marks(p["texts"], p["kinds"]) == FRAME, -1, np.arange(len(k))) for p, k in zip(found, keys, strict=True)]
+                of, keys, places = np.repeat(np.arange(len(found)), [len(k) for k in keys]), np.concatenate(keys), np.concatenate(places)
+                bucket, tail = _address(keys, buckets)
+                slot = (bucket << bits) + (tail & np.uint32((1 << bits) - 1))
+                on = (table.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+                of = pa.array(of[on])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(of) for c in ("row", "host", "content")), pa.array(keys[on]), pa.array(places[on], pa.int32())],
+                    names=["row", "host", "content", "key", "at"],
+                )
+
+    return pages.select("row", "host", "content", "texts", "kinds").mapInArrow(run, "row long, host string, content long, key long, at int")
+
+
+def boilerplate(marks: np.ndarray, carriers: dict[int, int], contents: int) -> list[int]:
+    """The places whose tokens go: ``carriers`` has the number of contents at each repeated place of a page, ``contents`` that of the host."""
+    least = {OPEN: 2, MAIN: max(3, -(-contents // 10))}
+    common = max(3, -(-contents // 2))
+    out, run = [], []
+    for i in [*sorted(i for i, n in carriers.items() if n >= least[int(marks[i])]), None]:
+        if run and (i is None or i > run[-1] + 1):
+            out += [k for k in run if len(run) + LENGTH - 1 < COPIED or carriers[k] >= common]
+            run = []
+        run.append(i)
+    return out
+
+
+def unique_runs(found: list[str], kinds: list[int], places: list[int]) -> list[str]:
+    """The blocks outside frames without the tokens of the places; empty ones are left out."""
     out, at = [], 0
-    gone = {i + k for i in covered for k in range(LENGTH)}
-    for text in found:
+    gone = {i + k for i in places for k in range(LENGTH)}
+    for text, kind in zip(found, kinds, strict=True):
         tokens = text.split(" ")
         kept = [t for k, t in enumerate(tokens) if at + k not in gone]
         at += len(tokens)
-        if kept:
+        if kept and kind != FRAME:
             out.append(" ".join(kept))
     return out
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Blocks are joined by two newlines.  A null or empty page has an empty text; markup that is cut
-    off is dropped, text before it stays.  A null url belongs to the host ''.  Repeated rows
-    are pages of their own, but rows with equal text and id don't make each other boilerplate: distinct pages have distinct ids."""
-    pages = written(parsed(pages), "pages")
-    suffixes = pages.select("row", "page_id", F.explode("suffixes").alias("s")).select("row", "page_id", "s.key", "s.at")
-    repeated = suffixes.groupBy("key").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo < hi").select("key")
-    covered = written(suffixes.where("at >= 0").join(repeated, "key", "left_semi").groupBy("row").agg(F.collect_set("at").alias("covered")), "repeats")
-    covered = F.broadcast(covered) if covered.count() <= BROADCAST_ROWS else covered
+    off is dropped, text before it stays.  A null url belongs to the host ''.  Repeated rows, and pages of a host with
+    equal text outside frames, don't make each other boilerplate."""
+    pages = written(parsed(pages), "pages", compression="zstd")
+    every = written(suffixes(pages), "suffixes")
+    repeated = written(every.groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("key"), "repeated")
+    hits = written(every.join(_small(repeated), "key", "left_semi"), "hits")
+    carriers = written(hits.groupBy("key", "content").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").cast("int").alias("n")), "carriers")
+    hosts = written(pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents")), "hosts")
+    places = hits.where("at >= 0").join(_small(carriers), "key").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("places"))
+    covered = written(places.join(hits.groupBy("row").agg(F.first("host").alias("host")), "row").join(_small(hosts), "host").select("row", "places", "contents"), "repeats")
 
     def run(batches):
         for batch in batches:
             texts = [
-                "\n\n".join(unique_runs(found, set(gone or ()))) if found else text
-                for text, found, gone in zip(*(batch.column(c).to_pylist() for c in ("text", "open", "covered")), strict=True)
+                "\n\n".join(unique_runs(found, kinds, boilerplate(_marks(found, kinds), {p["at"]: p["n"] for p in places}, contents) if places else []))
+                for found, kinds, places, contents in zip(*(batch.column(c).to_pylist() for c in ("texts", "kinds", "places", "contents")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = pages.join(covered, "row", "left").select("page_id", "url", "text", "open", "covered")
+    joined = pages.join(_small(covered), "row", "left").select("page_id", "url", "texts", "kinds", "places", "contents")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string")

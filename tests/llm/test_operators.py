@@ -378,6 +378,22 @@ def test_html(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_repeats_decide_in_articles_and_beside_them(spark):
+    words_of = lambda seed, n: " ".join(f"w{seed}x{k}" for k in range(n))
+    bio, teaser = words_of("bio", 12), words_of("t", 5)
+    page = lambda i, text, url="http://a.example/": (i, url, f"<nav>{words_of('nav', 3)}</nav><article><p>{text}</p><p>{bio}</p></article>")
+    pages = [page(i, words_of(i, 30)) for i in range(6)]
+    pages += [page(6, words_of(0, 30))]  # the article of page 0 once more
+    pages += [(7, "http://a.example/b", f"<nav>{words_of('nav', 3)}</nav><article>{teaser}</article><div>{words_of(7, 40)}</div><div>{bio}</div>")]
+    pages += [(8 + i, "http://c.example/", f"<p>{words_of('same', 80)}</p>") for i in range(2)]  # one body twice, without a landmark
+    pages += [(10 + i, "http://d.example/", f"<p>{words_of('near', 80)} end{i}</p>") for i in range(2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    want = {i: words_of(i, 30) for i in range(6)} | {6: words_of(0, 30), 7: f"{teaser}\n\n{words_of(7, 40)}"}
+    want |= {8 + i: words_of("same", 80) for i in range(2)} | {10 + i: f"{words_of('near', 80)} end{i}" for i in range(2)}
+    assert got == want
+
+
 def test_text_helpers_do_not_depend_on_batching(spark, docs, rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
