@@ -4,14 +4,16 @@ A page becomes blocks of text.  Blocks inside an article landmark are its main t
 adverts and the like are its frame, and the rest is open.  The tokens of all blocks form the page's stream.  The streams of a host are
 put in suffix order as far as ``LENGTH`` tokens, which is what finding repeats of that length
 needs: neighbours that agree so far and come from pages of distinct content are a repeat.  The suffix array is never built in one task:
-suffixes are dealt by (host, first LENGTH tokens).  A bit table made of shortened hashes holds all that can repeat; only those are
-compared in full, and equal ones are reduced to the smallest and largest content before the shuffle.
+suffixes are dealt by a hash of the host and their first LENGTH tokens.  Equal suffixes have equal anchors (the smallest hash of
+their ``GRAM``-token windows), and a bit table of the anchors that repeat outside frames keeps all others out of the shuffle.
 
 Frames go; in all other blocks, article or open, the repeats decide.  A page's content is its text outside frames, and pages of a host
 with equal content count once, so an article that a host carries twice is no repeat.  A repeated run is boilerplate
 
 * in open blocks if two contents carry it, in article blocks if a tenth of the host's contents do, three at least;
 * if it is ``COPIED`` tokens long or longer, which a copied article with small changes is as well, only if half of them carry it, three at least.
+
+Names of classes and ids only speak about containers, and only if they consist of frame words and filler (``ad-slot-2``, not ``share-prices``).
 """
 
 from __future__ import annotations
@@ -21,23 +23,31 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import anchors
 from .shared import written
-from .text import chunks
+from .text import chunks, encode_words, hash_words, mix, rows_of, starts_of, window_hashes
 
-LENGTH = 8
+LENGTH, GRAM = 8, 4
 #: Tokens from which a repeated run may be a copied article.
 COPIED = 64
 #: Tables of repeats up to this many rows are broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Text that one numpy step works on.
+STEP_BYTES = 4 << 20
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.DOTALL)
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+|[^<>]*)>|<[!?][^<>]*>|<[/!?a-zA-Z][^<>]*\Z", re.DOTALL
+)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: Elements whose content is no text of the page; it ends at their own end tag, whatever looks like a tag inside.
 _RAW = frozenset("script style noscript template textarea title iframe".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE) for tag in _RAW}
 _FRAME = frozenset("nav footer aside form menu dialog select button object svg math canvas".split())
 _MAIN = frozenset("article main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,16 +55,31 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_FRAME_NAME = re.compile(
-    r"(^|[\s_-])(ad|ads|advert|advertisement|adverts|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|"
-    r"replies|search|share|sharing|sidebar|signup|site-header|social|sponsor|sponsored|subscribe|toolbar|widget)([\s_-]|\d|$)",
-    re.IGNORECASE,
+#: Elements that class and id may make a frame; headings, paragraphs and inline elements never are.
+_CONTAINER = frozenset("div section ul ol dl table header fieldset details figure".split())
+_FRAME_WORDS = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter "
+    "notice notices popup promo related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+_FILLER = frozenset(
+    "a area article articles bar block bottom box btn button buttons col container content form group header icons inner item items left link links list main outer page panel post posts "
+    "primary reader right row secondary section site slot text title top unit user wrap wrapper".split()
+)
+_FRAME_NAMES = frozenset(["site-header", "site_header"])
 _FRAME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 MAIN, OPEN, FRAME = 0, 1, 2
 
 
+def frame_name(value: str) -> bool:
+    """Whether one of the names of a class or id attribute consists of frame words, filler and numbers, with a frame word at least."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[-_]+|\d+", name) if w]
+        if name in _FRAME_NAMES or any(w in _FRAME_WORDS for w in words) and all(w in _FRAME_WORDS or w in _FILLER for w in words):
+            return True
+    return False
+
+
 def _kind(tag: str, attributes: str, parent: int) -> int:
     """What a new element makes of the text inside it."""
     if parent == FRAME:
@@ -69,14 +94,16 @@ def _kind(tag: str, attributes: str, parent: int) -> int:
                     return FRAME
                 if value.lower() in _MAIN:
                     parent = MAIN
-            elif tag not in ("html", "body", *_MAIN) and _FRAME_NAME.search(value):
+            elif tag in _CONTAINER and frame_name(value):
                 return FRAME
     return MAIN if tag in _MAIN else parent
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of the blocks of a page in order; character references are decoded and white space is one space."""
-    out, parts, kinds, tags, at, raw = [], [], [OPEN], [], 0, None
+    """(kind, text) of the blocks of a page in order; character references are decoded and white space is one space.
+
+    A ``<`` that starts no tag, or whose tag is not closed before the next ``<``, is text."""
+    out, parts, kinds, tags, at = [], [], [OPEN], [], 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -84,14 +111,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if text:
             out.append((kinds[-1], text))
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         closing, tag = m[1], (m[2] or "").lower()
-        if raw:
-            if closing and tag == raw:
-                raw, at = None, m.end()
-            continue
-        if m.start() < at:
-            continue
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
@@ -109,7 +130,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     kinds.pop()
                 kinds.pop()
         elif tag in _RAW:
-            raw = tag if not m[3].endswith("/") else None
+            if not m[3].endswith("/"):
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
         elif tag not in _VOID:
             if tag in _BLOCK and tags[-1:] == ["p"]:  # a block ends an open paragraph
                 tags.pop()
@@ -120,30 +143,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if tag in _BLOCK or kind != kinds[-1]:
                 tags.append(tag)
                 kinds.append(kind)
-    if not raw:
-        parts.append(page[at:])
-        close()
+    parts.append(page[at:])
+    close()
     return out
 
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _keys(host: str, found: list[str]) -> np.ndarray:
-    """The hash of host and LENGTH tokens at each place of a page's stream."""
-    tokens = " ".join(found).split(" ") if found else []
-    if len(tokens) < LENGTH:
-        return np.zeros(0, np.int64)
-    known = {t: xxhash.xxh3_64_intdigest(t) for t in set(tokens)}
-    hashes = np.array([known[t] for t in tokens], np.uint64)
-    n = len(tokens) - LENGTH + 1
-    out = np.full(n, xxhash.xxh3_64_intdigest(host), np.uint64)
-    for k in range(LENGTH):
-        out = out * _PRIME + hashes[k : k + n]
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
 def _marks(found: list[str], kinds: list[int]) -> np.ndarray:
     """What each place's LENGTH tokens lie in: MAIN if one of them is of the article, else OPEN if one is open, else FRAME."""
     of_token = np.repeat(np.array(kinds, np.int8), [text.count(" ") + 1 for text in found])
@@ -151,11 +155,11 @@ def _marks(found: list[str], kinds: list[int]) -> np.ndarray:
     return np.min([of_token[k : k + n] for k in range(LENGTH)], axis=0) if n else np.zeros(0, np.int8)
 
 
-PARSED = "row long, host string, content long, texts array<string>, kinds array<int>"
+PARSED = "row long, host long, content long, texts array<string>, kinds array<int>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with a row number, the host, the hash of the text outside frames, and the blocks."""
+    """pages (page_id, url, html) with a row number, hashes of the host and of the text outside frames, and the blocks."""
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
@@ -173,50 +177,66 @@ def parsed(pages: DataFrame) -> DataFrame:
                 row += part.num_rows
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    picked = pages.select("page_id", "url", "html", host.alias("host"))
+    picked = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"))
     kind = pages.schema["page_id"].dataType.simpleString()
     return picked.mapInArrow(run, f"page_id {kind}, url string, {PARSED}")
 
 
-def _pages_keys(batch: pa.RecordBatch):
-    """Slices of a batch as pages, each with its keys."""
-    for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-        found = part.to_pylist()
-        yield part, found, [_keys(p["host"], p["texts"]) for p in found]
-
-
-def _address(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit tail of each key."""
-    u = keys.view(np.uint64)
-    return ((u >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), (u & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _streams(part: pa.RecordBatch):
+    """The suffixes of LENGTH tokens of some pages: their page, place in its stream, whether a token is outside frames, key, and anchor's hash and place."""
+    lists = part.column("texts")
+    of_block = np.asarray(pc.list_parent_indices(lists), np.int64)
+    tokens = pc.split_pattern(lists.flatten().cast(pa.large_string()), " ")
+    codes, distinct = encode_words(tokens.flatten())
+    empty = np.zeros(0, np.int64)
+    if len(codes) < LENGTH:
+        return empty, empty, np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty
+    hashes = hash_words(distinct)[codes]
+    sizes = np.asarray(pc.list_value_length(tokens), np.int64)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(of_block, weights=sizes, minlength=part.num_rows).astype(np.int64))])
+    open_before = np.concatenate([[0], np.cumsum(np.repeat(np.asarray(part.column("kinds").flatten()) != FRAME, sizes))])
+    windows = window_hashes(hashes, LENGTH)
+    best, at = anchors(hashes, LENGTH, GRAM)
+    ok = np.flatnonzero(starts_of(bounds, LENGTH)[: len(windows)])
+    page = rows_of(bounds)[ok]
+    host = mix(np.asarray(part.column("host"), np.int64).view(np.uint64))[page]
+    return page, ok - bounds[page], open_before[ok + LENGTH] > open_before[ok], mix(windows[ok] + host), mix(best[ok] ^ host), at[ok]
+
+
+def _address(fps: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 31-bit tail of each anchor."""
+    return ((fps >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), (fps & np.uint64(0x7FFFFFFF)).astype(np.uint32)
 
 
 def repeat_filter(pages: DataFrame) -> tuple[int, int, np.ndarray]:
-    """(buckets, bits, table): a bit table that holds every key found at two places or more, and a few others.
+    """(buckets, bits, table): a bit table that holds every anchor found at two places or more, one of them outside frames, and a few others.
 
-    Only three or four bytes of a key are shuffled, dealt evenly by hash; the places of a very common key in a task count
-    as two.  The table has at most 64 MB; at more keys it lets more others pass, which are told apart later."""
+    Only four bytes of an anchor are shuffled, dealt evenly by hash; the places of a very common anchor in a task count
+    as two.  The table has at most 64 MB; at more anchors it lets more others pass, which are told apart later."""
     total = pages.select(F.sum(F.expr("aggregate(texts, 0L, (n, t) -> n + length(t) - length(replace(t, ' ', '')) + 1)"))).first()[0] or 0
-    buckets = min(2048, max(1, total >> 16))
-    each = max(1, total // buckets)
-    width = 3 if each <= 1 << 18 else 4
-    bits = min(18, max(10, each.bit_length() - 1))
+    buckets = min(2048, max(1, total >> 17))
+    bits = min(18, max(10, (total // buckets).bit_length() - 1))
 
     def emit(batches):
         def packed(held):
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket, tail = _address(np.repeat(keys, np.minimum(n, 2)), buckets)
-            order = np.lexsort((tail, bucket))
-            bucket, raw = bucket[order], tail[order].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+            bucket, tail = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+            more = np.minimum(n, 2)
+            bucket, raw = np.repeat(bucket, more).astype(np.int64), np.repeat(tail, more)
             at = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             blobs = [raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "tails"])
 
         held, n = [], 0
         for batch in batches:
-            for _, _, keys in _pages_keys(batch):
-                held += keys
-                n += sum(map(len, keys))
+            for part in _steps(batch):
+                page, _, outside, _, fps, at = _streams(part)
+                if not len(at):
+                    continue
+                first = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(page, prepend=-1))  # windows that share an anchor follow each other
+                bucket, tail = _address(fps[first], buckets)
+                held.append(bucket.astype(np.uint64) << np.uint64(32) | (tail << np.uint32(1) | np.logical_or.reduceat(outside, first)).astype(np.uint64))
+                n += len(first)
                 if n > 4_000_000:
                     yield packed(held)
                     held, n = [], 0
@@ -224,41 +244,69 @@ def repeat_filter(pages: DataFrame) -> tuple[int, int, np.ndarray]:
             yield packed(held)
 
     def reduce(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(table.column("tails").to_pylist()), np.uint8).reshape(-1, width)
-        tails = np.zeros((len(raw), 4), np.uint8)
-        tails[:, :width] = raw
-        tails, n = np.unique(tails.view("<u4").ravel(), return_counts=True)
+        raw = np.sort(np.frombuffer(b"".join(table.column("tails").to_pylist()), "<u4"))
+        tails, first, n = np.unique(raw >> np.uint32(1), return_index=True, return_counts=True)
+        outside = (raw[first + n - 1] & np.uint32(1)) == 1
         on = np.zeros(1 << bits, np.uint8)
-        on[tails[n > 1] & np.uint32((1 << bits) - 1)] = 1
+        on[tails[(n > 1) & outside] & np.uint32((1 << bits) - 1)] = 1
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
-    dealt = pages.select("host", "texts").mapInArrow(emit, "bucket int, tails binary")
+    dealt = pages.select("host", "texts", "kinds").mapInArrow(emit, "bucket int, tails binary")
     out = np.zeros((buckets, 1 << (bits - 3)), np.uint8)
     for r in dealt.groupBy("bucket").applyInArrow(reduce, "bucket int, bits binary").toLocalIterator():
         out[r.bucket] = np.frombuffer(r.bits, np.uint8)
     return buckets, bits, out.ravel()
 
 
-def suffixes(pages: DataFrame) -> DataFrame:
-    """(row, host, content, key, at) of the places of the streams whose key may be found elsewhere; ``at`` is -1 where all tokens are of frames."""
-    buckets, bits, table = repeat_filter(pages)
-    table = pages.sparkSession.sparkContext.broadcast(table)
+def _steps(batch: pa.RecordBatch):
+    """Slices of a batch of parsed pages of about STEP_BYTES of text each; a longer page is one of its own."""
+    sizes = pc.binary_length(batch.column("texts").flatten())
+    by_page = np.bincount(np.asarray(pc.list_parent_indices(batch.column("texts")), np.int64), weights=np.asarray(sizes), minlength=batch.num_rows)
+    step = (np.cumsum(by_page) // STEP_BYTES).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        part = batch.slice(i, j - i)
+        yield pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(len(c)))) if pa.types.is_list(c.type) else c for c in part.columns], names=part.schema.names)
+
+
+def _passing(part: pa.RecordBatch, buckets: int, bits: int, table: np.ndarray):
+    """Page, place, whether outside frames, and key of the suffixes whose anchor the table holds."""
+    page, place, outside, keys, fps, _ = _streams(part)
+    bucket, tail = _address(fps, buckets)
+    slot = (bucket << bits) + (tail & np.uint32((1 << bits) - 1))
+    on = (table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+    return page[on], place[on], outside[on], keys[on].view(np.int64)
+
+
+def repeated_suffixes(pages: DataFrame, known) -> DataFrame:
+    """(key, host, n): the suffixes that ``n`` contents of a host carry, two at least and outside frames somewhere."""
 
     def run(batches):
         for batch in batches:
-            for part, found, keys in _pages_keys(batch):
-                places = [np.where(_marks(p["texts"], p["kinds"]) == FRAME, -1, np.arange(len(k))) for p, k in zip(found, keys, strict=True)]
-                of, keys, places = np.repeat(np.arange(len(found)), [len(k) for k in keys]), np.concatenate(keys), np.concatenate(places)
-                bucket, tail = _address(keys, buckets)
-                slot = (bucket << bits) + (tail & np.uint32((1 << bits) - 1))
-                on = (table.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
-                of = pa.array(of[on])
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(of) for c in ("row", "host", "content")), pa.array(keys[on]), pa.array(places[on], pa.int32())],
-                    names=["row", "host", "content", "key", "at"],
-                )
+            for part in _steps(batch):
+                page, _, outside, keys = _passing(part, *known.value)
+                content = np.asarray(part.column("content"), np.int64)[page]
+                order = np.lexsort((~outside, content, keys))
+                first = order[np.flatnonzero(np.diff(keys[order], prepend=0) | np.diff(content[order], prepend=0) | (np.arange(len(order)) == 0))]
+                host = np.asarray(part.column("host"), np.int64)[page[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(host), pa.array(content[first]), pa.array(outside[first])], names=["key", "host", "content", "outside"])
+
+    entries = pages.select("host", "content", "texts", "kinds").mapInArrow(run, "key long, host long, content long, outside boolean")
+    once = entries.groupBy("key", "host", "content").agg(F.max("outside").alias("outside"))
+    return once.groupBy("key", "host").agg(F.count("*").cast("int").alias("n"), F.max("outside").alias("outside")).where("n > 1 and outside").drop("outside")
+
+
+def places(pages: DataFrame, known) -> DataFrame:
+    """(row, key, at) of the suffixes outside frames whose anchor repeats."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _steps(batch):
+                page, place, outside, keys = _passing(part, *known.value)
+                row = np.asarray(part.column("row"), np.int64)[page]
+                yield pa.RecordBatch.from_arrays([pa.array(x[outside]) for x in (row, keys, place.astype(np.int32))], names=["row", "key", "at"])
 
-    return pages.select("row", "host", "content", "texts", "kinds").mapInArrow(run, "row long, host string, content long, key long, at int")
+    return pages.select("row", "host", "texts", "kinds").mapInArrow(run, "row long, key long, at int")
 
 
 def boilerplate(marks: np.ndarray, carriers: dict[int, int], contents: int) -> list[int]:
@@ -295,16 +343,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Blocks are joined by two newlines.  A null or empty page has an empty text; markup that is cut
-    off is dropped, text before it stays.  A null url belongs to the host ''.  Repeated rows, and pages of a host with
+    off at the end is dropped, text before it stays.  A null url belongs to the host ''.  Repeated rows, and pages of a host with
     equal text outside frames, don't make each other boilerplate."""
     pages = written(parsed(pages), "pages", compression="zstd")
-    every = written(suffixes(pages), "suffixes")
-    repeated = written(every.groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("key"), "repeated")
-    hits = written(every.join(_small(repeated), "key", "left_semi"), "hits")
-    carriers = written(hits.groupBy("key", "content").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").cast("int").alias("n")), "carriers")
-    hosts = written(pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents")), "hosts")
-    places = hits.where("at >= 0").join(_small(carriers), "key").groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("places"))
-    covered = written(places.join(hits.groupBy("row").agg(F.first("host").alias("host")), "row").join(_small(hosts), "host").select("row", "places", "contents"), "repeats")
+    known = pages.sparkSession.sparkContext.broadcast(repeat_filter(pages))
+    hosts = pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
+    repeated = written(repeated_suffixes(pages, known).join(hosts, "host").select("key", "n", "contents"), "repeats")
+    found = places(pages, known).join(_small(repeated), "key").groupBy("row").agg(F.first("contents").alias("contents"), F.collect_list(F.struct("at", "n")).alias("places"))
+    covered = written(found, "places")
 
     def run(batches):
         for batch in batches:

@@ -369,6 +369,15 @@ def test_html(spark):
     kinds = lambda page: [t for k, t in html.blocks(page) if k == html.MAIN]
     assert kinds("<nav>m</nav><article><header><h1>T</h1></header><p>x&amp;y <b>z</b>w<br>v<section class='comments'><p>c</p></section><aside>s</aside><p>&eacute;&lt;p&gt;</p></article><footer>f</footer>") == ["T", "x&y zw v", "é<p>"]
     assert kinds("<main><p>cut &am<b") == ["cut &am"] and html.blocks("") == [] and html.blocks("<script>var a='</p>';") == []
+    main = lambda body: kinds(f"<article>{body}</article>")
+    assert kinds("<script>if(i<n)x()</script><article><p>real</p></article>") == ["real"]
+    assert main("<script>for(i=0;i<n;i++){f()}</script><p>real text</p><script>y()</script><p>tail</p>") == ["real text", "tail"]
+    for raw in ("script", "style", "textarea", "title"):
+        assert main(f"<p>a</p><{raw} x='1'>b<c d </p> '</{raw.upper()} ><p>e</p>") == ["a", "e"]
+        assert main(f"<p>a</p><{raw}>b</{raw}x><p>c") == ["a"]
+    assert main("<h2 id='notice-period'>n</h2><p id='share-prices'>s</p><div id='share-prices'>t</div><p class=ad>u <span class='ad'>v</span></p>") == ["n", "s", "t", "u v"]
+    assert main("<div class='x ad-slot-2'>a</div><ul id=share_buttons><li>b</ul><div class='user-comments'><p>c</p></div><p>d</p>") == ["d"]
+    assert main("<p>if a<b then c</p><p>x < y <3</p><p title='1>2'>z</p>") == ["if a<b then c", "x < y <3", "z"]
     menu = "home about contact news archive help search login legal terms"
     pages = [(i, "http://h.example/x", f"<div>{menu}</div><p>{i}th tale {i}</p>") for i in range(3)]
     pages += [(7, None, None), (8, "http://o.example/", f"<body><div>{menu}</div>"), (9, "http://h.example/y", "<article><p>kept</p></article>" + menu)]
@@ -394,6 +403,35 @@ def test_repeats_decide_in_articles_and_beside_them(spark):
     assert got == want
 
 
+def test_repeats_equal_brute_force(spark):
+    """Contents and places of every repeated suffix, over hosts with few words, against a dictionary of all of them."""
+    rng = random.Random(8)
+    block = lambda: " ".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))
+    pages = [(i, f"http://{'abc'[i % 3]}.example/", f"<nav>{block()}</nav><p>{block()}</p><article><p>{block()}</p><p>{block()}</p></article>") for i in range(60)]
+    pages += [(60 + i, *pages[i][1:]) for i in range(5)] + [(70, "http://a.example/", " ".join(f"{k % 977}" for k in range(60_000)))]
+    parsed = spark.createDataFrame(html.parsed(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect(), f"page_id long, url string, {html.PARSED}")
+    contents, outside = collections.defaultdict(set), set()
+    for r in parsed.collect():
+        tokens = " ".join(r.texts).split(" ")
+        marks = html._marks(r.texts, r.kinds)
+        for i in range(len(tokens) - html.LENGTH + 1):
+            key = (r.host, *tokens[i : i + html.LENGTH])
+            contents[key].add(r.content)
+            if marks[i] != html.FRAME:
+                outside.add(key)
+    want = sorted((k[0], len(c)) for k, c in contents.items() if len(c) > 1 and k in outside)
+    known = spark.sparkContext.broadcast(html.repeat_filter(parsed))
+    got = html.repeated_suffixes(parsed.repartition(3), known)
+    assert sorted((r.host, r.n) for r in got.collect()) == want and len(want) > 50
+    at = html.places(parsed, known).join(got, "key").groupBy("row").count().collect()
+    keys = {k for k, c in contents.items() if len(c) > 1 and k in outside}
+    n = {}
+    for r in parsed.collect():
+        tokens, marks = " ".join(r.texts).split(" "), html._marks(r.texts, r.kinds)
+        n[r.row] = sum((r.host, *tokens[i : i + html.LENGTH]) in keys and marks[i] != html.FRAME for i in range(len(marks)))
+    assert {r.row: r["count"] for r in at} == {k: v for k, v in n.items() if v}
+
+
 def test_text_helpers_do_not_depend_on_batching(spark, docs, rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
