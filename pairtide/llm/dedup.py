@@ -6,8 +6,9 @@ also starts earlier: in a document with a smaller id, or earlier in the same one
 * Each window is represented by its *anchor*, the smallest hash among its
   ``gram``-word windows; equal windows have equal anchors, and neighbouring windows share them, so
   the index holds about one hash for seven words.
-* The index is a list of immutable runs, tables of sorted distinct anchor hashes by hash bucket.
-  A new batch's sorted anchors are merged with the runs of their bucket.  This gives the next run, and the anchors that
+* The index is a list of immutable runs, tables of sorted distinct anchor hashes by hash bucket (the leading bits; the number
+  of buckets follows the size of the batch, and runs with fewer are split as they are read).
+  A new batch's sorted anchors are merge-joined with every run of their bucket.  This gives the next run, and the anchors that
   occur twice or more, which are put into a bit table of fixed size.
 * Verification: for windows with such an anchor the 96-bit hash of the whole window is compared with
   all others, of the batch and of earlier documents, and the first place of each is found.  What the
@@ -30,7 +31,10 @@ from .shared import grouped, new_path, remove, text_bytes
 from .text import chunks, encode_words, hash_words, rows_of, split_words, starts_of, string_array, sums_by_text, window_hashes
 
 SIZE, GRAM = 20, 8
-RUN_BUCKETS = 256
+#: Buckets of a run: one for so many bytes of text, between these powers of two.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 5, 16
+#: Anchors that a task sorts before it hands them on.
+HELD = 2 << 20
 #: Bits of the table of repeated anchors: 16 for each, between these powers of two. A full table costs work, never results.
 LEAST_BITS, MOST_BITS = 20, 29
 
@@ -66,36 +70,64 @@ def _anchors_of(texts: pa.Array, size: int, gram: int):
     return words, bounds, hashes, ok, best, at
 
 
-def batch_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(bucket, fps): the sorted anchor hashes of pieces of the batch, one for each place."""
+def bucket_bits(total_bytes: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, (total_bytes // BUCKET_BYTES).bit_length()))
+
+
+def _pieces(fps: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted hashes as one row for each bucket that has some."""
+    cut = np.searchsorted(fps >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    raw, full = fps.tobytes(), np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([raw[cut[b] * 8 : cut[b + 1] * 8] for b in full], pa.binary())], names=["bucket", "fps"])
+
+
+def batch_anchors(docs: DataFrame, size: int, gram: int, bits: int) -> DataFrame:
+    """(bucket, fps): the sorted anchor hashes of pieces of the batch; one that a piece has twice or more is in it twice."""
 
     def run(batches):
+        def packed():
+            fps, n = np.unique(np.concatenate(held), return_counts=True)
+            return _pieces(np.repeat(fps, np.minimum(n, 2)), bits)
+
+        held, n = [], 0
         for batch in batches:
             for part in chunks(batch):
                 _, _, _, ok, best, at = _anchors_of(string_array(part.column("text")), size, gram)
-                if not len(ok):
-                    continue
                 place, first = np.unique(at[ok], return_index=True)
-                fps = np.sort(best[ok][first])
-                cut = np.searchsorted(fps >> np.uint64(56), np.arange(RUN_BUCKETS + 1))
-                raw = fps.tobytes()
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([raw[cut[b] * 8 : cut[b + 1] * 8] for b in full], pa.binary())], names=["bucket", "fps"])
+                held.append(best[ok][first])
+                n += len(place)
+                if n > HELD:
+                    yield packed()
+                    held, n = [], 0
+        if n:
+            yield packed()
 
     return docs.select("text").mapInArrow(run, "bucket int, fps binary")
 
 
+def _split(runs: DataFrame, bits: int) -> DataFrame:
+    """The pieces of runs (bucket, fps) by the leading ``bits`` of their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            pieces = [_pieces(np.frombuffer(fps.as_buffer(), np.uint64), bits) for fps in batch.column("fps")]
+            yield from pa.Table.from_batches(pieces).combine_chunks().to_batches() if pieces else ()
+
+    return runs.select("fps").mapInArrow(run, "bucket int, fps binary")
+
+
 def _numbers(column, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
 
 
 def _merge(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-    """The batch's anchors of one bucket against the runs': new ones for the next run, repeated ones for verification."""
-    fps = np.sort(_numbers(left.column("fps"), np.uint64))
-    old = np.sort(_numbers(right.column("fps"), np.uint64))
-    distinct, counts = np.unique(fps, return_counts=True)
-    at = np.searchsorted(old, distinct)
-    seen = np.zeros(len(distinct), bool) if not len(old) else old[np.minimum(at, len(old) - 1)] == distinct
+    """The batch's anchors of one bucket against every sorted piece of the runs: new ones for the next run, repeated ones for verification."""
+    distinct, counts = np.unique(_numbers(left.column("fps"), np.uint64), return_counts=True)
+    seen = np.zeros(len(distinct), bool)
+    for piece in right.column("fps"):
+        old = np.frombuffer(piece.as_buffer(), np.uint64)
+        if len(old) and len(distinct):
+            seen |= old[np.minimum(np.searchsorted(old, distinct), len(old) - 1)] == distinct
     bucket = key[0].as_py()
     return pa.table({"bucket": pa.array([bucket, bucket], pa.int32()), "repeated": [False, True], "fps": pa.array([distinct[~seen].tobytes(), distinct[seen | (counts > 1)].tobytes()], pa.binary())})
 
@@ -106,7 +138,8 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, *, size: int = SIZE, gram: int = GRAM, max_runs: int = 4):
         if not 0 < gram <= size:
             raise ValueError("gram must be between 1 and size")
-        self.spark, self.size, self.gram, self.max_runs, self.runs = spark, size, gram, max_runs, []
+        self.spark, self.size, self.gram, self.max_runs = spark, size, gram, max_runs
+        self.runs, self.bits, self.compactions = [], LEAST_BUCKETS, 0
 
     def _read(self, repeated: bool, *paths: str) -> DataFrame:
         schema = "bucket int, fps binary, repeated boolean"
@@ -115,13 +148,14 @@ class FingerprintIndex:
             rows = rows.unionByName(self.spark.read.schema(schema).parquet(path))
         return rows.where(F.col("repeated") == repeated).select("bucket", "fps")
 
-    def merge(self, batch: DataFrame) -> DataFrame:
-        """Merge a batch with the runs, append its run, and return its repeated anchors as (bucket, fps)."""
+    def merge(self, batch: DataFrame, bits: int) -> DataFrame:
+        """Merge a batch with the runs in ``2 ** bits`` buckets, append its run, and return its repeated anchors as (bucket, fps)."""
         path = new_path(self.spark, "anchors")
-        new, old = batch_anchors(batch, self.size, self.gram), self._read(False, *self.runs)
+        new, old = batch_anchors(batch, self.size, self.gram, bits), _split(self._read(False, *self.runs), bits)
         merged = new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge, "bucket int, repeated boolean, fps binary")
-        merged.write.partitionBy("repeated").parquet(path)
+        merged.where(F.octet_length("fps") > 0).write.partitionBy("repeated").parquet(path)
         self.runs.append(path)
+        self.bits = max(self.bits, bits)
         return self._read(True, path)
 
     def compact(self) -> None:
@@ -130,23 +164,30 @@ class FingerprintIndex:
             return
 
         def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            fps = np.unique(_numbers(table.column("fps"), np.uint64))
+            fps = np.sort(_numbers(table.column("fps"), np.uint64), kind="stable")  # a merge of sorted pieces; runs have no hash in common
             return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "repeated": [False], "fps": pa.array([fps.tobytes()], pa.binary())})
 
         path = new_path(self.spark, "anchors")
-        self._read(False, *self.runs).groupBy("bucket").applyInArrow(join, "bucket int, repeated boolean, fps binary").write.partitionBy("repeated").parquet(path)
-        for old in self.runs:
-            remove(self.spark, old)
+        pieces = _split(self._read(False, *self.runs), self.bits)
+        pieces.groupBy("bucket").applyInArrow(join, "bucket int, repeated boolean, fps binary").write.partitionBy("repeated").parquet(path)
+        self.close()
         self.runs = [path]
+        self.compactions += 1
 
+    def close(self) -> None:
+        """Remove the runs.  Results don't read them: a batch's repeated anchors are in its bit table."""
+        for path in self.runs:
+            remove(self.spark, path)
+        self.runs = []
 
-def _bit_table(repeated: DataFrame) -> tuple[int, bytes]:
+
+def _bit_table(repeated: DataFrame, bucket_bits: int) -> tuple[int, bytes]:
     """The repeated anchors as a bit table of at most ``2 ** MOST_BITS`` bits (64 MB): each task sends the bits it has, ORed by slice."""
     n = repeated.agg(F.sum(F.octet_length("fps"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (2 * n).bit_length()))
     table = np.zeros(1 << (bits - 3), np.uint8)
-    # The top byte of a hash is its bucket, so a bucket's bits lie in one slice of the table.
-    width = len(table) // RUN_BUCKETS
+    # The leading bits of a hash are its bucket, so a bucket's bits lie in one slice of the table.
+    width = len(table) >> bucket_bits
 
     def slices(batches):
         for batch in batches:
@@ -228,10 +269,11 @@ def remove_repeats(batch: DataFrame, index: FingerprintIndex, history: DataFrame
     added = ("n_words", "n_removed", "kept_text", "gid")
     batch = batch.select(*[c for c in batch.columns if c not in added])
     spark, size, gram = index.spark, index.size, index.gram
-    bits, raw = _bit_table(index.merge(batch))
-    shared = spark.sparkContext.broadcast((bits, raw))
     total = text_bytes(batch)
-    n_buckets = max(16, -(-total // (4 << 20)))
+    of_runs = bucket_bits(total)
+    bits, raw = _bit_table(index.merge(batch, of_runs), of_runs)
+    shared = spark.sparkContext.broadcast((bits, raw))
+    n_buckets = max(16, -(-(total if history is None else total + text_bytes(history)) // (4 << 20)))
     docs = grouped(batch, total, group_bytes)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -280,9 +322,9 @@ def _ids(table) -> np.ndarray:
     return np.asarray(pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, -(1 << 63)), np.int64)
 
 
-def remove_all(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, batches: int = 2) -> DataFrame:
-    """:func:`remove_repeats` over a whole table, fed to a new index as ``batches`` ranges of ids."""
-    index = FingerprintIndex(docs.sparkSession, size=size, gram=gram)
+def remove_all(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, batches: int = 3, max_runs: int = 1) -> DataFrame:
+    """:func:`remove_repeats` over a whole table, fed to a new index as ``batches`` ranges of ids; the runs of the first two are compacted before the third."""
+    index = FingerprintIndex(docs.sparkSession, size=size, gram=gram, max_runs=max_runs)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     out = []
@@ -291,7 +333,9 @@ def remove_all(docs: DataFrame, *, size: int = SIZE, gram: int = GRAM, batches:
         low = F.lit(True) if i == 0 else key > cuts[i - 1]
         high = F.lit(True) if i == len(cuts) else key <= cuts[i]
         out.append(remove_repeats(docs.where(low & high), index, docs.where(key <= cuts[i - 1]) if i else None))
-        index.compact()
+        if i < len(cuts):  # no batch follows the last
+            index.compact()
+    index.close()
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)

@@ -42,9 +42,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def grouped(docs: DataFrame, total_bytes: int, group_bytes: int = 8 << 20, key: str = "doc_id") -> DataFrame:
-    """``docs`` with ``gid``: groups by a hash of the key, of about ``group_bytes`` of text each.
+def grouped(docs: DataFrame, total_bytes: int, group_bytes: int = 8 << 20, key: str = "doc_id", least: int = 32) -> DataFrame:
+    """``docs`` with ``gid``: groups by a hash of the key, of about ``group_bytes`` of text each, ``least`` groups at least.
 
-    Rows with equal keys share a group; texts of any frequency spread over all groups."""
-    n = max(1, -(-total_bytes // group_bytes))
-    return docs.withColumn("gid", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(n)).cast("int"))
+    Rows with equal keys share a group, rows with a null key are dealt by their text; texts of any frequency spread over all groups."""
+    n = max(least, -(-total_bytes // group_bytes))
+    dealt = F.when(F.col(key).isNull(), F.xxhash64("text", F.lit(8))).otherwise(F.xxhash64(key, F.lit(7)))
+    return docs.withColumn("gid", F.pmod(dealt, F.lit(n)).cast("int"))

@@ -170,6 +170,29 @@ def test_index_runs_are_compacted(spark, docs):
     index.compact()
     assert len(index.runs) == 1 and 0 < index._read(False, *index.runs).count() <= before
     assert kept[96] > 0
+    index.bits = 12  # runs of other bucket counts are split as they are read
+    index.runs *= 2
+    index.max_runs, index.close = 1, lambda: None
+    hashes = lambda: sorted(np.concatenate([np.frombuffer(r.fps, np.uint64) for r in index._read(False, *index.runs[:1]).collect()]).tolist())
+    old = hashes()
+    index.runs = [*index.runs[:1], dedup.new_path(spark, "anchors")]
+    spark.createDataFrame([], "bucket int, fps binary, repeated boolean").write.parquet(index.runs[1])
+    index.compact()
+    assert hashes() == old and index._read(False, *index.runs).agg(F.max("bucket")).first()[0] > 1 << dedup.LEAST_BUCKETS
+
+
+def test_query_compacts_and_odd_ids_count(spark, docs, rows):
+    seen = []
+    compact = dedup.FingerprintIndex.compact
+    dedup.FingerprintIndex.compact = lambda self: (compact(self), seen.append(self.compactions))
+    try:
+        got = dedup.remove_all(docs).collect()
+    finally:
+        dedup.FingerprintIndex.compact = compact
+    assert seen == [0, 1] and {r.doc_id: r.n_removed for r in got} == {k: v[1] for k, v in brute_dedup(rows).items()}
+    passage = " ".join(f"w{k}" for k in range(25))
+    odd = spark.createDataFrame([(None, passage), (None, passage), (5, passage + " x"), (5, passage + " x"), (6, passage)], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.n_removed) for r in dedup.remove_all(odd).collect()) == [(-1, 0), (-1, 0), (5, 25), (5, 25), (6, 25)]
 
 
 def test_sharding(docs, rows, empty):
