@@ -10,8 +10,9 @@ The score is log10 of the probability of the text with its end.
 
 The counts grow with the corpus and stay distributed:
 
-* tree nodes with two or more context bytes are dealt by their last two bytes, so whole
-  subtrees meet in one task; what stands above them, 256 contexts and the root, is summed up in one small table;
+* tree nodes are dealt by their last two context bytes, so whole subtrees meet in one task; a pair of bytes with too many
+  strings is dealt by three bytes, a triple with too many by four, and so on.  What stands above the subtrees (the root, 256
+  contexts, and at most ``MOST_HOT`` hot ones for each length) is folded into one small table, which is broadcast;
 * documents are dealt into groups of bounded size; a group asks for each distinct byte string
   and word it holds once, is told their log-probabilities and counts, and adds them up per document.
 """
@@ -32,6 +33,9 @@ DEPTH = 6
 GROUP_BYTES = 8 << 20
 #: Text that is coded in one step.
 STEP_BYTES = 4 << 20
+#: Text of which the hot contexts are taken; they only decide which task has which subtree.
+HOT_SAMPLE_BYTES = 64 << 20
+MOST_HOT = 8192
 _END = 10
 _END_WORD = hash_words(pa.array(["\n"], pa.large_string()))[0]
 
@@ -83,10 +87,47 @@ def _streams(texts: pa.Array, depth: int):
     return (codes, distinct, byte_bounds), (word_codes, hashes, bounds + np.arange(len(bounds)))
 
 
-def _parts(keys: np.ndarray, grams: bool, depth: int, n_parts: int) -> np.ndarray:
-    """The part of each key: by the two nearest context bytes, or by the word's hash."""
-    top = mix(keys >> np.uint64(8 * (depth - 1))) if grams else keys
-    return ((top >> np.uint64(32)).astype(np.int64) * n_parts >> 32).astype(np.int32)
+def _is_in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _parts(keys: np.ndarray, grams: bool, depth: int, n_parts: int, hot) -> np.ndarray:
+    """The part of each key: by the nearest context bytes, two or as many as end the hot contexts, or by the word's hash.
+
+    ``hot[j]``: the hot contexts of j bytes, sorted."""
+    if grams:
+        top, at = keys >> np.uint64(8 * (depth - 1)), np.arange(len(keys))
+        for j in range(2, depth):
+            at = at[_is_in(top[at], hot[j])]
+            top[at] = keys[at] >> np.uint64(8 * (depth - j))
+        keys = mix(top)
+    return ((keys >> np.uint64(32)).astype(np.int64) * n_parts >> 32).astype(np.int32)
+
+
+def hot_contexts(docs: DataFrame, total_bytes: int, depth: int, n_parts: int) -> list[np.ndarray]:
+    """For each number of bytes the contexts whose distinct strings are more than a quarter of an average part, MOST_HOT at most; from a hash sample."""
+    share, most = min(1.0, HOT_SAMPLE_BYTES / max(1, total_bytes)), min(MOST_HOT, 4 * n_parts)
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, most=STEP_BYTES):
+                keys = np.sort(_streams(string_array(part.column("text")), depth)[0][1].astype(np.uint64))
+                rows = []
+                for j in range(2, depth):
+                    context, n = np.unique(keys >> np.uint64(8 * (depth + 1 - j)), return_counts=True)
+                    often = n * 2 * most > len(keys)  # half the share that counts, so few tasks hide one
+                    rows += [(j, c, k, len(keys)) for c, k in zip(context[often].view(np.int64).tolist(), n[often].tolist(), strict=True)]
+                rows.append((0, 0, 0, len(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)] + [pa.array([0 if r[0] else r[3] for r in rows], pa.int64())], names=["j", "context", "n", "of"])
+
+    picked = docs.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    counts = picked.mapInArrow(run, "j long, context long, n long, of long").groupBy("j", "context").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
+    every = counts.where("j = 0").agg(F.sum("of")).first()[0] or 0
+    found = counts.where((F.col("j") > 0) & (F.col("n") * most > every)).collect()  # fewer than MOST_HOT for each of depth - 2 lengths
+    return [np.sort(np.array([r.context for r in found if r.j == j], np.int64).view(np.uint64)) for j in range(depth)]
 
 
 class _Tally:
@@ -109,10 +150,10 @@ class _Tally:
         self.keys, inverse = np.unique(keys, return_inverse=True)
         self.counts, self.new = np.bincount(inverse, weights=counts, minlength=len(self.keys)).astype(np.int64), []
 
-    def rows(self, kind: int, depth: int, n_parts: int):
+    def rows(self, kind: int, depth: int, n_parts: int, hot):
         """(kind, part, keys, counts) with the keys in ascending order in each part."""
         self.merge()
-        part = _parts(self.keys, kind == 0, depth, n_parts)
+        part = _parts(self.keys, kind == 0, depth, n_parts, hot)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(n_parts + 1))
         for p in np.flatnonzero(np.diff(cut)):
@@ -129,8 +170,8 @@ def _tally(parts, depth: int) -> tuple[_Tally, _Tally]:
     return grams, words
 
 
-def _request_rows(tallies, gid, depth: int, n_parts: int) -> pa.RecordBatch:
-    rows = [r for kind, t in enumerate(tallies) for r in t.rows(kind, depth, n_parts)]
+def _request_rows(tallies, gid, depth: int, n_parts: int, hot) -> pa.RecordBatch:
+    rows = [r for kind, t in enumerate(tallies) for r in t.rows(kind, depth, n_parts, hot)]
     return pa.RecordBatch.from_arrays(
         [pa.array([gid] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
         names=["gid", "kind", "part", "keys", "counts"],
@@ -170,50 +211,55 @@ def _weigh(a, b, children):
     return log_pw, np.exp(own - np.log(2) - log_pw)
 
 
+def _up(ids: np.ndarray) -> np.ndarray:
+    """The nodes with the farthest context byte left out."""
+    return (ids >> np.uint64(16) << np.uint64(8)) | (ids & np.uint64(255))
+
+
+def _summed(ids: np.ndarray, *values: np.ndarray):
+    ids, inverse = np.unique(ids, return_inverse=True)
+    return (ids, *(np.bincount(inverse, weights=x, minlength=len(ids)) for x in values))
+
+
 class Subtrees:
-    """The nodes with ``depth`` down to 2 context bytes over the byte strings of one part."""
+    """The nodes over the byte strings of one part, with ``depth`` context bytes down to the two or more by which they were dealt.
+
+    ``levels[j]``: (ids, zeros, ones, own weight) of the nodes with j context bytes; an id is the context, nearest byte first, and the bits so far."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
-        self.depth = depth
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, hot):
+        self.depth, self.levels, self.tops = depth, {}, []
         seen = counts > 0
-        ids, ones, n = _decisions(keys[seen], counts[seen])
-        self.levels = []
-        ids, inverse = np.unique(ids, return_inverse=True)
-        total, one = (np.bincount(inverse, weights=x, minlength=len(ids)) for x in (n, ones))
-        log_pw, own = _log_kt(total - one, one), np.ones(len(ids))
-        self.levels.append((ids, total - one, one, own))
-        for _ in range(depth - 2):
-            ids = (ids >> np.uint64(16) << np.uint64(8)) | (ids & np.uint64(255))
-            ids, inverse = np.unique(ids, return_inverse=True)
-            total, one, below = (np.bincount(inverse, weights=x, minlength=len(ids)) for x in (total, one, log_pw))
-            log_pw, own = _weigh(total - one, one, below)
-            self.levels.append((ids, total - one, one, own))
-        self.log_pw = log_pw
+        ids, total, one = _summed(*_decisions(keys[seen], counts[seen]))
+        below = None
+        for j in range(depth, 1, -1):
+            zeros = total - one
+            log_pw, own = (_log_kt(zeros, one), np.ones(len(ids))) if below is None else _weigh(zeros, one, below)
+            self.levels[j] = ids, zeros, one, own
+            ends = _is_in(ids >> np.uint64(16), hot[j - 1]) if j > 2 else np.ones(len(ids), bool)
+            if ends.any():
+                self.tops.append((j - 1, *_summed(_up(ids[ends]), zeros[ends], one[ends], log_pw[ends])))
+            if j > 2:
+                on = ~ends
+                ids, total, one, below = _summed(_up(ids[on]), total[on], one[on], log_pw[on])
 
     def top(self):
-        """(nearest byte, node, zeros, ones, log Pw) sums over the nodes with two context bytes."""
-        ids, zeros, ones, _ = self.levels[-1]
-        up = (ids >> np.uint64(16) << np.uint64(8)) | (ids & np.uint64(255))
-        up, inverse = np.unique(up, return_inverse=True)
-        zeros, ones, log_pw = (np.bincount(inverse, weights=x, minlength=len(up)) for x in (zeros, ones, self.log_pw))
-        return (up >> np.uint64(8)).astype(np.int32), (up & np.uint64(255)).astype(np.int32), zeros, ones, log_pw
-
-    def log10(self, keys: np.ndarray, top: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte string's last byte; ``top``: see :func:`top_table`."""
+        """(context bytes, id, zeros, ones, log Pw) sums for the nodes right above the subtrees."""
+        parts = [(np.full(len(ids), j), ids, *rest) for j, ids, *rest in self.tops]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0)] * 3)
+
+    def log10(self, keys: np.ndarray, top: dict) -> np.ndarray:
+        """log10 probability of each byte string's last byte; ``top``: see :func:`top_levels`."""
         out = np.zeros(len(keys))
         byte, context = keys & np.uint64(255), keys >> np.uint64(8)
         for t in range(8):
             node = ((byte | np.uint64(256)) >> np.uint64(8 - t)).astype(np.uint64)
             bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)) == 1
             p, known = np.zeros(len(keys)), np.zeros(len(keys), bool)
-            for level, (ids, zeros, ones, own) in enumerate(self.levels):
-                p, known = _mix(p, known, (context >> np.uint64(8 * level) << np.uint64(8)) | node, ids, zeros, ones, own, bit)
-            nearest = (context >> np.uint64(8 * (self.depth - 1))).astype(np.int64)
-            for which in (nearest, np.full(len(keys), 256)):
-                zeros, ones, own = (top[i, which, node.astype(np.int64)] for i in range(3))
-                seen = zeros + ones > 0
-                kt = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
-                p, known = np.where(seen, np.where(known, own * kt + (1 - own) * p, kt), p), known | seen
+            for j in range(self.depth, -1, -1):
+                wanted = (context >> np.uint64(8 * (self.depth - j)) << np.uint64(8)) | node
+                for levels in (self.levels, top):
+                    if j in levels:
+                        p, known = _mix(p, known, wanted, *levels[j], bit)
             out += np.log10(np.where(known, p, 0.5))
         return out
 
@@ -224,7 +270,7 @@ def _decisions(keys: np.ndarray, counts: np.ndarray):
     ids = np.concatenate([context | ((byte | np.uint64(256)) >> np.uint64(8 - t)) for t in range(8)])
     bits = np.concatenate([(byte >> np.uint64(7 - t)) & np.uint64(1) for t in range(8)])
     n = np.tile(counts, 8).astype(float)
-    return ids, n * bits, n
+    return ids, n, n * bits
 
 
 def _mix(p, known, wanted, ids, zeros, ones, own, bit):
@@ -237,14 +283,18 @@ def _mix(p, known, wanted, ids, zeros, ones, own, bit):
     return np.where(seen, np.where(known, w * kt + (1 - w) * p, kt), p), known | seen
 
 
-def top_table(rows) -> np.ndarray:
-    """Zeros, ones and own weight of the nodes with one context byte (rows 0 to 255) and of the root (row 256)."""
-    out, below = np.zeros((3, 257, 256)), np.zeros((257, 256))
-    for byte, node, zeros, ones, log_pw in rows:
-        out[0, byte, node], out[1, byte, node], below[byte, node] = zeros, ones, log_pw
-    log_pw, out[2, :256] = _weigh(out[0, :256], out[1, :256], below[:256])
-    out[:2, 256] = out[:2, :256].sum(axis=1)
-    _, out[2, 256] = _weigh(out[0, 256], out[1, 256], log_pw.sum(axis=0))
+def top_levels(level: np.ndarray, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_pw: np.ndarray, depth: int) -> dict:
+    """(ids, zeros, ones, own weight) of the nodes above the subtrees by their number of context bytes, down to the root's 0."""
+    out, empty = {}, np.zeros(0)
+    came = np.zeros(0, np.uint64), empty, empty, empty
+    for j in range(depth - 1, -1, -1):
+        at = level == j
+        if not at.any() and not len(came[0]):
+            continue
+        ids_, z, o, below = _summed(*(np.concatenate([x[at], c]) for x, c in zip((ids, zeros, ones, log_pw), came, strict=True)))
+        up, own = _weigh(z, o, below)
+        out[j] = ids_, z, o, own
+        came = _up(ids_), z, o, up
     return out
 
 
@@ -258,7 +308,8 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
     if not 2 <= depth <= 7:
         raise ValueError("depth must be between 2 and 7")
     total = text_bytes(docs)
-    n_parts = max(8, -(-total // (12 << 20)))
+    n_parts = max(32, -(-total // (12 << 20)))
+    hot = hot_contexts(docs, total, depth, n_parts)
     docs = grouped(docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train")), total, group_bytes)
 
     def count(batches):
@@ -266,30 +317,32 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
             for batch in batches:
                 yield from chunks(batch, most=STEP_BYTES)
 
-        yield _request_rows(_tally(parts(), depth), None, depth, n_parts)
+        yield _request_rows(_tally(parts(), depth), None, depth, n_parts, hot)
 
     def summarise(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, counts, _ = _gather(table)
         if key[0].as_py() == 0:
-            byte, node, zeros, ones, log_pw = Subtrees(keys, counts, depth).top()
+            level, ids, zeros, ones, log_pw = Subtrees(keys, counts, depth, hot).top()
         else:
-            byte, node, zeros, ones, log_pw = (np.array([x]) for x in (-1, 0, float(counts.sum()), float((counts > 0).sum()), 0.0))
-        return pa.table({"byte": pa.array(byte, pa.int32()), "node": pa.array(node, pa.int32()), "zeros": zeros, "ones": ones, "log_pw": log_pw})
+            level, ids, zeros, ones, log_pw = (np.array([x]) for x in (-1, np.uint64(0), float(counts.sum()), float((counts > 0).sum()), 0.0))
+        return pa.table({"level": pa.array(level, pa.int32()), "id": pa.array(ids.view(np.int64)), "zeros": zeros, "ones": ones, "log_pw": log_pw})
 
     trained = docs.where("train").select("text", "train").mapInArrow(count, REQUEST)
-    sums = trained.groupBy("kind", "part").applyInArrow(summarise, "byte int, node int, zeros double, ones double, log_pw double")
-    rows = sums.groupBy("byte", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_pw")).collect()  # 256 * 255 + 1 rows at most
-    top = top_table(r for r in rows if r[0] >= 0)
+    sums = trained.groupBy("kind", "part").applyInArrow(summarise, "level int, id long, zeros double, ones double, log_pw double")
+    # 255 rows for each of 256 contexts and of the hot ones at most
+    rows = sums.groupBy("level", "id").agg(F.sum("zeros"), F.sum("ones"), F.sum("log_pw")).collect()
+    above = [r for r in rows if r[0] >= 0]
+    top = top_levels(np.array([r[0] for r in above], np.int64), np.array([r[1] for r in above], np.int64).view(np.uint64), *(np.array([r[i] for r in above], float) for i in (2, 3, 4)), depth)
     n, v = next(((r[2], r[3]) for r in rows if r[0] < 0), (0.0, 0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(top.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(top)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_request_rows(_tally(chunks(table, most=STEP_BYTES), depth), key[0].as_py(), depth, n_parts)])
+        return pa.Table.from_batches([_request_rows(_tally(chunks(table, most=STEP_BYTES), depth), key[0].as_py(), depth, n_parts, hot)])
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys, counts, rows = _gather(table)
         if key[0].as_py() == 0:
-            told = Subtrees(keys, counts, depth).log10(keys, np.frombuffer(shared.value).reshape(3, 257, 256)).astype(np.float32)
+            told = Subtrees(keys, counts, depth, hot).log10(keys, shared.value).astype(np.float32)
         else:
             told = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
         return pa.table({"gid": table.column("gid"), "kind": table.column("kind"), "part": table.column("part"), "told": pa.array([_numbers_planes(told[r]) for r in rows], pa.binary())})
@@ -302,7 +355,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
         for kind, form in enumerate((np.float32, np.uint32)):
             each = [s[kind][1].astype(np.uint64) for s in streams]
             keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
-            order = np.argsort(_parts(keys, kind == 0, depth, n_parts), kind="stable")
+            order = np.argsort(_parts(keys, kind == 0, depth, n_parts, hot), kind="stable")
             told = [_numbers_from(raw.as_buffer(), form) for _, _, raw in sorted((r for r in rows if r[0] == kind), key=lambda r: r[1])]
             values = np.empty(len(keys))
             values[order] = np.concatenate(told)

@@ -342,8 +342,8 @@ def test_quality_certifies_on_all_labels(spark):
 def test_ctw_is_a_distribution_and_learns(spark, docs, rows, empty):
     keys = np.unique(np.frombuffer(np.random.default_rng(0).integers(97, 101, 8 * 4000, dtype=np.uint8).tobytes(), ">u8") >> np.uint64(40))
     counts = np.arange(len(keys)) % 5
-    tree = ctw.Subtrees(keys, counts, 2)
-    top = ctw.top_table(zip(*(x.tolist() for x in tree.top()), strict=True))
+    tree = ctw.Subtrees(keys, counts, 2, [np.zeros(0, np.uint64)] * 2)
+    top = ctw.top_levels(*tree.top(), 2)
     for context in (0x6161, 0x6463, 0x7A7A):
         every = np.array([context << 8 | b for b in range(256)], np.uint64)
         assert abs((10 ** tree.log10(every, top)).sum() - 1) < 1e-9
@@ -363,6 +363,55 @@ def test_ctw_is_a_distribution_and_learns(spark, docs, rows, empty):
     assert ctw.score(docs.withColumn("train", F.lit(False))).where("train_tokens <> 0 or n_known <> 0").count() == 0
 
 
+def brute_ctw(train, texts, depth):
+    """Context trees by the recursive definition with exact sums of the Krichevsky-Trofimov products."""
+    from math import lgamma, log, pi
+
+    stream = lambda text: b"\n" * depth + " ".join(words(text, lower=True)).encode() + b"\n"
+    counts = collections.defaultdict(lambda: [0, 0])
+    for text in train:
+        s = stream(text)
+        for i in range(depth, len(s)):
+            for t in range(8):
+                node, bit = (s[i] | 256) >> (8 - t), s[i] >> (7 - t) & 1
+                for j in range(depth + 1):
+                    counts[s[i - j : i], node][bit] += 1
+    kt = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(pi)
+    children, log_pw, own = collections.defaultdict(float), {}, {}
+    for (context, node), (a, b) in sorted(counts.items(), key=lambda x: -len(x[0][0])):
+        mine = kt(a, b)
+        log_pw[context, node] = mine if len(context) == depth else np.logaddexp(mine, children[context, node]) - log(2)
+        own[context, node] = 1.0 if len(context) == depth else np.exp(mine - log(2) - log_pw[context, node])
+        children[context[1:], node] += log_pw[context, node]
+    out = []
+    for text in texts:
+        s, total = stream(text), 0.0
+        for i in range(depth, len(s)):
+            for t in range(8):
+                node, bit, p = (s[i] | 256) >> (8 - t), s[i] >> (7 - t) & 1, None
+                for j in range(depth, -1, -1):
+                    key = s[i - j : i], node
+                    if key in counts:
+                        a = (counts[key][bit] + 0.5) / (sum(counts[key]) + 1)
+                        p = a if p is None else own[key] * a + (1 - own[key]) * p
+                total += np.log10(0.5 if p is None else p)
+        out.append(total)
+    return out
+
+
+def test_ctw_equals_brute_force(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["the", "then", "é", "a", "Other"]) for _ in range(rng.randint(0, 12))) for _ in range(30)] + ["", None, "the " * 40]
+    df = spark.createDataFrame([((i + 2) // 2 if i else None, t, None if i == 3 else i % 3 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    for n in (3, 5):
+        want = brute_ctw([t for i, t in enumerate(texts) if i % 3 and i != 3], texts, n)
+        hot = ctw.hot_contexts(df, 10**3, n, 40)
+        assert [len(h) > 0 for h in hot] == [False, False] + [True] * (n - 2)  # subtrees of several lengths, folded into the top
+        got = sorted((r.doc_id or -1, round(r.score, 4)) for r in ctw.score(df, depth=n).collect())
+        expected = sorted(((i + 2) // 2 if i else -1, round(float(w), 4)) for i, w in enumerate(want))
+        assert [x[0] for x in got] == [x[0] for x in expected] and np.allclose([x[1] for x in got], [x[1] for x in expected], atol=2e-3)
+
+
 TEXTS = ["hi", "", None, "</s>[INST] ok [/INST]", "[\\INST] x <\\\\/s>", "a\n[/OUT]</s><s>[INST]user\nhey[/INST]</s>", "[NL]", "é" * 3000]
 
 
