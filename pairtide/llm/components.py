@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import new_path, remove
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,13 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Minima are combined before the shuffle and hub nodes are split by skewed joins; every step is written to the shared
     folder, so no lineage grows and no step is lost with an executor."""
-    edges = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    mark = None
-    while (now := _mark(edges)) != mark:
-        mark = now
-        if not now[0]:
+    spark, path, mark = edges.sparkSession, None, None
+    step = edges.where("u <> v").select("u", "v").distinct()
+    while True:
+        done, path = path, new_path(spark, "edges")
+        step.write.parquet(path)
+        if done:
+            remove(spark, done)  # only the step just written read it
+        edges = spark.read.schema(step.schema).parquet(path)
+        now = _mark(edges)
+        if now == mark or not now[0]:
             break
-        edges = written(_small_star(_large_star(edges)), "edges")
+        mark, step = now, _small_star(_large_star(edges))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     ).distinct()

@@ -5,9 +5,10 @@
    32 bands with a probability of 5e-6.
 3. Round one pairs each member of a bucket with the bucket's smallest id.  Pairs whose signatures agree
    enough are verified on their full sets; verified pairs are linked into components.
-4. Round two looks only at buckets that still hold several components, block by block.  Members of different
-   components whose signatures agree enough are verified inside the block, each pair in the first band that it shares, and only
-   pairs that link components come out.  So no pair is lost, and the pairs of a large group of near copies are never written.
+4. Round two looks only at buckets that still hold several components, block by block: members outside the bucket's largest
+   component (its minority) against all members.  Those of different components whose signatures agree enough are verified
+   inside the block, each pair in the first band that it shares, and only pairs that link components come out.  So no pair is lost,
+   the pairs of a large group of near copies are never written, and one stray member costs such a group one pass.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ HASHES, BANDS = 128, 32
 LEAST_AGREEING = 72
 #: Members of a bucket that are compared in one step.
 BLOCK = 1024
+#: Classes with more than one in so many documents count as large; there are fewer of them than this, so they are broadcast.
+LARGE_CLASSES = 2048
 #: Bits of the table of ids whose sets are needed: fixed, so it can be broadcast; what it lets through in error is joined away.
 ID_BITS = 24
 
@@ -69,8 +72,9 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) per row; set_key, a 128-bit hash of the set, is null for an empty set."""
+def sketches(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, set_key, signature, and the column ``key``) per row; set_key, a 128-bit hash of the set, is null for an empty set."""
+    carried = [key] if key else []
 
     def run(batches):
         for batch in batches:
@@ -80,9 +84,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 raw = values.tobytes()
                 keys = [xxhash.xxh3_128_digest(raw[a * 8 : b * 8]) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 rows = signatures(values, bounds).view(f"V{4 * HASHES}").ravel().tolist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature"])
+                arrays = [part.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), *(part.column(c) for c in carried)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "signature", *carried])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    schema = ", ".join(["doc_id long, n_shingles long, set_key binary, signature binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)])
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, schema)
 
 
 def _signature_rows(column) -> np.ndarray:
@@ -166,11 +172,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, linked boolean")
 
 
-def _cross_pairs(ids, comp, sig, left, right, band: int):
-    """Pairs of places (u, v) of different components that agree enough and share no band before this one, the likeliest first."""
+def _cross_pairs(ids, comp, minor, sig, left, right, band: int):
+    """Pairs of places (u, v) of different components that agree enough and share no band before this one, the likeliest first.
+
+    Of two minority members only the smaller id asks."""
     out = []
     for u in left:
-        partner = right[(comp[right] != comp[u]) & (ids[right] != ids[u])]
+        partner = right[(comp[right] != comp[u]) & np.where(minor[right], ids[right] > ids[u], ids[right] != ids[u])]
         same = sig[partner] == sig[u]
         agreeing = same.sum(axis=1)
         first = same.reshape(len(partner), BANDS, -1).all(axis=2).argmax(axis=1)
@@ -180,26 +188,24 @@ def _cross_pairs(ids, comp, sig, left, right, band: int):
     return pairs[np.argsort(-pairs[:, 2], kind="stable"), :2]
 
 
-def _sides(key: tuple[pa.Scalar, ...], t: pa.Table):
-    ids, comp = np.asarray(t.column("doc_id")), np.asarray(t.column("component"))
-    own, band = np.asarray(t.column("own")), int(t.column("band")[0].as_py())
-    sig = _signature_rows(t.column("signature"))
-    left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
-    return ids, comp, _cross_pairs(ids, comp, sig, left, right, band)
+def _sides(t: pa.Table):
+    ids, comp, minor = (np.asarray(t.column(c)) for c in ("doc_id", "component", "minor"))
+    asks, band = np.asarray(t.column("asks")), int(t.column("band")[0].as_py())
+    return ids, comp, _cross_pairs(ids, comp, minor, _signature_rows(t.column("signature")), np.flatnonzero(asks), np.flatnonzero(~asks), band)
 
 
-_BLOCKED = ["bucket", "i", "j", "band", "doc_id", "component", "own", "signature"]
+_BLOCKED = ["bucket", "i", "j", "band", "doc_id", "component", "minor", "asks", "signature"]
 
 
 def _needed(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """The members of a pair of blocks that have a pair to verify."""
-    _, _, pairs = _sides(key, t)
+    _, _, pairs = _sides(t)
     return t.select(_BLOCKED).take(pa.array(np.unique(pairs)))
 
 
 def _links(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """Verified pairs of a pair of blocks; pairs that are linked already by others are not verified again."""
-    ids, comp, pairs = _sides(key, t)
+    ids, comp, pairs = _sides(t)
     sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("shingles")]
     root = {int(c): int(c) for c in comp}
     out = []
@@ -226,15 +232,18 @@ def _links(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
 def _round_two(members: DataFrame, parts: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (u, v) between different components of ``parts`` (node, component) that share a bucket.
 
-    Each bucket is cut into blocks of about BLOCK members by a hash of the id, and each pair of blocks is one group."""
-    now = members.select("bucket", "band", "doc_id", "n").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    split = now.join(mixed, "bucket").withColumn("_blocks", F.ceil(F.col("n") / BLOCK))
-    split = split.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    dealt = split.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    A bucket's members and its minority are cut into blocks of about BLOCK by a hash of the id; a block of either makes a group."""
+    now = members.select("bucket", "band", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    held = now.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    mixed = held.groupBy("bucket").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1")
+    split = now.join(mixed, "bucket").withColumn("minor", F.col("component") != F.col("largest"))
+    block = lambda size: F.greatest(F.ceil(size / BLOCK), F.lit(1)).cast("long")
+    split = split.withColumn("bi", block(F.col("n"))).withColumn("bj", block(F.col("n") - F.col("most")))
+    own = lambda blocks: F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    dealt = split.select("*", own("bi").alias("i"), every("bj").alias("j"), F.lit(False).alias("asks")).unionByName(split.where("minor").select("*", every("bi").alias("i"), own("bj").alias("j"), F.lit(True).alias("asks")))
     rows = dealt.join(reps, "doc_id").select(*_BLOCKED)
-    schema = "bucket long, i long, j long, band int, doc_id long, component long, own long, signature binary"
+    schema = "bucket long, i long, j long, band int, doc_id long, component long, minor boolean, asks boolean, signature binary"
     needed = written(rows.groupBy("bucket", "i", "j").applyInArrow(_needed, schema), "blocks")
     ids = written(needed.select("doc_id").distinct(), "ids")
     sets = full_sets(docs, ids).join(ids, "doc_id").dropDuplicates(["doc_id"])
@@ -242,27 +251,35 @@ def _round_two(members: DataFrame, parts: DataFrame, reps: DataFrame, docs: Data
     return full.groupBy("bucket", "i", "j").applyInArrow(_links, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id), one row per row of ``docs``.
+def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with their class's component.  Large classes are joined by a broadcast, so all copies of one text never meet in a task."""
+    large = rows.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("c")).where(F.col("c") * LARGE_CLASSES > rows.count()).select("set_key")
+    marked = rows.join(F.broadcast(classes.join(F.broadcast(large), "set_key").withColumnRenamed("component", "_large")), "set_key", "left")
+    rest = marked.where("_large is null").drop("_large").join(classes, "set_key", "left")
+    return rest.unionByName(marked.where("_large is not null").withColumnRenamed("_large", "component"))
+
+
+def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id), one row per row of ``docs``, and the column ``key``, by which rows can be told apart.
 
     A null or empty text has the empty set, is linked with nothing and kept.
-    Rows with equal ids and sets are one document, so all of them are kept or none; a null id with words is linked as any other id would be,
-    but stays its own component_id null and is kept.  Columns other than doc_id and text are ignored."""
-    sketch = written(sketches(docs), "sketches")
+    Rows with equal ids and sets are one document, so all of them are kept or none; a row with a null id
+    is linked with nothing: its component_id is null and it is kept.  Columns other than doc_id and text are ignored."""
+    sketch = written(sketches(docs, key), "sketches")
+    carried = [key] if key else []
     keyed = sketch.where("set_key is not null and doc_id is not null")
     classes = keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = written(
-        keyed.join(classes, "set_key").where("doc_id = rep").select("doc_id", "signature").dropDuplicates(["doc_id"]), "representatives"
-    )
+    smallest = classes.withColumnRenamed("rep", "doc_id")
+    reps = written(keyed.join(smallest, ["set_key", "doc_id"]).select("doc_id", "signature").dropDuplicates(["doc_id"]), "representatives")
     buckets = bands(reps)
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1")
+    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = written(buckets.join(shared, "bucket"), "buckets")  # of buckets with two members or more
     pairs = written(_likely(members.where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct(), reps), "pairs")
     tried = written(verified(pairs, docs), "verified")
     parts = written(components(tried.where("linked").select("u", "v")), "components")
     more = written(_round_two(members, parts, reps, docs), "links")
     parts = written(components(tried.where("linked").select("u", "v").unionByName(more)), "components")
-    found = sketch.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    found = found.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    found = _with_classes(sketch.select("doc_id", "n_shingles", "set_key", *carried), of_class)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), *carried).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

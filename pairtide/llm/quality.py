@@ -1,17 +1,18 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Every rule is a score between 0 and 1 (symbols, capitals, separators, repeated
-phrases, repeated lines, insulting words).  A rule rejects a document whose
-score exceeds the rule's cutoff for the document's stratum (its language).  The
-cutoffs come from labelled holdouts: for each (stratum, rule) the candidate
-cutoffs are tested from the mildest down, and a cutoff is valid while the exact
-(Clopper-Pearson) upper bound on the share of clean documents that it rejects
-stays at or below ``alpha``.  Testing stops at the first failure, so one level is spent on the whole sequence; the level is divided by
-the number of (stratum, rule) pairs.  With probability ``1 - delta`` no rule in
-any stratum rejects more than ``alpha`` of its clean documents.  Of the valid
-cutoffs a rule uses the one with the largest gain: the share of labelled bad
+phrases, repeated lines, insulting words).  A bounded sample of the labelled documents teaches what scores mean: a rule's
+risk at a score is the share of bad documents among those with that score or more, made monotone.  A rule rejects a document if its risk reaches the risk cutoff of the document's
+stratum (its language), so one number for each stratum fixes the cutoffs of all rules.
+
+The risk cutoffs come from all other labelled documents that pass the base rules.  In each stratum candidates are tested from the highest risk down; a cutoff is
+valid while the exact (Clopper-Pearson) upper bound on the share of clean documents that any rule rejects
+stays at or below ``alpha``.  Testing stops at the first failure, so one level is spent on the whole sequence; it is ``delta`` divided by the
+number of strata that have enough clean documents to pass with none rejected (sizes say nothing about outcomes).  With probability ``1 - delta`` no
+stratum loses more than ``alpha`` of its clean documents to the rules.  Of the valid
+cutoffs the one with the largest gain is used: the share of labelled bad
 documents rejected less ten times the share of clean ones.  A stratum with too few labels to certify
-anything rejects nothing beyond the fixed base rules.
+anything rejects nothing beyond the fixed base rules; the report says so.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .text import (
     appended,
     chunks,
@@ -42,6 +44,8 @@ from .text import (
 
 RULES = ("symbols", "capitals", "separators", "marks", "repeats", "lines", "insults")
 BINS = 200
+#: Terms that may insult: whole words (0) and first letters of words, which endings leave alone.
+STEMS = (0, 3, 4, 5, 6, 7)
 #: Weight of clean documents rejected against bad ones when a valid cutoff is chosen.
 CLEAN_WEIGHT = 10.0
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -50,9 +54,10 @@ FEATURES = COUNTS + ", " + ", ".join(f"{r}_score double" for r in RULES)
 
 @dataclass
 class QualityModel:
-    """Word risks and certified cutoffs: ``cutoffs[stratum][rule]``; a missing entry rejects nothing."""
+    """Word risks, rule risks by bin of the score, and certified cutoffs: ``cutoffs[stratum][rule]``; a missing entry rejects nothing."""
 
     insults: dict[str, float] = field(default_factory=dict)
+    risks: dict[str, list[float]] = field(default_factory=dict)
     cutoffs: dict[str, dict[str, float]] = field(default_factory=dict)
     report: list[dict] = field(default_factory=list)
 
@@ -102,6 +107,14 @@ def _bare(words: pa.Array) -> pa.Array:
     return pc.ascii_trim(pc.utf8_lower(words), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
+def _terms(words: pa.Array, at: int) -> pa.Array:
+    """Bare words (``at`` 0), or the first ``at`` characters of longer ones with an asterisk; null for the others."""
+    if not at:
+        return words
+    longer = pc.greater(pc.utf8_length(words), at)
+    return pc.if_else(longer, pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, at), pa.scalar("*", pa.large_string()), pa.scalar("", pa.large_string())), pa.scalar(None, pa.large_string()))
+
+
 def _features(texts: pa.Array, insults: dict[str, float]) -> dict[str, np.ndarray]:
     data, spans = raw_bytes(texts)
     words, bounds = split_words(texts)
@@ -114,8 +127,9 @@ def _features(texts: pa.Array, insults: dict[str, float]) -> dict[str, np.ndarra
     repeats = _repeat_words(codes, bounds)
     risk = np.zeros(len(texts))
     if insults and len(codes):
-        known = pc.index_in(_bare(distinct), value_set=pa.array(list(insults), pa.large_string()))
-        of_word = np.append(np.fromiter(insults.values(), float, len(insults)), 0.0)[np.asarray(pc.fill_null(known, len(insults)))]
+        bare, values = _bare(distinct), np.append(np.fromiter(insults.values(), float, len(insults)), 0.0)
+        terms = pa.array(list(insults), pa.large_string())
+        of_word = np.max([values[np.asarray(pc.fill_null(pc.index_in(_terms(bare, n), value_set=terms), len(insults)))] for n in STEMS], axis=0)
         hit = np.flatnonzero(of_word[codes] > 0)
         np.maximum.at(risk, rows_of(bounds)[hit], of_word[codes[hit]])
     some = np.maximum(word_chars, 1)
@@ -167,20 +181,24 @@ def lower_bound(hits: int, n: int, level: float) -> float:
     return 1 - upper_bound(n - hits, n, level)
 
 
-def fit_insults(labelled: DataFrame, level: float = 1e-4, least: float = 0.5) -> dict[str, float]:
-    """Words of toxic documents, with an exact lower bound on the share of documents with the word that are toxic.
+def fit_insults(labelled: DataFrame, level: float = 0.02, least: float = 0.5) -> dict[str, float]:
+    """Words and first letters of words (``STEMS``) of toxic documents, with an exact lower bound on the share of documents with them that are toxic.
 
-    ``labelled`` has (text, toxic).  Words whose bound is below ``least`` are
-    left out, so the size is bounded by the words of the labelled sample."""
+    ``labelled`` has (text, toxic).  Terms whose bound is below ``least`` are
+    left out, so the size is bounded by the terms of the labelled sample."""
 
     def bare_words(batches):
         for batch in batches:
             for part in chunks(batch):
                 words, bounds = split_words(string_array(part.column("text")))
-                codes, distinct = encode_words(_bare(words))
-                keys = pd.unique(rows_of(bounds) * max(1, len(distinct)) + codes)
-                toxic = np.asarray(part.column("toxic"))[keys // max(1, len(distinct))]
-                yield pa.RecordBatch.from_arrays([distinct.take(pa.array(keys % max(1, len(distinct)))).cast(pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
+                bare, rows = _bare(words), rows_of(bounds)
+                for stem in STEMS:
+                    terms = _terms(bare, stem)
+                    there = np.asarray(terms.is_valid(), bool)
+                    codes, distinct = encode_words(terms.filter(pa.array(there)))
+                    keys = pd.unique(rows[there] * max(1, len(distinct)) + codes)
+                    toxic = np.asarray(part.column("toxic"))[keys // max(1, len(distinct))]
+                    yield pa.RecordBatch.from_arrays([distinct.take(pa.array(keys % max(1, len(distinct)))).cast(pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
 
     counted = (
         labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
@@ -194,31 +212,72 @@ def fit_insults(labelled: DataFrame, level: float = 1e-4, least: float = 0.5) ->
     return {w: round(p, 6) for w, p in sorted(found.items()) if p >= least}
 
 
-def choose_cutoffs(counts, alpha: float, delta: float) -> tuple[dict, list[dict]]:
-    """``counts``: (stratum, rule, bin, clean, bad) rows. Returns the certified cutoffs and a report of them."""
-    table: dict[tuple[str, str], np.ndarray] = {}
-    for stratum, rule, b, clean, bad in counts:
-        table.setdefault((stratum, rule), np.zeros((2, BINS + 1), np.int64))[:, b] += (clean, bad)
-    level = delta / max(1, len(table))
-    cutoffs, report = {}, []
-    for (stratum, rule), seen in sorted(table.items()):
+def rule_risks(counts) -> dict[str, list[float]]:
+    """``counts``: (rule, bin, clean, bad) rows. For each rule the share of bad documents at or above each bin, no smaller than at a lower bin."""
+    seen = {rule: np.zeros((2, BINS + 1), np.int64) for rule in RULES}
+    for rule, b, clean, bad in counts:
+        seen[rule][:, b] += (clean, bad)
+    out = {}
+    for rule, (clean, bad) in seen.items():
+        above = np.cumsum(np.stack([clean, bad])[:, ::-1], axis=1)[:, ::-1]
+        risk = np.maximum.accumulate(np.append(0.0, (above[1] / (above.sum(axis=0) + 1))[1:]))
+        out[rule] = risk.round(6).tolist()
+    return out
+
+
+def least_clean(alpha: float, level: float) -> int:
+    """Clean documents that are needed to certify a cutoff that rejects none of them."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
+
+
+def choose_cutoffs(counts, alpha: float, delta: float) -> tuple[dict[str, int], list[dict]]:
+    """``counts``: (stratum, level, clean, bad) rows. Returns each stratum's certified level (documents at or above it are rejected) and a report of all strata."""
+    table: dict[str, np.ndarray] = {}
+    for stratum, k, clean, bad in counts:
+        table.setdefault(stratum, np.zeros((2, BINS + 1), np.int64))[:, k] += (clean, bad)
+    clean_of = {s: int(seen[0].sum()) for s, seen in table.items()}
+    tested = 0
+    while (n := sum(c >= least_clean(alpha, delta / max(1, tested + 1)) for c in clean_of.values())) > tested:
+        tested += 1
+    level = delta / max(1, tested)
+    chosen, report = {}, []
+    for stratum, seen in sorted(table.items()):
         n_clean, n_bad = (int(x) for x in seen.sum(axis=1))
-        clean_above = n_clean - np.cumsum(seen[0])
-        bad_above = n_bad - np.cumsum(seen[1])
+        clean_at, bad_at = (np.cumsum(x[::-1])[::-1] for x in seen)
         best = None
-        for b in range(BINS - 1, -1, -1):  # rejects scores of the bins above b
-            if (b < BINS - 1) and clean_above[b] == clean_above[b + 1] and bad_above[b] == bad_above[b + 1]:
-                continue
-            if upper_bound(int(clean_above[b]), n_clean, level) > alpha:
-                break
-            gain = bad_above[b] / max(1, n_bad) - CLEAN_WEIGHT * clean_above[b] / max(1, n_clean)
-            if gain > 0 and (best is None or gain > best[0]):
-                best = (gain, b)
+        if n_clean >= least_clean(alpha, level):
+            for k in range(BINS, 0, -1):
+                if k < BINS and clean_at[k] == clean_at[k + 1] and bad_at[k] == bad_at[k + 1]:
+                    continue
+                if upper_bound(int(clean_at[k]), n_clean, level) > alpha:
+                    break
+                gain = bad_at[k] / max(1, n_bad) - CLEAN_WEIGHT * clean_at[k] / max(1, n_clean)
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, k)
+        row = {"stratum": stratum, "n_clean": n_clean, "n_bad": n_bad, "level": None, "clean_rejected": 0, "bad_rejected": 0, "bound": None}
         if best:
-            b = best[1]
-            cutoffs.setdefault(stratum, {})[rule] = b / BINS
-            report.append({"stratum": stratum, "rule": rule, "cutoff": b / BINS, "n_clean": n_clean, "clean_rejected": int(clean_above[b]), "bound": upper_bound(int(clean_above[b]), n_clean, level), "n_bad": n_bad, "bad_rejected": int(bad_above[b])})
-    return cutoffs, report
+            k = chosen[stratum] = best[1]
+            row |= {"level": k / BINS, "clean_rejected": int(clean_at[k]), "bad_rejected": int(bad_at[k]), "bound": upper_bound(int(clean_at[k]), n_clean, level)}
+        report.append(row)
+    return chosen, report
+
+
+def rule_cutoffs(risks: dict[str, list[float]], level: int) -> dict[str, float]:
+    """The score above which each rule's risk reaches the level; rules that never do are left out."""
+    first = {rule: next((b for b in range(1, BINS + 1) if _level(r[b]) >= level), None) for rule, r in risks.items()}
+    return {rule: (b - 1) / BINS for rule, b in first.items() if b}
+
+
+def _level(risk: float) -> int:
+    return int(risk * BINS + 1e-6)
+
+
+def _base_failed():
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _bins():
+    return F.array(*[F.least(F.lit(BINS), F.ceil(F.col(f"{r}_score") * BINS)).cast("int") for r in RULES])
 
 
 def fit(
@@ -228,39 +287,38 @@ def fit(
     stratum: str = "lang",
     alpha: float = 0.02,
     delta: float = 0.05,
-    max_labelled: int = 60_000,
+    max_learnt: int = 20_000,
 ) -> QualityModel:
-    """Learn the insulting words on one part of the labelled documents and certify the cutoffs on the rest.
+    """Learn the insulting words and the rules' risks on one part of the labelled documents and certify the cutoffs on the rest.
 
     ``labels`` has (doc_id, quality, toxic); a document is clean if its quality
     is 1 and it is not toxic, bad otherwise.  Rows of ``labels`` with a null id or
-    null quality are ignored, and of several rows of one id the worst counts.  The words are
-    learnt from a hash sample of a third of the labelled documents, at most about a third of ``max_labelled``, whose
+    null quality are ignored, and of several rows of one id the worst counts.  The words and risks are
+    learnt from a hash sample of a sixth of the labelled documents, at most about ``max_learnt``, whose
     ids are small enough to be broadcast by that bound.  The cutoffs are certified on all other labelled
-    documents, however many: every document is reduced to its bins before the labels are joined by a shuffle.
+    documents, however many: every document is reduced to its level before the labels are joined by a shuffle.
+    Rows of ``docs`` with equal ids count one by one; a null stratum is the stratum ''.
     Without labels no cutoff is certified."""
     ids = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+        .withColumn("clean", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int"))
     )
-    share = min(1.0, max_labelled / max(1, ids.count()))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20))
-    third = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) == 0
-    ids = ids.withColumn("words", third & (draw < int(share * (1 << 20))))
+    share = min(1 / 6, max_learnt / max(1, ids.count()))
+    ids = ids.withColumn("learn", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
-    sample = picked.join(F.broadcast(ids.where("words").select("doc_id", "toxic")), "doc_id")
+    sample = written(picked.join(F.broadcast(ids.where("learn").select("doc_id", "toxic", "clean")), "doc_id"), "learnt")
     model = QualityModel(insults=fit_insults(sample.select("text", "toxic")))
-    bins = F.array(*[F.least(F.lit(BINS), F.ceil(F.col(f"{r}_score") * BINS)).cast("short") for r in RULES])
-    binned = score(picked, model).select("doc_id", "stratum", bins.alias("bins"))
-    clean = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    counts = (
-        binned.join(ids.where("not words"), "doc_id")
-        .select("stratum", clean.cast("int").alias("clean"), F.posexplode("bins").alias("at", "bin"))
-        .groupBy("stratum", "at", "bin")
-        .agg(F.sum("clean").alias("clean"), F.sum(1 - F.col("clean")).alias("bad"))
-    )
-    model.cutoffs, model.report = choose_cutoffs(((r.stratum, RULES[r.at], r.bin, r.clean, r.bad) for r in counts.collect()), alpha, delta)
+    learnt = score(sample, model).where(~_base_failed()).select("clean", F.posexplode(_bins()).alias("at", "bin")).groupBy("at", "bin").agg(F.sum("clean").alias("clean"), F.sum(1 - F.col("clean")).alias("bad"))
+    model.risks = rule_risks((RULES[r["at"]], r.bin, r.clean, r.bad) for r in learnt.collect())
+    if not model.insults:
+        del model.risks["insults"]
+    levels = [F.element_at(F.array(*[F.lit(_level(x)) for x in model.risks[r]]), F.element_at("bins", i + 1) + 1) for i, r in enumerate(RULES) if r in model.risks]
+    level = score(picked, model).where(~_base_failed()).select("doc_id", "stratum", _bins().alias("bins")).select("doc_id", "stratum", F.greatest(*levels).alias("level"))
+    counts = level.join(ids.where("not learn").select("doc_id", "clean"), "doc_id").groupBy("stratum", "level").agg(F.sum("clean").alias("clean"), F.sum(1 - F.col("clean")).alias("bad"))
+    chosen, model.report = choose_cutoffs(((r.stratum, r.level, r.clean, r.bad) for r in counts.collect()), alpha, delta)  # BINS + 1 rows a stratum
+    model.cutoffs = {s: rule_cutoffs(model.risks, k) for s, k in chosen.items()}
     return model
 
 
@@ -286,11 +344,10 @@ def apply(docs: DataFrame, model: QualityModel, *, stratum: str = "lang") -> Dat
     nothing.  A null stratum is the stratum ''; one without certified cutoffs rejects nothing beyond the base rules."""
     scored = without(score(docs, model), ["base_failed", "rejected_by", "kept"])
     key = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit(""))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     by = [
         F.when((key == s) & (F.col(f"{r}_score") > c), F.lit(r))
         for r in RULES
         for s, c in sorted((s, rules[r]) for s, rules in model.cutoffs.items() if r in rules)
     ]
-    out = scored.withColumn("base_failed", failed).withColumn("rejected_by", F.coalesce(*by) if by else F.lit(None).cast("string"))
+    out = scored.withColumn("base_failed", _base_failed()).withColumn("rejected_by", F.coalesce(*by) if by else F.lit(None).cast("string"))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())

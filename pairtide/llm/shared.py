@@ -6,15 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests on one machine), a temporary folder that goes with the process."""
+    """``spark.checkpoint.dir``; where it is unset on a local master (tests), a temporary folder that goes with the process.  On a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         folder = tempfile.mkdtemp(prefix="pairtide-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -28,10 +31,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: later jobs read it, and no lost executor can take it along."""
     path = new_path(df.sparkSession, name)
+    _paths.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of this process that were written and not removed.
+_paths: list[str] = []
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Removes the tables written inside the block at its end, when all results that read them must have been written."""
+    start = len(_paths)
+    try:
+        yield
+    finally:
+        for path in _paths[start:]:
+            remove(spark, path)
+        del _paths[start:]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -124,6 +124,8 @@ def test_near_duplicates(docs, rows, empty):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
     assert sum(not r.kept for r in got) > 10
     assert neardup.near_duplicates(empty).count() == 0
+    odd = docs.where("doc_id in (71, 90)").unionByName(docs.where("doc_id = 71").withColumn("doc_id", F.lit(None).cast("long"))).withColumn("k", F.lit("row"))
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept, r.k) for r in neardup.near_duplicates(odd, "k").collect()) == [(0, 0, True, "row"), (71, 71, True, "row"), (90, 90, True, "row")]
     twice = neardup.near_duplicates(docs.where("doc_id in (71, 96, 90)").unionByName(docs.where("doc_id in (71, 90)"))).collect()
     assert sorted((r.doc_id, r.kept) for r in twice) == [(71, True), (71, True), (90, True), (90, True), (96, False)]
 
@@ -137,6 +139,23 @@ def test_round_two_links_blocks(spark):
     assert {r.component_id for r in got} == {93}
 
 
+def test_round_two_deals_the_minority(spark):
+    """Thousands of near copies and one stray: the stray asks every block once, the copies are not dealt against each other."""
+    from pairtide.llm.shared import written
+
+    n = 5000
+    sig = np.zeros((n + 1, neardup.HASHES), np.uint32)
+    sig[n, neardup.LEAST_AGREEING :] = 7
+    rows = [(i, sig[i].tobytes()) for i in range(n + 1)]
+    reps = written(spark.createDataFrame(rows, "doc_id long, signature binary"), "reps")
+    members = spark.createDataFrame([(5, 0, i) for i in range(n + 1)], "bucket long, band int, doc_id long")
+    parts = spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long")
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, text) for i in range(n + 1)], "doc_id long, text string")
+    got = neardup._round_two(members, parts, reps, docs).collect()
+    assert all(n in (r.u, r.v) for r in got) and 0 < len(got) <= 5  # one link for each block at most
+
+
 def brute_dedup(rows, size=20):
     seen, out = set(), {}
     for i, text, *_ in sorted(rows):
@@ -326,6 +345,40 @@ def test_quality_rules_catch_junk(spark):
     assert all(r["bound"] <= 0.02 for r in model.report)
 
 
+def test_cutoffs_equal_brute_force_and_hold():
+    """The chosen level against a plain search with binomial sums, and the guarantee by simulation."""
+    from math import comb
+
+    def bound(k, n, level):
+        low, high = k / n, 1.0
+        for _ in range(50):
+            p = (low + high) / 2
+            low, high = (p, high) if sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > level else (low, p)
+        return high
+
+    rng, broken = random.Random(7), 0
+    for trial in range(60):
+        docs = {s: [(1, min(200, int(rng.expovariate(1 / 25)))) for _ in range(n)] + [(0, rng.randint(0, 200)) for _ in range(n // 3)] for s, n in (("a", 600), ("b", 260), ("c", 90))}
+        counts = [(s, k, c, 1 - c) for s, rows in docs.items() for c, k in rows]
+        chosen, report = quality.choose_cutoffs(counts, 0.02, 0.05)
+        want = {}
+        for s in "ab":  # c has too few clean documents, so two strata share delta
+            clean, bad = ([k for c, k in docs[s] if c == x] for x in (1, 0))
+            best = None
+            for k in range(200, 0, -1):
+                wrong, right = sum(x >= k for x in clean), sum(x >= k for x in bad)
+                if bound(wrong, len(clean), 0.025) > 0.02:
+                    break
+                gain = right / len(bad) - 10 * wrong / len(clean)
+                if gain > 0 and (best is None or gain > best[0] + 1e-12):
+                    best = gain, wrong, right
+            want[s] = best and best[1:]
+        got = {r["stratum"]: (r["clean_rejected"], r["bad_rejected"]) if r["level"] else None for r in report}
+        assert got == want | {"c": None} and {r["stratum"]: r["n_clean"] for r in report} == {"a": 600, "b": 260, "c": 90}
+        broken += any(np.exp(-k / 25) > 0.02 for k in chosen.values())
+    assert broken <= 60 * 0.05 + 3
+
+
 def test_quality_certifies_on_all_labels(spark):
     rng = random.Random(5)
     rows, labels = [], []
@@ -334,10 +387,22 @@ def test_quality_certifies_on_all_labels(spark):
         rows.append((i, text.upper() if i % 4 == 0 else text, "xx"))
         labels.append((i, int(i % 4 != 0), 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labelled=300)
-    assert {r["rule"] for r in model.report} == {"capitals"} and all(r["n_clean"] + r["n_bad"] >= 1800 for r in model.report)
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_learnt=100)
+    assert set(model.cutoffs["xx"]) == {"capitals"} and all(r["n_clean"] + r["n_bad"] >= 1800 for r in model.report)
     assert all(r.kept == (r.doc_id % 4 != 0) for r in quality.apply(docs, model).collect())
+    odd = docs.where("doc_id < 3").select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    got = quality.apply(docs.where("doc_id < 3").unionByName(docs.where("doc_id < 3")).unionByName(odd), model).collect()
+    assert sorted((r.doc_id, r.lang or "", r.kept) for r in got) == sorted([(i, "xx", i > 0) for i in range(3)] * 2 + [(i, "", True) for i in range(3)])
+
 
+def test_quality_certifies_a_null_stratum(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60))
+    rows = [(i, text().upper() if i % 4 == 0 else text(), None if i % 2 else "xx") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), None) for i in range(2400)] + [(None, 1, 0), (7, None, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 8 < 4, F.col("lang"))), labels)
+    assert {"", "xx"} == {r["stratum"] for r in model.report} and "" in model.cutoffs
 
 def test_ctw_is_a_distribution_and_learns(spark, docs, rows, empty):
     keys = np.unique(np.frombuffer(np.random.default_rng(0).integers(97, 101, 8 * 4000, dtype=np.uint8).tobytes(), ">u8") >> np.uint64(40))
