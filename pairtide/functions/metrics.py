@@ -14,19 +14,34 @@ from pyspark.sql import functions as F
 
 from .scalars import finite
 
-SLICES = 256
+#: Slices of the score range for each power of two.
+SLICES = 32
 #: Inner bin edges exactly as ``numpy.linspace`` gives them; 0.3, 0.6 and 0.7 are not the nearest doubles of their decimals.
 EDGES = [float(x) for x in np.linspace(0.0, 1.0, 11)]
 
 
+def _slice(x: Column) -> Column:
+    """A number that rises with x: SLICES for each power of two, so scores near zero and large ones are cut as finely as others.
+
+    The logarithm may be off by one at a power of two; the mantissa makes up for it."""
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    at = power * SLICES + F.floor((size / F.pow(F.lit(2.0), power) - 1) * SLICES) + 1100 * SLICES
+    return F.when(x == 0, 0).when(x > 0, at).otherwise(-at).cast("int")
+
+
+def _counted(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows that metrics count: with a label and a finite score."""
+    return df.where(finite(F.col(score)) & F.col(label).isNotNull())
+
+
 def _by_score(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
     """(groups, score, pos, neg, pos_below, neg_below): one row per distinct score with the totals of smaller ones."""
-    rows = df.where(finite(F.col(score)) & F.col(label).isNotNull())
-    points = rows.groupBy(*groups, F.col(score).alias("_x")).agg(
+    points = _counted(df, label, score).groupBy(*groups, F.col(score).alias("_x")).agg(
         F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1.0 - F.col(label).cast("double")).alias("neg")
     )
     whole = Window.partitionBy(*groups)
-    points = points.withColumn("_s", F.floor(F.atan("_x") / F.lit(np.pi) * SLICES).cast("int"))  # in score order for any range
+    points = points.withColumn("_s", _slice(F.col("_x")))
     slices = points.groupBy(*groups, "_s").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     before = whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(*groups, "_s", F.coalesce(F.sum("_pos").over(before), F.lit(0.0)).alias("_pos_before"), F.coalesce(F.sum("_neg").over(before), F.lit(0.0)).alias("_neg_before"))
@@ -72,7 +87,7 @@ def bin_right(p: Column) -> Column:
 
 def _bins(df: DataFrame, groups: list[str], label: str, score: str, closed: str) -> DataFrame:
     b = {"left": bin_left, "right": bin_right}[closed](F.col(score))
-    return df.groupBy(*groups, b.alias("bin")).agg(
+    return _counted(df, label, score).groupBy(*groups, b.alias("bin")).agg(
         F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("acc"), F.avg(score).alias("conf")
     )
 
@@ -91,8 +106,8 @@ def reliability(df: DataFrame, groups: list[str], label: str, score: str, closed
 
 
 def brier(label: Column, score: Column) -> Column:
-    """The mean squared error, as an aggregate."""
-    return F.avg((score - label.cast("double")) * (score - label.cast("double")))
+    """The mean squared error over rows with a label and a finite score, as an aggregate."""
+    return F.avg(F.when(finite(score), (score - label.cast("double")) * (score - label.cast("double"))))
 
 
 def average_ranks(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
@@ -114,9 +129,18 @@ def correlations(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
 
 
 def summary(df: DataFrame, groups: list[str], label: str, score: str, prefix: str = "") -> DataFrame:
-    """auc, ece and brier of each group, joined."""
-    out = df.groupBy(*groups).agg(brier(F.col(label), F.col(score)).alias(f"{prefix}brier"))
-    return out.join(auroc(df, groups, label, score, f"{prefix}auc"), groups, "left").join(ece(df, groups, label, score, f"{prefix}ece"), groups, "left")
+    """auc, ece and brier of each group, all from the counts by distinct score; a group without a finite score has no row."""
+    points = _by_score(df, groups, label, score)
+    x, n = F.col("score"), F.col("pos") + F.col("neg")
+    bins = points.groupBy(*groups, bin_left(x).alias("_b")).agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum(x * n).alias("_x"),
+        F.sum(F.col("pos") * (x - 1) * (x - 1) + F.col("neg") * x * x).alias("_q"), F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("_won"),
+    )
+    total = F.sum(F.col("_p") + F.col("_n"))
+    return bins.groupBy(*groups).agg(
+        (F.sum("_q") / total).alias(f"{prefix}brier"), (F.sum("_won") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias(f"{prefix}auc"),
+        (F.sum(F.abs(F.col("_p") - F.col("_x"))) / total).alias(f"{prefix}ece"),
+    )
 
 
 def estimable(label: Column, least: int = 8, least_class: int = 2) -> Column:

@@ -34,7 +34,7 @@ def validate(doc: DataFrame, modes: DataFrame) -> DataFrame:
         "default_mode_known": (F.col("default_mode").isin("ranking_first", "reliability_first"), F.col("default_mode")),
         "rules_present": (F.size(rules) >= 1, F.size(rules).cast("string")),
         "rules_ordered": (F.forall(rules, lambda r: r["lambda_min"] < r["lambda_max"]), F.size(rules).cast("string")),
-        "rules_contiguous": (F.forall(F.sequence(F.lit(1), F.size(rules) - 1), lambda i: is_close(F.element_at(rules, i)["lambda_max"], F.element_at(rules, i + 1)["lambda_min"])), F.size(rules).cast("string")),
+        "rules_contiguous": (F.forall(F.when(F.size(rules) > 1, F.sequence(F.lit(1), F.size(rules) - 1)).otherwise(F.array().cast("array<int>")), lambda i: is_close(F.element_at(rules, i)["lambda_max"], F.element_at(rules, i + 1)["lambda_min"])), F.size(rules).cast("string")),
         "rules_start_at_zero": (is_close(F.element_at(rules, 1)["lambda_min"], 0.0), F.lit("0")),
         "window_positive": (watch["window_size"] > 0, watch["window_size"].cast("string")),
         "caps_positive": ((watch["coverage_cap"] > 0) & (watch["auc_drop_cap"] > 0) & (watch["ece_uplift_cap"] > 0), F.lit("3")),

@@ -26,7 +26,9 @@ def with_alerts(windows: DataFrame, auc_cap: float, ece_cap: float, coverage_cap
 
 
 def window_metrics(log: DataFrame, sizes, auc_cap: float = 0.05, ece_cap: float = 0.05, coverage_cap: float = 0.2, order: list[str] = ("event_id",), extra: list[str] = (), base: DataFrame | None = None) -> DataFrame:
-    """Metrics of every full window of each size, their change against the whole log (or ``base``), and alerts; values rounded."""
+    """Metrics of every full window of each size, their change against the whole log (or ``base``), and alerts; values rounded.
+
+    A key without a baseline is an error.  Without coverage in the baseline there is no drift and no coverage alert."""
     keys = ["domain", "mode"]
     cut = None
     for size in sizes:
@@ -34,8 +36,10 @@ def window_metrics(log: DataFrame, sizes, auc_cap: float = 0.05, ece_cap: float
         cut = one if cut is None else cut.unionByName(one)
     groups = ["window_size", *keys, *extra, "window_id"]
     seen = cut.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(F.col("referral_flag").cast("double")).alias("window_coverage"))
-    seen = seen.join(metrics.summary(cut, groups, "label", "policy_prob", "window_").drop("window_brier"), groups).join(baselines(log if base is None else base), keys)
-    drift = (F.col("window_coverage") - F.col("baseline_coverage")) / F.greatest(F.col("baseline_coverage"), F.lit(1e-8))
+    seen = seen.join(metrics.summary(cut, groups, "label", "policy_prob", "window_").drop("window_brier"), groups).join(baselines(log if base is None else base), keys, "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no baseline for"), *keys)).cast("double")
+    base_coverage = F.col("baseline_coverage")
+    drift = F.when(base_coverage.isNull(), missing).when(base_coverage > 0, (F.col("window_coverage") - base_coverage) / F.greatest(base_coverage, F.lit(1e-8)))
     out = seen.select(
         *groups, "n", six(F.col("window_auc")).alias("window_auc"), six(F.col("window_ece")).alias("window_ece"), six(F.col("window_coverage")).alias("window_coverage"),
         six(F.col("baseline_auc") - F.col("window_auc")).alias("auc_drop"), six(F.col("window_ece") - F.col("baseline_ece")).alias("ece_uplift"), six(drift).alias("coverage_drift"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, hash_number
+from ..sources.tables import settled
 
 
 def positives(edges: DataFrame, universe: DataFrame | None = None) -> DataFrame:
@@ -18,26 +19,63 @@ def positives(edges: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     return pairs.select("source", "target")
 
 
-def negatives(positive: DataFrame, ratio: float = 3.0, seed: int = 42) -> DataFrame:
-    """Pairs of a known source and a known target that are not positive, the first ``ratio`` times as many in hash order.
-
-    Fewer only if there are no more such pairs.  The sources meet the targets as a broadcast
-    loop over the smaller list; pairs are ranked by hash slices, so only the slice at the boundary is ordered."""
-    n = int(positive.count() * ratio)
-    space = positive.select("source").distinct().join(positive.select("target").distinct(), F.lit(True)).where("source <> target")
-    free = space.join(positive, ["source", "target"], "left_anti").withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("source").cast("string"), F.col("target").cast("string"))))
-    counts = free.groupBy(F.substring("_h", 1, 3).alias("_s")).count().collect()  # 4,096 rows at most
-    total, cut, before = 0, None, 0
-    for s, c in sorted(counts):
+DRAWS, NUMBER_SLICES = 4, 1024
+
+
+def numbered(nodes: DataFrame, column: str) -> DataFrame:
+    """(column, i): the distinct values numbered from 0 in the order of 1,024 hash slices and of the values in each; only the slices' sizes meet in one task."""
+    rows = nodes.select(column).distinct().withColumn("_s", hash_number(F.col(column)) % NUMBER_SLICES)
+    sizes = rows.groupBy("_s").agg(F.count("*").alias("_n"))
+    before = sizes.select("_s", (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_s")) - F.col("_n")).alias("_b"))
+    inside = F.row_number().over(Window.partitionBy("_s").orderBy(column)) - 1
+    return rows.withColumn("_r", inside).join(F.broadcast(before), "_s").select(column, (F.col("_b") + F.col("_r")).alias("i"))
+
+
+def _first(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The n rows that are smallest by a unique number; only the slice at the boundary is ordered."""
+    top = rows.agg(F.max(order)).first()[0]
+    step = max(1, (top or 0) // 4096 + 1)
+    total, cut = 0, None
+    for s, c in sorted(rows.groupBy(F.floor(F.col(order) / step).alias("_s")).count().collect()):  # 4,096 rows at most
         if total + c >= n:
-            cut, before = s, total
+            cut = s
             break
         total += c
     if cut is None:
-        return free.select("source", "target")
-    sure = free.where(F.substring("_h", 1, 3) < cut)
-    edge = free.where(F.substring("_h", 1, 3) == cut).orderBy("_h", "source", "target").limit(n - before)
-    return sure.unionByName(edge).select("source", "target")
+        return rows
+    edge = rows.where((F.col(order) >= cut * step) & (F.col(order) < (cut + 1) * step)).orderBy(order).limit(n - total)
+    return rows.where(F.col(order) < cut * step).unionByName(edge)
+
+
+def negatives(positive: DataFrame, ratio: float = 3.0, seed: int = 42) -> DataFrame:
+    """``ratio`` times as many pairs of a known source and a known target that are not positive; fewer only if there are no more.
+
+    Draw d names a source and a target by two parts of the md5 of seed and d; new free pairs count in the order of the draws, so
+    the work follows the size of the result and not of sources times targets.  Only where these are fewer than ``DRAWS`` times the wanted and
+    positive pairs are all pairs listed, and numbered by a hash."""
+    n_positive = positive.count()
+    n = int(n_positive * ratio)
+    sources, targets = numbered(positive, "source"), numbered(positive, "target")
+    n_sources, n_targets = sources.count(), targets.count()
+    draws = DRAWS * (n + n_positive)
+    dense = n_sources * n_targets <= draws
+    while True:
+        if dense:
+            key = hash_number(seed, F.col("source"), F.col("target"))
+            listed = sources.select("source").join(targets.select("target"), F.lit(True)).withColumn("d", key)
+        else:
+            d = positive.sparkSession.range(draws).select(F.col("id").alias("d"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))).alias("_h"))
+            part = lambda at, size: F.conv(F.substring("_h", at, 8), 16, 10).cast("long") % size
+            drawn = d.select("d", part(1, n_sources).alias("_i"), part(9, n_targets).alias("_j"))
+            drawn = drawn.join(sources.withColumnRenamed("i", "_i"), "_i").join(targets.withColumnRenamed("i", "_j"), "_j")
+            listed = drawn.groupBy("source", "target").agg(F.min("d").alias("d"))
+        free = listed.where("source <> target").join(positive, ["source", "target"], "left_anti").select("source", "target", "d")
+        if dense:  # equal hashes are told apart by the pair
+            return free.orderBy("d", "source", "target").limit(n).select("source", "target")
+        free = settled(free, "free", small=False)
+        if free.count() >= n:
+            return _first(free, "d", n).select("source", "target")
+        draws *= 2
 
 
 def labelled(positive: DataFrame, negative: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
@@ -23,9 +23,10 @@ def refer_row(a: float, b: float, stacked: float, best: float, threshold: float)
 
 def best_single(pairs: DataFrame, groups: list[str]) -> DataFrame:
     """``pairs`` with best_prob and best_single_model: model A where its AUROC is at least B's; B if either is missing."""
-    a = metrics.auroc(pairs, groups, "label", "a_prob", "auc_a")
-    b = metrics.auroc(pairs, groups, "label", "b_prob", "auc_b")
-    choice = a.join(b, groups).withColumn("best_single_model", F.when(F.col("auc_a") >= F.col("auc_b"), "a").otherwise("b"))
+    long = pairs.select(*groups, "label", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{m}_prob").alias("p")) for m in "ab"])).alias("s")).select(*groups, "label", "s.*")
+    each = metrics.auroc(long, [*groups, "model"], "label", "p", "auc")
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("auc")))
+    choice = each.groupBy(*groups).agg(of("a").alias("auc_a"), of("b").alias("auc_b")).withColumn("best_single_model", F.when(F.col("auc_a") >= F.col("auc_b"), "a").otherwise("b"))
     out = pairs.join(choice, groups)
     return out.withColumn("best_prob", F.when(F.col("best_single_model") == "a", F.col("a_prob")).otherwise(F.col("b_prob")))
 
@@ -97,6 +98,8 @@ def default_gap(grid: DataFrame, ece_cap: float = 0.02, least_coverage: float =
 def utilities(grid: DataFrame, lambdas, least_coverage: float = 0.0) -> DataFrame:
     """Every candidate at every cost: utility = gain in AUROC less cost times coverage; an empty choice is an error."""
     kept = grid.where(F.col("coverage") >= least_coverage)
+    if kept.isEmpty():
+        raise ValueError("no candidate has enough coverage")
     costs = F.explode(F.array(*[F.lit(float(x)) for x in lambdas]))
     return kept.withColumn("cost", costs).withColumn("utility", six(F.col("delta_auc") - F.col("cost") * F.col("coverage")))
 
@@ -177,11 +180,12 @@ def schedule_integrity(segments: DataFrame) -> DataFrame:
 
 
 def rule_at(costs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The rule for each cost: segments hold their start, and their end up to the next start; costs in no segment keep a NULL rule.
+    """The rule for each cost: a segment holds its start and all costs below the next segment's start, the last one its end too; other costs have a NULL rule.
 
     The schedule has few segments, so it is broadcast."""
-    ends = segments.select("lambda_start", "lambda_end", "rule")
-    inside = (F.col("cost") >= F.col("lambda_start")) & (F.col("cost") <= F.col("lambda_end"))
+    following = F.lead("lambda_start").over(Window.partitionBy(F.lit(1)).orderBy("lambda_start", "lambda_end"))
+    ends = segments.select("lambda_start", "lambda_end", "rule", following.alias("_next"))
+    inside = (F.col("cost") >= F.col("lambda_start")) & F.when(F.col("_next").isNull(), F.col("cost") <= F.col("lambda_end")).otherwise(F.col("cost") < F.col("_next"))
     return costs.join(F.broadcast(ends), inside, "left").select("cost", "rule")
 
 

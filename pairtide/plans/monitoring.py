@@ -12,12 +12,13 @@ from .registry import query
 from .sql import REPLAY, with_
 
 SIZES = (100, 250, 500)
+SEQUENCES = 5000
 WIN = f"{REPLAY}, {sql.windows(sizes=SIZES)}"
 
 
 def windows(spark, sf_dir):
     """One row per size, domain, mode and window."""
-    return settled(monitor.window_metrics(settled(log(spark, sf_dir), "replay"), SIZES), "windows")
+    return settled(monitor.window_metrics(settled(log(spark, sf_dir), "replay", small=False), SIZES), "windows")
 
 
 @query(with_(WIN) + "from win")
@@ -96,7 +97,7 @@ def sql_hash(*parts: str) -> str:
 
 _SEQ = f"""keyed as (select *, domain || '/' || window_id as k from win where window_size = 100),
   num as (select *, row_number() over (partition by mode order by k) - 1 as i, count(*) over (partition by mode) as total from keyed),
-  slots as (select mode, s as sequence_id, p as position, {sql_hash("'42'", "s", "p")} % total as i from (select distinct mode, total from num), range(200) a(s), range(1, 21) b(p)),
+  slots as (select mode, s as sequence_id, p as position, {sql_hash("'42'", "s", "p")} % total as i from (select distinct mode, total from num), range({SEQUENCES}) a(s), range(1, 21) b(p)),
   drawn as (select slots.mode, sequence_id, position, any_alert from slots join num using (mode, i))"""
 
 
@@ -104,7 +105,7 @@ _SEQ = f"""keyed as (select *, domain || '/' || window_id as k from win where wi
   (select *, any_alert and coalesce(lag(any_alert) over (partition by mode, sequence_id order by position), false) as b from drawn) group by all) group by mode""")
 def sequence_detection(spark, sf_dir):
     rows = windows(spark, sf_dir).where("window_size = 100").withColumn("k", F.concat_ws("/", "domain", F.col("window_id").cast("string"))).select("mode", "k", "any_alert")
-    drawn = resample.sequences(rows, ["mode"], "k", 200, 20)
+    drawn = resample.sequences(rows, ["mode"], "k", SEQUENCES, 20)
     found = monitor.consecutive_alerts(drawn, ["mode", "sequence_id"], "position")
     return found.groupBy("mode").agg(F.count("*").alias("n_sequences"), F.round(F.avg(F.col("detected").cast("double")), 6).alias("detection_rate"), F.median("first_detection").alias("median_first_detection"))
 
@@ -114,6 +115,6 @@ _PERM = f"perm as (select replay.*, g as permutation_id, {sql_hash(repr('42'), '
 
 @query(with_(REPLAY, _PERM, sql.windows("perm", (250,), ", permutation_id", "perm_order, event_id")) + "select mode, permutation_id::int as permutation_id, count(*) as n_windows, round(avg(auc_drop), 6) as mean_auc_drop, round(avg(any_alert::int), 6) as any_alert_rate from win group by all")
 def permutation_windows(spark, sf_dir):
-    replayed = settled(log(spark, sf_dir), "replay")
+    replayed = settled(log(spark, sf_dir), "replay", small=False)
     out = monitor.window_metrics(resample.shuffled_order(replayed, "event_id", 5), (250,), order=["perm_order", "event_id"], extra=["permutation_id"], base=replayed)
     return out.groupBy("mode", "permutation_id").agg(F.count("*").alias("n_windows"), F.round(F.avg("auc_drop"), 6).alias("mean_auc_drop"), F.round(F.avg(F.col("any_alert").cast("double")), 6).alias("any_alert_rate"))

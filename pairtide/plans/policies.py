@@ -104,12 +104,12 @@ def schedule_integrity(spark, sf_dir):
     return policy.schedule_integrity(policy.schedule(policy.utility_default(scored(spark, sf_dir))))
 
 
-_LOOK = "(values (0.0::double), (0.001), (0.006), (0.0125), (0.014), (0.02), (0.03), (0.04)) t(cost)"
+_LOOK = "(values (0.0::double), (0.001), (0.006), (0.0125), (0.014), (0.015), (0.02), (0.03), (0.04)) t(cost)"
 
 
-@query(with_(SCORED, f"sched as ({sql.SCHEDULE})") + f"select cost, rule from {_LOOK} left join sched on cost >= lambda_start and cost <= lambda_end")
+@query(with_(SCORED, f"sched as ({sql.SCHEDULE})") + f"select cost, rule from {_LOOK} left join (select *, lead(lambda_start) over (order by lambda_start, lambda_end) as following from sched) on cost >= lambda_start and case when following is null then cost <= lambda_end else cost < following end")
 def lambda_lookup(spark, sf_dir):
-    costs = spark.createDataFrame([(x,) for x in (0.0, 0.001, 0.006, 0.0125, 0.014, 0.02, 0.03, 0.04)], "cost double")
+    costs = spark.createDataFrame([(x,) for x in (0.0, 0.001, 0.006, 0.0125, 0.014, 0.015, 0.02, 0.03, 0.04)], "cost double")
     return policy.rule_at(costs, policy.schedule(policy.utility_default(scored(spark, sf_dir))))
 
 
@@ -127,22 +127,35 @@ def log(spark, sf_dir):
     return policy.replay(views.calibrated(views.scored_pairs(spark, sf_dir)))
 
 
-@query(with_(REPLAY) + """select domain, mode, count(*) as n, 0::bigint as n_mismatch, true as exact_match, 0.0::double as auc_difference, 0.0::double as ece_difference, 0.0::double as brier_difference, 0.0::double as coverage_difference from replay group by domain, mode""")
+@query(with_(GRID, sql.REPLAY_ROWS) + f"""select domain, mode, n, n_mismatch, n_mismatch = 0 as exact_match, {", ".join(f"round(seen.{m} - policy_{m}, 6) + 0.0::double as {m}_difference" for m in ("auc", "ece", "brier"))}, round(seen.coverage - grid.coverage, 6) + 0.0::double as coverage_difference from
+  (select * from (select r.domain, r.mode, r.method, count(*) as n, avg(referral_flag) as coverage,
+    count(*) filter (abs(r.policy_prob - case when abs(b_prob - a_prob) >= 0.05::double then stacked_prob else best_prob end) > 1e-12) as n_mismatch from replay r join based using (event_id, method) group by all)
+    join ({sql.summary("replay", "domain, mode", "label", "policy_prob")}) using (domain, mode)) seen join (select * exclude (n) from grid where threshold = 0.05) grid using (domain, method)""")
 def conformance(spark, sf_dir):
     mode = F.when(F.col("method") == "raw", "ranking_first").otherwise("reliability_first")
     expected = grid(spark, sf_dir).where("threshold = 0.05").select("domain", mode.alias("mode"), "policy_auc", "policy_ece", "policy_brier", F.col("coverage").alias("expected_coverage"))
     out = policy.conformance(log(spark, sf_dir), expected)
-    return out.select("domain", "mode", "n", "n_mismatch", "exact_match", *[F.abs(F.round(c, 5)).alias(c) for c in ("auc_difference", "ece_difference", "brier_difference", "coverage_difference")])
+    return out.select("domain", "mode", "n", "n_mismatch", "exact_match", "auc_difference", "ece_difference", "brier_difference", "coverage_difference")
 
 
-@query(with_(GRID, _DUAL) + """select check_name, passed from (values ('has_version', true), ('default_mode_known', true), ('rules_present', true), ('rules_ordered', true), ('rules_contiguous', true), ('rules_start_at_zero', true), ('window_positive', true), ('caps_positive', true), ('soft_within_windows', true), ('hard_consecutive', true)) v(check_name, passed)
-  union all select mode || '_threshold', bool_and(threshold = 0.05) from dual group by mode
-  union all select mode || '_method', bool_and(method = case when mode = 'ranking_first' then 'raw' else 'affine' end) from dual group by mode""")
+_WATCH = "(d -> 'monitoring' ->> '{0}')::double"
+_CHECKS = f"""doc as (select '{config.DOCUMENT}'::json as d), checks as (select unnest([
+    {{'check_name': 'has_version', 'passed': d ->> 'version' is not null}}, {{'check_name': 'default_mode_known', 'passed': d ->> 'default_mode' in ('ranking_first', 'reliability_first')}},
+    {{'check_name': 'rules_present', 'passed': json_array_length(d -> 'cost_rules') >= 1}},
+    {{'check_name': 'rules_ordered', 'passed': list_bool_and(list_transform((d -> 'cost_rules')::json[], lambda r: (r ->> 'lambda_min')::double < (r ->> 'lambda_max')::double))}},
+    {{'check_name': 'rules_contiguous', 'passed': case when json_array_length(d -> 'cost_rules') > 1 then list_bool_and(list_transform(range(1, json_array_length(d -> 'cost_rules')::bigint), lambda i: abs((d -> 'cost_rules' -> (i - 1)::int ->> 'lambda_max')::double - (d -> 'cost_rules' -> i::int ->> 'lambda_min')::double) <= 1e-8 + 1e-5 * abs((d -> 'cost_rules' -> i::int ->> 'lambda_min')::double))) else true end}},
+    {{'check_name': 'rules_start_at_zero', 'passed': abs((d -> 'cost_rules' -> 0 ->> 'lambda_min')::double) <= 1e-8}}, {{'check_name': 'window_positive', 'passed': {_WATCH.format('window_size')} > 0}},
+    {{'check_name': 'caps_positive', 'passed': {_WATCH.format('coverage_cap')} > 0 and {_WATCH.format('auc_drop_cap')} > 0 and {_WATCH.format('ece_uplift_cap')} > 0}},
+    {{'check_name': 'soft_within_windows', 'passed': {_WATCH.format('soft_alerts')} <= {_WATCH.format('soft_windows')}}}, {{'check_name': 'hard_consecutive', 'passed': coalesce({_WATCH.format('hard_consecutive')}, 2) >= 2}}], recursive := true) from doc
+  union all select mode || '_threshold', bool_and(abs(threshold - (d -> 'modes' -> mode ->> 'threshold')::double) <= 1e-8 + 1e-5 * abs((d -> 'modes' -> mode ->> 'threshold')::double)) from dual, doc group by mode
+  union all select mode || '_method', bool_and(method = (d -> 'modes' -> mode ->> 'method')) from dual, doc group by mode)"""
+
+
+@query(with_(GRID, _DUAL, _CHECKS) + "select check_name, passed from checks")
 def config_validation(spark, sf_dir):
     return config.validate(config.document(spark), policy.dual_modes(grid(spark, sf_dir))).select("check_name", "passed")
 
 
-@query(with_(GRID, _DUAL) + """select 14::bigint as n_checks, 10 + count_if(ok)::bigint as n_passed, bool_and(ok) as all_passed from (select bool_and(threshold = 0.05) as ok from dual group by mode
-  union all select bool_and(method = case when mode = 'ranking_first' then 'raw' else 'affine' end) from dual group by mode)""")
+@query(with_(GRID, _DUAL, _CHECKS) + "select count(*) as n_checks, count_if(passed)::bigint as n_passed, bool_and(passed) as all_passed from checks")
 def config_validation_summary(spark, sf_dir):
     return config.validation_summary(config.validate(config.document(spark), policy.dual_modes(grid(spark, sf_dir))))

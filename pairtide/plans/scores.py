@@ -14,12 +14,12 @@ from .registry import query
 from .sql import CAL, OOF, with_
 
 
-def _stacked(spark, sf_dir):
-    """Scores of both models and the stack in one column, by model."""
+def _stacked(spark, sf_dir, *more):
+    """Scores of both models and the stack in one column, by model; ``more`` columns go along."""
     return views.scored_pairs(spark, sf_dir).select(
-        "event_id", "domain", "source_id", "label",
+        "event_id", "domain", "source_id", "label", *more,
         F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{m}_prob").alias("p")) for m in ("a", "b", "stacked", "base")])).alias("s"),
-    ).select("event_id", "domain", "source_id", "label", "s.model", "s.p")
+    ).select("event_id", "domain", "source_id", "label", *more, "s.model", "s.p")
 
 
 LONG = "long as (" + " union all ".join(f"select event_id, domain, source_id, label, '{m}' as model, {m}_prob as p from oof" for m in ("a", "b", "stacked", "base")) + ")"
@@ -196,8 +196,7 @@ _K = "domain, margin, grp, model"
 @query(with_(OOF, LONG, _MARGINS) + f"""select {_K}, n, round(positive_rate, 6) as positive_rate, round(mean_score, 6) as mean_score, round(auc, 6) as auc, round(ece, 6) as ece, round(brier, 6) as brier from
   (select {_K}, count(*) as n, avg(label) as positive_rate, avg(p) as mean_score from marg group by all) join ({sql.summary("marg", _K, "label", "p")}) using ({_K})""")
 def margin_sweep(spark, sf_dir):
-    pairs = views.scored_pairs(spark, sf_dir).select("event_id", "a_prob", "b_prob")
-    rows = _stacked(spark, sf_dir).join(pairs, "event_id").withColumn("margin", F.explode(F.array(*[F.lit(m) for m in (0.1, 0.2, 0.3, 0.4)])))
+    rows = _stacked(spark, sf_dir, "a_prob", "b_prob").withColumn("margin", F.explode(F.array(*[F.lit(m) for m in (0.1, 0.2, 0.3, 0.4)])))
     hard = F.expr(_hard("margin").replace("::double", ""))
     rows = rows.withColumn("grp", F.explode(F.array(F.lit("all"), F.when(hard, "hard").otherwise("non_hard"))))
     keys = ["domain", "margin", "grp", "model"]

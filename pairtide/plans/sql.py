@@ -19,9 +19,15 @@ STATS = """stats as (select gene_id, s / n as mean, greatest(q / n - (s / n) * (
   (select count(distinct cell_id)::double as n from expr))"""
 POSITIVES = """positives as (select distinct a.l_partkey as source, b.l_partkey as target from lineitem a join lineitem b using (l_orderkey)
   where a.l_partkey % 20 = 0 and a.l_partkey <> b.l_partkey)"""
-NEGATIVES = """negatives as (select source, target from (select distinct source from positives), (select distinct target from positives)
-  where source <> target and (source, target) not in (select (source, target) from positives)
-  order by md5('42|' || source || '|' || target), source, target limit (select 3 * count(*) from positives))"""
+NEGATIVES = """srcs as (select source, row_number() over (order by ('0x' || substr(md5(source::varchar), 1, 8))::bigint % 1024, source) - 1 as i from (select distinct source from positives)),
+  tgts as (select target, row_number() over (order by ('0x' || substr(md5(target::varchar), 1, 8))::bigint % 1024, target) - 1 as i from (select distinct target from positives)),
+  facts as (select (select count(*) from srcs) as s, (select count(*) from tgts) as t, (select count(*) from positives) as p),
+  drawn as (select source, target, min(d) as d from (select d, ('0x' || substr(h, 1, 8))::bigint % s as i, ('0x' || substr(h, 9, 8))::bigint % t as j from
+    (select d, md5('42|' || d) as h from range((select 16 * count(*) from positives)) r(d)), facts) x join srcs on srcs.i = x.i join tgts on tgts.i = x.j group by all),
+  listed as (select source, target, d from drawn, facts where s * t > 16 * p union all
+    select source, target, ('0x' || substr(md5('42|' || source || '|' || target), 1, 8))::bigint from srcs, tgts, facts where s * t <= 16 * p),
+  negatives as (select source, target from listed where source <> target and (source, target) not in (select (source, target) from positives)
+    order by d, source, target limit (select 3 * count(*) from positives))"""
 VECS = "vecs as (select vec_id, label, embedding::double[] as v from embeddings)"
 VPAIRS = """vpairs as (select a.vec_id as source_idx, b.vec_id as target_idx, a.vec_id % 25 as source_id, case when a.label = b.label then 1 else 0 end as label, a.v as a, b.v as b
   from vecs a join vecs b on b.vec_id - a.vec_id between 1 and 20)"""
@@ -66,7 +72,7 @@ GRID = f"""{OOF}, {CAL}, {BASED},
   long as (select based.*, threshold, (abs(b_prob - a_prob) >= threshold)::int as referred, case when abs(b_prob - a_prob) >= threshold then stacked_prob else best_prob end as policy_prob
     from based, (values {", ".join(f"({t!r}::double)" for t in THRESHOLDS)}) t(threshold)),
   grid as (select domain, method, threshold, best_single_model, n, n_positive, n_referred, round(coverage, 6) as coverage,
-    {", ".join(f"round({p}_{m}, 6) as {p}_{m}" for p in ("policy", "best") for m in _M)}, {", ".join(f"round(policy_{m} - best_{m}, 6) as delta_{m}" for m in _M)}
+    {", ".join(f"round({p}_{m}, 6) as {p}_{m}" for p in ("policy", "best") for m in _M)}, {", ".join(f"round(policy_{m} - best_{m}, 6) + 0.0::double as delta_{m}" for m in _M)}
     from (select domain, method, threshold, count(*) as n, sum(label)::bigint as n_positive, sum(referred)::bigint as n_referred, avg(referred) as coverage, any_value(best_single_model) as best_single_model
       from long group by all) join ({summary("long", "domain, method, threshold", "label", "policy_prob", "policy_")}) using (domain, method, threshold)
       join ({summary("based", "domain, method", "label", "best_prob", "best_")}) using (domain, method))"""
@@ -94,8 +100,9 @@ UDEFAULT = f"""select * exclude (fallback) from ({best(relaxed('''select cost, m
 SCHEDULE = f"""select min(cost) as lambda_start, max(cost) as lambda_end, any_value(method) as method, any_value(threshold) as threshold, any_value(rule) as rule,
   round(avg(mean_utility), 6) as mean_utility, round(avg(mean_coverage), 6) as mean_coverage from (select *, sum(new) over (order by cost) as island from
   (select *, case when lag(rule) over (order by cost) = rule then 0 else 1 end as new from (select *, printf('%s@%.2f', method, threshold) as rule from ({UDEFAULT})))) group by island"""
-REPLAY = f"""{OOF}, {CAL}, {BASED}, replay as (select event_id, domain, case when method = 'raw' then 'ranking_first' else 'reliability_first' end as mode, method, label,
+REPLAY_ROWS = """replay as (select event_id, domain, case when method = 'raw' then 'ranking_first' else 'reliability_first' end as mode, method, label,
   case when abs(b_prob - a_prob) >= 0.05::double then stacked_prob else best_prob end as policy_prob, (abs(b_prob - a_prob) >= 0.05::double)::int as referral_flag from based)"""
+REPLAY = f"{OOF}, {CAL}, {BASED}, {REPLAY_ROWS}"
 
 
 def windows(src: str = "replay", sizes=(100, 250, 500), extra: str = "", order: str = "event_id") -> str:
@@ -107,7 +114,7 @@ def windows(src: str = "replay", sizes=(100, 250, 500), extra: str = "", order:
   win as (select *, coverage_alert or performance_alert as any_alert from (select *, case when mode = 'ranking_first' then ranking_alert else reliability_alert end as performance_alert from (
     select *, coalesce(abs(coverage_drift) > 0.2, false) as coverage_alert, coalesce(auc_drop > 0.05, false) as ranking_alert, coalesce(ece_uplift > 0.05, false) as reliability_alert from (
     select window_size, {k}, window_id, n, round(window_auc, 6) as window_auc, round(window_ece, 6) as window_ece, round(window_coverage, 6) as window_coverage, round(baseline_auc - window_auc, 6) as auc_drop,
-      round(window_ece - baseline_ece, 6) as ece_uplift, round((window_coverage - baseline_coverage) / greatest(baseline_coverage, 1e-8), 6) as coverage_drift
+      round(window_ece - baseline_ece, 6) as ece_uplift, round((window_coverage - baseline_coverage) / case when baseline_coverage > 0 then greatest(baseline_coverage, 1e-8) end, 6) as coverage_drift
     from (select window_size, {k}, window_id, count(*) as n, avg(referral_flag) as window_coverage from cut group by all)
       join ({summary("cut", f"window_size, {k}, window_id", "label", "policy_prob", "window_")}) using (window_size, {k}, window_id) join base using (domain, mode)))))"""
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,13 +57,37 @@ def read_matrix(spark: SparkSession, path) -> DataFrame:
     return require_columns(spark.read.parquet(path), ["cell_id", "gene_id", "value"]).select("cell_id", "gene_id", F.col("value").cast("double").alias("value"))
 
 
+def read_mapping(spark: SparkSession, path, key: str, value: str) -> DataFrame:
+    """A mapping kept as a Parquet table of two columns; a key with two values is an error, equal rows count once."""
+    rows = require_columns(spark.read.parquet(path), [key, value]).select(key, value).distinct()
+    once = rows.groupBy(key).agg(F.count("*").alias("_n"), F.first(value).alias(value))
+    message = F.concat(F.lit("several values for "), F.col(key).cast("string"))
+    return once.select(key, F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col(value)).cast(rows.schema[value].dataType).alias(value))
+
+
+def run_catalog(spark: SparkSession, path, keys: tuple[str, ...] = ("domain", "seed")) -> DataFrame:
+    """The runs below a folder that is partitioned by ``keys``: their values, the number of files and their bytes."""
+    files = require_columns(spark.read.parquet(path), keys).select(*keys, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_size").alias("_b")).distinct()
+    return files.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("_b").alias("n_bytes"))
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` joined with ``right`` by a row id; an id that is missing on a side, or is there twice, is an error."""
+    one = lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    both = one(left).withColumnRenamed("_n", "_l").join(one(right).withColumnRenamed("_n", "_r"), key, "full")
+    ok = (F.coalesce("_l", F.lit(0)) == 1) & (F.coalesce("_r", F.lit(0)) == 1)
+    message = F.concat(F.lit("rows don't align at "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = F.when(ok, F.col(key)).otherwise(F.raise_error(message).cast(left.schema[key].dataType))
+    return both.withColumn(key, checked).drop("_l", "_r")
+
+
 def read_layer(spark: SparkSession, path, layer: int) -> DataFrame:
     """One layer of a table of vectors that is partitioned by layer; the others are not read."""
     return spark.read.parquet(path).where(F.col("layer") == layer)
 
 
-def settled(df: DataFrame, name: str = "table") -> DataFrame:
-    """A small table that later queries use several times, written once to the folder that the cluster shares."""
+def settled(df: DataFrame, name: str = "table", small: bool = True) -> DataFrame:
+    """A table that later steps use several times, written once to the folder that the cluster shares; a small one as one file."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -73,7 +97,7 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(1).write.parquet(path)
+    (df.coalesce(1) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,6 +32,17 @@ def ece_of(y: np.ndarray, p: np.ndarray) -> float:
     return float(sum(abs(y[bins == b].sum() - p[bins == b].sum()) for b in np.unique(bins)) / len(y))
 
 
+def alert_of(key: tuple[str, str], auc: float | None, ece: float, coverage: float, baselines: dict, caps: tuple[float, float, float]) -> bool:
+    """The batch operators' alert: rounded values strictly above the caps, an unknown mode by either metric; a key without a baseline is an error."""
+    if key not in baselines:
+        raise ValueError(f"no baseline for {' '.join(key)}")
+    base_auc, base_ece, base_coverage = baselines[key]
+    drift = base_coverage > 0 and abs(round((coverage - base_coverage) / max(base_coverage, 1e-8), 6)) > caps[2]
+    ranking = auc is not None and base_auc is not None and round(base_auc - auc, 6) > caps[0]
+    reliability = round(ece - base_ece, 6) > caps[1]
+    return bool(drift or {"ranking_first": ranking, "reliability_first": reliability}.get(key[1], ranking or reliability))
+
+
 class WindowMonitor(StatefulProcessor):
     """Buffers a key's rows, emits a row per full window, and remembers the last flags."""
 
@@ -51,10 +62,7 @@ class WindowMonitor(StatefulProcessor):
             window, held = held[: self.size], held[self.size :]
             y, p, r = (np.array([w[i] for w in window], float) for i in (1, 2, 3))
             auc, ece, coverage = auroc_of(y, p), ece_of(y, p), float(r.mean())
-            base_auc, base_ece, base_coverage = self.baselines[key]
-            drift = abs((coverage - base_coverage) / max(base_coverage, 1e-8)) > self.caps[2]
-            ranking = auc is not None and base_auc - auc > self.caps[0]
-            alert = bool(drift or (ranking if key[1] == "ranking_first" else ece - base_ece > self.caps[1]))
+            alert = alert_of(key, auc, ece, coverage, self.baselines, self.caps)
             flags = (flags + "01"[alert])[-self.soft[1] :]
             out.append((*key, n_windows, self.size, auc, ece, coverage, alert, flags.endswith("11"), flags.count("1") >= self.soft[0]))
             n_windows += 1
