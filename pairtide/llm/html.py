@@ -5,7 +5,7 @@ adverts and the like are its frame, and the rest is open.  The tokens of all blo
 put in suffix order as far as ``LENGTH`` tokens, which is what finding repeats of that length
 needs: neighbours that agree so far and come from pages of distinct content are a repeat.  The suffix array is never built in one task:
 suffixes are dealt by a hash of the host and their first LENGTH tokens.  Equal suffixes have equal anchors (the smallest hash of
-their ``GRAM``-token windows), and a bit table of the anchors that repeat outside frames keeps all others out of the shuffle.
+their ``GRAM``-token windows), and a bit table of the anchors that occur often enough outside frames keeps all others out of the shuffle.
 
 Frames go; in all other blocks, article or open, the repeats decide.  A page's content is its text outside frames, and pages of a host
 with equal content count once, so an article that a host carries twice is no repeat.  A repeated run is boilerplate
@@ -183,59 +183,90 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def _streams(part: pa.RecordBatch):
-    """The suffixes of LENGTH tokens of some pages: their page, place in its stream, whether a token is outside frames, key, and anchor's hash and place."""
+    """The suffixes of LENGTH tokens of some pages: their page, place in its stream, mark (see :func:`_marks`), key, and anchor's hash and place."""
     lists = part.column("texts")
     of_block = np.asarray(pc.list_parent_indices(lists), np.int64)
     tokens = pc.split_pattern(lists.flatten().cast(pa.large_string()), " ")
     codes, distinct = encode_words(tokens.flatten())
     empty = np.zeros(0, np.int64)
     if len(codes) < LENGTH:
-        return empty, empty, np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty
+        return empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64), empty
     hashes = hash_words(distinct)[codes]
     sizes = np.asarray(pc.list_value_length(tokens), np.int64)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(of_block, weights=sizes, minlength=part.num_rows).astype(np.int64))])
-    open_before = np.concatenate([[0], np.cumsum(np.repeat(np.asarray(part.column("kinds").flatten()) != FRAME, sizes))])
+    kinds = np.repeat(np.asarray(part.column("kinds").flatten()), sizes)
     windows = window_hashes(hashes, LENGTH)
     best, at = anchors(hashes, LENGTH, GRAM)
     ok = np.flatnonzero(starts_of(bounds, LENGTH)[: len(windows)])
+    has = lambda kind: np.diff(np.concatenate([[0], np.cumsum(kinds == kind)])[np.stack([ok, ok + LENGTH])], axis=0)[0] > 0
+    mark = np.where(has(MAIN), MAIN, np.where(has(OPEN), OPEN, FRAME))
     page = rows_of(bounds)[ok]
     host = mix(np.asarray(part.column("host"), np.int64).view(np.uint64))[page]
-    return page, ok - bounds[page], open_before[ok + LENGTH] > open_before[ok], mix(windows[ok] + host), mix(best[ok] ^ host), at[ok]
+    return page, ok - bounds[page], mark, mix(windows[ok] + host), mix(best[ok] ^ host), at[ok]
+
+
+def least(contents):
+    """Contents of a host that must carry a run of its articles: a tenth, three at least."""
+    return np.maximum(3, -(-contents // 10))
+
+
+#: Hosts whose number of contents the tasks know; of the others they only know that a run must occur three times.
+LARGEST_HOSTS = 1 << 16
+
+
+def _large_hosts(hosts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The LARGEST_HOSTS hosts with the most contents, in ascending order, and their needs: four times the binary logarithm of ``least``."""
+    rows = hosts.where("contents > 30").orderBy(F.desc("contents"), "host").limit(LARGEST_HOSTS).collect()
+    rows = np.array(sorted((r.host, r.contents) for r in rows), np.int64).reshape(-1, 2)
+    return rows[:, 0].copy(), np.minimum(63, (4 * np.log2(least(rows[:, 1])) + 1e-9).astype(np.int64)).astype(np.uint8)
+
+
+_LEAST_NEED = int(4 * np.log2(3))
 
 
 def _address(fps: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 31-bit tail of each anchor."""
-    return ((fps >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), (fps & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+    """Bucket and 32-bit tail of each anchor."""
+    return ((fps >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), fps.astype(np.uint32)
 
 
-def repeat_filter(pages: DataFrame) -> tuple[int, int, np.ndarray]:
-    """(buckets, bits, table): a bit table that holds every anchor found at two places or more, one of them outside frames, and a few others.
+def repeat_filter(pages: DataFrame, hosts: DataFrame) -> tuple[int, int, np.ndarray]:
+    """(buckets, bits, table): a bit table that holds the anchors of all suffixes that may be boilerplate, and a few others.
 
-    Only four bytes of an anchor are shuffled, dealt evenly by hash; the places of a very common anchor in a task count
-    as two.  The table has at most 64 MB; at more anchors it lets more others pass, which are told apart later."""
+    An anchor may be one if it is found outside frames, and as often as articles of its host need, or twice and in an open block.
+    Four bytes of an anchor, its count and its host's need are shuffled, dealt evenly by hash.  The table has at most 64 MB;
+    at more anchors it lets more others pass, which are told apart later."""
     total = pages.select(F.sum(F.expr("aggregate(texts, 0L, (n, t) -> n + length(t) - length(replace(t, ' ', '')) + 1)"))).first()[0] or 0
     buckets = min(2048, max(1, total >> 17))
     bits = min(18, max(10, (total // buckets).bit_length() - 1))
+    large = pages.sparkSession.sparkContext.broadcast(_large_hosts(hosts))
 
     def emit(batches):
         def packed(held):
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket, tail = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-            more = np.minimum(n, 2)
-            bucket, raw = np.repeat(bucket, more).astype(np.int64), np.repeat(tail, more)
+            keys, facts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, facts = keys[order], facts[order]
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            n = np.minimum(np.diff(np.append(first, len(keys))), 65535).astype("<u2")
+            keys, facts = keys[first], np.bitwise_or.reduceat(facts, first)  # a key has one host, so one need
+            bucket = (keys >> np.uint64(32)).astype(np.int64)
             at = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            blobs = [raw[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "tails"])
+            columns = [[x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)] for x in (keys.astype("<u4"), n, facts)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "tails", "n", "facts"])
 
+        known, needs = large.value
         held, n = [], 0
         for batch in batches:
             for part in _steps(batch):
-                page, _, outside, _, fps, at = _streams(part)
+                page, _, mark, _, fps, at = _streams(part)
                 if not len(at):
                     continue
+                host = np.asarray(part.column("host"), np.int64)
+                place = np.minimum(np.searchsorted(known, host), max(0, len(known) - 1))
+                need = np.where(known[place] == host, needs[place], _LEAST_NEED) if len(known) else np.full(len(host), _LEAST_NEED)
                 first = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(page, prepend=-1))  # windows that share an anchor follow each other
                 bucket, tail = _address(fps[first], buckets)
-                held.append(bucket.astype(np.uint64) << np.uint64(32) | (tail << np.uint32(1) | np.logical_or.reduceat(outside, first)).astype(np.uint64))
+                found = np.bitwise_or.reduceat(np.array([64, 128, 0], np.uint8)[mark], first)
+                held.append((bucket.astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64), need[page[first]].astype(np.uint8) | found))
                 n += len(first)
                 if n > 4_000_000:
                     yield packed(held)
@@ -244,14 +275,18 @@ def repeat_filter(pages: DataFrame) -> tuple[int, int, np.ndarray]:
             yield packed(held)
 
     def reduce(table: pa.Table) -> pa.Table:
-        raw = np.sort(np.frombuffer(b"".join(table.column("tails").to_pylist()), "<u4"))
-        tails, first, n = np.unique(raw >> np.uint32(1), return_index=True, return_counts=True)
-        outside = (raw[first + n - 1] & np.uint32(1)) == 1
+        tails, n, facts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("tails", "<u4"), ("n", "<u2"), ("facts", np.uint8)))
+        order = np.argsort(tails, kind="stable")
+        first = np.flatnonzero(np.diff(tails[order].astype(np.int64), prepend=-1))
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        facts = facts[order]
+        need, found = np.minimum.reduceat(facts & 63, first), np.bitwise_or.reduceat(facts & 192, first)
+        pick = ((found > 0) & (n >= np.floor(2 ** (need / 4) + 1e-9))) | ((found & 128 > 0) & (n > 1))
         on = np.zeros(1 << bits, np.uint8)
-        on[tails[(n > 1) & outside] & np.uint32((1 << bits) - 1)] = 1
+        on[tails[order][first][pick] & np.uint32((1 << bits) - 1)] = 1
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
-    dealt = pages.select("host", "texts", "kinds").mapInArrow(emit, "bucket int, tails binary")
+    dealt = pages.select("host", "texts", "kinds").mapInArrow(emit, "bucket int, tails binary, n binary, facts binary")
     out = np.zeros((buckets, 1 << (bits - 3)), np.uint8)
     for r in dealt.groupBy("bucket").applyInArrow(reduce, "bucket int, bits binary").toLocalIterator():
         out[r.bucket] = np.frombuffer(r.bits, np.uint8)
@@ -270,51 +305,56 @@ def _steps(batch: pa.RecordBatch):
 
 
 def _passing(part: pa.RecordBatch, buckets: int, bits: int, table: np.ndarray):
-    """Page, place, whether outside frames, and key of the suffixes whose anchor the table holds."""
-    page, place, outside, keys, fps, _ = _streams(part)
+    """Page, place, mark, and key of the suffixes whose anchor the table holds."""
+    page, place, mark, keys, fps, _ = _streams(part)
     bucket, tail = _address(fps, buckets)
     slot = (bucket << bits) + (tail & np.uint32((1 << bits) - 1))
     on = (table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
-    return page[on], place[on], outside[on], keys[on].view(np.int64)
+    return page[on], place[on], mark[on], keys[on].view(np.int64)
 
 
-def repeated_suffixes(pages: DataFrame, known) -> DataFrame:
-    """(key, host, n): the suffixes that ``n`` contents of a host carry, two at least and outside frames somewhere."""
+def repeated_suffixes(pages: DataFrame, hosts: DataFrame, known) -> DataFrame:
+    """(key, host, n, contents): the suffixes that ``n`` of the host's contents carry, enough to be boilerplate in a block where they occur."""
 
     def run(batches):
         for batch in batches:
             for part in _steps(batch):
-                page, _, outside, keys = _passing(part, *known.value)
+                page, _, mark, keys = _passing(part, *known.value)
+                found = np.array([1, 2, 0])[mark]
                 content = np.asarray(part.column("content"), np.int64)[page]
-                order = np.lexsort((~outside, content, keys))
-                first = order[np.flatnonzero(np.diff(keys[order], prepend=0) | np.diff(content[order], prepend=0) | (np.arange(len(order)) == 0))]
-                host = np.asarray(part.column("host"), np.int64)[page[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(host), pa.array(content[first]), pa.array(outside[first])], names=["key", "host", "content", "outside"])
+                order = np.lexsort((content, keys))
+                first = np.flatnonzero(np.diff(keys[order], prepend=0) | np.diff(content[order], prepend=0) | (np.arange(len(order)) == 0))
+                at = order[first]
+                found = np.bitwise_or.reduceat(found[order], first) if len(first) else found
+                host = np.asarray(part.column("host"), np.int64)[page[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(host), pa.array(content[at]), pa.array(found, pa.int32())], names=["key", "host", "content", "found"])
 
-    entries = pages.select("host", "content", "texts", "kinds").mapInArrow(run, "key long, host long, content long, outside boolean")
-    once = entries.groupBy("key", "host", "content").agg(F.max("outside").alias("outside"))
-    return once.groupBy("key", "host").agg(F.count("*").cast("int").alias("n"), F.max("outside").alias("outside")).where("n > 1 and outside").drop("outside")
+    entries = pages.select("host", "content", "texts", "kinds").mapInArrow(run, "key long, host long, content long, found int")
+    once = entries.groupBy("key", "host", "content").agg(F.bit_or("found").alias("found"))
+    counted = once.groupBy("key", "host").agg(F.count("*").cast("int").alias("n"), F.bit_or("found").alias("found")).where("n > 1 and found > 0")
+    enough = F.greatest(F.lit(3), F.ceil(F.col("contents") / 10))
+    return counted.join(hosts, "host").where((F.col("n") >= enough) | (F.col("found") >= 2)).select("key", "host", "n", "contents")
 
 
 def places(pages: DataFrame, known) -> DataFrame:
-    """(row, key, at) of the suffixes outside frames whose anchor repeats."""
+    """(row, key, at) of the suffixes outside frames whose anchor the table holds."""
 
     def run(batches):
         for batch in batches:
             for part in _steps(batch):
-                page, place, outside, keys = _passing(part, *known.value)
+                page, place, mark, keys = _passing(part, *known.value)
                 row = np.asarray(part.column("row"), np.int64)[page]
-                yield pa.RecordBatch.from_arrays([pa.array(x[outside]) for x in (row, keys, place.astype(np.int32))], names=["row", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[mark != FRAME]) for x in (row, keys, place.astype(np.int32))], names=["row", "key", "at"])
 
     return pages.select("row", "host", "texts", "kinds").mapInArrow(run, "row long, key long, at int")
 
 
 def boilerplate(marks: np.ndarray, carriers: dict[int, int], contents: int) -> list[int]:
     """The places whose tokens go: ``carriers`` has the number of contents at each repeated place of a page, ``contents`` that of the host."""
-    least = {OPEN: 2, MAIN: max(3, -(-contents // 10))}
+    enough = {OPEN: 2, MAIN: least(contents)}
     common = max(3, -(-contents // 2))
     out, run = [], []
-    for i in [*sorted(i for i, n in carriers.items() if n >= least[int(marks[i])]), None]:
+    for i in [*sorted(i for i, n in carriers.items() if n >= enough[int(marks[i])]), None]:
         if run and (i is None or i > run[-1] + 1):
             out += [k for k in run if len(run) + LENGTH - 1 < COPIED or carriers[k] >= common]
             run = []
@@ -346,9 +386,9 @@ def extract(pages: DataFrame) -> DataFrame:
     off at the end is dropped, text before it stays.  A null url belongs to the host ''.  Repeated rows, and pages of a host with
     equal text outside frames, don't make each other boilerplate."""
     pages = written(parsed(pages), "pages", compression="zstd")
-    known = pages.sparkSession.sparkContext.broadcast(repeat_filter(pages))
-    hosts = pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
-    repeated = written(repeated_suffixes(pages, known).join(hosts, "host").select("key", "n", "contents"), "repeats")
+    hosts = written(pages.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents")), "hosts")
+    known = pages.sparkSession.sparkContext.broadcast(repeat_filter(pages, hosts))
+    repeated = written(repeated_suffixes(pages, hosts, known).select("key", "n", "contents"), "repeats")
     found = places(pages, known).join(_small(repeated), "key").groupBy("row").agg(F.first("contents").alias("contents"), F.collect_list(F.struct("at", "n")).alias("places"))
     covered = written(found, "places")
 

@@ -544,10 +544,10 @@ def test_repeats_equal_brute_force(spark):
     """Contents and places of every repeated suffix, over hosts with few words, against a dictionary of all of them."""
     rng = random.Random(8)
     block = lambda: " ".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))
-    pages = [(i, f"http://{'abc'[i % 3]}.example/", f"<nav>{block()}</nav><p>{block()}</p><article><p>{block()}</p><p>{block()}</p></article>") for i in range(60)]
-    pages += [(60 + i, *pages[i][1:]) for i in range(5)] + [(70, "http://a.example/", " ".join(f"{k % 977}" for k in range(60_000)))]
+    pages = [(i, f"http://{'abc'[i % 3]}.example/", f"<nav>{block()}</nav><p>{block()}</p><article><p>{block()}</p><p>{block()}</p></article>") for i in range(150)]
+    pages += [(160 + i, *pages[i][1:]) for i in range(5)] + [(170, "http://a.example/", " ".join(f"{k % 977}" for k in range(60_000)))]
     parsed = spark.createDataFrame(html.parsed(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect(), f"page_id long, url string, {html.PARSED}")
-    contents, outside = collections.defaultdict(set), set()
+    contents, outside, opened = collections.defaultdict(set), set(), set()
     for r in parsed.collect():
         tokens = " ".join(r.texts).split(" ")
         marks = html._marks(r.texts, r.kinds)
@@ -556,12 +556,16 @@ def test_repeats_equal_brute_force(spark):
             contents[key].add(r.content)
             if marks[i] != html.FRAME:
                 outside.add(key)
-    want = sorted((k[0], len(c)) for k, c in contents.items() if len(c) > 1 and k in outside)
-    known = spark.sparkContext.broadcast(html.repeat_filter(parsed))
-    got = html.repeated_suffixes(parsed.repartition(3), known)
+            if marks[i] == html.OPEN:
+                opened.add(key)
+    hosts = parsed.groupBy("host").agg(F.countDistinct("content").alias("contents")).cache()
+    total = {r.host: r.contents for r in hosts.collect()}
+    keys = {k for k, c in contents.items() if k in outside and (len(c) >= max(3, -(-total[k[0]] // 10)) or (len(c) > 1 and k in opened))}
+    want = sorted((k[0], len(contents[k])) for k in keys)
+    known = spark.sparkContext.broadcast(html.repeat_filter(parsed, hosts))
+    got = html.repeated_suffixes(parsed.repartition(3), hosts, known)
     assert sorted((r.host, r.n) for r in got.collect()) == want and len(want) > 50
     at = html.places(parsed, known).join(got, "key").groupBy("row").count().collect()
-    keys = {k for k, c in contents.items() if len(c) > 1 and k in outside}
     n = {}
     for r in parsed.collect():
         tokens, marks = " ".join(r.texts).split(" "), html._marks(r.texts, r.kinds)
