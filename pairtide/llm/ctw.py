@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import grouped, text_bytes
-from .text import chunks, encode_words, hash_words, mix, split_words, string_array, sums_by_text
+from .text import chunks, encode_words, from_planes, from_rising_planes, hash_words, mix, planes, rising_planes, split_words, string_array, sums_by_text
 
 DEPTH = 6
 GROUP_BYTES = 8 << 20
@@ -40,27 +40,6 @@ _END = 10
 _END_WORD = hash_words(pa.array(["\n"], pa.large_string()))[0]
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Ascending numbers as differences, byte planes apart, which compress well."""
-    steps = np.diff(values, prepend=values.dtype.type(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
-
-
-def _from_planes(raw, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T)
-    return np.cumsum(steps.view(kind).ravel(), dtype=kind)
-
-
-def _numbers_planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
-
-
-def _numbers_from(raw, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _streams(texts: pa.Array, depth: int):
     """Codes and keys of the byte strings and of the words of each text, with each text's bounds among them.
 
@@ -95,16 +74,18 @@ def _is_in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 def _parts(keys: np.ndarray, grams: bool, depth: int, n_parts: int, hot) -> np.ndarray:
-    """The part of each key: by the nearest context bytes, two or as many as end the hot contexts, or by the word's hash.
+    """The part of each of the sorted keys: by the nearest context bytes, two or as many as end the hot contexts, or by the word's hash.
 
     ``hot[j]``: the hot contexts of j bytes, sorted."""
     if grams:
-        top, at = keys >> np.uint64(8 * (depth - 1)), np.arange(len(keys))
-        for j in range(2, depth):
-            at = at[_is_in(top[at], hot[j])]
-            top[at] = keys[at] >> np.uint64(8 * (depth - j))
-        keys = mix(top)
-    return ((keys >> np.uint64(32)).astype(np.int64) * n_parts >> 32).astype(np.int32)
+        length = np.zeros(len(keys) + 1, np.int8)
+        for j in range(2, depth):  # keys are sorted, so those below a context are a range; hot contexts lie in hot ones
+            shift = np.uint64(8 * (depth + 1 - j))
+            np.add.at(length, np.searchsorted(keys, hot[j] << shift), 1)
+            np.add.at(length, np.searchsorted(keys, (hot[j] + np.uint64(1)) << shift), -1)
+        keys = mix(keys >> np.uint64(8 * (depth - 1)) if not any(map(len, hot)) else keys >> (8 * (depth - 1 - np.cumsum(length[:-1]).astype(np.int64))).astype(np.uint64))
+    parts = (keys >> np.uint64(32)).astype(np.int64) * n_parts >> 32
+    return parts.astype(np.uint16 if n_parts <= 1 << 16 else np.int32)  # short numbers are sorted fastest
 
 
 def hot_contexts(docs: DataFrame, total_bytes: int, depth: int, n_parts: int) -> list[np.ndarray]:
@@ -127,7 +108,10 @@ def hot_contexts(docs: DataFrame, total_bytes: int, depth: int, n_parts: int) ->
     counts = picked.mapInArrow(run, "j long, context long, n long, of long").groupBy("j", "context").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
     every = counts.where("j = 0").agg(F.sum("of")).first()[0] or 0
     found = counts.where((F.col("j") > 0) & (F.col("n") * most > every)).collect()  # fewer than MOST_HOT for each of depth - 2 lengths
-    return [np.sort(np.array([r.context for r in found if r.j == j], np.int64).view(np.uint64)) for j in range(depth)]
+    out = [np.sort(np.array([r.context for r in found if r.j == j], np.int64).view(np.uint64)) for j in range(depth)]
+    for j in range(3, depth):  # a context is only told apart below hot ones
+        out[j] = out[j][_is_in(out[j] >> np.uint64(8), out[j - 1])]
+    return out
 
 
 class _Tally:
@@ -158,7 +142,7 @@ class _Tally:
         cut = np.searchsorted(part[order], np.arange(n_parts + 1))
         for p in np.flatnonzero(np.diff(cut)):
             at = order[cut[p] : cut[p + 1]]
-            yield kind, int(p), _planes(self.keys[at]), _numbers_planes(self.counts[at].astype(np.uint32))
+            yield kind, int(p), rising_planes(self.keys[at]), planes(self.counts[at].astype(np.uint32))
 
 
 def _tally(parts, depth: int) -> tuple[_Tally, _Tally]:
@@ -183,8 +167,8 @@ REQUEST = "gid int, kind int, part int, keys binary, counts binary"
 
 def _gather(table: pa.Table):
     """All keys of a part with their summed counts, and each row's keys as places among them."""
-    rows = [_from_planes(k.as_buffer(), np.uint64) for k in table.column("keys")]
-    counts = np.concatenate([_numbers_from(c.as_buffer(), np.uint32) for c in table.column("counts")])
+    rows = [from_rising_planes(k.as_buffer(), np.uint64) for k in table.column("keys")]
+    counts = np.concatenate([from_planes(c.as_buffer(), np.uint32) for c in table.column("counts")])
     keys, inverse = np.unique(np.concatenate(rows), return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64)
     return keys, total, np.split(inverse, np.cumsum([len(r) for r in rows])[:-1])
@@ -345,7 +329,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
             told = Subtrees(keys, counts, depth, hot).log10(keys, shared.value).astype(np.float32)
         else:
             told = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
-        return pa.table({"gid": table.column("gid"), "kind": table.column("kind"), "part": table.column("part"), "told": pa.array([_numbers_planes(told[r]) for r in rows], pa.binary())})
+        return pa.table({"gid": table.column("gid"), "kind": table.column("kind"), "part": table.column("part"), "told": pa.array([planes(told[r]) for r in rows], pa.binary())})
 
     def settle(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         parts = list(chunks(left, most=STEP_BYTES))
@@ -356,7 +340,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
             each = [s[kind][1].astype(np.uint64) for s in streams]
             keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
             order = np.argsort(_parts(keys, kind == 0, depth, n_parts, hot), kind="stable")
-            told = [_numbers_from(raw.as_buffer(), form) for _, _, raw in sorted((r for r in rows if r[0] == kind), key=lambda r: r[1])]
+            told = [from_planes(raw.as_buffer(), form) for _, _, raw in sorted((r for r in rows if r[0] == kind), key=lambda r: r[1])]
             values = np.empty(len(keys))
             values[order] = np.concatenate(told)
             for out, (codes, _, bounds), at in zip(sums, (s[kind] for s in streams), np.split(inverse, np.cumsum([len(x) for x in each])[:-1]), strict=True):

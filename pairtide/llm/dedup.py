@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import grouped, new_path, remove, text_bytes
-from .text import chunks, encode_words, hash_words, rows_of, split_words, starts_of, string_array, sums_by_text, window_hashes
+from .text import chunks, encode_words, from_planes, from_rising_planes, hash_words, planes, rising_planes, rows_of, split_words, starts_of, string_array, sums_by_text, window_hashes
 
 SIZE, GRAM = 20, 8
 #: Buckets of a run: one for so many bytes of text, between these powers of two.
@@ -234,15 +234,15 @@ REQUEST = "gid int, bucket int, high binary, low binary, doc binary, start binar
 def _requests(gid: int | None, entries, n_buckets: int) -> pa.RecordBatch:
     cut = _cut(entries, n_buckets)
     full = np.flatnonzero(np.diff(cut))
-    parts = [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()) for x in entries]
+    parts = [pa.array([pack(x[cut[b] : cut[b + 1]]) for b in full], pa.binary()) for pack, x in zip((rising_planes, planes, planes, planes), entries, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array([gid] * len(full), pa.int32()), pa.array(full.astype(np.int32)), *parts], names=["gid", "bucket", "high", "low", "doc", "start"])
 
 
 def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """For each entry of a group in this bucket: does its window start earlier in another group or batch?"""
     counts = [len(x.as_buffer()) // 8 for x in table.column("high")]
-    high, low = _numbers(table.column("high"), np.uint64), _numbers(table.column("low"), np.uint32)
-    doc, start = _numbers(table.column("doc"), np.int64), _numbers(table.column("start"), np.int32)
+    kinds = (("high", from_rising_planes, np.uint64), ("low", from_planes, np.uint32), ("doc", from_planes, np.int64), ("start", from_planes, np.int32))
+    high, low, doc, start = (np.concatenate([read(x.as_buffer(), kind) for x in table.column(c)]) for c, read, kind in kinds)
     order = np.lexsort((start, doc, low, high))
     h, w = high[order], low[order]
     new = np.ones(len(order), bool)

@@ -80,12 +80,6 @@ def encode_words(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(coded.indices, np.int64), coded.dictionary
 
 
-def hash_words(distinct: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, seed) for w in distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
-
-
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,6 +92,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longer words are hashed one by one; the sums below are only as good as a hash while words are short.
+LONG_WORD = 256
+_POWERS = np.cumprod(np.full(LONG_WORD, mix(np.array([3], np.uint64))[0] | np.uint64(1)), dtype=np.uint64)
+
+
+def hash_words(distinct: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes as a polynomial, mixed with its length."""
+    data, bounds = raw_bytes(distinct.cast(pa.large_string()))
+    sizes = np.diff(bounds)
+    start = np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    out = mix(sizes.astype(np.uint64) + start)
+    short = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    if len(short) < len(sizes):
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[i] = xxhash.xxh64_intdigest(data[bounds[i] : bounds[i + 1]].tobytes(), seed)
+        if not len(short):
+            return out
+        at = np.repeat(bounds[short] - np.concatenate([[0], np.cumsum(sizes[short])[:-1]]), sizes[short]) + np.arange(sizes[short].sum())
+        data, sizes = data[at], sizes[short]
+    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    terms = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[np.arange(len(data)) - np.repeat(firsts, sizes)]
+    out[short] = mix(np.add.reduceat(terms, firsts) + out[short])
+    return out
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, which compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(raw, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def rising_planes(values: np.ndarray) -> bytes:
+    """Ascending numbers as the byte planes of their differences."""
+    return planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def from_rising_planes(raw, kind) -> np.ndarray:
+    return np.cumsum(from_planes(raw, kind), dtype=kind)
+
+
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of each ``size`` consecutive entries: a polynomial in an odd base, built by doubling."""
     if len(hashes) < size:
