@@ -20,7 +20,7 @@ SLICES = 32
 EDGES = [float(x) for x in np.linspace(0.0, 1.0, 11)]
 
 
-def _slice(x: Column) -> Column:
+def score_slice(x: Column) -> Column:
     """A number that rises with x: SLICES for each power of two, so scores near zero and large ones are cut as finely as others.
 
     The logarithm may be off by one at a power of two; the mantissa makes up for it."""
@@ -35,13 +35,12 @@ def _counted(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.where(finite(F.col(score)) & F.col(label).isNotNull())
 
 
-def _by_score(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
-    """(groups, score, pos, neg, pos_below, neg_below): one row per distinct score with the totals of smaller ones."""
-    points = _counted(df, label, score).groupBy(*groups, F.col(score).alias("_x")).agg(
-        F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1.0 - F.col(label).cast("double")).alias("neg")
-    )
+def _by_score(df: DataFrame, groups: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
+    """(groups, score, pos, neg, pos_below, neg_below): one row per distinct score with the totals of smaller ones; ``weight``: how often a row counts."""
+    y, w = F.col(label).cast("double"), F.col(weight).cast("double") if weight else F.lit(1.0)
+    points = _counted(df, label, score).groupBy(*groups, F.col(score).alias("_x")).agg(F.sum(y * w).alias("pos"), F.sum((1.0 - y) * w).alias("neg"))
     whole = Window.partitionBy(*groups)
-    points = points.withColumn("_s", _slice(F.col("_x")))
+    points = points.withColumn("_s", score_slice(F.col("_x")))
     slices = points.groupBy(*groups, "_s").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     before = whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(*groups, "_s", F.coalesce(F.sum("_pos").over(before), F.lit(0.0)).alias("_pos_before"), F.coalesce(F.sum("_neg").over(before), F.lit(0.0)).alias("_neg_before"))
@@ -56,9 +55,9 @@ def _by_score(df: DataFrame, groups: list[str], label: str, score: str) -> DataF
     )
 
 
-def auroc(df: DataFrame, groups: list[str], label: str, score: str, name: str = "auroc") -> DataFrame:
+def auroc(df: DataFrame, groups: list[str], label: str, score: str, name: str = "auroc", weight: str | None = None) -> DataFrame:
     """Area under the ROC curve, ties counting a half; NULL for a group with one class."""
-    points = _by_score(df, groups, label, score)
+    points = _by_score(df, groups, label, score, weight)
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     return points.groupBy(*groups).agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias(name))
 
@@ -128,9 +127,9 @@ def correlations(df: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*groups).agg(F.count("*").alias("n"), corr(x, y).alias("pearson"), corr("_rx", "_ry").alias("spearman"))
 
 
-def summary(df: DataFrame, groups: list[str], label: str, score: str, prefix: str = "") -> DataFrame:
+def summary(df: DataFrame, groups: list[str], label: str, score: str, prefix: str = "", weight: str | None = None) -> DataFrame:
     """auc, ece and brier of each group, all from the counts by distinct score; a group without a finite score has no row."""
-    points = _by_score(df, groups, label, score)
+    points = _by_score(df, groups, label, score, weight)
     x, n = F.col("score"), F.col("pos") + F.col("neg")
     bins = points.groupBy(*groups, bin_left(x).alias("_b")).agg(
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum(x * n).alias("_x"),

@@ -1,51 +1,110 @@
-"""Cross-validated scorers.  Each task gets the rows of one (group, repeat), fits its folds in numpy and returns predictions.
+"""Cross-validated scorers.
 
 The logistic model minimises the weighted log loss plus half the squared norm of the slopes (C = 1,
 balanced classes, standardised features), whose optimum is unique; Newton's method stops on the gradient.
+All fits of a design (groups, repeats, folds, models) are done together: a step is one aggregation of
+gradients and Hessians by fit, so no group has to fit into a task.  Isotonic fits take one (group, repeat) in a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.scalars import six
+from ..sources.tables import settled
 from .resample import permuted, stratified_folds
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, scale: bool = True, steps: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, deviation, coefficients with the intercept last)."""
-    mean, sd = (x.mean(axis=0), x.std(axis=0)) if scale else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    sd = np.where(sd > 0, sd, 1.0)
-    z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
-    n, pos = len(y), y.sum()
-    w = np.where(y == 1, n / (2 * max(pos, 1)), n / (2 * max(n - pos, 1)))
-    penalty = np.append(np.ones(x.shape[1]), 0.0)
-    beta = np.zeros(z.shape[1])
-
-    def loss(b):
-        m = z @ b
-        return (w * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * (penalty * b * b).sum()
-
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-(z @ beta)))
-        gradient = z.T @ (w * (p - y)) + penalty * beta
-        if np.abs(gradient).max() < 1e-9 * n:
+STEPS = 60
+
+
+def _at(beta: str, width: int) -> Column:
+    """The linear predictor of a row joined with its fit."""
+    terms = [(F.col("x")[i] - F.col("mean")[i]) / F.col("sd")[i] * F.col(beta)[i] for i in range(width)]
+    return sum(terms, F.col(beta)[width])
+
+
+def _solve(width: int):
+    """One Newton step for each fit; a step that raised the loss is halved instead."""
+    upper = np.triu_indices(width + 1)
+    penalty = np.append(np.ones(width), 0.0)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                beta, best, direction = (np.array(v, float) for v in (r.beta, r.best, r.direction))
+                loss = r.sum_loss + 0.5 * (penalty * beta * beta).sum()
+                gradient, done = np.array(r.gradient) + penalty * beta, False
+                if loss <= r.loss + 1e-12 * abs(loss):
+                    hessian = np.zeros((width + 1, width + 1))
+                    hessian[upper] = r.hessian
+                    hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty + 1e-12)
+                    best, least, direction = beta, loss, np.linalg.solve(hessian, gradient)
+                    done = bool(np.abs(gradient).max() < 1e-9 * r.n)
+                else:
+                    least, direction = r.loss, direction / 2
+                    done = bool(np.abs(direction).max() < 1e-12)
+                rows.append((best if done else best - direction, best, direction, least, done))
+            yield pdf.drop(columns=["gradient", "hessian", "sum_loss"]).assign(**{c: [list(v) if isinstance(v, np.ndarray) else v for v in column] for c, column in zip(("beta", "best", "direction", "loss", "done"), zip(*rows, strict=True), strict=True)})
+
+    return run
+
+
+def fit_logistics(rows: DataFrame, keys: list[str], width: int, scale: bool = True) -> DataFrame:
+    """(keys, mean, sd, beta with the intercept last) for each fit in ``rows`` (keys, y, x with ``width`` features); a constant feature gets no weight."""
+    sd = lambda i: F.stddev_pop(F.col("x")[i])
+    state = rows.groupBy(*keys).agg(
+        F.count("*").cast("double").alias("n"), F.sum("y").alias("pos"),
+        F.array(*[F.avg(F.col("x")[i]) if scale else F.lit(0.0) for i in range(width)]).alias("mean"),
+        F.array(*[F.when(sd(i) > 1e-12, sd(i)).otherwise(1.0) if scale else F.lit(1.0) for i in range(width)]).alias("sd"),
+    )
+    zero = F.array_repeat(F.lit(0.0), width + 1)
+    state = state.select("*", zero.alias("beta"), zero.alias("best"), zero.alias("direction"), F.lit(float("inf")).alias("loss"), F.lit(False).alias("done"))
+    active, ended = settled(state, "fits"), []
+    y, n, pos, m = F.col("y"), F.col("n"), F.col("pos"), F.col("_m")
+    weight = F.when(y == 1, n / (2 * F.greatest(pos, F.lit(1.0)))).otherwise(n / (2 * F.greatest(n - pos, F.lit(1.0))))
+    z = [F.col(f"_z{i}") for i in range(width)] + [F.lit(1.0)]
+    for _ in range(STEPS):
+        # the state is read from a table, so its size is known when the join is chosen
+        at = rows.join(active.select(*keys, "n", "pos", "mean", "sd", "beta"), keys).select(
+            *keys, "y", weight.alias("_w"), _at("beta", width).alias("_m"), *[((F.col("x")[i] - F.col("mean")[i]) / F.col("sd")[i]).alias(f"_z{i}") for i in range(width)]
+        ).withColumn("_p", 1 / (1 + F.exp(-m)))
+        residual, curve = F.col("_w") * (F.col("_p") - y), F.col("_w") * F.col("_p") * (1 - F.col("_p"))
+        sums = at.groupBy(*keys).agg(
+            F.sum(F.col("_w") * (F.log1p(F.exp(-F.abs(m))) + F.greatest(m, F.lit(0.0)) - y * m)).alias("sum_loss"),
+            F.array(*[F.sum(residual * z[i]) for i in range(width + 1)]).alias("gradient"),
+            F.array(*[F.sum(curve * z[i] * z[j]) for i in range(width + 1) for j in range(i, width + 1)]).alias("hessian"),
+        )
+        stepped = settled(active.join(sums, keys).mapInPandas(_solve(width), active.schema), "fits")
+        ended.append(stepped.where("done"))
+        active = stepped.where("not done")
+        if active.isEmpty():
             break
-        hessian = (z * (w * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-12)
-        step, size = np.linalg.solve(hessian, gradient), 1.0
-        while size > 1e-6 and loss(beta - size * step) > loss(beta):
-            size /= 2
-        beta = beta - size * step
-    return mean, sd, beta
+    else:
+        ended.append(active)
+    out = ended[0]
+    for more in ended[1:]:
+        out = out.unionByName(more)
+    return out.select(*keys, "mean", "sd", F.col("best").alias("beta"))
+
+
+def predict_logistics(rows: DataFrame, fits: DataFrame, keys: list[str], width: int, name: str = "p") -> DataFrame:
+    """``rows`` (keys, x, ...) with the probability by their fit; NULL without one."""
+    return rows.join(fits, keys, "left").withColumn(name, 1 / (1 + F.exp(-_at("beta", width)))).drop("mean", "sd", "beta")
+
+
+def _numbers(columns: list[str], width: int) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in columns], *[F.lit(0.0)] * (width - len(columns)))
 
 
-def predict_logistic(model, x: np.ndarray) -> np.ndarray:
-    mean, sd, beta = model
-    return 1 / (1 + np.exp(-(((x - mean) / sd) @ beta[:-1] + beta[-1])))
+def _others(folds: int, own: str) -> Column:
+    """The folds that a row is not in."""
+    return F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(own))
 
 
 def fit_isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,41 +134,19 @@ def _folds_of(pdf: pd.DataFrame):
         yield fold != f, fold == f
 
 
-def _cross(pdf: pd.DataFrame, features: list[str], label: str) -> np.ndarray:
-    x, y = pdf[features].to_numpy(float), pdf[label].to_numpy(float)
-    out = np.full(len(pdf), np.nan)
-    for train, test in _folds_of(pdf):
-        out[test] = predict_logistic(fit_logistic(x[train], y[train]), x[test])
-    return out
-
-
-def _inner_folds(y: np.ndarray, k: int) -> np.ndarray:
-    """Folds by turns within each class; rows are in key order."""
-    fold = np.zeros(len(y), int)
-    for c in (0, 1):
-        at = np.flatnonzero(y == c)
-        fold[at] = np.arange(len(at)) % max(2, min(k, len(at)))
-    return fold
-
-
 def cross_predict(df: DataFrame, groups: list[str], key: str, label: str, models: dict[str, list[str]], folds: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
     """(groups, key, label) with one column of out-of-fold probabilities for each model (name: features), averaged over repeats.
 
     Groups that can't be folded get NULL."""
     columns = sorted({c for fs in models.values() for c in fs})
-    dealt = stratified_folds(df.select(*groups, key, label, *columns), groups, key, label, folds, repeats, seed)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        out = pdf[[*groups, "rep", key, label]].copy()
-        for name, fs in models.items():
-            out[name] = _cross(pdf, fs, label)
-        return out
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in groups), "rep int", f"`{key}` {kinds[key]}", f"`{label}` {kinds[label]}", *(f"`{m}` double" for m in models)])
-    each = dealt.groupBy(*groups, "rep").applyInPandas(run, schema)
-    return each.groupBy(*groups, key, label).agg(*[F.avg(F.when(~F.isnan(m), F.col(m))).alias(m) for m in models])
+    width = max(len(fs) for fs in models.values())
+    dealt = settled(stratified_folds(df.select(*groups, key, label, *columns), groups, key, label, folds, repeats, seed), "folds", small=False)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), _numbers(fs, width).alias("x")) for name, fs in models.items()]))
+    long = dealt.select(*groups, "rep", key, label, "fold", F.col(label).cast("double").alias("y"), each.alias("_e")).select("*", "_e.model", "_e.x").drop("_e")
+    keys = [*groups, "rep", "model", "held"]
+    fits = fit_logistics(long.where("fold is not null").withColumn("held", F.explode(_others(folds, "fold"))).select(*keys, "y", "x"), keys, width)
+    told = predict_logistics(long.withColumnRenamed("fold", "held"), fits, keys, width)
+    return told.groupBy(*groups, key, label).agg(*[F.avg(F.when(F.col("model") == m, F.col("p"))).alias(m) for m in models])
 
 
 def calibrate(df: DataFrame, groups: list[str], key: str, label: str, score: str, method: str, folds: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
@@ -119,10 +156,15 @@ def calibrate(df: DataFrame, groups: list[str], key: str, label: str, score: str
     if method == "raw":
         return df.select(*groups, key, label, score, F.col(score).alias("calibrated"))
     dealt = stratified_folds(df.select(*groups, key, label, score), groups, key, label, folds, repeats, seed)
+    if method == "platt":
+        keys = [*groups, "rep", "held"]
+        rows = settled(dealt, "folds", small=False).withColumn("y", F.col(label).cast("double")).withColumn("x", _numbers([score], 1))
+        held = F.when(F.col("fold").isNull(), F.array(F.lit(-1))).otherwise(_others(folds, "fold"))
+        fits = fit_logistics(rows.withColumn("held", F.explode(held)).select(*keys, "y", "x"), keys, 1, scale=False)
+        told = predict_logistics(rows.withColumn("held", F.coalesce("fold", F.lit(-1))), fits, keys, 1)
+        return told.groupBy(*groups, key, label, score).agg(F.avg("p").alias("calibrated"))
 
     def fitted(x, y, at):
-        if method == "platt":
-            return predict_logistic(fit_logistic(x[:, None], y, scale=False), at[:, None])
         return predict_isotonic(fit_isotonic(x, y), at)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,39 +185,36 @@ def calibrate(df: DataFrame, groups: list[str], key: str, label: str, score: str
 def stacked(df: DataFrame, groups: list[str], key: str, label: str, base: list[str], a: list[str], b: list[str], folds: int = 5, repeats: int = 1, inner: int = 5, seed: int = 42, with_base: bool = True) -> DataFrame:
     """Nested stacking: outer folds hold out rows; inside each, out-of-fold scores of models A and B (and the baseline features) train the stack.
 
-    One task per (group, repeat, outer fold); each key needs its group's rows, so they are replicated once per fold."""
-    columns = sorted({*base, *a, *b})
-    dealt = stratified_folds(df.select(*groups, key, label, *columns), groups, key, label, folds, repeats, seed)
-    outer = dealt.where("fold is not null").withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    names = ["base_prob", "model_a_prob", "model_b_prob", "stacked_prob", "stacked_plain_prob"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        held, fold = int(pdf["held"].iloc[0]), pdf["fold"].to_numpy()
-        train, test = fold != held, fold == held
-        y = pdf[label].to_numpy(float)
-        if not test.any() or len(np.unique(y[train])) < 2:
-            return pd.DataFrame(columns=[*groups, "rep", key, label, *names])
-        parts = {n: pdf[c].to_numpy(float) for n, c in (("base", base), ("a", a), ("b", b))}
-        models = {n: fit_logistic(x[train], y[train]) for n, x in parts.items()}
-        scores = {n: predict_logistic(models[n], x[test]) for n, x in parts.items()}
-        inner_fold, oof = _inner_folds(y[train], inner), {}
-        for n in ("a", "b"):
-            x, p = parts[n][train], np.zeros(train.sum())
-            for f in np.unique(inner_fold):
-                m = inner_fold == f
-                p[m] = predict_logistic(fit_logistic(x[~m], y[train][~m]), x[m])
-            oof[n] = p
-        probs, held_probs = np.column_stack([oof["a"], oof["b"]]), np.column_stack([scores["a"], scores["b"]])
-        plain = predict_logistic(fit_logistic(probs, y[train]), held_probs)
-        full = predict_logistic(fit_logistic(np.column_stack([probs, parts["base"][train]]), y[train]), np.column_stack([held_probs, parts["base"][test]]))
-        out = pdf.loc[test, [*groups, "rep", key, label]].copy()
-        return out.assign(base_prob=scores["base"], model_a_prob=scores["a"], model_b_prob=scores["b"], stacked_prob=full if with_base else plain, stacked_plain_prob=plain)
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in groups), "rep int", f"`{key}` {kinds[key]}", f"`{label}` {kinds[label]}", *(f"{n} double" for n in names)])
-    each = outer.groupBy(*groups, "rep", "held").applyInPandas(run, schema)
-    return each.groupBy(*groups, key, label).agg(*[F.avg(n).alias(n) for n in names])
+    Inner folds are dealt once, by another hash, and hold inside all outer folds.  Groups that can't be folded have no rows."""
+    columns, width = sorted({*base, *a, *b}), max(len(base), len(a), len(b))
+    rows = df.select(*groups, key, label, *columns)
+    dealt = stratified_folds(rows, groups, key, label, folds, repeats, seed).where("fold is not null").withColumnRenamed("fold", "outer_fold")
+    nested = stratified_folds(rows.select(*groups, key, label), groups, key, label, inner, repeats, seed + 1).select(*groups, "rep", key, F.col("fold").alias("inner_fold"))
+    dealt = settled(dealt.join(nested, [*groups, "rep", key]).withColumn("y", F.col(label).cast("double")), "folds", small=False)
+    ids = [*groups, "rep", key, label]
+    parts = {"base": base, "a": a, "b": b}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), _numbers(fs, width).alias("x")) for m, fs in parts.items()])).alias("_e")
+    long = dealt.select(*ids, "y", "outer_fold", "inner_fold", each).select("*", "_e.model", "_e.x").drop("_e")
+
+    # a fit is named by its held-out outer fold and inner fold; inner -1: all the others' rows, which scores the held-out ones
+    keys = [*groups, "rep", "model", "held", "inner"]
+    within = F.when(F.col("model") == "base", F.array(F.lit(-1))).otherwise(F.concat(F.array(F.lit(-1)), _others(inner, "inner_fold")))
+    taught = long.withColumn("held", F.explode(_others(folds, "outer_fold"))).withColumn("inner", F.explode(within))
+    fits = settled(fit_logistics(taught.select(*keys, "y", "x"), keys, width), "fits")
+    asked = long.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("inner", F.when(F.col("held") == F.col("outer_fold"), -1).otherwise(F.col("inner_fold")))
+    scores = predict_logistics(asked, fits, keys, width).groupBy(*ids, "held").agg(*[F.max(F.when(F.col("model") == m, F.col("p"))).alias(f"_{m}") for m in parts])
+    scores = settled(scores.join(dealt.select(*groups, "rep", key, "y", "outer_fold", *base), [*groups, "rep", key]), "scores", small=False)
+
+    full = 2 + len(base)
+    stacks = F.explode(F.array(F.struct(F.lit("plain").alias("model"), _numbers(["_a", "_b"], full).alias("x")), F.struct(F.lit("full").alias("model"), _numbers(["_a", "_b", *base], full).alias("x")))).alias("_e")
+    stack = scores.select(*ids, "y", "held", "outer_fold", "_base", "_a", "_b", stacks).select("*", "_e.model", "_e.x").drop("_e")
+    keys = [*groups, "rep", "model", "held"]
+    fits = fit_logistics(stack.where("held <> outer_fold").select(*keys, "y", "x"), keys, full)
+    told = predict_logistics(stack.where("held = outer_fold"), fits, keys, full)
+    of = lambda m: F.avg(F.when(F.col("model") == m, F.col("p")))
+    return told.groupBy(*groups, key, label).agg(
+        F.avg("_base").alias("base_prob"), F.avg("_a").alias("model_a_prob"), F.avg("_b").alias("model_b_prob"), of("full" if with_base else "plain").alias("stacked_prob"), of("plain").alias("stacked_plain_prob")
+    )
 
 
 def guarded_auroc(df: DataFrame, groups: list[str], label: str, scores: list[str]) -> DataFrame:

@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from ..functions import metrics
 from ..functions.scalars import hash_number, six
 
 
+def _in_slices(df: DataFrame, groups: list[str], part: Column, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's number, from 0, in its group by ``part`` and ``order``.
+
+    Rows are numbered inside slices (groups, part) and moved up by what the slices before hold, so a large group is not one task."""
+    df = df.withColumn("_s", part)
+    before = Window.partitionBy(*groups).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*groups, "_s").agg(F.count("*").alias("_c"))
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in (*groups, "_s")], F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*groups, "_s")]
+    numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*groups, "_s").orderBy(*order)) - 1)
+    return numbered.join(sizes, same).withColumn(name, F.col(name) + F.col("_before")).drop(*sizes.columns, "_s")
+
+
 def _numbered(df: DataFrame, groups: list[str], key: str) -> DataFrame:
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*groups).orderBy(key)) - 1)
+    """Rows numbered in the order of a key; keys that are no numbers are one slice."""
+    part = metrics.score_slice(F.col(key).cast("double")) if isinstance(df.schema[key].dataType, NumericType) else F.lit(0)
+    return _in_slices(df, groups, part, [F.col(key)], "_i")
+
+
+def _hash_order(df: DataFrame, groups: list[str], seed: int, rep: str, key: str, name: str) -> DataFrame:
+    """Rows numbered in the order of their hashes, 256 slices of them a group."""
+    df = df.withColumn("_h", hash_number(seed, F.col(rep), F.col(key)))
+    return _in_slices(df, groups, F.shiftright("_h", 24), [F.col("_h"), F.col(key)], name).drop("_h")
 
 
 def draws(df: DataFrame, groups: list[str], key: str, repeats: int, seed: int = 42) -> DataFrame:
@@ -18,26 +41,17 @@ def draws(df: DataFrame, groups: list[str], key: str, repeats: int, seed: int =
     Draw d of a repeat takes row hash(seed, rep, key of row d) mod n of its group, so every row makes one draw."""
     total = df.groupBy(*groups).agg(F.count("*").alias("_n"))
     rows = _numbered(df.select(*groups, key), groups, key)
-    hits = rows.join(F.broadcast(total), groups).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    hits = rows.join(total, groups).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     hits = hits.groupBy(*groups, "rep", (hash_number(seed, F.col("rep"), F.col(key)) % F.col("_n")).cast("int").alias("_i")).agg(F.count("*").alias("w"))
     return hits.join(rows, [*groups, "_i"]).select(*groups, "rep", key, "w")
 
 
-def weighted_auroc(df: DataFrame, groups: list[str], label: str, score: str, weight: str, name: str) -> DataFrame:
-    """AUROC of rows with counts; NULL for one class."""
-    y, w = F.col(label).cast("double"), F.col(weight).cast("double")
-    points = df.groupBy(*groups, F.col(score).alias("_x")).agg(F.sum(y * w).alias("_p"), F.sum((1 - y) * w).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    points = points.withColumn("_b", below)
-    return points.groupBy(*groups).agg((F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)) / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias(name))
-
-
 def bootstrap_auroc(df: DataFrame, groups: list[str], key: str, label: str, scores: list[str], repeats: int, seed: int = 42) -> DataFrame:
     """(groups, rep) with the AUROC of every score in each repeat."""
     drawn = df.join(draws(df, groups, key, repeats, seed), [*groups, key])
     keys, out = [*groups, "rep"], None
     for s in scores:
-        one = weighted_auroc(drawn, keys, label, s, "w", f"auc_{s}")
+        one = metrics.auroc(drawn, keys, label, s, f"auc_{s}", "w")
         out = one if out is None else out.join(one, keys)
     return out
 
@@ -50,12 +64,26 @@ def interval(df: DataFrame, groups: list[str], column: str, name: str) -> DataFr
     )
 
 
+def bootstrap_deltas(df: DataFrame, groups: list[str], key: str, label: str, score: str, reference: str, repeats: int, seed: int = 42) -> DataFrame:
+    """Intervals of the differences in AUROC, ECE and Brier score between two scores of the same rows, drawn together."""
+    keys = [*groups, "rep"]
+    drawn = df.select(*groups, key, label, score, reference).join(draws(df, groups, key, repeats, seed), [*groups, key])
+    long = drawn.select(*keys, label, "w", F.explode(F.array(F.struct(F.lit(1).alias("_m"), F.col(score).alias("_p")), F.struct(F.lit(-1).alias("_m"), F.col(reference).alias("_p")))).alias("_e")).select(*keys, label, "w", "_e.*")
+    each = metrics.summary(long, [*keys, "_m"], label, "_p", "", "w")
+    both = lambda c: F.when(F.count(c) == 2, F.sum(F.col("_m") * F.col(c)))
+    deltas = each.groupBy(*keys).agg(*[both(c).alias(c) for c in ("auc", "ece", "brier")])
+    out = None
+    for c in ("auc", "ece", "brier"):
+        one = interval(deltas, groups, c, f"delta_{c}")
+        out = one if out is None else out.join(one.drop("n_repeats"), groups)
+    return out
+
+
 def permuted(df: DataFrame, groups: list[str], key: str, columns: list[str], repeats: int, seed: int = 42) -> DataFrame:
     """``df`` once per repeat with ``columns`` dealt anew among a group's rows: values in key order go to rows in hash order."""
     taken = _numbered(df, groups, key).select(*groups, "_i", *columns)
     rows = df.drop(*columns).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy(*groups, "rep").orderBy(hash_number(seed, F.col("rep"), F.col(key)), key)
-    return rows.withColumn("_i", F.row_number().over(order) - 1).join(taken, [*groups, "_i"]).drop("_i")
+    return _hash_order(rows, [*groups, "rep"], seed, "rep", key, "_i").join(taken, [*groups, "_i"]).drop("_i")
 
 
 def shuffled_order(df: DataFrame, key: str, repeats: int, seed: int = 42) -> DataFrame:
@@ -77,7 +105,6 @@ def stratified_folds(df: DataFrame, groups: list[str], key: str, label: str, fol
     The number of folds is the smallest of ``folds`` and the group's class sizes; a group in which it is below 2 gets NULL."""
     rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     sizes = df.groupBy(*groups).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    order = Window.partitionBy(*groups, "rep", label).orderBy(hash_number(seed, F.col("rep"), F.col(key)), key)
     k = F.least(F.lit(folds), F.col("_p"), F.col("_n") - F.col("_p"))
-    dealt = rows.withColumn("_r", F.row_number().over(order) - 1).join(F.broadcast(sizes), groups)
+    dealt = _hash_order(rows, [*groups, "rep", label], seed, "rep", key, "_r").join(sizes, groups)
     return dealt.withColumn("fold", F.when(k >= 2, (F.col("_r") % k).cast("int"))).drop("_r", "_p", "_n")

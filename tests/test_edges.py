@@ -81,7 +81,7 @@ def test_metrics_leave_out_missing_scores(spark):
 def test_score_slices_rise_and_are_fine(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.random(3000), rng.random(500) * 1e-6, rng.normal(size=1000) * 1e4, 2.0 ** np.arange(-40, 40), np.nextafter(2.0 ** np.arange(-40, 40), 0), [0.0, -0.0, 5e-324, 1e308, -1e308]])
-    got = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", metrics._slice(F.col("x")).alias("s")).toPandas().sort_values("x")
+    got = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", metrics.score_slice(F.col("x")).alias("s")).toPandas().sort_values("x")
     assert (np.diff(got.s) >= 0).all()
     share = lambda part: part.s.value_counts().max() / len(part)
     assert share(got[(got.x > 100) & (got.x < 1e5)]) < 0.05 and share(got[(got.x > 0) & (got.x < 1e-6)]) < 0.1

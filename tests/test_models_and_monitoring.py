@@ -15,18 +15,48 @@ from pairtide.streaming import monitor as stream
 SF = "/root/testdata/sf0.001"
 
 
-def test_logistic_is_at_the_optimum():
+def test_logistic_is_at_the_optimum(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 3)) * [1, 10, 0.1]
     y = (x[:, 0] + rng.normal(size=200) > 0.8).astype(float)
-    mean, sd, beta = models.fit_logistic(x, y)
-    z = np.column_stack([(x - mean) / sd, np.ones(200)])
-    w = np.where(y == 1, 100 / y.sum(), 100 / (200 - y.sum()))
-
-    def loss(b):
-        return (w * (np.logaddexp(0, z @ b) - y * (z @ b))).sum() + 0.5 * (b[:-1] ** 2).sum()
-
-    assert all(loss(beta) <= loss(beta + d) for d in rng.normal(size=(50, 4)) * 0.01)
+    easy = (x[:, 1] > 0).astype(float)  # separable
+    data = [(g, float(t), [*map(float, r), 7.0]) for g, labels in (("noisy", y), ("easy", easy), ("one class", np.ones(200))) for r, t in zip(x, labels, strict=True)]
+    fits = {r.g: r for r in models.fit_logistics(spark.createDataFrame(data, "g string, y double, x array<double>"), ["g"], 4).collect()}
+    assert len(fits) == 3 and fits["one class"].beta[4] > 10
+    for g, labels in (("noisy", y), ("easy", easy)):
+        mean, sd, beta = (np.array(v) for v in (fits[g].mean, fits[g].sd, fits[g].beta))
+        assert beta[3] == 0  # a constant feature
+        z = np.column_stack([(x - mean[:3]) / sd[:3], np.ones(200)])
+        w = np.where(labels == 1, 100 / labels.sum(), 100 / (200 - labels.sum()))
+        p = 1 / (1 + np.exp(-(z @ beta[[0, 1, 2, 4]])))
+        assert np.allclose(sd[:3], x.std(axis=0)) and np.abs(z.T @ (w * (p - labels)) + np.append(beta[:3], 0)).max() < 1e-6
+
+
+def test_numbers_by_slices_are_those_of_one_window(spark):
+    rng = np.random.default_rng(2)
+    keys = [int(k) for k in rng.choice(10**6, 500, replace=False)]
+    df = spark.createDataFrame([(g, k) for k in keys for g in ("a", None)], "g string, k long")
+    got = resample._numbered(df, ["g"], "k").collect()
+    place = {k: i for i, k in enumerate(sorted(keys))}
+    assert len(got) == 1000 and all(r._i == place[r.k] for r in got)
+
+
+def test_cross_prediction_equals_fits_by_hand(spark, scored):
+    df = scored.where("domain = 'd1'").select("domain", "event_id", "label", "a_prob", "base_prob")
+    got = models.cross_predict(df, ["domain"], "event_id", "label", {"one": ["a_prob"], "two": ["a_prob", "base_prob"]}, 3).toPandas().set_index("event_id")
+    rows = resample.stratified_folds(df, ["domain"], "event_id", "label", 3).toPandas()
+    for name, columns in (("one", ["a_prob"]), ("two", ["a_prob", "base_prob"])):
+        train, test = rows[rows.fold != 1], rows[rows.fold == 1]
+        x, y = train[columns].to_numpy(float), train["label"].to_numpy(float)
+        z, beta = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(len(x))]), np.zeros(len(columns) + 1)
+        w, penalty = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))), np.append(np.ones(len(columns)), 0)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-(z @ beta)))
+            beta -= np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (w * (p - y)) + penalty * beta)
+        want = 1 / (1 + np.exp(-(((test[columns].to_numpy(float) - x.mean(0)) / x.std(0)) @ beta[:-1] + beta[-1])))
+        assert np.allclose(got.loc[test.event_id, name], want, atol=1e-7)
+    few = df.limit(3).withColumn("label", F.lit(1))
+    assert [r.one for r in models.cross_predict(few, ["domain"], "event_id", "label", {"one": ["a_prob"]}).collect()] == [None] * 3
 
 
 def test_isotonic():
