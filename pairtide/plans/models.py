@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, vectors
 from ..functions.scalars import six
-from ..operators import models, policy
+from ..operators import models, policy, resample
 from ..sources import views
+from ..sources.tables import settled
 from .registry import query
 
 BASE = ["base_prob", "hour_sin"]
+REPEATS = 20
 
 
 def _rows(spark, sf_dir):
@@ -57,6 +60,65 @@ def incremental_value(spark, sf_dir):
     return models.incremental(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]})
 
 
+@query()
+def incremental_interval(spark, sf_dir):
+    """Gains of each model over the baseline in AUROC, ECE, Brier score (with intervals) and average precision."""
+    return _gains(models.cross_predict(_rows(spark, sf_dir), ["domain"], "event_id", "label", {"base": BASE, "a": [*BASE, "a_prob"], "b": [*BASE, "b_prob"]}, repeats=3), ["domain"], ("a", "b"))
+
+
+def _gains(told, groups, names):
+    told, out = settled(told, "told", small=False), None
+    aupr = lambda c: metrics.average_precision(told, groups, "label", c, f"aupr_{c}")
+    base = aupr("base")
+    for name in names:
+        one = resample.bootstrap_deltas(told, groups, "event_id", "label", name, "base", REPEATS).withColumn("feature", F.lit(name))
+        one = one.join(base.join(aupr(name), groups).select(*groups, six(F.col(f"aupr_{name}") - F.col("aupr_base")).alias("gain_aupr")), groups)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def matched_subset(spark, sf_dir):
+    """Gains over all pairs and over those that both models score alike; each is fitted anew."""
+    alike = F.abs(F.col("b_prob") - F.col("a_prob")) < 0.2
+    rows = _rows(spark, sf_dir).withColumn("subset", F.explode(F.when(alike, F.array(F.lit("all"), F.lit("matched"))).otherwise(F.array(F.lit("all")))))
+    return models.incremental(rows, ["domain", "subset"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]})
+
+
+@query()
+def source_calibration(spark, sf_dir):
+    """Out-of-fold AUROC, ECE and Brier score of each source, for the baseline and with model A; sources that can't be folded have no row."""
+    told = settled(models.cross_predict(_rows(spark, sf_dir), ["source_id"], "event_id", "label", {"base": BASE, "plus": [*BASE, "a_prob"]}, folds=3), "told", small=False)
+    out = told.groupBy("source_id").agg(F.count("*").alias("n"), F.sum("label").alias("n_positive"))
+    for name in ("base", "plus"):
+        out = out.join(metrics.summary(told, ["source_id"], "label", name, f"{name}_"), "source_id")
+    return out.select("source_id", "n", "n_positive", *[six(F.col(c)).alias(c) for c in out.columns if c.startswith(("base_", "plus_"))])
+
+
+@query()
+def source_layer_sweep(spark, sf_dir):
+    """Gains of each feature in turn for every domain, source group and replicate, the best feature, and its lead over the next."""
+    rows = _rows(spark, sf_dir).withColumn("source_group", F.col("source_id") % 5).withColumn("replicate", (F.col("event_id") % 2).cast("int"))
+    keys = ["domain", "source_group", "replicate"]
+    gains = models.incremental(rows, keys, "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]}, folds=3)
+    best = F.when(F.col("gain_a") >= F.col("gain_b"), "a").when(F.col("gain_b").isNotNull(), "b")
+    return gains.withColumn("best_feature", best).withColumn("lead", six(F.abs(F.col("gain_a") - F.col("gain_b"))))
+
+
+@query()
+def source_ablation_gap(spark, sf_dir):
+    """Gains with the largest sources of a domain left out, for several counts and shares of its sources."""
+    rows = _rows(spark, sf_dir)
+    counts = rows.groupBy("domain", "source_id").agg(F.count("*").alias("n"))
+    sources = counts.groupBy("domain").agg(F.count("*").alias("_k"))
+    order = Window.partitionBy("domain").orderBy(F.desc("n"), "source_id")  # one row per source
+    numbered = counts.join(sources, "domain").withColumn("_top", F.ceil(F.col("_k") * 0.2)).withColumn("_r", F.row_number().over(order))
+    scenarios = {"all": F.lit(0), "less_5": F.lit(5), "less_20": F.lit(20), "less_fifth": F.col("_top")}
+    gone = numbered.withColumn("scenario", F.explode(F.filter(F.array(*[F.when(F.col("_r") <= n, name) for name, n in scenarios.items()]), lambda s: s.isNotNull()))).select("domain", "source_id", "scenario")
+    kept = rows.withColumn("scenario", F.explode(F.array(*map(F.lit, scenarios)))).join(gone, ["domain", "source_id", "scenario"], "left_anti")
+    return models.incremental(kept, ["domain", "scenario"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]})
+
+
 @query()
 def fusion(spark, sf_dir):
     out = models.incremental(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"], "both": ["a_prob", "b_prob"]})
@@ -75,8 +137,8 @@ def per_source_sweep(spark, sf_dir):
     return models.incremental(_rows(spark, sf_dir), ["source_id"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]}, folds=3)
 
 
-@query()
-def calibration_lock(spark, sf_dir):
+def _locked(spark, sf_dir):
+    """Scored pairs under each calibration method, cross-fitted."""
     pairs = views.scored_pairs(spark, sf_dir)
     rows = None
     for method in ("raw", "platt", "isotonic"):
@@ -86,7 +148,21 @@ def calibration_lock(spark, sf_dir):
             one = one.join(fitted.select("domain", "event_id", F.col("calibrated").alias(c)), ["domain", "event_id"])
         one = one.withColumn("method", F.lit(method))
         rows = one if rows is None else rows.unionByName(one)
-    return policy.candidates(rows, (0.05,))
+    return settled(rows, "locked", small=False)
+
+
+@query()
+def calibration_lock(spark, sf_dir):
+    return policy.candidates(_locked(spark, sf_dir), (0.05,))
+
+
+@query()
+def calibration_lock_gain(spark, sf_dir):
+    """The policy's scores under each calibration less those under none, with intervals; the threshold is the same."""
+    based = policy.best_single(_locked(spark, sf_dir), ["domain", "method"])
+    scored = settled(based.select("domain", "method", "event_id", "label", policy.refer(F.col("a_prob"), F.col("b_prob"), F.col("stacked_prob"), F.col("best_prob"), 0.05).alias("p")), "policy", small=False)
+    raw = scored.where("method = 'raw'").select("domain", "event_id", F.col("p").alias("raw"))
+    return resample.bootstrap_deltas(scored.where("method <> 'raw'").join(raw, ["domain", "event_id"]), ["domain", "method"], "event_id", "label", "p", "raw", REPEATS)
 
 
 @query()
