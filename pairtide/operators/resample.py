@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import metrics
-from ..functions.scalars import hash_number, six
+from ..functions.scalars import finite, hash_number, six
 
 
 def _in_slices(df: DataFrame, groups: list[str], part: Column, order: list[Column], name: str) -> DataFrame:
@@ -35,25 +37,103 @@ def _hash_order(df: DataFrame, groups: list[str], seed: int, rep: str, key: str,
     return _in_slices(df, groups, F.shiftright("_h", 24), [F.col("_h"), F.col(key)], name).drop("_h")
 
 
-def draws(df: DataFrame, groups: list[str], key: str, repeats: int, seed: int = 42) -> DataFrame:
-    """(groups, rep, key, w): how often each row is drawn in each bootstrap repeat.
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all shuffle partitions before its rows are multiplied; adaptive execution would join small ones into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
-    Draw d of a repeat takes row hash(seed, rep, key of row d) mod n of its group, so every row makes one draw."""
+
+def draws(df: DataFrame, groups: list[str], key: str, columns: list[str], repeats: int, seed: int = 42) -> DataFrame:
+    """(groups, key, columns, reps): each row with the repeats that draw it, a repeat as often as it does; rows that none draws are left out.
+
+    Draw d of a repeat takes row hash(seed, rep, key of row d) mod n of its group, so every row makes one draw; a row is drawn about once a repeat."""
     total = df.groupBy(*groups).agg(F.count("*").alias("_n"))
-    rows = _numbered(df.select(*groups, key), groups, key)
-    hits = rows.join(total, groups).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    hits = hits.groupBy(*groups, "rep", (hash_number(seed, F.col("rep"), F.col(key)) % F.col("_n")).cast("int").alias("_i")).agg(F.count("*").alias("w"))
-    return hits.join(rows, [*groups, "_i"]).select(*groups, "rep", key, "w")
+    rows = _numbered(df.select(*groups, key, *columns), groups, key)
+    hits = _spread(rows.select(*groups, key), key).join(total, groups).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    hits = hits.select(*groups, (hash_number(seed, F.col("rep"), F.col(key)) % F.col("_n")).cast("int").alias("_i"), "rep")
+    return hits.groupBy(*groups, "_i").agg(F.collect_list("rep").alias("reps")).join(rows, [*groups, "_i"]).drop("_i")
+
+
+#: Totals of a repeat: rows of each class, won pairs, scores and squared errors.
+SUMS = ("pos", "neg", "won", "sum_p", "sum_q")
+
+
+def _running(keys: list[str], repeats: int):
+    """Arrow batches sorted by keys and score to one record a key: for each repeat the totals of the rows drawn, and the pairs won inside the key.
+
+    Only running totals and the last score's rows are held, so a key may be of any size."""
+
+    def record(key, totals, fields):
+        out = {**dict(zip(keys, key, strict=True)), **dict(zip(SUMS, totals.tolist(), strict=True))}
+        return pa.RecordBatch.from_pylist([out], schema=pa.schema([*fields, *((c, pa.list_(pa.float64())) for c in SUMS)]))
+
+    def run(batches):
+        now, at = None, None
+        for batch in batches:
+            n, fields = batch.num_rows, [batch.schema.field(c) for c in keys]
+            if not n:
+                continue
+            reps, label, x = batch.column("reps"), batch.column("_y").to_numpy(zero_copy_only=False), batch.column("_p").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), reps.value_lengths().to_numpy(zero_copy_only=False))
+            w = np.bincount(row * repeats + reps.flatten().to_numpy(zero_copy_only=False), minlength=n * repeats).reshape(n, repeats).astype(float)
+            names = list(zip(*[batch.column(c).to_pylist() for c in keys], strict=True))
+            new = np.array([True] + [a != b for a, b in zip(names, names[1:])])
+            heads = np.flatnonzero(new)
+            for first, end in zip(heads, [*heads[1:], n], strict=True):
+                if names[first] != now:
+                    if now is not None:
+                        yield record(now, totals, fields)
+                    now, at = names[first], None
+                    totals, tied = np.zeros((len(SUMS), repeats)), np.zeros((2, repeats))
+                part, y, p = w[first:end], label[first:end, None], x[first:end]
+                starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                pos, neg = np.add.reduceat(part * y, starts), np.add.reduceat(part * (1 - y), starts)
+                if at != p[0]:
+                    tied = np.zeros((2, repeats))
+                # rows of the first score may go on from the batch before: its won pairs are counted anew
+                below = totals[1] - tied[1]
+                totals[2] -= tied[0] * (below + tied[1] / 2)
+                pos[0] += tied[0]
+                neg[0] += tied[1]
+                under = below + np.cumsum(neg, axis=0) - neg
+                totals[0] += pos.sum(0) - tied[0]
+                totals[1] = below + neg.sum(0)
+                totals[2] += (pos * (under + neg / 2)).sum(0)
+                totals[3] += p @ part
+                totals[4] += ((p[:, None] - y) ** 2 * part).sum(0)
+                at, tied = p[-1], np.stack([pos[-1], neg[-1]])
+        if now is not None:
+            yield record(now, totals, fields)
+
+    return run
+
+
+def bootstrap_metrics(df: DataFrame, groups: list[str], key: str, label: str, scores: list[str], repeats: int, seed: int = 42) -> DataFrame:
+    """(groups, rep, m, auc, ece, brier) of score number m in each repeat; rows without a label or a finite score are drawn but not counted.
+
+    A row travels once a score with the list of its draws, not once a draw; scores are cut by bin and slice, and sorted inside."""
+    y, p = F.col(label).cast("int"), F.col("_e._p")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("_p")) for i, c in enumerate(scores)]))
+    cut = draws(df, groups, key, [label, *scores], repeats, seed).withColumn("_e", each).where(F.col(label).isNotNull() & finite(p))
+    keys = [*groups, "m", "bin", "slice"]
+    cut = cut.select(*groups, "_e.m", metrics.bin_left(p).alias("bin"), metrics.score_slice(p).alias("slice"), y.alias("_y"), p.alias("_p"), "reps")
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), *(f"{c} array<double>" for c in SUMS)])
+    sums = cut.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "_p").mapInArrow(_running(keys, repeats), schema)
+    sums = sums.select(*keys, F.posexplode(F.arrays_zip(*SUMS)).alias("rep", "_s")).select(*keys, "rep", "_s.*")
+    before = Window.partitionBy(*groups, "m", "rep").orderBy("bin", "slice").rowsBetween(Window.unboundedPreceding, -1)  # bins and slices, not rows
+    sums = sums.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    bins = sums.groupBy(*groups, "m", "rep", "bin").agg(*[F.sum(c).alias(c) for c in SUMS])
+    n = F.sum(F.col("pos") + F.col("neg"))
+    return bins.groupBy(*groups, "rep", "m").agg(
+        (F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"),
+        (F.sum(F.abs(F.col("pos") - F.col("sum_p"))) / F.nullif(n, F.lit(0.0))).alias("ece"), (F.sum("sum_q") / F.nullif(n, F.lit(0.0))).alias("brier"),
+    )
 
 
 def bootstrap_auroc(df: DataFrame, groups: list[str], key: str, label: str, scores: list[str], repeats: int, seed: int = 42) -> DataFrame:
     """(groups, rep) with the AUROC of every score in each repeat."""
-    drawn = df.join(draws(df, groups, key, repeats, seed), [*groups, key])
-    keys, out = [*groups, "rep"], None
-    for s in scores:
-        one = metrics.auroc(drawn, keys, label, s, f"auc_{s}", "w")
-        out = one if out is None else out.join(one, keys)
-    return out
+    each = bootstrap_metrics(df, groups, key, label, scores, repeats, seed)
+    return each.groupBy(*groups, "rep").agg(*[F.max(F.when(F.col("m") == i, F.col("auc"))).alias(f"auc_{s}") for i, s in enumerate(scores)])
 
 
 def interval(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
@@ -66,12 +146,9 @@ def interval(df: DataFrame, groups: list[str], column: str, name: str) -> DataFr
 
 def bootstrap_deltas(df: DataFrame, groups: list[str], key: str, label: str, score: str, reference: str, repeats: int, seed: int = 42) -> DataFrame:
     """Intervals of the differences in AUROC, ECE and Brier score between two scores of the same rows, drawn together."""
-    keys = [*groups, "rep"]
-    drawn = df.select(*groups, key, label, score, reference).join(draws(df, groups, key, repeats, seed), [*groups, key])
-    long = drawn.select(*keys, label, "w", F.explode(F.array(F.struct(F.lit(1).alias("_m"), F.col(score).alias("_p")), F.struct(F.lit(-1).alias("_m"), F.col(reference).alias("_p")))).alias("_e")).select(*keys, label, "w", "_e.*")
-    each = metrics.summary(long, [*keys, "_m"], label, "_p", "", "w")
-    both = lambda c: F.when(F.count(c) == 2, F.sum(F.col("_m") * F.col(c)))
-    deltas = each.groupBy(*keys).agg(*[both(c).alias(c) for c in ("auc", "ece", "brier")])
+    each = bootstrap_metrics(df, groups, key, label, [score, reference], repeats, seed)
+    both = lambda c: F.when(F.count(c) == 2, F.sum(F.when(F.col("m") == 0, F.col(c)).otherwise(-F.col(c))))
+    deltas = each.groupBy(*groups, "rep").agg(*[both(c).alias(c) for c in ("auc", "ece", "brier")])
     out = None
     for c in ("auc", "ece", "brier"):
         one = interval(deltas, groups, c, f"delta_{c}")
@@ -82,13 +159,13 @@ def bootstrap_deltas(df: DataFrame, groups: list[str], key: str, label: str, sco
 def permuted(df: DataFrame, groups: list[str], key: str, columns: list[str], repeats: int, seed: int = 42) -> DataFrame:
     """``df`` once per repeat with ``columns`` dealt anew among a group's rows: values in key order go to rows in hash order."""
     taken = _numbered(df, groups, key).select(*groups, "_i", *columns)
-    rows = df.drop(*columns).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rows = _spread(df.drop(*columns), key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     return _hash_order(rows, [*groups, "rep"], seed, "rep", key, "_i").join(taken, [*groups, "_i"]).drop("_i")
 
 
 def shuffled_order(df: DataFrame, key: str, repeats: int, seed: int = 42) -> DataFrame:
     """``df`` once per permutation with its hash order ``perm_order``."""
-    return df.withColumn("permutation_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("perm_order", hash_number(seed, F.col("permutation_id"), F.col(key)))
+    return _spread(df, key).withColumn("permutation_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("perm_order", hash_number(seed, F.col("permutation_id"), F.col(key)))
 
 
 def sequences(df: DataFrame, groups: list[str], key: str, n: int, length: int, seed: int = 42) -> DataFrame:

@@ -11,9 +11,9 @@ from ..operators import models, policy, resample
 from ..sources import views
 from ..sources.tables import settled
 from .registry import query
+from .resampling import REPEATS
 
 BASE = ["base_prob", "hour_sin"]
-REPEATS = 20
 
 
 def _rows(spark, sf_dir):
@@ -167,12 +167,12 @@ def calibration_lock_gain(spark, sf_dir):
 
 @query()
 def label_perm_null(spark, sf_dir):
-    return models.null_gains(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, "a_prob", 10, "label")
+    return models.null_gains(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, "a_prob", 120, "label")
 
 
 @query()
 def feature_shuffle_null(spark, sf_dir):
-    return models.null_gains(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, "a_prob", 10, "feature")
+    return models.null_gains(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, "a_prob", 40, "feature")
 
 
 @query()

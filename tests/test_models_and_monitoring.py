@@ -41,6 +41,39 @@ def test_numbers_by_slices_are_those_of_one_window(spark):
     assert len(got) == 1000 and all(r._i == place[r.k] for r in got)
 
 
+def _by_hand(y, x, w):
+    """AUROC over all pairs, ECE and Brier score of weighted rows."""
+    pos, neg = w * (y == 1), w * (y == 0)
+    won = ((x[:, None] > x) + 0.5 * (x[:, None] == x)) * pos[:, None] * neg
+    bins = np.searchsorted([e for e in metrics.EDGES[1:-1]], x, side="right")
+    gaps = [abs((w * (y - x))[bins == b].sum()) for b in range(10)]
+    pairs_ = pos.sum() * neg.sum()
+    return won.sum() / pairs_ if pairs_ else None, sum(gaps) / w.sum(), (w * (x - y) ** 2).sum() / w.sum()
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_bootstrap_metrics_equal_sums_by_hand(spark, batch):
+    """Small batches cut scores that are tied; keys that no row has a label for, missing scores and a class alone are covered."""
+    rng = np.random.default_rng(5)
+    x = [float(v) for v in rng.integers(0, 40, 300) / 40]
+    data = [("a", i, int(rng.random() < v), v, 0.5) for i, v in enumerate(x)] + [("one", i, 1, 0.25, None) for i in range(30)] + [("a", 1000, None, 0.5, 0.5), ("a", 1001, 1, float("nan"), 0.5), ("none", 1, None, 0.5, 0.5)]
+    df = spark.createDataFrame(data, "g string, k long, y int, p double, q double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.g, r.rep, r.m): r for r in resample.bootstrap_metrics(df, ["g"], "k", "y", ["p", "q"], 4).collect()}
+        drawn = resample.draws(df, ["g"], "k", ["y", "p", "q"], 4).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sum(map(len, drawn[drawn.g == "a"].reps)) == 4 * 302
+    assert set(got) == {("a", r, m) for r in range(4) for m in (0, 1)} | {("one", r, 0) for r in range(4)}
+    for (g, rep, m), r in got.items():
+        rows = drawn[(drawn.g == g) & drawn.y.notna() & drawn[["p", "q"][m]].notna()]
+        auc, ece, brier = _by_hand(rows.y.to_numpy(float), rows[["p", "q"][m]].to_numpy(float), np.array([list(v).count(rep) for v in rows.reps], float))
+        assert r.ece == pytest.approx(ece) and r.brier == pytest.approx(brier)
+        assert r.auc is None if auc is None else r.auc == pytest.approx(auc)
+
+
 def test_cross_prediction_equals_fits_by_hand(spark, scored):
     df = scored.where("domain = 'd1'").select("domain", "event_id", "label", "a_prob", "base_prob")
     got = models.cross_predict(df, ["domain"], "event_id", "label", {"one": ["a_prob"], "two": ["a_prob", "base_prob"]}, 3).toPandas().set_index("event_id")
