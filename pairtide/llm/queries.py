@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontam, dedup, html, langid, neardup, packing, quality, shards
+from . import chat, ctw, decontam, dedup, html, importance, langid, manifest, neardup, packing, quality, shards, tokens
 
 #: A file of one of the public tokenizers; resolved where the package that ships it is installed.
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,14 +80,92 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_main_text, op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op7_lm_score, op8_substring_dedup, op9_chat, op10_quality)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTE_TOKENIZER))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    fields = lambda body: manifest.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), body)
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    seen = F.when((_remainder(3) == 0) & text.rlike("[A-Z]"), fields(lowered))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", fields(text).alias("leaf"), seen.alias("seen"))
+    return manifest.manifest(rows).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_main_text, op3_language_id, op4_shards, op5_near_duplicates, op6_packing, op7_lm_score, op8_substring_dedup, op9_chat, op10_quality, op11_importance, op12_token_counts, op13_manifest)}
 
 #: A to Z lower-cased and nothing else.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = "'[^\\x20\\x09-\\x0D]+'"
 _BARE = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 
+def _manifest_sql(levels: int = 8) -> str:
+    """Trees of up to 8 ** ``levels`` leaves; a tree with one node left passes the further levels unchanged."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda text: f"sha256({' || '.join([*map(field, ('doc_id', 'source', 'lang', 'n_chars')), field(text)])})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def climbed(name: str, tree: str) -> str:
+        """name_r0 (tree, i, node) upwards, and name_p0 (doc_id, tree, i, proof, fold) along with it."""
+        steps = ""
+        for k in range(1, levels + 1):
+            below = f"{name}_r{k - 1}"
+            steps += f""", {name}_n{k} as (select {tree}, count(*) > 1 as more from {below} group by {tree}),
+{name}_r{k} as (select {tree}, i // 8 as i, list(node order by i) as nodes, case when any_value(more) then sha256(string_agg(node, '' order by i)) else any_value(node) end as node, any_value(more) as more from (select t.{tree}, t.i, t.node, m.more from {below} t join {name}_n{k} m on t.{tree} = m.{tree}) group by {tree}, i // 8),
+{name}_p{k} as (select doc_id, {tree}, i // 8 as i, case when more then proof || lo || hi else proof end as proof, case when more then sha256(lo || fold || hi) else fold end as fold from
+  (select p.*, more, array_to_string(nodes[1 : p.i % 8], '') as lo, array_to_string(nodes[p.i % 8 + 2 : 8], '') as hi from {name}_p{k - 1} p join {name}_r{k} r on r.{tree} = p.{tree} and r.i = p.i // 8))"""
+        return steps
+
+    crc = _crc_sql("ids", "(select distinct doc_id::varchar as f from documents)")
+    return f"""with recursive {crc},
+leaves as (select doc_id, case when lang is null then '' else '=' || lang end as tree, {leaf('text')} as leaf, case when crc % 3 = 0 then {leaf(lower)} else {leaf('text')} end as seen from documents d left join ids on f = doc_id::varchar),
+l_r0 as (select tree, doc_id, leaf as node, row_number() over (partition by tree order by doc_id) - 1 as i from leaves),
+l_p0 as (select doc_id, tree, i, '' as proof, seen as fold from l_r0 join leaves using (doc_id, tree)){climbed('l', 'tree')},
+t_r0 as (select 0 as top, tree, node, row_number() over (order by tree) - 1 as i from l_r{levels}),
+t_p0 as (select doc_id, 0 as top, t.i, proof, fold from l_p{levels} p join t_r0 t on t.tree = p.tree){climbed('t', 'top')}
+select doc_id, leaf, s.node as subroot, r.node as root, sha256(proof) as proof_sha256, fold as folded_root, fold = r.node as verified
+from leaves join t_p{levels} using (doc_id) join t_r{levels} r using (top) join t_r0 s using (tree)"""
+
+
+def _crc_sql(name: str, strings: str) -> str:
+    """CTEs that end with ``name`` (f, crc): the unsigned CRC-32 of the strings f, byte by byte over a table made from its polynomial."""
+    steps = "select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc_bits where k < 8"
+    return f"""crc_bits as (select b, 0 as k, b as c from (select unnest(range(256))::bigint as b) union all {steps}),
+crc_table as (select b, c as t from crc_bits where k = 8),
+{name}_all as (select f, hex(encode(f)) as h from {strings}),
+{name}_at as (select f, h, 0 as i, 4294967295::bigint as c from {name}_all union all
+  select f, h, i + 1, xor(c >> 8, t) from {name}_at join crc_table on b = xor(c & 255, ('0x' || h[2 * i + 1 : 2 * i + 2])::bigint) where 2 * i < length(h)),
+{name} as (select f, xor(c, 4294967295) as crc from {name}_at where 2 * i = length(h))"""
+
+
+def _importance_sql() -> str:
+    grams = lambda table, key: f"""select {key}, array_to_string(w[s : s + n - 1], ' ') as f from (select {key}, w, n, unnest(range(1, len(w) - n + 2)) as s
+  from (select {key}, regexp_extract_all({_LOWER}, {_BARE}) as w from {table}), (values (1), (2), (3)) v(n) where len(w) >= n)"""
+    return f"""with recursive dg as materialized ({grams('documents', 'doc_id')}), bg as materialized ({grams('benchmark', 'item_id')}),
+{_crc_sql('codes', '(select f from dg union select f from bg)')},
+buckets as materialized (select f, crc % 10000 as bucket from codes),
+s as (select bucket, count(*) as s from dg join buckets using (f) group by bucket), t as (select bucket, count(*) as t from bg join buckets using (f) group by bucket),
+gains as (select bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select count(*) from dg) + 10000)::double) / ((coalesce(s, 0) + 1)::double * ((select count(*) from bg) + 10000)::double)))::bigint as gain
+  from (select unnest(range(10000)) as bucket) left join s using (bucket) left join t using (bucket)),
+weights as (select doc_id, count(*) as n_features, sum(gain)::bigint as weight from dg join buckets using (f) join gains using (bucket) group by doc_id),
+scored as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, len(regexp_extract_all({_LOWER}, {_BARE})) >= 20 as fit,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id::varchar)[1:8])::bigint + 0.5::double) / 4294967296::double)))::bigint as score from documents left join weights using (doc_id)),
+ranked as (select *, row_number() over (partition by fit order by score desc, doc_id) as r, count(*) filter (fit) over () as n from scored)
+select doc_id, n_features, weight, score, case when fit and r <= (5 * n) // 100 then r end as rank from ranked"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance": _importance_sql(),
+    "op13_manifest": _manifest_sql(),
     "op1_decontamination": f"""
 with d as (select doc_id, regexp_extract_all({_LOWER}, {_BARE}) as w from documents),
 i as (select item_id, w, least(10, len(w)) as n from (select item_id, regexp_extract_all({_LOWER}, {_BARE}) as w from benchmark) where len(w) > 0),
