@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontam import contamination_words
-from .shared import written
+from .shared import kept, written
 from .text import chunks, encode_words, from_rising_planes, raw_bytes, rising_planes, string_array
 
 ORDERS = 3
 HOT = 1024
+#: Words up to this many bytes have their tables kept.
+USUAL = 256
 #: Sorted buckets are kept as 16-bit numbers.
 MOST_BUCKETS = 1 << 16
 
@@ -43,25 +44,16 @@ def _shifted(values: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-@cache
-def _doubled(k: int) -> np.ndarray:
-    """What a CRC's bits become when 2^k zero bytes follow."""
-    if k:
-        half = _doubled(k - 1)
-        return _shifted(half, half)
-    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
-    for _ in range(8):
-        bits = np.where(bits & np.uint32(1), (bits >> np.uint32(1)) ^ np.uint32(0xEDB88320), bits >> np.uint32(1))
-    return bits
-
-
-@cache
 def _zeros(n: int) -> np.ndarray:
     """Tables (byte of the CRC, its value) of the map for n zero bytes: a CRC of two strings is the first one's, mapped, xor the second one's."""
     basis = np.uint32(1) << np.arange(32, dtype=np.uint32)
-    for k in range(n.bit_length()):
-        if n >> k & 1:
-            basis = _shifted(basis, _doubled(k))
+    doubled = basis
+    for _ in range(8):
+        doubled = np.where(doubled & np.uint32(1), (doubled >> np.uint32(1)) ^ np.uint32(0xEDB88320), doubled >> np.uint32(1))
+    while n:
+        if n & 1:
+            basis = _shifted(basis, doubled)
+        doubled, n = _shifted(doubled, doubled), n >> 1
     return np.stack([_shifted(np.arange(256, dtype=np.uint32), np.append(basis[8 * at : 8 * at + 8], np.zeros(24, np.uint32))) for at in range(4)])
 
 
@@ -74,7 +66,8 @@ def run_hashes(words: pa.Array) -> list[np.ndarray]:
     raw, ends = data.tobytes(), bounds.tolist()
     own = np.array([zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])], np.uint32)
     lengths, at = np.unique(np.diff(bounds), return_inverse=True)
-    tables = np.concatenate([np.stack([_zeros(n) for n in lengths.tolist()]), np.stack([_zeros(n + 1) for n in lengths.tolist()])]).ravel()
+    maps = lambda n: kept(f"zeros {n}", lambda: _zeros(n)) if n <= USUAL else _zeros(n)
+    tables = np.concatenate([maps(n) for n in (*lengths.tolist(), *(lengths + 1).tolist())]).ravel()
     spaced = _follow(own, np.zeros(len(own), np.int64), _zeros(1).ravel()) ^ np.uint32(zlib.crc32(b" "))
     word, space, size = own[codes], spaced[codes], at[codes]
     out, head = [word], space

@@ -8,13 +8,11 @@ bucket, and the last pass over the leaves folds every row's proof.  A task holds
 
 from __future__ import annotations
 
-from functools import cache
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import kept, written
 
 FAN = 8
 #: Levels that one bucket makes; it has 8^4 = 4,096 leaves.
@@ -30,12 +28,11 @@ def leaf(*fields: Column) -> Column:
     return F.sha2(F.concat(*[F.when(t.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)) for t in texts]), 256)
 
 
-@cache
 def _engine():
     """One in-memory engine a worker process, on the task's own core."""
     import duckdb
 
-    return duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
+    return kept("engine", lambda: duckdb.connect(config={"threads": 1, "memory_limit": "1GB"}))
 
 
 def height(n: int) -> int:

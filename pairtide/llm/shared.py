@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import types
 import uuid
 from contextlib import contextmanager
 
@@ -58,6 +60,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def kept(name: str, make):
+    """A value made once a worker process.  Functions are pickled by value, so what a module's own variables hold would be made anew in each task."""
+    store = sys.modules.setdefault("pairtide_kept", types.ModuleType("pairtide_kept"))
+    if name not in vars(store):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 

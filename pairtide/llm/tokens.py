@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import json
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
 from .text import appended, chunks, from_bytes, raw_bytes, string_array, sums_by_text, widened, without
 
 #: What ``\\s`` matches.
@@ -153,10 +153,9 @@ class PrefixCounter:
         return n
 
 
-@cache
 def counter(path: str) -> PrefixCounter:
     """One counter a worker process."""
-    return PrefixCounter(path)
+    return kept(f"counter of {path}", lambda: PrefixCounter(path))
 
 
 def segments(texts: pa.Array, special: list[str]) -> tuple[pa.Array, np.ndarray]:
