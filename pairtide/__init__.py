@@ -1 +1,10 @@
-"""Pair scoring, policy selection and monitoring on Spark DataFrames."""
+"""Pair scoring, policy selection and monitoring on Spark DataFrames.
+
+Functions that run inside Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scalars import finite
+from .scalars import finite, joined
 
 #: Slices of the score range for each power of two.
 SLICES = 32
@@ -45,7 +45,7 @@ def _by_score(df: DataFrame, groups: list[str], label: str, score: str, weight:
     before = whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(*groups, "_s", F.coalesce(F.sum("_pos").over(before), F.lit(0.0)).alias("_pos_before"), F.coalesce(F.sum("_neg").over(before), F.lit(0.0)).alias("_neg_before"))
     inside = Window.partitionBy(*groups, "_s").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    return points.join(slices, [*groups, "_s"]).select(
+    return joined(points, slices, [*groups, "_s"]).select(
         *groups,
         F.col("_x").alias("score"),
         "pos",

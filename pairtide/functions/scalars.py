@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLOSE_ABSOLUTE, CLOSE_RELATIVE = 1e-8, 1e-5
@@ -94,3 +94,10 @@ def hash_number(*parts: Column | str | int) -> Column:
 def six(x: Column) -> Column:
     """Rounded for output; sums differ between engines in the last bits."""
     return F.round(x, 6)
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which a null equals a null."""
+    renamed = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_of_{k}`")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_of_{k}" for k in keys])

@@ -2,85 +2,215 @@
 
 The logistic model minimises the weighted log loss plus half the squared norm of the slopes (C = 1,
 balanced classes, standardised features), whose optimum is unique; Newton's method stops on the gradient.
-All fits of a design (groups, repeats, folds, models) are done together: a step is one aggregation of
-gradients and Hessians by fit, so no group has to fit into a task.  Isotonic fits take one (group, repeat) in a task.
+Up to ``MOST_FITS`` fits share a design: a row says by bits which of them it trains.  Rows are packed into blocks once; a step joins each
+block with the coefficients of all its fits, multiplies them as matrices and sends one record a design and partition, so rows are not copied for folds and no design has to fit into a task.
+
+Isotonic fits pool adjacent violators in sorted slices and then merge the slices' stacks in order; pooling pooled stacks gives the same fit as pooling the points.
+A stack has strictly rising means of 0/1 labels, so n rows leave some n^(2/3) entries at most.
+
+Rows without a label or with a feature that is missing or not finite train no model, and the latter have no prediction (NULL); others are not touched by them.  Null groups are groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.scalars import six
+from ..functions.scalars import finite, joined, six
 from ..sources.tables import settled
 from .resample import permuted, stratified_folds
 
 
 STEPS = 60
+#: Fits of one design; they are bits of a long.
+MOST_FITS = 62
+#: Rows of a packed block, and of all blocks that a task keeps open.
+BLOCK, OPEN = 4096, 1 << 18
+#: States up to this size are broadcast to the blocks, larger ones are joined by a shuffle.
+SENT_BYTES = 32 << 20
+#: Points of a slice of an isotonic fit, and slices that are merged at once (a power of two).
+SLICE, FAN_BITS = 1 << 16, 4
+
+
+def _name(*parts: Column) -> Column:
+    """One text for a combination of values, nulls included."""
+    return F.to_json(F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"})
+
 
+def _packer(width: int):
+    """(design, y, x, bits) rows to blocks of packed numbers."""
 
-def _at(beta: str, width: int) -> Column:
-    """The linear predictor of a row joined with its fit."""
-    terms = [(F.col("x")[i] - F.col("mean")[i]) / F.col("sd")[i] * F.col(beta)[i] for i in range(width)]
-    return sum(terms, F.col(beta)[width])
+    def run(batches):
+        held, n_held = {}, 0
+
+        def block(design):
+            y, x, bits = (np.concatenate(v) for v in zip(*held.pop(design), strict=True))
+            return {"design": design, "y": y.tobytes(), "x": x.tobytes(), "bits": bits.tobytes()}
+
+        schema = pa.schema([("design", pa.string()), ("y", pa.binary()), ("x", pa.binary()), ("bits", pa.binary())])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, bits = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "bits"))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            coded = batch.column("design").dictionary_encode()
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            order = np.argsort(codes, kind="stable")
+            ends = np.flatnonzero(np.diff(codes[order], append=-1)) + 1
+            out = []
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                at = order[a:b]
+                design = names[codes[at[0]]]
+                held.setdefault(design, []).append((y[at], x[at], bits[at]))
+                n_held += len(at)
+                if (n := sum(len(v[0]) for v in held[design])) >= BLOCK:
+                    out.append(block(design))
+                    n_held -= n
+            if n_held > OPEN:
+                out, n_held = out + [block(d) for d in list(held)], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([block(d) for d in list(held)], schema=schema)
+
+    return run
 
 
-def _solve(width: int):
-    """One Newton step for each fit; a step that raised the loss is halved instead."""
-    upper = np.triu_indices(width + 1)
-    penalty = np.append(np.ones(width), 0.0)
+def _columns(width: int) -> dict[str, slice]:
+    """What a fit's line of numbers holds."""
+    d, out, at = width + 1, {}, 0
+    for name, n in (("beta", d), ("best", d), ("direction", d), ("loss", 1), ("done", 1), ("weights", 2), ("rows", 1), ("penalty", width)):
+        out[name] = slice(at, at + n)
+        at += n
+    return out | {"all": slice(0, at)}
+
+
+def _summed(width: int, fits: int):
+    """Blocks with their design's state to sums: for each fit and class rows, loss, gradient and Hessian at the fit's present coefficients."""
+    upper, at = np.triu_indices(width + 1), _columns(width)
+    schema = pa.schema([("design", pa.string()), ("frame", pa.binary()), ("state", pa.binary()), ("sums", pa.binary())])
+
+    def one(y, x, bits, frame, state):
+        center, scale = frame
+        z = np.column_stack([(x - center) / scale, np.ones(len(y))])
+        m = z @ np.nan_to_num(state[:, at["beta"]]).T
+        small = np.exp(-np.abs(m))
+        p, yy = np.where(m >= 0, 1 / (1 + small), small / (1 + small)), y[:, None]
+        member = ((bits[:, None] >> np.arange(fits)) & 1).astype(float)
+        loss, residual, curve, squares = np.log1p(small) + np.maximum(m, 0) - yy * m, p - yy, small / (1 + small) ** 2, z[:, upper[0]] * z[:, upper[1]]
+        out = []
+        for own in (member * (yy == 0), member * (yy == 1)):
+            out.append(np.column_stack([own.sum(0), (own * loss).sum(0), (own * residual).T @ z, (own * curve).T @ squares]))
+        return np.stack(out)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                beta, best, direction = (np.array(v, float) for v in (r.beta, r.best, r.direction))
-                loss = r.sum_loss + 0.5 * (penalty * beta * beta).sum()
-                gradient, done = np.array(r.gradient) + penalty * beta, False
-                if loss <= r.loss + 1e-12 * abs(loss):
-                    hessian = np.zeros((width + 1, width + 1))
-                    hessian[upper] = r.hessian
-                    hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty + 1e-12)
-                    best, least, direction = beta, loss, np.linalg.solve(hessian, gradient)
-                    done = bool(np.abs(gradient).max() < 1e-9 * r.n)
+        held = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["design"] not in held:
+                    held[r["design"]] = [r["frame"], r["state"], 0.0]
+                y, bits = np.frombuffer(r["y"]), np.frombuffer(r["bits"], np.int64)
+                frame, state = np.frombuffer(r["frame"]).reshape(2, width), np.frombuffer(r["state"]).reshape(fits, -1)
+                held[r["design"]][2] = held[r["design"]][2] + one(y, np.frombuffer(r["x"]).reshape(-1, width), bits, frame, state)
+            if len(held) >= 1024:
+                yield pa.RecordBatch.from_pylist([{"design": k, "frame": f, "state": s, "sums": v.tobytes()} for k, (f, s, v) in held.items()], schema=schema)
+                held = {}
+        if held:
+            yield pa.RecordBatch.from_pylist([{"design": k, "frame": f, "state": s, "sums": v.tobytes()} for k, (f, s, v) in held.items()], schema=schema)
+
+    return run
+
+
+def _stepped(width: int, fits: int, scale: bool):
+    """Sums to the next state: a Newton step for each fit; one that raised the loss is halved instead."""
+    d, at, upper = width + 1, _columns(width), np.triu_indices(width + 1)
+    schema = pa.schema([("design", pa.string()), ("frame", pa.binary()), ("state", pa.binary()), ("done", pa.bool_())])
+
+    def step(frame, state, sums):
+        state, get = state.copy(), lambda c: sums[:, :, c]
+        if not state[:, at["rows"]].any():  # the first sums, at zero: a quarter of the moments
+            n = get(0)
+            total = np.maximum(n.sum(0), 1)
+            moments = np.zeros((fits, d, d))
+            moments[:, upper[0], upper[1]] = 4 * get(slice(2 + d, None)).sum(0)
+            variance = np.diagonal(moments, axis1=1, axis2=2)[:, :width] / total[:, None] - (moments[:, :width, width] / total[:, None]) ** 2
+            # a feature that is constant among a fit's rows gets no weight: marked by -1
+            state[:, at["penalty"]] = np.where(variance > 1e-12, variance if scale else 1 / frame[1] ** 2, -1)
+            state[:, at["rows"]] = np.maximum(n.sum(0), 0.5)[:, None]
+            state[:, at["weights"]] = (n.sum(0) / (2 * np.maximum(n, 1))).T
+            state[:, at["done"]] = (n.sum(0) == 0)[:, None]
+        active = state[:, at["done"]][:, 0] == 0
+        w, penalty, beta = state[:, at["weights"]].T[:, :, None], np.column_stack([state[:, at["penalty"]], np.zeros(fits)]), state[:, at["beta"]]
+        fixed, penalty = penalty < 0, np.maximum(penalty, 0)
+        loss = (w[:, :, 0] * get(1)).sum(0) + 0.5 * (penalty * beta * beta).sum(1)
+        gradient = np.where(fixed, 0, (w * get(slice(2, 2 + d))).sum(0) + penalty * beta)
+        hessian = np.zeros((fits, d, d))
+        hessian[:, upper[0], upper[1]] = (w * get(slice(2 + d, None))).sum(0)
+        hessian = hessian + np.triu(hessian, 1).transpose(0, 2, 1)
+        hessian[fixed[:, :, None] | fixed[:, None, :]] = 0
+        hessian[:, range(d), range(d)] += penalty + np.where(fixed, 1, 1e-12)
+        before = state[:, at["loss"]][:, 0]
+        better = loss <= before + 1e-12 * np.abs(np.where(np.isfinite(before), before, 0))
+        newton = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+        best = np.where(better[:, None], beta, state[:, at["best"]])
+        direction = np.where(better[:, None], newton, state[:, at["direction"]] / 2)
+        done = np.where(better, np.abs(gradient).max(1) < 1e-9 * state[:, at["rows"]][:, 0], np.abs(direction).max(1) < 1e-12)
+        new = {"best": best, "direction": direction, "loss": np.where(better, loss, before)[:, None], "done": done[:, None].astype(float), "beta": np.where(done[:, None], best, best - direction)}
+        for c, v in new.items():
+            state[active, at[c]] = v[active]
+        return state
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                sums = np.frombuffer(r["sums"]).reshape(2, fits, -1)
+                if r["design"] in held:
+                    held[r["design"]][2] = held[r["design"]][2] + sums
                 else:
-                    least, direction = r.loss, direction / 2
-                    done = bool(np.abs(direction).max() < 1e-12)
-                rows.append((best if done else best - direction, best, direction, least, done))
-            yield pdf.drop(columns=["gradient", "hessian", "sum_loss"]).assign(**{c: [list(v) if isinstance(v, np.ndarray) else v for v in column] for c, column in zip(("beta", "best", "direction", "loss", "done"), zip(*rows, strict=True), strict=True)})
+                    held[r["design"]] = [r["frame"], r["state"], sums]
+        out = []
+        for design, (frame, state, sums) in held.items():
+            state = step(np.frombuffer(frame).reshape(2, width), np.frombuffer(state).reshape(fits, -1), sums)
+            out.append({"design": design, "frame": frame, "state": state.tobytes(), "done": bool((state[:, at["done"]] > 0).all())})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
 
-def fit_logistics(rows: DataFrame, keys: list[str], width: int, scale: bool = True) -> DataFrame:
-    """(keys, mean, sd, beta with the intercept last) for each fit in ``rows`` (keys, y, x with ``width`` features); a constant feature gets no weight."""
-    sd = lambda i: F.stddev_pop(F.col("x")[i])
-    state = rows.groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"), F.sum("y").alias("pos"),
-        F.array(*[F.avg(F.col("x")[i]) if scale else F.lit(0.0) for i in range(width)]).alias("mean"),
-        F.array(*[F.when(sd(i) > 1e-12, sd(i)).otherwise(1.0) if scale else F.lit(1.0) for i in range(width)]).alias("sd"),
-    )
-    zero = F.array_repeat(F.lit(0.0), width + 1)
-    state = state.select("*", zero.alias("beta"), zero.alias("best"), zero.alias("direction"), F.lit(float("inf")).alias("loss"), F.lit(False).alias("done"))
-    active, ended = settled(state, "fits"), []
-    y, n, pos, m = F.col("y"), F.col("n"), F.col("pos"), F.col("_m")
-    weight = F.when(y == 1, n / (2 * F.greatest(pos, F.lit(1.0)))).otherwise(n / (2 * F.greatest(n - pos, F.lit(1.0))))
-    z = [F.col(f"_z{i}") for i in range(width)] + [F.lit(1.0)]
+def fit_designs(rows: DataFrame, width: int, fits: int = 1, scale: bool = True) -> DataFrame:
+    """(design, coefficients) of ``rows`` (design, y, x with ``width`` features, bits of the fits that the row trains).
+
+    coefficients holds ``width`` slopes and the intercept for each fit in turn, for features as they are; NULL for a fit without rows."""
+    if not 0 < fits <= MOST_FITS:
+        raise ValueError(f"a design has 1 to {MOST_FITS} fits")
+    at = _columns(width)
+    usable = F.col("y").isNotNull() & (F.col("bits") != 0) & F.forall("x", finite)
+    rows = rows.where(usable).select("design", F.col("y").cast("double").alias("y"), "x", F.col("bits").cast("long").alias("bits"))
+    blocks = settled(rows.mapInArrow(_packer(width), "design string, y binary, x binary, bits binary"), "blocks", small=False)
+
+    def framed(batches):
+        for batch in batches:
+            out = {"design": batch.column("design"), "frame": [], "state": []}
+            for center, spread in zip(batch.column("center").to_pylist(), batch.column("spread").to_pylist(), strict=True):
+                out["frame"].append(np.array([center, [s if s > 1e-12 else 1.0 for s in spread]], float).tobytes())
+                state = np.zeros((fits, at["all"].stop))
+                state[:, at["loss"]] = np.inf
+                out["state"].append(state.tobytes())
+            yield pa.RecordBatch.from_pydict(out | {"done": [False] * batch.num_rows}, schema=pa.schema([("design", pa.string()), ("frame", pa.binary()), ("state", pa.binary()), ("done", pa.bool_())]))
+
+    STATE = "design string, frame binary, state binary, done boolean"
+    stats = rows.groupBy("design").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("center"), F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(width)]).alias("spread"))
+    active, ended = settled(stats.mapInArrow(framed, STATE), "fits", small=False), []
+    send = F.broadcast if active.count() * 8 * (fits * at["all"].stop + 2 * width) <= SENT_BYTES else lambda df: df
     for _ in range(STEPS):
-        # the state is read from a table, so its size is known when the join is chosen
-        at = rows.join(active.select(*keys, "n", "pos", "mean", "sd", "beta"), keys).select(
-            *keys, "y", weight.alias("_w"), _at("beta", width).alias("_m"), *[((F.col("x")[i] - F.col("mean")[i]) / F.col("sd")[i]).alias(f"_z{i}") for i in range(width)]
-        ).withColumn("_p", 1 / (1 + F.exp(-m)))
-        residual, curve = F.col("_w") * (F.col("_p") - y), F.col("_w") * F.col("_p") * (1 - F.col("_p"))
-        sums = at.groupBy(*keys).agg(
-            F.sum(F.col("_w") * (F.log1p(F.exp(-F.abs(m))) + F.greatest(m, F.lit(0.0)) - y * m)).alias("sum_loss"),
-            F.array(*[F.sum(residual * z[i]) for i in range(width + 1)]).alias("gradient"),
-            F.array(*[F.sum(curve * z[i] * z[j]) for i in range(width + 1) for j in range(i, width + 1)]).alias("hessian"),
-        )
-        stepped = settled(active.join(sums, keys).mapInPandas(_solve(width), active.schema), "fits")
+        sums = blocks.join(send(active.select("design", "frame", "state")), "design").mapInArrow(_summed(width, fits), "design string, frame binary, state binary, sums binary")
+        stepped = settled(sums.repartition("design").mapInArrow(_stepped(width, fits, scale), STATE), "fits", small=False)
         ended.append(stepped.where("done"))
         active = stepped.where("not done")
         if active.isEmpty():
@@ -90,37 +220,124 @@ def fit_logistics(rows: DataFrame, keys: list[str], width: int, scale: bool = Tr
     out = ended[0]
     for more in ended[1:]:
         out = out.unionByName(more)
-    return out.select(*keys, "mean", "sd", F.col("best").alias("beta"))
 
+    def told(batches):
+        for batch in batches:
+            coefficients = []
+            for frame, state in zip(batch.column("frame").to_pylist(), batch.column("state").to_pylist(), strict=True):
+                (center, spread), state = np.frombuffer(frame).reshape(2, width), np.frombuffer(state).reshape(fits, -1)
+                slopes = state[:, at["best"]][:, :width] / spread
+                known = state[:, at["rows"]][:, 0] >= 1
+                lines = np.column_stack([slopes, state[:, at["best"]][:, width] - slopes @ center])
+                coefficients.append([v if ok else None for line, ok in zip(lines.tolist(), known.tolist(), strict=True) for v in line])
+            yield pa.RecordBatch.from_pydict({"design": batch.column("design"), "coefficients": pa.array(coefficients, pa.list_(pa.float64()))})
 
-def predict_logistics(rows: DataFrame, fits: DataFrame, keys: list[str], width: int, name: str = "p") -> DataFrame:
-    """``rows`` (keys, x, ...) with the probability by their fit; NULL without one."""
-    return rows.join(fits, keys, "left").withColumn(name, 1 / (1 + F.exp(-_at("beta", width)))).drop("mean", "sd", "beta")
+    return settled(out.mapInArrow(told, "design string, coefficients array<double>"), "coefficients", small=False)
+
+
+def probability(width: int, fit: Column | int = 0, x: str = "x") -> Column:
+    """What fit number ``fit`` says about a row that is joined with its design's coefficients; NULL for features that are not finite."""
+    first = (F.lit(fit) if isinstance(fit, int) else fit) * (width + 1)
+    terms = [F.get("coefficients", first + i) * F.col(x)[i] for i in range(width)]
+    p = 1 / (1 + F.exp(-sum(terms, F.get("coefficients", first + width))))
+    return F.when(F.forall(x, finite), p)
+
+
+def fit_logistics(rows: DataFrame, keys: list[str], width: int, scale: bool = True) -> DataFrame:
+    """(keys, mean, sd, beta with the intercept last) for each group of ``rows`` (keys, y, x with ``width`` features); a constant feature gets no weight."""
+    sd = lambda i: F.stddev_pop(F.col("x")[i])
+    design = rows.select(*keys, "y", "x", _name(*map(F.col, keys)).alias("design"))
+    usable = design.where(F.col("y").isNotNull() & F.forall("x", finite))
+    stats = usable.groupBy("design", *keys).agg(
+        F.array(*[F.avg(F.col("x")[i]) if scale else F.lit(0.0) for i in range(width)]).alias("mean"),
+        F.array(*[F.when(sd(i) > 1e-12, sd(i)).otherwise(1.0) if scale else F.lit(1.0) for i in range(width)]).alias("sd"),
+    )
+    fits = fit_designs(design.select("design", "y", "x", F.lit(1).alias("bits")), width, 1, scale)
+    slope = lambda i: F.col("coefficients")[i] * F.col("sd")[i]
+    intercept = F.col("coefficients")[width] + sum((F.col("coefficients")[i] * F.col("mean")[i] for i in range(width)), F.lit(0.0))
+    return stats.join(fits, "design").select(*keys, "mean", "sd", F.array(*[slope(i) for i in range(width)], intercept).alias("beta"))
 
 
 def _numbers(columns: list[str], width: int) -> Column:
     return F.array(*[F.col(c).cast("double") for c in columns], *[F.lit(0.0)] * (width - len(columns)))
 
 
-def _others(folds: int, own: str) -> Column:
-    """The folds that a row is not in."""
-    return F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(own))
+def _bits(numbers: dict[int, Column]) -> Column:
+    """The fits whose condition holds, as bits."""
+    return sum((F.when(ok, F.lit(1 << n)).otherwise(F.lit(0)).cast("long") for n, ok in numbers.items()), F.lit(0).cast("long"))
+
+
+def _others(folds: int, own: Column, shift: int = 0) -> dict[int, Column]:
+    """Fit h + ``shift``, for each fold h, trains on rows of the other folds."""
+    return {h + shift: own.isNotNull() & (own != h) for h in range(folds)}
+
+
+class _Inner:
+    """A table's columns under names of this module, so that no column of the caller's can clash."""
+
+    def __init__(self, df: DataFrame, groups: list[str], key: str, label: str, columns: list[str]):
+        self.groups, self.columns = [f"_g{i}" for i in range(len(groups))], {c: f"_x{i}" for i, c in enumerate(columns)}
+        self.names = {**{f"_g{i}": c for i, c in enumerate(groups)}, "_key": key, "_label": label}
+        self.df = df.select(*[F.col(f"`{c}`").alias(n) for n, c in self.names.items()], *[F.col(f"`{c}`").alias(n) for c, n in self.columns.items()])
+
+    def named(self, df: DataFrame, **more: str) -> DataFrame:
+        """The caller's names again, and ``more`` columns (name: column)."""
+        return df.select(*[F.col(n).alias(c) for n, c in self.names.items()], *[F.col(c).alias(n) for n, c in more.items()])
+
+    def folded(self, folds: int, repeats: int, seed: int) -> DataFrame:
+        """All rows with their repeat and fold; rows without a label are in none."""
+        told = self.df.where("_label is not null")
+        dealt = stratified_folds(told, self.groups, "_key", "_label", folds, repeats, seed).withColumnsRenamed({"rep": "_rep", "fold": "_fold"})
+        rest = self.df.where("_label is null").withColumn("_rep", F.lit(0)).withColumn("_fold", F.lit(None).cast("int"))
+        return dealt.unionByName(rest)
+
+
+def _exploded(models: dict[str, list[str]], width: int, columns: dict[str, str]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(m).alias("model"), _numbers([columns[c] for c in fs], width).alias("x")) for m, fs in models.items()]))
+
+
+def cross_predict(df: DataFrame, groups: list[str], key: str, label: str, models: dict[str, list[str]], folds: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
+    """(groups, key, label) with one column of out-of-fold probabilities for each model (name: features), averaged over repeats.
+
+    Groups that can't be folded get NULL, and so do rows without a label or with a feature that is not finite."""
+    inner = _Inner(df, groups, key, label, sorted({c for fs in models.values() for c in fs}))
+    width = max(len(fs) for fs in models.values())
+    dealt = settled(inner.folded(folds, repeats, seed), "folds", small=False)
+    long = dealt.select(*inner.groups, "_rep", "_key", "_label", "_fold", _exploded(models, width, inner.columns).alias("_e")).select("*", "_e.model", "_e.x").drop("_e")
+    long = long.withColumn("design", _name(*map(F.col, [*inner.groups, "_rep", "model"])))
+    fits = fit_designs(long.select("design", F.col("_label").alias("y"), "x", _bits(_others(folds, F.col("_fold"))).alias("bits")), width, folds)
+    told = long.join(fits, "design", "left").withColumn("_p", probability(width, F.col("_fold")))
+    places = {m: f"_m{i}" for i, m in enumerate(models)}
+    return inner.named(told.groupBy(*inner.names).agg(*[F.avg(F.when(F.col("model") == m, F.col("_p"))).alias(n) for m, n in places.items()]), **places)
+
+
+def pooled(value: np.ndarray, weight: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Adjacent violators of a sorted stack pooled: means, weights, first and last places of what is left.
+
+    Unbroken runs of violators are pooled at once; what a few rounds leave is done from the left with a stack."""
+    for _ in range(16):
+        down = value[:-1] >= value[1:]
+        if not down.any():
+            return [value, weight, first, last]
+        starts = np.flatnonzero(np.append(True, ~down))
+        total = np.add.reduceat(value * weight, starts)
+        weight = np.add.reduceat(weight, starts)
+        value, first, last = total / weight, first[starts], last[np.append(starts[1:], len(last)) - 1]
+    stack: list[list[float]] = []
+    for v, w, a, b in zip(value.tolist(), weight.tolist(), first.tolist(), last.tolist(), strict=True):
+        while stack and stack[-1][0] >= v:
+            v0, w0, a, _ = stack.pop()
+            v, w = (v0 * w0 + v * w) / (w0 + w), w0 + w
+        stack.append([v, w, a, b])
+    return list(np.array(stack).T)
 
 
 def fit_isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares increasing fit; equal x are pooled first, then adjacent violators."""
     order = np.argsort(x, kind="stable")
     xs, first, counts = np.unique(x[order], return_index=True, return_counts=True)
-    means = np.add.reduceat(y[order].astype(float), first) / counts
-    level: list[list[float]] = []
-    for value, weight, place in zip(means, counts, range(len(xs)), strict=True):
-        level.append([value, weight, place])
-        while len(level) > 1 and level[-2][0] >= level[-1][0]:
-            v, w, _ = level.pop()
-            level[-1][0] = (level[-1][0] * level[-1][1] + v * w) / (level[-1][1] + w)
-            level[-1][1] += w
-    starts = [int(b[2]) for b in level] + [len(xs)]
-    return xs, np.repeat([b[0] for b in level], np.diff(starts))
+    value, _, low, high = pooled(np.add.reduceat(y[order].astype(float), first) / counts, counts.astype(float), xs, xs)
+    return xs, value[np.searchsorted(low, xs, "right") - 1]
 
 
 def predict_isotonic(model, x: np.ndarray) -> np.ndarray:
@@ -128,100 +345,183 @@ def predict_isotonic(model, x: np.ndarray) -> np.ndarray:
     return np.clip(np.interp(x, *model), 0.0, 1.0)
 
 
-def _folds_of(pdf: pd.DataFrame):
-    fold = pdf["fold"].to_numpy()
-    for f in np.unique(fold[~pd.isna(fold)]):
-        yield fold != f, fold == f
+_STACK = "design string, fit int, place long, value binary, weight binary, low binary, high binary"
+_STACKS = pa.schema([("design", pa.string()), ("fit", pa.int32()), ("place", pa.int64()), *((c, pa.binary()) for c in ("value", "weight", "low", "high"))])
 
 
-def cross_predict(df: DataFrame, groups: list[str], key: str, label: str, models: dict[str, list[str]], folds: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
-    """(groups, key, label) with one column of out-of-fold probabilities for each model (name: features), averaged over repeats.
+def _sliced(fits: int):
+    """Sorted points (design, x, n and pos by fold) to slices, numbered along the order."""
+    schema = pa.schema([("design", pa.string()), ("place", pa.int64()), ("x", pa.binary()), ("n", pa.binary()), ("pos", pa.binary())])
+
+    def run(batches):
+        place = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            coded = batch.column("design").dictionary_encode()
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            x = batch.column("x").to_numpy()
+            n, pos = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, fits) for c in ("n", "pos"))
+            out, ends = [], np.flatnonzero(np.diff(codes, append=-1)) + 1
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                for i in range(a, b, SLICE):
+                    j = min(b, i + SLICE)
+                    out.append({"design": names[codes[a]], "place": place, "x": x[i:j].tobytes(), "n": n[i:j].tobytes(), "pos": pos[i:j].tobytes()})
+                    place += 1
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
+
+
+def _stacked_slices(fits: int):
+    """Each slice's stack for every fit: fit h takes the points of the other folds, the last one those of no fold."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["x"])
+                n, pos = (np.frombuffer(r[c]).reshape(-1, fits) for c in ("n", "pos"))
+                for h in range(fits):
+                    weight, won = (n[:, h], pos[:, h]) if h == fits - 1 else (n[:, :-1].sum(1) - n[:, h], pos[:, :-1].sum(1) - pos[:, h])
+                    some = weight > 0
+                    if some.any():
+                        parts = pooled(won[some] / weight[some], weight[some], x[some], x[some])
+                        out.append({"design": r["design"], "fit": h, "place": r["place"], **dict(zip(("value", "weight", "low", "high"), (p.tobytes() for p in parts), strict=True))})
+            yield pa.RecordBatch.from_pylist(out, schema=_STACKS)
+
+    return run
 
-    Groups that can't be folded get NULL."""
-    columns = sorted({c for fs in models.values() for c in fs})
-    width = max(len(fs) for fs in models.values())
-    dealt = settled(stratified_folds(df.select(*groups, key, label, *columns), groups, key, label, folds, repeats, seed), "folds", small=False)
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), _numbers(fs, width).alias("x")) for name, fs in models.items()]))
-    long = dealt.select(*groups, "rep", key, label, "fold", F.col(label).cast("double").alias("y"), each.alias("_e")).select("*", "_e.model", "_e.x").drop("_e")
-    keys = [*groups, "rep", "model", "held"]
-    fits = fit_logistics(long.where("fold is not null").withColumn("held", F.explode(_others(folds, "fold"))).select(*keys, "y", "x"), keys, width)
-    told = predict_logistics(long.withColumnRenamed("fold", "held"), fits, keys, width)
-    return told.groupBy(*groups, key, label).agg(*[F.avg(F.when(F.col("model") == m, F.col("p"))).alias(m) for m in models])
+
+def _merged(key, table):
+    """The stacks of neighbouring slices as one."""
+    table = table.sort_by("place")
+    parts = pooled(*[np.concatenate([np.frombuffer(v) for v in table.column(c).to_pylist()]) for c in ("value", "weight", "low", "high")])
+    row = {"design": key[0].as_py(), "fit": key[1].as_py(), "place": table.column("place")[0].as_py(), **dict(zip(("value", "weight", "low", "high"), (p.tobytes() for p in parts), strict=True))}
+    return pa.Table.from_pylist([row], schema=_STACKS)
+
+
+def _knots_of_slices(slices, stacks):
+    """For each slice of a design the knots (x, value) of every fit around its points: no more than the slice needs."""
+    out, spans = [], slices.to_pylist()
+    for r in stacks.to_pylist():
+        value, low, high = (np.frombuffer(r[c]) for c in ("value", "low", "high"))
+        x, y = np.stack([low, high], 1).ravel(), np.repeat(value, 2)
+        for s in spans:
+            a, b = max(int(np.searchsorted(x, s["first"], "left")) - 1, 0), int(np.searchsorted(x, s["last"], "right")) + 1
+            out.append({"design": s["design"], "place": s["place"], "fit": r["fit"], "knots": x[a:b].tobytes(), "values": y[a:b].tobytes()})
+    return pa.Table.from_pylist(out, schema=pa.schema([("design", pa.string()), ("place", pa.int64()), ("fit", pa.int32()), ("knots", pa.binary()), ("values", pa.binary())]))
+
+
+def _read_off(fits: int):
+    """Slices joined with the knots of one fit: the value of each point that has rows in that fit's fold."""
+    schema = pa.schema([("design", pa.string()), ("fit", pa.int32()), ("x", pa.float64()), ("calibrated", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = np.frombuffer(r["n"]).reshape(-1, fits)[:, r["fit"]]
+                x = np.frombuffer(r["x"])[n > 0]
+                if len(x):
+                    p = np.clip(np.interp(x, np.frombuffer(r["knots"]), np.frombuffer(r["values"])), 0.0, 1.0)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["design"]] * len(x)), pa.array([r["fit"]] * len(x), pa.int32()), pa.array(x), pa.array(p)], schema=schema)
+
+    return run
+
+
+def isotonic_points(rows: DataFrame, folds: int) -> DataFrame:
+    """(design, fit, x, calibrated) for every distinct score x of each fold in ``rows`` (design, fold, x, y): what the fit without that fold says; fold ``folds`` is fitted on itself.
+
+    Rows are reduced to one point a score with its counts by fold, range-partitioned into sorted slices, pooled slice by slice, and the stacks merged ``1 << FAN_BITS`` at a time."""
+    fits = folds + 1
+    each = lambda v: F.array(*[F.sum(F.when(F.col("fold") == f, v).otherwise(0.0)) for f in range(fits)])
+    points = rows.groupBy("design", "x").agg(each(F.lit(1.0)).alias("n"), each(F.col("y").cast("double")).alias("pos"))
+    slices = points.repartitionByRange("design", "x").sortWithinPartitions("design", "x").mapInArrow(_sliced(fits), "design string, place long, x binary, n binary, pos binary")
+    slices = settled(slices, "slices", small=False)
+    stacks = slices.mapInArrow(_stacked_slices(fits), _STACK)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shift = 20
+    while True:
+        stacks = stacks.withColumn("_to", F.shiftright("place", shift)).groupBy("design", "fit", "_to").applyInArrow(_merged, _STACK)
+        if partitions >> (shift - 20) <= 1:
+            break
+        shift += FAN_BITS
+
+    def ends(batches):
+        for batch in batches:
+            x = [np.frombuffer(v) for v in batch.column("x").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"design": batch.column("design"), "place": batch.column("place"), "first": [float(v[0]) for v in x], "last": [float(v[-1]) for v in x]})
+
+    spans = slices.select("design", "place", "x").mapInArrow(ends, "design string, place long, first double, last double")
+    knots = spans.groupBy("design").cogroup(stacks.groupBy("design")).applyInArrow(_knots_of_slices, "design string, place long, fit int, knots binary, values binary")
+    return slices.select("design", "place", "x", "n").join(knots, ["design", "place"]).mapInArrow(_read_off(fits), "design string, fit int, x double, calibrated double")
 
 
 def calibrate(df: DataFrame, groups: list[str], key: str, label: str, score: str, method: str, folds: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
-    """(groups, key, label, score, calibrated): cross-fitted Platt or isotonic calibration, averaged over repeats; a group too small to fold is fitted on itself."""
+    """(groups, key, label, score, calibrated): cross-fitted Platt or isotonic calibration, averaged over repeats; a group too small to fold is fitted on itself.
+
+    Rows without a label or a finite score are kept with NULL."""
     if method not in ("raw", "platt", "isotonic"):
         raise ValueError(f"unknown calibration {method!r}")
     if method == "raw":
-        return df.select(*groups, key, label, score, F.col(score).alias("calibrated"))
-    dealt = stratified_folds(df.select(*groups, key, label, score), groups, key, label, folds, repeats, seed)
+        return df.select(*groups, key, label, score, F.col(f"`{score}`").alias("calibrated"))
+    inner = _Inner(df, groups, key, label, [score])
+    dealt = settled(inner.folded(folds, repeats, seed), "folds", small=False)
+    dealt = dealt.withColumn("design", _name(*map(F.col, [*inner.groups, "_rep"]))).withColumn("_fit", F.when(F.col("_label").isNotNull(), F.coalesce("_fold", F.lit(folds))))
+    usable = F.col("_fit").isNotNull() & finite(F.col("_x0"))
     if method == "platt":
-        keys = [*groups, "rep", "held"]
-        rows = settled(dealt, "folds", small=False).withColumn("y", F.col(label).cast("double")).withColumn("x", _numbers([score], 1))
-        held = F.when(F.col("fold").isNull(), F.array(F.lit(-1))).otherwise(_others(folds, "fold"))
-        fits = fit_logistics(rows.withColumn("held", F.explode(held)).select(*keys, "y", "x"), keys, 1, scale=False)
-        told = predict_logistics(rows.withColumn("held", F.coalesce("fold", F.lit(-1))), fits, keys, 1)
-        return told.groupBy(*groups, key, label, score).agg(F.avg("p").alias("calibrated"))
-
-    def fitted(x, y, at):
-        return predict_isotonic(fit_isotonic(x, y), at)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[score].to_numpy(float), pdf[label].to_numpy(float)
-        out = np.full(len(pdf), np.nan)
-        for train, test in _folds_of(pdf):
-            out[test] = fitted(x[train], y[train], x[test])
-        if np.isnan(out).any():
-            out = fitted(x, y, x)
-        return pdf[[*groups, "rep", key, label, score]].assign(calibrated=out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in groups), "rep int", *(f"`{c}` {kinds[c]}" for c in (key, label, score)), "calibrated double"])
-    each = dealt.groupBy(*groups, "rep").applyInPandas(run, schema)
-    return each.groupBy(*groups, key, label, score).agg(F.avg("calibrated").alias("calibrated"))
+        rows = dealt.withColumn("x", _numbers(["_x0"], 1))
+        fits = fit_designs(rows.select("design", F.col("_label").alias("y"), "x", _bits(_others(folds, F.col("_fold")) | {folds: F.col("_fold").isNull()}).alias("bits")), 1, folds + 1, scale=False)
+        told = rows.join(fits, "design", "left").withColumn("_p", F.when(usable, probability(1, F.col("_fit"))))
+    else:
+        rows = dealt.withColumn("x", F.when(usable, F.col("_x0").cast("double") + 0.0))  # no negative zero
+        points = isotonic_points(rows.where(usable).select("design", F.col("_fit").alias("fold"), "x", F.col("_label").alias("y")), folds)
+        points = points.withColumnRenamed("calibrated", "_p")
+        told = rows.join(points.withColumnRenamed("fit", "_fit"), ["design", "_fit", "x"], "left")
+    out = told.groupBy(*inner.names, "_x0").agg(F.avg("_p").alias("_p"))
+    return inner.named(out, **{score: "_x0", "calibrated": "_p"})
 
 
 def stacked(df: DataFrame, groups: list[str], key: str, label: str, base: list[str], a: list[str], b: list[str], folds: int = 5, repeats: int = 1, inner: int = 5, seed: int = 42, with_base: bool = True) -> DataFrame:
     """Nested stacking: outer folds hold out rows; inside each, out-of-fold scores of models A and B (and the baseline features) train the stack.
 
-    Inner folds are dealt once, by another hash, and hold inside all outer folds.  Groups that can't be folded have no rows."""
-    columns, width = sorted({*base, *a, *b}), max(len(base), len(a), len(b))
-    rows = df.select(*groups, key, label, *columns)
-    dealt = stratified_folds(rows, groups, key, label, folds, repeats, seed).where("fold is not null").withColumnRenamed("fold", "outer_fold")
-    nested = stratified_folds(rows.select(*groups, key, label), groups, key, label, inner, repeats, seed + 1).select(*groups, "rep", key, F.col("fold").alias("inner_fold"))
-    dealt = settled(dealt.join(nested, [*groups, "rep", key]).withColumn("y", F.col(label).cast("double")), "folds", small=False)
-    ids = [*groups, "rep", key, label]
-    parts = {"base": base, "a": a, "b": b}
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), _numbers(fs, width).alias("x")) for m, fs in parts.items()])).alias("_e")
-    long = dealt.select(*ids, "y", "outer_fold", "inner_fold", each).select("*", "_e.model", "_e.x").drop("_e")
-
-    # a fit is named by its held-out outer fold and inner fold; inner -1: all the others' rows, which scores the held-out ones
-    keys = [*groups, "rep", "model", "held", "inner"]
-    within = F.when(F.col("model") == "base", F.array(F.lit(-1))).otherwise(F.concat(F.array(F.lit(-1)), _others(inner, "inner_fold")))
-    taught = long.withColumn("held", F.explode(_others(folds, "outer_fold"))).withColumn("inner", F.explode(within))
-    fits = settled(fit_logistics(taught.select(*keys, "y", "x"), keys, width), "fits")
-    asked = long.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("inner", F.when(F.col("held") == F.col("outer_fold"), -1).otherwise(F.col("inner_fold")))
-    scores = predict_logistics(asked, fits, keys, width).groupBy(*ids, "held").agg(*[F.max(F.when(F.col("model") == m, F.col("p"))).alias(f"_{m}") for m in parts])
-    scores = settled(scores.join(dealt.select(*groups, "rep", key, "y", "outer_fold", *base), [*groups, "rep", key]), "scores", small=False)
+    Inner folds are dealt once, by another hash, and hold inside all outer folds.  Groups that can't be folded, and rows without a label, have no rows."""
+    own = _Inner(df.where(F.col(f"`{label}`").isNotNull()), groups, key, label, sorted({*base, *a, *b}))
+    parts, width = {"base": base, "a": a, "b": b}, max(len(base), len(a), len(b))
+    g, of = own.groups, lambda fs: [own.columns[c] for c in fs]
+    dealt = own.folded(folds, repeats, seed).where("_fold is not null").withColumnRenamed("_fold", "_outer")
+    nested = stratified_folds(own.df.select(*own.names), g, "_key", "_label", inner, repeats, seed + 1).select(*[F.col(c).alias(f"_of{c}") for c in g], F.col("rep").alias("_of_rep"), F.col("_key").alias("_of_key"), F.col("fold").alias("_inner"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in (*g, "_rep", "_key")]
+    dealt = settled(dealt.join(nested, same).drop(*[f"_of{c}" for c in (*g, "_rep", "_key")]), "folds", small=False)
+    ids = [*g, "_rep", "_key", "_label"]
+    long = dealt.select(*ids, "_outer", "_inner", *of(base), _exploded(parts, width, own.columns).alias("_e")).select("*", "_e.model", "_e.x").drop("_e")
+    long = long.withColumn("design", _name(*map(F.col, [*g, "_rep", "model"])))
+
+    # fit held * (inner + 1) trains on the other outer folds, the inner ones after it leave out one inner fold as well
+    step = inner + 1
+    taught = {h * step: F.col("_outer") != h for h in range(folds)}
+    taught |= {h * step + 1 + i: (F.col("_outer") != h) & (F.col("_inner") != i) & (F.col("model") != "base") for h in range(folds) for i in range(inner)}
+    fits = fit_designs(long.select("design", F.col("_label").alias("y"), "x", _bits(taught).alias("bits")), width, folds * step)
+    asked = long.join(fits, "design").withColumn("_held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    number = F.col("_held") * step + F.when((F.col("_held") == F.col("_outer")) | (F.col("model") == "base"), 0).otherwise(F.col("_inner") + 1)
+    asked = asked.withColumn("_p", probability(width, number))
+    firsts = [F.first(c).alias(c) for c in (*of(base), "_outer")]
+    scores = settled(asked.groupBy(*ids, "_held").agg(*firsts, *[F.max(F.when(F.col("model") == m, F.col("_p"))).alias(f"_{m}") for m in parts]), "scores", small=False)
 
     full = 2 + len(base)
-    stacks = F.explode(F.array(F.struct(F.lit("plain").alias("model"), _numbers(["_a", "_b"], full).alias("x")), F.struct(F.lit("full").alias("model"), _numbers(["_a", "_b", *base], full).alias("x")))).alias("_e")
-    stack = scores.select(*ids, "y", "held", "outer_fold", "_base", "_a", "_b", stacks).select("*", "_e.model", "_e.x").drop("_e")
-    keys = [*groups, "rep", "model", "held"]
-    fits = fit_logistics(stack.where("held <> outer_fold").select(*keys, "y", "x"), keys, full)
-    told = predict_logistics(stack.where("held = outer_fold"), fits, keys, full)
-    of = lambda m: F.avg(F.when(F.col("model") == m, F.col("p")))
-    return told.groupBy(*groups, key, label).agg(
-        F.avg("_base").alias("base_prob"), F.avg("_a").alias("model_a_prob"), F.avg("_b").alias("model_b_prob"), of("full" if with_base else "plain").alias("stacked_prob"), of("plain").alias("stacked_plain_prob")
-    )
+    stacks = _exploded({"plain": ["_a", "_b"], "full": ["_a", "_b", *of(base)]}, full, {c: c for c in ("_a", "_b", *of(base))})
+    stack = scores.select(*ids, "_held", "_outer", "_base", "_a", "_b", stacks.alias("_e")).select("*", "_e.model", "_e.x").drop("_e")
+    stack = stack.withColumn("design", _name(*map(F.col, [*g, "_rep", "model", "_held"])))
+    fits = fit_designs(stack.where("_held <> _outer").select("design", F.col("_label").alias("y"), "x", F.lit(1).alias("bits")), full, 1)
+    told = stack.where("_held = _outer").join(fits, "design", "left").withColumn("_p", probability(full))
+    by = lambda m: F.avg(F.when(F.col("model") == m, F.col("_p")))
+    out = told.groupBy(*own.names).agg(F.avg("_base").alias("_base"), F.avg("_a").alias("_a"), F.avg("_b").alias("_b"), by("full" if with_base else "plain").alias("_s"), by("plain").alias("_plain"))
+    return own.named(out, base_prob="_base", model_a_prob="_a", model_b_prob="_b", stacked_prob="_s", stacked_plain_prob="_plain")
 
 
 def guarded_auroc(df: DataFrame, groups: list[str], label: str, scores: list[str]) -> DataFrame:
     """n, n_positive and the AUROC of each score; groups that are too small keep their row with NULLs."""
     out = df.groupBy(*groups).agg(F.count("*").alias("n"), F.sum(label).alias("n_positive"), metrics.estimable(F.col(label)).alias("_ok"))
     for s in scores:
-        out = out.join(metrics.auroc(df, groups, label, s, f"auc_{s}"), groups, "left").withColumn(f"auc_{s}", F.when(F.col("_ok"), F.col(f"auc_{s}")))
+        out = joined(out, metrics.auroc(df, groups, label, s, f"auc_{s}"), groups, "left").withColumn(f"auc_{s}", F.when(F.col("_ok"), F.col(f"auc_{s}")))
     return out.drop("_ok")
 
 
@@ -235,12 +535,17 @@ def incremental(df: DataFrame, groups: list[str], key: str, label: str, base: li
 
 
 def null_gains(df: DataFrame, groups: list[str], key: str, label: str, base: list[str], feature: str, repeats: int, shuffle: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """True and null gains of a feature: ``shuffle`` deals the labels (both models are refitted) or the feature anew in each repeat."""
+    """True and null gains of a feature: ``shuffle`` deals the labels (both models are refitted) or the feature (the base model is fitted once) anew in each repeat."""
     column = {"label": label, "feature": feature}[shuffle]
-    null = permuted(df.select(*groups, key, label, *base, feature), groups, key, [column], repeats, seed).withColumnRenamed("rep", "null_rep")
-    null = incremental(null, [*groups, "null_rep"], key, label, base, {"plus": [*base, feature]}, folds, seed).select(*groups, F.col("gain_plus").alias("null_gain"))
-    true = incremental(df, groups, key, label, base, {"plus": [*base, feature]}, folds, seed).select(*groups, F.col("gain_plus").alias("true_gain"))
-    joined = null.join(F.broadcast(true), groups)  # one row per group
-    return joined.groupBy(*groups).agg(
+    plus = {"plus": [*base, feature]}
+    true = settled(incremental(df, groups, key, label, base, plus, folds, seed).select(*groups, "auc_base", F.col("gain_plus").alias("true_gain")), "true")
+    null, by = permuted(df.select(*groups, key, label, *base, feature), groups, key, [column], repeats, seed).withColumnRenamed("rep", "null_rep"), [*groups, "null_rep"]
+    if shuffle == "label":
+        both = incremental(null, by, key, label, base, plus, folds, seed).select(*groups, F.col("gain_plus").alias("null_gain"))
+        both = joined(both, F.broadcast(true), groups)  # one row per group
+    else:
+        one = guarded_auroc(cross_predict(null, by, key, label, plus, folds, 1, seed), by, label, ["plus"]).select(*groups, "auc_plus")
+        both = joined(one, F.broadcast(true), groups).withColumn("null_gain", six(F.col("auc_plus") - F.col("auc_base")))
+    return both.groupBy(*groups).agg(
         F.first("true_gain").alias("true_gain"), six(F.avg("null_gain")).alias("null_mean"), six(F.stddev_pop("null_gain")).alias("null_sd"), six(metrics.right_tail(F.col("null_gain"), F.col("true_gain"))).alias("p_value")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import metrics
-from ..functions.scalars import finite, hash_number, six
+from ..functions.scalars import finite, hash_number, joined, six
 
 
 def _in_slices(df: DataFrame, groups: list[str], part: Column, order: list[Column], name: str) -> DataFrame:
@@ -160,7 +160,7 @@ def permuted(df: DataFrame, groups: list[str], key: str, columns: list[str], rep
     """``df`` once per repeat with ``columns`` dealt anew among a group's rows: values in key order go to rows in hash order."""
     taken = _numbered(df, groups, key).select(*groups, "_i", *columns)
     rows = _spread(df.drop(*columns), key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    return _hash_order(rows, [*groups, "rep"], seed, "rep", key, "_i").join(taken, [*groups, "_i"]).drop("_i")
+    return joined(_hash_order(rows, [*groups, "rep"], seed, "rep", key, "_i"), taken, [*groups, "_i"]).drop("_i")
 
 
 def shuffled_order(df: DataFrame, key: str, repeats: int, seed: int = 42) -> DataFrame:
@@ -181,7 +181,7 @@ def stratified_folds(df: DataFrame, groups: list[str], key: str, label: str, fol
 
     The number of folds is the smallest of ``folds`` and the group's class sizes; a group in which it is below 2 gets NULL."""
     rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    sizes = df.groupBy(*groups).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
+    sizes = df.groupBy(*groups).agg(F.sum(label).alias("_p"), F.count(label).alias("_n"))
     k = F.least(F.lit(folds), F.col("_p"), F.col("_n") - F.col("_p"))
-    dealt = _hash_order(rows, [*groups, "rep", label], seed, "rep", key, "_r").join(sizes, groups)
+    dealt = joined(_hash_order(rows, [*groups, "rep", label], seed, "rep", key, "_r"), sizes, groups)
     return dealt.withColumn("fold", F.when(k >= 2, (F.col("_r") % k).cast("int"))).drop("_r", "_p", "_n")
