@@ -28,6 +28,8 @@ from .text import chunks, encode_words, from_rising_planes, raw_bytes, rising_pl
 
 ORDERS = 3
 HOT = 1024
+#: Runs of buckets whose counts a task sends as one record each.
+PARTS = 16
 #: Words up to this many bytes have their tables kept.
 USUAL = 256
 #: Sorted buckets are kept as 16-bit numbers.
@@ -118,17 +120,27 @@ def _digest(text: Column) -> Column:
 def bucket_counts(found: DataFrame, n_buckets: int) -> np.ndarray:
     """Features in each bucket over all documents, copies counted; ``n_buckets`` totals reach the driver."""
 
-    def run(batches):
+    cuts = range(0, n_buckets, -(-n_buckets // PARTS))
+
+    def counted(batches):
         total = np.zeros(n_buckets, np.int64)
         for batch in batches:
             for raw, copies in zip(batch.column("buckets").to_pylist(), batch.column("copies").to_pylist(), strict=True):
                 total += copies * np.bincount(from_rising_planes(raw, np.uint16), minlength=n_buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int32), "n": total[at]})
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array(cuts, pa.int32()), "sums": [total[a : a + cuts.step].tobytes() for a in cuts]})
 
-    out = np.zeros(n_buckets, np.int64)
-    for bucket, n in found.select("copies", "buckets").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[bucket] = n
+    def summed(batches):
+        totals = {}
+        for batch in batches:
+            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                totals[part] = totals.get(part, 0) + np.frombuffer(sums, np.int64)
+        if totals:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(totals), pa.int32()), "sums": [v.tobytes() for v in totals.values()]})
+
+    out, schema = np.zeros(n_buckets, np.int64), "part int, sums binary"
+    for part, sums in found.select("copies", "buckets").mapInArrow(counted, schema).repartition("part").mapInArrow(summed, schema).collect():
+        out[part : part + cuts.step] = np.frombuffer(sums, np.int64)
     return out
 
 
