@@ -311,24 +311,23 @@ def cross_predict(df: DataFrame, groups: list[str], key: str, label: str, models
     return inner.named(told.groupBy(*inner.names).agg(*[F.avg(F.when(F.col("model") == m, F.col("_p"))).alias(n) for m, n in places.items()]), **places)
 
 
-def pooled(value: np.ndarray, weight: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """Adjacent violators of a sorted stack pooled: means, weights, first and last places of what is left.
+def pooled(total: np.ndarray, weight: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Adjacent violators of a sorted stack pooled: totals, weights, first and last places of what is left.
 
-    Unbroken runs of violators are pooled at once; what a few rounds leave is done from the left with a stack."""
+    Means are compared as products, which are exact for counts.  Unbroken runs of violators are pooled at once; what a few rounds leave is done from the left with a stack."""
     for _ in range(16):
-        down = value[:-1] >= value[1:]
+        down = total[:-1] * weight[1:] >= total[1:] * weight[:-1]
         if not down.any():
-            return [value, weight, first, last]
+            return [total, weight, first, last]
         starts = np.flatnonzero(np.append(True, ~down))
-        total = np.add.reduceat(value * weight, starts)
-        weight = np.add.reduceat(weight, starts)
-        value, first, last = total / weight, first[starts], last[np.append(starts[1:], len(last)) - 1]
+        total, weight = np.add.reduceat(total, starts), np.add.reduceat(weight, starts)
+        first, last = first[starts], last[np.append(starts[1:], len(last)) - 1]
     stack: list[list[float]] = []
-    for v, w, a, b in zip(value.tolist(), weight.tolist(), first.tolist(), last.tolist(), strict=True):
-        while stack and stack[-1][0] >= v:
-            v0, w0, a, _ = stack.pop()
-            v, w = (v0 * w0 + v * w) / (w0 + w), w0 + w
-        stack.append([v, w, a, b])
+    for t, w, a, b in zip(total.tolist(), weight.tolist(), first.tolist(), last.tolist(), strict=True):
+        while stack and stack[-1][0] * w >= t * stack[-1][1]:
+            t0, w0, a, _ = stack.pop()
+            t, w = t0 + t, w0 + w
+        stack.append([t, w, a, b])
     return list(np.array(stack).T)
 
 
@@ -336,8 +335,8 @@ def fit_isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares increasing fit; equal x are pooled first, then adjacent violators."""
     order = np.argsort(x, kind="stable")
     xs, first, counts = np.unique(x[order], return_index=True, return_counts=True)
-    value, _, low, high = pooled(np.add.reduceat(y[order].astype(float), first) / counts, counts.astype(float), xs, xs)
-    return xs, value[np.searchsorted(low, xs, "right") - 1]
+    total, weight, low, _ = pooled(np.add.reduceat(y[order].astype(float), first), counts.astype(float), xs, xs)
+    return xs, (total / weight)[np.searchsorted(low, xs, "right") - 1]
 
 
 def predict_isotonic(model, x: np.ndarray) -> np.ndarray:
@@ -345,8 +344,8 @@ def predict_isotonic(model, x: np.ndarray) -> np.ndarray:
     return np.clip(np.interp(x, *model), 0.0, 1.0)
 
 
-_STACK = "design string, fit int, place long, value binary, weight binary, low binary, high binary"
-_STACKS = pa.schema([("design", pa.string()), ("fit", pa.int32()), ("place", pa.int64()), *((c, pa.binary()) for c in ("value", "weight", "low", "high"))])
+_STACK = "design string, fit int, place long, total binary, weight binary, low binary, high binary"
+_STACKS = pa.schema([("design", pa.string()), ("fit", pa.int32()), ("place", pa.int64()), *((c, pa.binary()) for c in ("total", "weight", "low", "high"))])
 
 
 def _sliced(fits: int):
@@ -384,8 +383,8 @@ def _stacked_slices(fits: int):
                     weight, won = (n[:, h], pos[:, h]) if h == fits - 1 else (n[:, :-1].sum(1) - n[:, h], pos[:, :-1].sum(1) - pos[:, h])
                     some = weight > 0
                     if some.any():
-                        parts = pooled(won[some] / weight[some], weight[some], x[some], x[some])
-                        out.append({"design": r["design"], "fit": h, "place": r["place"], **dict(zip(("value", "weight", "low", "high"), (p.tobytes() for p in parts), strict=True))})
+                        parts = pooled(won[some], weight[some], x[some], x[some])
+                        out.append({"design": r["design"], "fit": h, "place": r["place"], **dict(zip(("total", "weight", "low", "high"), (p.tobytes() for p in parts), strict=True))})
             yield pa.RecordBatch.from_pylist(out, schema=_STACKS)
 
     return run
@@ -394,8 +393,8 @@ def _stacked_slices(fits: int):
 def _merged(key, table):
     """The stacks of neighbouring slices as one."""
     table = table.sort_by("place")
-    parts = pooled(*[np.concatenate([np.frombuffer(v) for v in table.column(c).to_pylist()]) for c in ("value", "weight", "low", "high")])
-    row = {"design": key[0].as_py(), "fit": key[1].as_py(), "place": table.column("place")[0].as_py(), **dict(zip(("value", "weight", "low", "high"), (p.tobytes() for p in parts), strict=True))}
+    parts = pooled(*[np.concatenate([np.frombuffer(v) for v in table.column(c).to_pylist()]) for c in ("total", "weight", "low", "high")])
+    row = {"design": key[0].as_py(), "fit": key[1].as_py(), "place": table.column("place")[0].as_py(), **dict(zip(("total", "weight", "low", "high"), (p.tobytes() for p in parts), strict=True))}
     return pa.Table.from_pylist([row], schema=_STACKS)
 
 
@@ -403,8 +402,8 @@ def _knots_of_slices(slices, stacks):
     """For each slice of a design the knots (x, value) of every fit around its points: no more than the slice needs."""
     out, spans = [], slices.to_pylist()
     for r in stacks.to_pylist():
-        value, low, high = (np.frombuffer(r[c]) for c in ("value", "low", "high"))
-        x, y = np.stack([low, high], 1).ravel(), np.repeat(value, 2)
+        total, weight, low, high = (np.frombuffer(r[c]) for c in ("total", "weight", "low", "high"))
+        x, y = np.stack([low, high], 1).ravel(), np.repeat(total / weight, 2)
         for s in spans:
             a, b = max(int(np.searchsorted(x, s["first"], "left")) - 1, 0), int(np.searchsorted(x, s["last"], "right")) + 1
             out.append({"design": s["design"], "place": s["place"], "fit": r["fit"], "knots": x[a:b].tobytes(), "values": y[a:b].tobytes()})
