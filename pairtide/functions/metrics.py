@@ -151,3 +151,62 @@ def estimable(label: Column, least: int = 8, least_class: int = 2) -> Column:
 def right_tail(null: Column, true: Column) -> Column:
     """The share of null values at or above the true one, as an aggregate; nothing is added to the counts."""
     return F.avg((null >= true).cast("double"))
+
+
+#: Parts of a score slice that :func:`quantiles` narrows down to before it orders values.
+PARTS = 4096
+
+
+def quantiles(df: DataFrame, groups: list[str], column: str, points: list[float]) -> DataFrame:
+    """(groups, n, quantiles): interpolated quantiles of each group's finite values, exact; a group without one has no row.
+
+    Values are counted, the counts by slice and by part of a slice show where the wanted ranks are, and only the values of those parts are put in order."""
+    x = F.col(f"`{column}`").cast("double")
+    counts = df.where(finite(x)).groupBy(*groups, (x + 0.0).alias("_x")).agg(F.count("*").alias("_c"))
+    size = F.abs("_x")
+    place = size / F.pow(F.lit(2.0), F.floor(F.log2(size))) * (SLICES * PARTS)
+    counts = counts.withColumn("_s", score_slice(F.col("_x"))).withColumn("_f", F.when(F.col("_x") == 0, 0).otherwise(F.floor(F.when(F.col("_x") > 0, place).otherwise(-place))).cast("long"))
+
+    def narrowed(level: DataFrame, within: list[str], order: str) -> DataFrame:
+        """Rows of ``level`` in which wanted ranks lie, with those ranks and the rows before them."""
+        along = Window.partitionBy(*groups, *within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_c").over(along), F.lit(0))).drop("_base")
+        here = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))
+        return level.withColumn("_ranks", F.filter("_ranks", here)).where(F.size("_ranks") > 0).drop("_c")
+
+    total = counts.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+    at = F.array(*[F.lit(float(q)) for q in points])
+    ranks = F.array_distinct(F.flatten(F.transform(at, lambda q: F.array(F.floor(q * (F.col("_n") - 1)), F.ceil(q * (F.col("_n") - 1))))))
+    wanted = total.select(*groups, "_n", ranks.alias("_ranks"), F.lit(0).cast("long").alias("_base"))
+    slices = joined(counts.groupBy(*groups, "_s").agg(F.sum("_c").alias("_c")), wanted, groups)
+    slices = narrowed(slices, [], "_s").withColumnRenamed("_before", "_base")
+    parts = joined(counts.groupBy(*groups, "_s", "_f").agg(F.sum("_c").alias("_c")), slices, [*groups, "_s"])
+    parts = narrowed(parts, ["_s"], "_f").withColumnRenamed("_before", "_base").drop("_n")
+    values = narrowed(joined(counts, parts, [*groups, "_s", "_f"]), ["_s", "_f"], "_x")
+    found = values.select(*groups, "_x", F.explode("_ranks").alias("_r")).groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_v"))
+
+    def between(q):
+        h = q * (F.col("_n") - 1)
+        low, high = F.element_at("_v", F.floor(h)), F.element_at("_v", F.ceil(h))
+        return F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+    return joined(total, found, groups).select(*groups, F.col("_n").alias("n"), F.transform(at, between).alias("quantiles"))
+
+
+def window_summary(df: DataFrame, groups: list[str], label: str, score: str, *more: Column, prefix: str = "") -> DataFrame:
+    """n, auc, ece and brier of groups that are known to be small, such as windows of rows, and ``more`` aggregates; one shuffle by group.
+
+    Groups without a finite score keep their row with NULLs."""
+    p, y = F.col("_p"), F.col("_y")
+    counted = finite(F.col(score)) & F.col(label).isNotNull()
+    rows = df.withColumn("_p", F.when(counted, F.col(score).cast("double"))).withColumn("_y", F.when(counted, F.col(label).cast("double")))
+    own = Window.partitionBy(*groups)
+    rows = rows.withColumn("_up", F.count("_p").over(own.orderBy("_p"))).withColumn("_tied", F.count("_p").over(Window.partitionBy(*groups, "_p")))
+    rank = F.col("_up") - (F.col("_tied") - 1) / 2
+    bins = F.array(*[F.abs(F.sum(F.when(bin_left(p) == b, y - p).otherwise(0.0))) for b in range(10)])
+    pos, neg = F.sum(y), F.sum(1 - y)
+    out = rows.groupBy(*groups).agg(
+        F.count("*").alias("n"), *more, ((F.sum(y * rank) - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0.0))).alias(f"{prefix}auc"),
+        (F.aggregate(bins, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.count("_p"), F.lit(0))).alias(f"{prefix}ece"), F.avg((p - y) * (p - y)).alias(f"{prefix}brier"),
+    )
+    return out

@@ -97,7 +97,7 @@ def six(x: Column) -> Column:
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """A join on ``keys`` in which a null equals a null."""
+    """A join on ``keys`` in which a null equals a null; without keys ``right`` is one row, for all of ``left``."""
     renamed = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_of_{k}`")) for k in keys]
-    return left.join(renamed, same, how).drop(*[f"_of_{k}" for k in keys])
+    return left.join(renamed if keys else F.broadcast(right), same or F.lit(True), how).drop(*[f"_of_{k}" for k in keys])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.scalars import mode_metric, shift_magnitude, six
+from ..functions.scalars import joined, mode_metric, shift_magnitude, six
 from .ranking import best_rows, row_windows
 
 
@@ -30,13 +30,10 @@ def window_metrics(log: DataFrame, sizes, auc_cap: float = 0.05, ece_cap: float
 
     A key without a baseline is an error.  Without coverage in the baseline there is no drift and no coverage alert."""
     keys = ["domain", "mode"]
-    cut = None
-    for size in sizes:
-        one = row_windows(log, [*keys, *extra], list(order), size).withColumn("window_size", F.lit(size))
-        cut = one if cut is None else cut.unionByName(one)
     groups = ["window_size", *keys, *extra, "window_id"]
-    seen = cut.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(F.col("referral_flag").cast("double")).alias("window_coverage"))
-    seen = seen.join(metrics.summary(cut, groups, "label", "policy_prob", "window_").drop("window_brier"), groups).join(baselines(log if base is None else base), keys, "left")
+    cut = row_windows(log.select(*{*keys, *extra, *order, "label", "policy_prob", "referral_flag"}), [*keys, *extra], list(order), *sizes)
+    seen = metrics.window_summary(cut, groups, "label", "policy_prob", F.avg(F.col("referral_flag").cast("double")).alias("window_coverage"), prefix="window_").drop("window_brier")
+    seen = seen.where(F.col("window_ece").isNotNull()).join(baselines(log if base is None else base), keys, "left")
     missing = F.raise_error(F.concat_ws(" ", F.lit("no baseline for"), *keys)).cast("double")
     base_coverage = F.col("baseline_coverage")
     drift = F.when(base_coverage.isNull(), missing).when(base_coverage > 0, (F.col("window_coverage") - base_coverage) / F.greatest(base_coverage, F.lit(1e-8)))
@@ -53,13 +50,18 @@ def signal(windows: DataFrame) -> DataFrame:
 
 def window_summary(windows: DataFrame) -> DataFrame:
     """Per size, domain and mode: alert rates, quantiles, the share of missing metrics and recommended caps."""
+    keys = ["window_size", "domain", "mode"]
     rate = lambda c: six(F.avg(F.col(c).cast("double"))).alias(f"{c}_rate")
-    return windows.groupBy("window_size", "domain", "mode").agg(
+    out = windows.groupBy(*keys).agg(
         F.count("*").alias("n_windows"), rate("coverage_alert"), rate("performance_alert"), rate("any_alert"),
-        six(F.avg(F.when(F.col("window_auc").isNull(), 1.0).otherwise(0.0))).alias("missing_auc"),
-        six(F.avg("auc_drop")).alias("mean_auc_drop"), six(F.median("auc_drop")).alias("median_auc_drop"), F.max("auc_drop").alias("max_auc_drop"),
-        six(F.percentile("auc_drop", F.lit(0.95))).alias("p95_auc_drop"), six(F.percentile("ece_uplift", F.lit(0.95))).alias("p95_ece_uplift"), six(F.percentile(F.abs("coverage_drift"), F.lit(0.95))).alias("p95_drift"),
+        six(F.avg(F.when(F.col("window_auc").isNull(), 1.0).otherwise(0.0))).alias("missing_auc"), six(F.avg("auc_drop")).alias("mean_auc_drop"), F.max("auc_drop").alias("max_auc_drop"),
     )
+    each = {"auc_drop": F.col("auc_drop"), "ece_uplift": F.col("ece_uplift"), "drift": F.abs("coverage_drift")}
+    long = windows.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("what"), c.alias("x")) for n, c in each.items()])).alias("_e")).select(*keys, "_e.*")
+    found = metrics.quantiles(long, [*keys, "what"], "x", [0.5, 0.95])
+    of = lambda name, i: six(F.max(F.when(F.col("what") == name, F.col("quantiles")[i])))
+    found = found.groupBy(*keys).agg(of("auc_drop", 0).alias("median_auc_drop"), of("auc_drop", 1).alias("p95_auc_drop"), of("ece_uplift", 1).alias("p95_ece_uplift"), of("drift", 1).alias("p95_drift"))
+    return joined(out, found, keys, "left")
 
 
 def mode_aggregate(windows: DataFrame) -> DataFrame:
@@ -73,8 +75,8 @@ def quantile_grid(points: int = 80, low: float = 0.70, high: float = 0.999) -> l
 
 
 def _caps(windows: DataFrame, column: str, quantiles: list[float], name: str) -> DataFrame:
-    caps = windows.groupBy("window_size", "mode").agg(F.percentile(column, F.array(*[F.lit(q) for q in quantiles])).alias("_c"))
-    grid = caps.select("window_size", "mode", F.posexplode("_c").alias("_i", name))
+    caps = metrics.quantiles(windows, ["window_size", "mode"], column, quantiles)
+    grid = caps.select("window_size", "mode", F.posexplode("quantiles").alias("_i", name))
     q = F.element_at(F.array(*[F.lit(q) for q in quantiles]), F.col("_i") + 1)
     return grid.select("window_size", "mode", q.alias(f"{name}_quantile"), six(F.col(name)).alias(name))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.scalars import nearly_equal, rule_label, six
+from ..functions.scalars import joined, nearly_equal, rule_label, six
+from ..sources.tables import settled
 from .ranking import best_rows, gaps, islands, relax
 
 
@@ -33,15 +34,18 @@ def best_single(pairs: DataFrame, groups: list[str]) -> DataFrame:
 
 def candidates(pairs: DataFrame, thresholds) -> DataFrame:
     """Metrics of each (domain, method, threshold) and their differences to the best single model of the same method, rounded."""
-    groups = ["domain", "method"]
-    based = best_single(pairs, groups)
-    reference = metrics.summary(based, groups, "label", "best_prob", "best_")
-    grid = based.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    grid = grid.withColumn("referred", (F.abs(F.col("b_prob") - F.col("a_prob")) >= F.col("threshold")).cast("int"))
-    grid = grid.withColumn("policy_prob", F.when(F.col("referred") == 1, F.col("stacked_prob")).otherwise(F.col("best_prob")))
-    keys = [*groups, "threshold"]
-    counts = grid.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("label").alias("n_positive"), F.sum("referred").alias("n_referred"), F.avg(F.col("referred").cast("double")).alias("coverage"), F.first("best_single_model").alias("best_single_model"))
-    out = counts.join(metrics.summary(grid, keys, "label", "policy_prob", "policy_"), keys).join(reference, groups)
+    groups, keys = ["domain", "method"], ["domain", "method", "threshold"]
+    based = settled(best_single(pairs, groups).select(*groups, "label", "a_prob", "b_prob", "stacked_prob", "best_prob", "best_single_model"), "based", small=False)
+    gap = F.abs(F.col("b_prob") - F.col("a_prob"))
+    referred = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.count_if(gap >= t).alias("n_referred")) for t in thresholds])
+    counts = based.groupBy(*groups).agg(F.count("*").alias("n"), F.sum("label").alias("n_positive"), referred.alias("_r"), F.first("best_single_model").alias("best_single_model"))
+    counts = counts.select("*", F.explode("_r").alias("_e")).select(*groups, "n", "n_positive", "best_single_model", "_e.*").withColumn("coverage", F.col("n_referred") / F.col("n"))
+    # a threshold that no gap reaches is the best single model itself
+    limits = F.explode(F.array(*[F.lit(float(t)) for t in thresholds], F.lit(float("inf"))))
+    grid = based.withColumn("threshold", limits).select(*keys, "label", refer(F.col("a_prob"), F.col("b_prob"), F.col("stacked_prob"), F.col("best_prob"), F.col("threshold")).alias("policy_prob"))
+    told = settled(metrics.summary(grid, keys, "label", "policy_prob", "policy_"), "told")
+    reference = told.where(F.col("threshold") == float("inf")).select(*groups, *[F.col(f"policy_{m}").alias(f"best_{m}") for m in ("auc", "ece", "brier")])
+    out = joined(joined(counts, told, keys), reference, groups)
     return out.select(
         *keys,
         "best_single_model",

@@ -4,37 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from ..functions import metrics
 from ..functions.scalars import finite, hash_number, joined, six
-
-
-def _in_slices(df: DataFrame, groups: list[str], part: Column, order: list[Column], name: str) -> DataFrame:
-    """``df`` with each row's number, from 0, in its group by ``part`` and ``order``.
-
-    Rows are numbered inside slices (groups, part) and moved up by what the slices before hold, so a large group is not one task."""
-    df = df.withColumn("_s", part)
-    before = Window.partitionBy(*groups).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(*groups, "_s").agg(F.count("*").alias("_c"))
-    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in (*groups, "_s")], F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*groups, "_s")]
-    numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*groups, "_s").orderBy(*order)) - 1)
-    return numbered.join(sizes, same).withColumn(name, F.col(name) + F.col("_before")).drop(*sizes.columns, "_s")
+from .ranking import numbered, slice_of
 
 
 def _numbered(df: DataFrame, groups: list[str], key: str) -> DataFrame:
     """Rows numbered in the order of a key; keys that are no numbers are one slice."""
-    part = metrics.score_slice(F.col(key).cast("double")) if isinstance(df.schema[key].dataType, NumericType) else F.lit(0)
-    return _in_slices(df, groups, part, [F.col(key)], "_i")
+    return numbered(df, groups, slice_of(df, key), [F.col(key)], "_i")
 
 
 def _hash_order(df: DataFrame, groups: list[str], seed: int, rep: str, key: str, name: str) -> DataFrame:
     """Rows numbered in the order of their hashes, 256 slices of them a group."""
     df = df.withColumn("_h", hash_number(seed, F.col(rep), F.col(key)))
-    return _in_slices(df, groups, F.shiftright("_h", 24), [F.col("_h"), F.col(key)], name).drop("_h")
+    return numbered(df, groups, F.shiftright("_h", 24), [F.col("_h"), F.col(key)], name).drop("_h")
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:

@@ -112,10 +112,12 @@ def sequence_detection(spark, sf_dir):
 
 
 _PERM = f"perm as (select replay.*, g as permutation_id, {sql_hash(repr('42'), 'g', 'event_id')} as perm_order from replay, range({PERMUTATIONS}) p(g))"
+#: Window sizes of the permutations.
+PERMUTED_SIZES = (250, 500, 1000)
 
 
-@query(with_(REPLAY, _PERM, sql.windows("perm", (250,), ", permutation_id", "perm_order, event_id")) + "select mode, permutation_id::int as permutation_id, count(*) as n_windows, round(avg(auc_drop), 6) as mean_auc_drop, round(avg(any_alert::int), 6) as any_alert_rate from win group by all")
+@query(with_(REPLAY, _PERM, sql.windows("perm", PERMUTED_SIZES, ", permutation_id", "perm_order, event_id")) + "select window_size, mode, permutation_id::int as permutation_id, count(*) as n_windows, round(avg(auc_drop), 9) as mean_auc_drop, round(avg(any_alert::int), 6) as any_alert_rate from win group by all")
 def permutation_windows(spark, sf_dir):
     replayed = settled(log(spark, sf_dir), "replay", small=False)
-    out = monitor.window_metrics(resample.shuffled_order(replayed, "event_id", PERMUTATIONS), (250,), order=["perm_order", "event_id"], extra=["permutation_id"], base=replayed)
-    return out.groupBy("mode", "permutation_id").agg(F.count("*").alias("n_windows"), F.round(F.avg("auc_drop"), 6).alias("mean_auc_drop"), F.round(F.avg(F.col("any_alert").cast("double")), 6).alias("any_alert_rate"))
+    out = monitor.window_metrics(resample.shuffled_order(replayed, "event_id", PERMUTATIONS), PERMUTED_SIZES, order=["perm_order", "event_id"], extra=["permutation_id"], base=replayed)
+    return out.groupBy("window_size", "mode", "permutation_id").agg(F.count("*").alias("n_windows"), F.round(F.avg("auc_drop"), 9).alias("mean_auc_drop"), F.round(F.avg(F.col("any_alert").cast("double")), 6).alias("any_alert_rate"))

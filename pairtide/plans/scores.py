@@ -113,17 +113,21 @@ def disagreement_deciles(spark, sf_dir):
     )
 
 
-def _enrichment(spark, sf_dir):
+def _enrichment(spark, sf_dir, least=8, least_top=2):
     counts = _deciles(spark, sf_dir).groupBy("domain", "source_id").agg(F.count("*").alias("n"), F.count_if(F.col("decile") == 9).alias("n_top"))
     total = counts.groupBy("domain").agg(F.sum("n").alias("_n"), F.sum("n_top").alias("_t"))
-    out = counts.join(F.broadcast(total), "domain").where("n >= 8 and n_top >= 2")
+    out = counts.join(F.broadcast(total), "domain").where(f"n >= {least} and n_top >= {least_top}")
     share, top = F.col("n") / scalars.at_least(F.col("_n"), 1), F.col("n_top") / scalars.at_least(F.col("_t"), 1)
     return out.select("domain", "source_id", "n", "n_top", six(share).alias("share"), six(top).alias("top_share"), six(top / F.greatest(share, F.lit(1e-12))).alias("enrichment"))
 
 
-_ENRICH = """counts as (select domain, source_id, count(*) as n, count(*) filter (decile = 9) as n_top from dec group by all),
+def _enrich(least: int = 8, least_top: int = 2) -> str:
+    return f"""counts as (select domain, source_id, count(*) as n, count(*) filter (decile = 9) as n_top from dec group by all),
   enr as (select domain, source_id, n, n_top, round(n / greatest(sn, 1), 6) as share, round(n_top / greatest(st, 1), 6) as top_share, round((n_top / greatest(st, 1)) / greatest(n / greatest(sn, 1), 1e-12), 6) as enrichment
-  from counts join (select domain, sum(n)::bigint as sn, sum(n_top)::bigint as st from counts group by domain) using (domain) where n >= 8 and n_top >= 2)"""
+  from counts join (select domain, sum(n)::bigint as sn, sum(n_top)::bigint as st from counts group by domain) using (domain) where n >= {least} and n_top >= {least_top})"""
+
+
+_ENRICH = _enrich()
 
 
 @query(with_(OOF, DISAGREE, DECILES, _ENRICH) + "from enr")
@@ -136,6 +140,22 @@ def source_topk(spark, sf_dir):
     return ranking.best_rows(_enrichment(spark, sf_dir), ["domain"], F.desc("enrichment"), F.desc("n_top"), "source_id", k=10)
 
 
+#: Rows that a source must have, and those among them in the top decile.
+FLOORS = (20, 5)
+
+
+@query(with_(OOF, DISAGREE, DECILES, _enrich(*FLOORS)) + "from enr")
+def source_enrichment_supported(spark, sf_dir):
+    """Enrichment of well supported sources only."""
+    return _enrichment(spark, sf_dir, *FLOORS)
+
+
+@query(with_(OOF, DISAGREE, DECILES, _ENRICH) + "select * exclude (_r) from (select *, row_number() over (partition by source_id order by enrichment desc, n_top desc, source_id, domain) as _r from enr) where _r = 1 order by enrichment desc, n_top desc, source_id, domain limit 25")
+def global_source_topk(spark, sf_dir):
+    """The 25 most enriched sources over all domains, each once with its best domain."""
+    return ranking.global_top(_enrichment(spark, sf_dir), "source_id", F.desc("enrichment"), F.desc("n_top"), "source_id", "domain", k=25)
+
+
 _TOP = "top as (select domain, source_id, row_number() over (partition by domain order by n desc, source_id) as r from (select domain, source_id, count(*) as n from oof group by all))"
 
 
