@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import subspace
+
 LEAST_NORM = 1e-8
 
 
@@ -51,9 +53,4 @@ def mean_vectors(df: DataFrame, vector: str, *groups: str) -> DataFrame:
 
 def low_rank(df: DataFrame, vector: str, k: int) -> DataFrame:
     """``df`` with ``vector`` replaced by its projection on the first k principal components of the centred table."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    centred = df.crossJoin(F.broadcast(mean_vectors(df, vector))).withColumn("_v", array_to_vector(subtract(F.col(vector), F.col("mean")))).drop("mean")
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(centred)
-    return model.transform(centred).withColumn(vector, vector_to_array("_p")).drop("_v", "_p")
+    return subspace.projected(df, vector, subspace.components(df, vector, k))
