@@ -169,10 +169,10 @@ def mode_summary(modes: DataFrame) -> DataFrame:
     return modes.groupBy("mode").agg(F.countDistinct("domain").alias("n_domains"), *means)
 
 
-def schedule(defaults: DataFrame) -> DataFrame:
-    """Segments of the cost axis in which the default rule stays the same."""
+def schedule(defaults: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Segments of the cost axis, for each of the ``keys``, in which the default rule stays the same."""
     ruled = defaults.withColumn("_all", F.lit(1)).withColumn("rule", rule_label(F.col("method"), F.col("threshold")))
-    return islands(ruled, ["_all"], "cost", "rule").groupBy("island").agg(
+    return islands(ruled, [*keys, "_all"], "cost", "rule").groupBy(*keys, "island").agg(
         F.min("cost").alias("lambda_start"), F.max("cost").alias("lambda_end"), F.first("method").alias("method"), F.first("threshold").alias("threshold"), F.first("rule").alias("rule"),
         six(F.avg("mean_utility")).alias("mean_utility"), six(F.avg("mean_coverage")).alias("mean_coverage"),
     ).drop("island")
@@ -183,14 +183,25 @@ def schedule_integrity(segments: DataFrame) -> DataFrame:
     return checked.select("lambda_start", "lambda_end", "rule", six(F.col("gap")).alias("gap"), six(F.col("overlap")).alias("overlap"))
 
 
-def rule_at(costs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The rule for each cost: a segment holds its start and all costs below the next segment's start, the last one its end too; other costs have a NULL rule.
-
-    The schedule has few segments, so it is broadcast."""
-    following = F.lead("lambda_start").over(Window.partitionBy(F.lit(1)).orderBy("lambda_start", "lambda_end"))
-    ends = segments.select("lambda_start", "lambda_end", "rule", following.alias("_next"))
-    inside = (F.col("cost") >= F.col("lambda_start")) & F.when(F.col("_next").isNull(), F.col("cost") <= F.col("lambda_end")).otherwise(F.col("cost") < F.col("_next"))
-    return costs.join(F.broadcast(ends), inside, "left").select("cost", "rule")
+def rule_at(rows: DataFrame, segments: DataFrame, keys: list[str] = (), at: str = "cost") -> DataFrame:
+    """``rows`` with the rule of the schedule of their ``keys``: a segment holds its start and all costs below the next segment's start, the last one its end too; other costs have a NULL rule.
+
+    A segment is cut into bins as wide as the power of two below its length, so it lies in three at most; each distinct cost looks up one bin for each width that its schedule has.
+    The join is by equality of keys, width and bin, and cuts exactly inside the bin."""
+    keys, start, end = list(keys), F.col("lambda_start"), F.col("lambda_end")
+    following = F.lead("lambda_start").over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("lambda_start", "lambda_end"))
+    ends = segments.select(*keys, "lambda_start", "lambda_end", "rule", following.alias("_next")).withColumn("_stop", F.coalesce("_next", end))
+    ends = ends.where((F.col("_stop") > start) | (F.col("_next").isNull() & (F.col("_stop") == start)))
+    most = F.greatest(F.abs(start), F.abs("_stop"), F.lit(1.0))
+    ends = ends.withColumn("_width", F.greatest(F.floor(F.log2(F.greatest(F.col("_stop") - start, F.lit(1e-300)))), F.floor(F.log2(most)) - 50).cast("int"))
+    place = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_width"))).cast("long")
+    binned = ends.withColumn("_bin", F.explode(F.sequence(place(start), place(F.col("_stop")))))
+    widths = ends.select(*keys, "_width").distinct()
+    asked = rows.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("_at")).distinct()
+    asked = joined(asked, widths, keys).withColumn("_bin", place(F.col("_at"))) if keys else asked.join(widths, F.lit(True)).withColumn("_bin", place(F.col("_at")))
+    inside = (F.col("_at") >= start) & F.when(F.col("_next").isNull(), F.col("_at") <= end).otherwise(F.col("_at") < F.col("_next"))
+    found = joined(asked, binned, [*keys, "_width", "_bin"]).where(inside).select(*keys, F.col("_at").alias(at), "rule")
+    return joined(rows, found, [*keys, at], "left")
 
 
 def replay(pairs: DataFrame, threshold: float = 0.05) -> DataFrame:

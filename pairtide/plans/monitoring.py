@@ -9,7 +9,7 @@ from ..sources.tables import settled
 from . import sql
 from .policies import log
 from .registry import query
-from .sql import REPLAY, with_
+from .sql import REPLAY, sql_hash, with_
 
 SIZES = (100, 250, 500)
 SEQUENCES = 5000
@@ -19,7 +19,7 @@ WIN = f"{REPLAY}, {sql.windows(sizes=SIZES)}"
 
 def windows(spark, sf_dir):
     """One row per size, domain, mode and window."""
-    return settled(monitor.window_metrics(settled(log(spark, sf_dir), "replay", small=False), SIZES), "windows")
+    return settled(monitor.window_metrics(settled(log(spark, sf_dir), "replay", small=False), SIZES), "windows", small=False)
 
 
 @query(with_(WIN) + "from win")
@@ -92,10 +92,6 @@ def soft_alerts(spark, sf_dir):
     return monitor.soft_alerts(windows(spark, sf_dir), ["window_size", "domain", "mode"], "window_id").select("window_size", "domain", "mode", "window_id", "any_alert", "soft_alert")
 
 
-def sql_hash(*parts: str) -> str:
-    return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::bigint"
-
-
 _SEQ = f"""keyed as (select *, domain || '/' || window_id as k from win where window_size = 100),
   num as (select *, row_number() over (partition by mode order by k) - 1 as i, count(*) over (partition by mode) as total from keyed),
   slots as (select mode, s as sequence_id, p as position, {sql_hash("'42'", "s", "p")} % total as i from (select distinct mode, total from num), range({SEQUENCES}) a(s), range(1, 21) b(p)),

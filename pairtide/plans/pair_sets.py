@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics, vectors
 from ..functions.scalars import six
 from ..operators import pairs, sparse
-from ..sources import views
-from ..sources.tables import table
+from ..sources import arrays, views
+from ..sources.tables import shared_path, table
 from . import sql
 from .registry import query
 from .sql import EXPR, NEGATIVES, POSITIVES, STATS, VECS, VPAIRS, with_
@@ -162,3 +162,14 @@ def map_chain(spark, sf_dir):
     to_id = customers.select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("id")).distinct()
     to_token = nations.join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("token"))
     return pairs.map_chain(customers.select(F.col("c_custkey").alias("name")), to_id, to_token, 3)
+
+
+@query(with_(VECS) + "select layer, count(*) as n, round(avg(sqrt(list_dot_product(p, p))), 6) as mean_norm, round(sum(row * p[1]), 4) as weighted_first from (select layer::int as layer, vec_id as row, v[16 * layer + 1 : 16 * layer + 16] as p from vecs, (values (1), (3)) l(layer)) group by layer")
+def array_layers(spark, sf_dir):
+    """Four layers of the vectors, written as array files and read again; only two layers' files are opened."""
+    layer = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    layers = views.vectors(spark, sf_dir).withColumn("layer", layer).select("layer", F.col("vec_id").alias("row"), F.slice("v", F.col("layer") * 16 + 1, 16).alias("v"))
+    path = shared_path(spark, "arrays")
+    arrays.write_arrays(layers, path)
+    read = arrays.read_arrays(spark, path).where(F.col("layer").isin(1, 3))
+    return read.groupBy("layer").agg(F.count("*").alias("n"), six(F.avg(vectors.norm(F.col("v")))).alias("mean_norm"), F.round(F.sum(F.col("row") * F.col("v")[0]), 4).alias("weighted_first"))

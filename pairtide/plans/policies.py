@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import six
+from ..functions.scalars import hash_number, six
 from ..operators import config, policy
 from ..sources import views
 from ..sources.tables import settled
 from . import sql
 from .registry import query
-from .sql import GRID, REPLAY, SCORED, with_
+from .sql import GRID, REPLAY, SCORED, sql_hash, with_
 
 
 def grid(spark, sf_dir):
@@ -110,7 +110,30 @@ _LOOK = "(values (0.0::double), (0.001), (0.006), (0.0125), (0.014), (0.015), (0
 @query(with_(SCORED, f"sched as ({sql.SCHEDULE})") + f"select cost, rule from {_LOOK} left join (select *, lead(lambda_start) over (order by lambda_start, lambda_end) as following from sched) on cost >= lambda_start and case when following is null then cost <= lambda_end else cost < following end")
 def lambda_lookup(spark, sf_dir):
     costs = spark.createDataFrame([(x,) for x in (0.0, 0.001, 0.006, 0.0125, 0.014, 0.015, 0.02, 0.03, 0.04)], "cost double")
-    return policy.rule_at(costs, policy.schedule(policy.utility_default(scored(spark, sf_dir))))
+    return policy.rule_at(costs, policy.schedule(policy.utility_default(scored(spark, sf_dir)))).select("cost", "rule")
+
+
+def _own_schedule(version: int, least: str) -> str:
+    best = sql.best(f"from scored where coverage >= {least}", "cost, domain", "utility desc, delta_auc desc, coverage, method, threshold")
+    return f"""select domain, {version} as version, min(cost) as lambda_start, max(cost) as lambda_end, any_value(rule) as rule from (select *, sum(new) over (partition by domain order by cost) as island from
+      (select *, case when lag(rule) over (partition by domain order by cost) = rule then 0 else 1 end as new from (select *, printf('%s@%.2f', method, threshold) as rule from ({best})))) group by domain, island"""
+
+
+_ASKED = f"asked as (select event_id, domain, (event_id % 2)::int as version, h % 400 / 10000.0::double as cost from (select event_id, domain, {sql_hash(repr('cost'), 'event_id')} as h from oof))"
+
+
+@query(with_(SCORED, f"own as ({_own_schedule(0, '0')} union all {_own_schedule(1, '0.05')})", _ASKED) + """select event_id, domain, version, cost, rule from asked left join
+  (select *, lead(lambda_start) over (partition by domain, version order by lambda_start, lambda_end) as following from own) using (domain, version) where rule is null or (cost >= lambda_start and case when following is null then cost <= lambda_end else cost < following end)
+  union all select event_id, domain, version, cost, null from asked where cost > (select max(lambda_end) from own where own.domain = asked.domain and own.version = asked.version)""")
+def event_rules(spark, sf_dir):
+    """The rule that each event's cost has in the schedule of its domain and version: of all candidates, or of those with enough coverage."""
+    g, schedules = grid(spark, sf_dir), None
+    for version, least in enumerate((0.0, 0.05)):
+        best = policy.utility_best(policy.utilities(g, sql.COSTS, least)).withColumn("mean_utility", F.col("utility")).withColumn("mean_coverage", F.col("coverage"))
+        own = policy.schedule(best, ["domain"]).withColumn("version", F.lit(version))
+        schedules = own if schedules is None else schedules.unionByName(own)
+    costs = views.scored_pairs(spark, sf_dir).select("event_id", "domain", (F.col("event_id") % 2).cast("int").alias("version"), (hash_number("cost", F.col("event_id")) % 400 / F.lit(10000.0)).alias("cost"))
+    return policy.rule_at(costs, settled(schedules, "schedules"), ["domain", "version"]).select("event_id", "domain", "version", "cost", "rule")
 
 
 @query(with_(SCORED, f"rules as (select distinct method, threshold from ({sql.UDEFAULT}))") + """select method, threshold, count(*) as n_domains, round(avg(policy_auc), 6) as mean_auc, round(avg(policy_ece), 6) as mean_ece, round(avg(coverage), 6) as mean_coverage

@@ -86,9 +86,8 @@ def read_layer(spark: SparkSession, path, layer: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("layer") == layer)
 
 
-def settled(df: DataFrame, name: str = "table", small: bool = True) -> DataFrame:
-    """A table that later steps use several times, written once to the folder that the cluster shares; a small one as one file."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -96,9 +95,14 @@ def settled(df: DataFrame, name: str = "table", small: bool = True) -> DataFrame
         folder = tempfile.mkdtemp(prefix="pairtide-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(1) if small else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "table", small: bool = True) -> DataFrame:
+    """A table that later steps use several times, written once to the folder that the cluster shares; a small one, with a few rows a group, as one file."""
+    path = shared_path(df.sparkSession, name)
+    (df.repartition(1) if small else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_delimited(df: DataFrame, path, *, separator: str = ",") -> None:
