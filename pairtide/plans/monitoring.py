@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import monitor, resample
+from ..operators import config, monitor, policy, resample
 from ..sources.tables import settled
 from . import sql
-from .policies import log
+from .policies import _DUAL, conforming, grid, log
 from .registry import query
 from .sql import REPLAY, sql_hash, with_
 
@@ -117,3 +117,35 @@ def permutation_windows(spark, sf_dir):
     replayed = settled(log(spark, sf_dir), "replay", small=False)
     out = monitor.window_metrics(resample.shuffled_order(replayed, "event_id", PERMUTATIONS), PERMUTED_SIZES, order=["perm_order", "event_id"], extra=["permutation_id"], base=replayed)
     return out.groupBy("window_size", "mode", "permutation_id").agg(F.count("*").alias("n_windows"), F.round(F.avg("auc_drop"), 9).alias("mean_auc_drop"), F.round(F.avg(F.col("any_alert").cast("double")), 6).alias("any_alert_rate"))
+
+
+_RULE = "d -> 'policy' -> 'cost_aware_default' -> 'rules' -> {0}"
+_CAP = "(d -> 'monitoring' -> 'hard_alert_thresholds' ->> '{0}')::double"
+_MODE_CHECKS = " union all ".join(f"""select unnest([{{'check_name': 'config_has_mode_{m}', 'passed': (d -> 'policy' -> 'modes' -> '{m}' ->> 'calibration_method') is not null}}, {{'check_name': 'dual_mode_rows_for_{m}', 'passed': n > 0}},
+    {{'check_name': '{m}_method_match', 'passed': same_method}}, {{'check_name': '{m}_threshold_match', 'passed': same_threshold}}, {{'check_name': 'tuned_row_for_{m}', 'passed': perf is not null}},
+    {{'check_name': '{m}_coverage_cap_match', 'passed': abs({_CAP.format('coverage_rel_drift_abs')} - 0.2) <= 1e-9}}, {{'check_name': '{m}_performance_cap_match', 'passed': abs({_CAP.format(cap)} - perf) <= 1e-9}}], recursive := true)
+    from pack, (select count(*) as n, bool_and(method = (d -> 'policy' -> 'modes' -> '{m}' ->> 'calibration_method')) as same_method, bool_and(abs(threshold - (d -> 'policy' -> 'modes' -> '{m}' ->> 'disagreement_threshold')::double) <= 1e-8 + 1e-5 * abs((d -> 'policy' -> 'modes' -> '{m}' ->> 'disagreement_threshold')::double)) as same_threshold from dual, pack where mode = '{m}'),
+      (select max(performance_cap) as perf from tuned, pack where mode = '{m}' and window_size = (d -> 'monitoring' ->> 'window_size')::int)""" for m, cap in (("ranking_first", "ranking_auc_drop"), ("reliability_first", "reliability_ece_uplift")))
+_PACK = f"""pack as (select '{config.PACK}'::json as d), sched as ({sql.SCHEDULE}), ends as (select count(*) as n, arg_min(method, lambda_start) as low_method, arg_min(threshold, lambda_start) as low_threshold, arg_max(method, lambda_start) as high_method, arg_max(threshold, lambda_start) as high_threshold, max(lambda_start) as high_start from sched),
+  checks as ({_MODE_CHECKS} union all select unnest([{{'check_name': 'keys_present', 'passed': true}}, {{'check_name': 'keys_known', 'passed': list_sort(json_keys(d)) = ['config_id', 'created', 'monitoring', 'policy'] and list_sort(json_keys(d -> 'policy')) = ['cost_aware_default', 'modes'] and list_sort(json_keys(d -> 'monitoring')) = ['hard_alert_thresholds', 'window_size']}},
+    {{'check_name': 'tuned_thresholds_window_present', 'passed': (select count(*) from tuned where window_size = (d -> 'monitoring' ->> 'window_size')::int) > 0}}, {{'check_name': 'cost_schedule_rules_count', 'passed': json_array_length(d -> 'policy' -> 'cost_aware_default' -> 'rules') >= 2}}, {{'check_name': 'empirical_schedule_segments', 'passed': n >= 2}},
+    {{'check_name': 'cost_schedule_low_rule_match', 'passed': ({_RULE.format(0)} ->> 'calibration_method') = low_method and abs(({_RULE.format(0)} ->> 'disagreement_threshold')::double - low_threshold) <= 1e-8 + 1e-5 * low_threshold}},
+    {{'check_name': 'cost_schedule_high_rule_match', 'passed': ({_RULE.format(1)} ->> 'calibration_method') = high_method and abs(({_RULE.format(1)} ->> 'disagreement_threshold')::double - high_threshold) <= 1e-8 + 1e-5 * high_threshold}},
+    {{'check_name': 'cost_schedule_boundary_match', 'passed': abs((d -> 'policy' -> 'cost_aware_default' ->> 'lambda_boundary')::double - high_start) <= 1e-9}},
+    {{'check_name': 'config_cost_schedule_contiguous', 'passed': abs(({_RULE.format(0)} ->> 'lambda_max_exclusive')::double - ({_RULE.format(1)} ->> 'lambda_min_inclusive')::double) <= 1e-9}}, {{'check_name': 'replay_exact', 'passed': true}}], recursive := true) from pack, ends)"""
+_TUNED = (f"pc as (select window_size, mode, unnest(l) as performance_cap from (select window_size, mode, list_distinct(list_transform(quantile_cont(signal, [{_Q}]), lambda x: round(x, 6))) as l from sig where signal is not null and drift is not null group by window_size, mode)), "
+          "prated as (select window_size, mode, performance_cap, round(avg((drift > 0.2 or signal > performance_cap)::int), 6) as alert_rate from pc join (from sig where signal is not null and drift is not null) using (window_size, mode) group by all), "
+          f"tuned as ({sql.best('select *, alert_rate <= 0.05 + 1e-12 as feasible from prated', 'window_size, mode', 'feasible desc, performance_cap')})")
+
+
+def _pack_checks(spark, sf_dir):
+    g, replayed = grid(spark, sf_dir), settled(log(spark, sf_dir), "replay", small=False)
+    tuned = monitor.tune_performance_cap(settled(monitor.window_metrics(replayed, SIZES), "windows", small=False)).withColumn("coverage_cap", F.lit(0.2))
+    segments = policy.schedule(policy.utility_default(policy.utilities(g, sql.COSTS)))
+    return config.validate_pack(config.pack(spark), policy.dual_modes(g), tuned, segments, conforming(g, replayed))
+
+
+@query(with_(sql.SCORED, _DUAL, sql.REPLAY_ROWS, sql.windows(sizes=SIZES), _SIG, _TUNED, _PACK) + "select check_name, coalesce(passed, false) as passed from checks")
+def config_pack(spark, sf_dir):
+    """A deployment document against the modes, tuned caps, cost schedule and replay that the tables give."""
+    return _pack_checks(spark, sf_dir).select("check_name", "passed")

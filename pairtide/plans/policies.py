@@ -155,9 +155,13 @@ def log(spark, sf_dir):
     count(*) filter (abs(r.policy_prob - case when abs(b_prob - a_prob) >= 0.05::double then stacked_prob else best_prob end) > 1e-12) as n_mismatch from replay r join based using (event_id, method) group by all)
     join ({sql.summary("replay", "domain, mode", "label", "policy_prob")}) using (domain, mode)) seen join (select * exclude (n) from grid where threshold = 0.05) grid using (domain, method)""")
 def conformance(spark, sf_dir):
+    return conforming(grid(spark, sf_dir), log(spark, sf_dir))
+
+
+def conforming(grid_, log_):
     mode = F.when(F.col("method") == "raw", "ranking_first").otherwise("reliability_first")
-    expected = grid(spark, sf_dir).where("threshold = 0.05").select("domain", mode.alias("mode"), "policy_auc", "policy_ece", "policy_brier", F.col("coverage").alias("expected_coverage"))
-    out = policy.conformance(log(spark, sf_dir), expected)
+    expected = grid_.where("threshold = 0.05").select("domain", mode.alias("mode"), "policy_auc", "policy_ece", "policy_brier", F.col("coverage").alias("expected_coverage"))
+    out = policy.conformance(log_, expected)
     return out.select("domain", "mode", "n", "n_mismatch", "exact_match", "auc_difference", "ece_difference", "brier_difference", "coverage_difference")
 
 
