@@ -1,19 +1,19 @@
-"""Main text of web pages: landmarks of the markup, and repeats found by a host's suffix array.
+"""Main text of web pages: landmarks of the markup, and token runs that a host's pages share.
 
 A page becomes blocks of text.  Blocks inside an article landmark are its main text, blocks inside menus, footers,
-adverts and the like are its frame, and the rest is open.  The tokens of all blocks form the page's stream.  The streams of a host are
-put in suffix order as far as ``LENGTH`` tokens, which is what finding repeats of that length
-needs: neighbours that agree so far and come from pages of distinct content are a repeat.  The suffix array is never built in one task:
-suffixes are dealt by a hash of the host and their first LENGTH tokens.  Equal suffixes have equal anchors (the smallest hash of
+adverts and the like are its frame, and the rest is open.  The tokens of all blocks form the page's stream.  The suffixes of a host's streams are
+grouped by their first ``LENGTH`` tokens: the classes that a suffix array would hold as neighbours with a common prefix of that length, found by hashes and without the order between
+classes, so no task holds a host.  Longer repeats are unbroken runs of such places.  Suffixes are dealt by a hash of the host and their first LENGTH tokens.  Equal suffixes have equal anchors (the smallest hash of
 their ``GRAM``-token windows), and a bit table of the anchors that occur often enough outside frames keeps all others out of the shuffle.
 
 Frames go; in all other blocks, article or open, the repeats decide.  A page's content is its text outside frames, and pages of a host
 with equal content count once, so an article that a host carries twice is no repeat.  A repeated run is boilerplate
 
-* in open blocks if two contents carry it, in article blocks if a tenth of the host's contents do, three at least;
+* in open blocks if two contents carry it, in article blocks if half of the host's contents do, three at least;
 * if it is ``COPIED`` tokens long or longer, which a copied article with small changes is as well, only if half of them carry it, three at least.
 
 Names of classes and ids only speak about containers, and only if they consist of frame words and filler (``ad-slot-2``, not ``share-prices``).
+A landmark ends the frame of a form, menu or header around it, which may span a page or lack its end tag; ``main`` ends any.  A page of which nothing would be left is read again without regard to names.
 """
 
 from __future__ import annotations
@@ -56,60 +56,80 @@ _BLOCK = frozenset(
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that class and id may make a frame; headings, paragraphs and inline elements never are.
-_CONTAINER = frozenset("div section ul ol dl table header fieldset details figure".split())
+_CONTAINER = frozenset("div section ul ol dl header fieldset details figure".split())
 _FRAME_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter "
     "notice notices popup promo related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 _FILLER = frozenset(
     "a area article articles bar block bottom box btn button buttons col container content form group header icons inner item items left link links list main outer page panel post posts "
-    "primary reader right row secondary section site slot text title top unit user wrap wrapper".split()
+    "primary reader right row secondary section site slot text thread title top unit user wrap wrapper".split()
 )
 _FRAME_NAMES = frozenset(["site-header", "site_header"])
+#: Words that make a frame outside articles only, where they hold the page's heading; words that make a paragraph or a span one.
+_HEAD_WORDS = frozenset("header topbar".split())
+_NOTE_WORDS = frozenset("advert adverts advertisement consent cookie cookies gdpr sponsored".split())
+#: Elements around a whole page or without an end tag more often than not.
+_SOFT = frozenset("form nav header".split())
+_SOFT_ROLE = frozenset("form navigation banner".split())
 _FRAME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 MAIN, OPEN, FRAME = 0, 1, 2
+#: While parsing: a frame that an article ends.
+_SOFT_FRAME = 3
 
 
-def frame_name(value: str) -> bool:
-    """Whether one of the names of a class or id attribute consists of frame words, filler and numbers, with a frame word at least."""
+def frame_name(value: str, words: frozenset = _FRAME_WORDS) -> bool:
+    """Whether one of the names of a class or id attribute consists of frame words, filler and numbers, with one of ``words`` at least."""
     for name in value.lower().split():
-        words = [w for w in re.split(r"[-_]+|\d+", name) if w]
-        if name in _FRAME_NAMES or any(w in _FRAME_WORDS for w in words) and all(w in _FRAME_WORDS or w in _FILLER for w in words):
+        parts = [w for w in re.split(r"[-_]+|\d+", name) if w]
+        if name in _FRAME_NAMES and words is _FRAME_WORDS or any(w in words for w in parts) and all(w in words or w in _FRAME_WORDS or w in _FILLER for w in parts):
             return True
     return False
 
 
-def _kind(tag: str, attributes: str, parent: int) -> int:
+def _kind(tag: str, attributes: str, parent: int, names: bool) -> int:
     """What a new element makes of the text inside it."""
+    said = [(name.lower(), html.unescape("".join(values))) for name, *values in _NAMES.findall(attributes)] if attributes and "=" in attributes else []
+    roles = {value.lower() for name, value in said if name == "role"}
+    landmark = tag in _MAIN or bool(roles & _MAIN)
     if parent == FRAME:
+        return MAIN if tag == "main" or "main" in roles else FRAME
+    if landmark and parent == _SOFT_FRAME:
+        return MAIN
+    if tag in _FRAME - _SOFT or roles & (_FRAME_ROLE - _SOFT_ROLE):
         return FRAME
-    if tag in _FRAME or (tag == "header" and parent != MAIN):
-        return FRAME
-    if attributes and "=" in attributes:
-        for name, *values in _NAMES.findall(attributes):
-            value = html.unescape("".join(values))
-            if name.lower() == "role":
-                if value.lower() in _FRAME_ROLE:
-                    return FRAME
-                if value.lower() in _MAIN:
-                    parent = MAIN
-            elif tag in _CONTAINER and frame_name(value):
-                return FRAME
-    return MAIN if tag in _MAIN else parent
+    for name, value in said if names else []:
+        if name == "role":
+            continue
+        if (tag in _CONTAINER or tag == "article" and parent == MAIN) and (frame_name(value) or parent != MAIN and frame_name(value, _HEAD_WORDS)):
+            return FRAME
+        if tag in ("p", "span") and frame_name(value, _NOTE_WORDS):
+            return FRAME
+    if tag in ("form", "nav") or (tag == "header" and parent != MAIN) or roles & _SOFT_ROLE:
+        return _SOFT_FRAME
+    return MAIN if landmark else parent
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(kind, text) of the blocks of a page in order; character references are decoded and white space is one space.
 
     A ``<`` that starts no tag, or whose tag is not closed before the next ``<``, is text."""
+    found = _blocks(page, True)
+    if found and all(kind == FRAME for kind, _ in found):
+        again = _blocks(page, False)
+        found = again if any(kind != FRAME for kind, _ in again) else found
+    return found
+
+
+def _blocks(page: str, names: bool) -> list[tuple[int, str]]:
     out, parts, kinds, tags, at = [], [], [OPEN], [], 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((kinds[-1], text))
+            out.append((min(kinds[-1], FRAME), text))
 
     while m := _TAG.search(page, at):
         closing, tag = m[1], (m[2] or "").lower()
@@ -137,7 +157,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if tag in _BLOCK and tags[-1:] == ["p"]:  # a block ends an open paragraph
                 tags.pop()
                 kinds.pop()
-            kind = _kind(tag, m[3], kinds[-1])
+            kind = _kind(tag, m[3], kinds[-1], names)
             if kind != kinds[-1]:
                 close()
             if tag in _BLOCK or kind != kinds[-1]:
@@ -206,8 +226,8 @@ def _streams(part: pa.RecordBatch):
 
 
 def least(contents):
-    """Contents of a host that must carry a run of its articles: a tenth, three at least."""
-    return np.maximum(3, -(-contents // 10))
+    """Contents of a host that must carry a run of its articles: half of them, three at least."""
+    return np.maximum(3, -(-contents // 2))
 
 
 #: Hosts whose number of contents the tasks know; of the others they only know that a run must occur three times.
@@ -216,7 +236,7 @@ LARGEST_HOSTS = 1 << 16
 
 def _large_hosts(hosts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The LARGEST_HOSTS hosts with the most contents, in ascending order, and their needs: four times the binary logarithm of ``least``."""
-    rows = hosts.where("contents > 30").orderBy(F.desc("contents"), "host").limit(LARGEST_HOSTS).collect()
+    rows = hosts.where("contents > 6").orderBy(F.desc("contents"), "host").limit(LARGEST_HOSTS).collect()
     rows = np.array(sorted((r.host, r.contents) for r in rows), np.int64).reshape(-1, 2)
     return rows[:, 0].copy(), np.minimum(63, (4 * np.log2(least(rows[:, 1])) + 1e-9).astype(np.int64)).astype(np.uint8)
 
@@ -332,7 +352,7 @@ def repeated_suffixes(pages: DataFrame, hosts: DataFrame, known) -> DataFrame:
     entries = pages.select("host", "content", "texts", "kinds").mapInArrow(run, "key long, host long, content long, found int")
     once = entries.groupBy("key", "host", "content").agg(F.bit_or("found").alias("found"))
     counted = once.groupBy("key", "host").agg(F.count("*").cast("int").alias("n"), F.bit_or("found").alias("found")).where("n > 1 and found > 0")
-    enough = F.greatest(F.lit(3), F.ceil(F.col("contents") / 10))
+    enough = F.greatest(F.lit(3), F.ceil(F.col("contents") / 2))
     return counted.join(hosts, "host").where((F.col("n") >= enough) | (F.col("found") >= 2)).select("key", "host", "n", "contents")
 
 
@@ -351,8 +371,8 @@ def places(pages: DataFrame, known) -> DataFrame:
 
 def boilerplate(marks: np.ndarray, carriers: dict[int, int], contents: int) -> list[int]:
     """The places whose tokens go: ``carriers`` has the number of contents at each repeated place of a page, ``contents`` that of the host."""
-    enough = {OPEN: 2, MAIN: least(contents)}
-    common = max(3, -(-contents // 2))
+    common = least(contents)
+    enough = {OPEN: 2, MAIN: common}
     out, run = [], []
     for i in [*sorted(i for i, n in carriers.items() if n >= enough[int(marks[i])]), None]:
         if run and (i is None or i > run[-1] + 1):
