@@ -103,6 +103,23 @@ def valid_everywhere(rows: DataFrame, keys: list[str], combinations: int, ok: st
     return rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.bool_and(ok).alias("_ok")).where((F.col("_n") == combinations) & F.col("_ok")).select(*keys)
 
 
+def validity_maps(rows: DataFrame, number: str, slices: list[str], ok: str = "ok") -> DataFrame:
+    """(slices, bucket, bits): for every slice the bitmap of the numbers that are valid in it, 32,768 numbers a bucket.
+
+    Tasks set bits before anything is shuffled, so a slice and bucket travels as one bitmap a task and not as rows."""
+    n = F.col(number)
+    return rows.where(ok).groupBy(*slices, F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits"))
+
+
+def valid_in_all(pairs: DataFrame, maps: DataFrame, combinations: int, number: str) -> DataFrame:
+    """``pairs`` whose number is set in the bitmaps of all ``combinations`` slices; a slice without a bitmap has no valid pair."""
+    both = maps.groupBy("bucket").agg(F.count("*").alias("_n"), F.bitmap_and_agg("bits").alias("_bits")).where(F.col("_n") == combinations)
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = pairs.withColumn("bucket", F.bitmap_bucket_number(number)).join(both.select("bucket", "_bits"), "bucket")
+    return found.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1).drop("bucket", "_bits")
+
+
 def matched(pairs: DataFrame, members: DataFrame, name: str = "matched") -> DataFrame:
     """A flag for pairs both of whose ends are in ``members`` (one column ``node``)."""
     nodes = members.select("node").distinct()

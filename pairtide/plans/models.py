@@ -9,11 +9,12 @@ from ..functions import metrics, vectors
 from ..functions.scalars import six
 from ..operators import models, policy, resample
 from ..sources import views
-from ..sources.tables import settled
+from ..sources.tables import read_runs, run_catalog, settled, shared_path, write_runs
 from . import sql
+from .pair_sets import COS, SLICED, sliced
 from .registry import query
 from .resampling import FOLDS, REPEATS
-from .sql import OOF, with_
+from .sql import OOF, VECS, VPAIRS, sql_hash, with_
 
 BASE = ["base_prob", "hour_sin"]
 
@@ -133,6 +134,58 @@ def source_layer_sweep(spark, sf_dir):
     return gains.withColumn("best_feature", best).withColumn("lead", six(F.abs(F.col("gain_a") - F.col("gain_b"))))
 
 
+#: Layers whose runs are wanted; the runs of the others are never opened.
+WANTED = (0, 1, 3)
+_GRP = "source_group, layer, seed"
+#: Pairs with the full cosine as baseline and a run's cosine as feature, and the same with the distance as a second model's feature for well filled source groups.
+_RUNS = f"""facts as (select source_idx, target_idx, source_id % 5 as source_group, label, source_idx * 32 + target_idx - source_idx as pair, {COS.format("a", "b")} as x1, -list_distance(a, b) as d from vpairs),
+  runs as (select source_group, layer::int as layer, seed::int as seed, pair, f.label, x1, f as x2 from facts f join sl using (source_idx, target_idx) where layer in (0, 1, 3)
+    union all select source_group, -1, 0, pair, label, x1, d from facts where source_group in (select source_group from facts group by source_group having sum(label) >= {{least}})),
+  ks as (select {_GRP}, count(*) as n, sum(label)::bigint as n_positive, least(3, sum(label), count(*) - sum(label)) as k from runs group by all),
+  folded as (select r.*, n, n_positive, k, (row_number() over (partition by {", ".join("r." + c for c in _GRP.split(", "))}, r.label order by {sql_hash("'42'", "0", "pair")}, pair) - 1) % k as fold from runs r join ks using ({_GRP}) where k >= 2),
+  told as (select f.* exclude (x1, x2), model, held::int as held, x1, case when model = 'plus' then x2 else 0 end as x2 from folded f, range(3) h(held), (values ('base'), ('plus')) m(model) where held < k),
+  scales as (select {_GRP}, model, held, avg(x1) as m1, avg(x2) as m2, case when stddev_pop(x1) > 1e-12 then stddev_pop(x1) else 1 end as s1, case when stddev_pop(x2) > 1e-12 then stddev_pop(x2) else 1 end as s2,
+    count(*) / 2.0::double / greatest(sum(label), 1) as w1, count(*) / 2.0::double / greatest(sum(1 - label), 1) as w0 from told where fold <> held group by all),
+  z as (select {_GRP}, model, held, pair, label, fold, (x1 - m1) / s1 as z1, (x2 - m2) / s2 as z2, case when label = 1 then w1 else w0 end as w from told join scales using ({_GRP}, model, held)),
+  steps as (select {_GRP}, model, held, 0 as it, 0.0::double as a, 0.0::double as b, 0.0::double as c from scales union all
+    select {_GRP}, model, held, it + 1, a - (ga * (h22 * h33 - h23 * h23) - gb * (h12 * h33 - h23 * h13) + gc * (h12 * h23 - h22 * h13)) / det,
+      b - (-ga * (h12 * h33 - h13 * h23) + gb * (h11 * h33 - h13 * h13) - gc * (h11 * h23 - h12 * h13)) / det, c - (ga * (h12 * h23 - h13 * h22) - gb * (h11 * h23 - h13 * h12) + gc * (h11 * h22 - h12 * h12)) / det
+    from (select *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) as det from
+      (select {_GRP}, model, held, it, a, b, c, sum(w * (p - label) * z1) + a as ga, sum(w * (p - label) * z2) + b as gb, sum(w * (p - label)) as gc, sum(w * p * (1 - p) * z1 * z1) + 1 as h11, sum(w * p * (1 - p) * z1 * z2) as h12,
+        sum(w * p * (1 - p) * z1) as h13, sum(w * p * (1 - p) * z2 * z2) + 1 as h22, sum(w * p * (1 - p) * z2) as h23, sum(w * p * (1 - p)) as h33
+      from (select *, 1 / (1 + exp(-(a * z1 + b * z2 + c))) as p from steps join z using ({_GRP}, model, held) where it < 8 and fold <> held) group by {_GRP}, model, held, it, a, b, c))),
+  scored as (select {_GRP}, model, label, 1 / (1 + exp(-(a * z1 + b * z2 + c))) as p from z join steps using ({_GRP}, model, held) where it = 8 and fold = held),
+  aucs as (select * from ({sql.auroc("scored", f"{_GRP}, model", "label", "p", "auc")})),
+  gains as (select {_GRP}, n, n_positive, max(auc) filter (model = 'base') as auc_base, round(max(auc) filter (model = 'plus') - max(auc) filter (model = 'base'), 6) as gain from aucs join ks using ({_GRP}) where n >= 8 and n_positive >= 2 and n - n_positive >= 2 group by all),
+  layers as (select source_group, layer, any_value(n) as n, any_value(n_positive) as n_positive, count(*) as n_seeds, round(avg(gain), 6) as mean_gain, round(min(gain), 6) as least_gain from gains where layer >= 0 group by all),
+  other as (select source_group, gain as second_gain from gains where layer < 0)"""
+#: Positive pairs from which a source group has the second model.
+SECOND = {"least": 190}
+
+
+@query("with recursive " + ", ".join((VECS, VPAIRS, SLICED, _RUNS.format(**SECOND))) + """ select source_group, layer, n, n_positive, n_seeds, mean_gain, least_gain, second_gain, round(mean_gain - second_gain, 6) as gap, row_number() over (partition by source_group order by mean_gain desc, layer) = 1 as best from layers left join other using (source_group)""")
+def layer_sweep(spark, sf_dir):
+    """Gains of each layer over the full cosine by source group, averaged over seeds, the best layer, and the gap to a second model where there is one.
+
+    Layers and seeds are runs of a partitioned folder; only the wanted ones are read."""
+    facts = views.vector_pairs(spark, sf_dir).withColumn("source_group", F.col("source_id") % 5).withColumn("pair", F.col("source_idx") * 32 + F.col("target_idx") - F.col("source_idx"))
+    facts = facts.select("source_idx", "target_idx", "source_group", "pair", "label", "a", "b", vectors.cosine(F.col("a"), F.col("b")).alias("x1"))
+    path = shared_path(spark, "runs")
+    write_runs(sliced(facts).select("source_group", "pair", "label", "x1", F.col("f").alias("x2"), "layer", "seed"), path, ["layer", "seed"])
+    wanted = settled(run_catalog(spark, path, ("layer", "seed")), "catalog").where(F.col("layer").isin(*WANTED))
+    runs = read_runs(spark, path, wanted, ["layer", "seed"]).select("source_group", "layer", "seed", "pair", "label", "x1", "x2")
+    filled = facts.groupBy("source_group").agg(F.sum("label").alias("_p")).where(F.col("_p") >= SECOND["least"]).select("source_group")
+    second = facts.join(filled, "source_group").select("source_group", F.lit(-1).alias("layer"), F.lit(0).alias("seed"), "pair", "label", "x1", vectors.neg_l2(F.col("a"), F.col("b")).alias("x2"))
+    keys = ["source_group", "layer", "seed"]
+    told = models.cross_predict(runs.unionByName(second), keys, "pair", "label", {"base": ["x1"], "plus": ["x1", "x2"]}, folds=3)
+    gains = models.guarded_auroc(told, keys, "label", ["base", "plus"]).withColumn("gain", six(F.col("auc_plus") - F.col("auc_base"))).where("gain is not null")
+    gains = settled(gains, "gains", small=False)
+    layers = gains.where("layer >= 0").groupBy("source_group", "layer").agg(F.first("n").alias("n"), F.first("n_positive").alias("n_positive"), F.count("*").alias("n_seeds"), six(F.avg("gain")).alias("mean_gain"), F.min("gain").alias("least_gain"))
+    other = gains.where("layer < 0").select("source_group", F.col("gain").alias("second_gain"))
+    out = layers.join(other, "source_group", "left").withColumn("gap", six(F.col("mean_gain") - F.col("second_gain")))
+    return out.withColumn("best", F.row_number().over(Window.partitionBy("source_group").orderBy(F.desc("mean_gain"), "layer")) == 1)
+
+
 @query()
 def source_ablation_gap(spark, sf_dir):
     """Gains with the largest sources of a domain left out, for several counts and shares of its sources."""

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, vectors
 from ..functions.scalars import six
-from ..operators import pairs, sparse
+from ..operators import pairs, ranking, sparse
 from ..sources import arrays, views
-from ..sources.tables import shared_path, table
+from ..sources.tables import settled, shared_path, table
 from . import sql
 from .registry import query
 from .sql import EXPR, NEGATIVES, POSITIVES, STATS, VECS, VPAIRS, with_
@@ -61,7 +61,7 @@ def matched_fraction(spark, sf_dir):
     return flagged.groupBy("matched").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("matched", "n", six(F.col("n") / F.col("_t")).alias("fraction"))
 
 
-_COS = "list_dot_product({0}, {1}) / greatest(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 1e-8)"
+COS = "list_dot_product({0}, {1}) / greatest(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 1e-8)"
 _CENTRE = "centre as (select list(m order by k) as c from (select k, avg(v[k]) as m from vecs, range(1, 65) r(k) group by k))"
 
 
@@ -77,7 +77,7 @@ def _values(spark, sf_dir, name):
     return _feature(spark, sf_dir, name).select("source_idx", "target_idx", "label", six(F.col("f")).alias("value"))
 
 
-@query(with_(VECS, VPAIRS) + f"select source_idx, target_idx, label, round({_COS.format('a', 'b')}, 6) as value from vpairs")
+@query(with_(VECS, VPAIRS) + f"select source_idx, target_idx, label, round({COS.format('a', 'b')}, 6) as value from vpairs")
 def pair_cosine(spark, sf_dir):
     return _values(spark, sf_dir, "cosine")
 
@@ -85,7 +85,7 @@ def pair_cosine(spark, sf_dir):
 _CENTRED = "cen as (select source_idx, target_idx, label, list_transform(list_zip(a, c), lambda z: z[1] - z[2]) as a, list_transform(list_zip(b, c), lambda z: z[1] - z[2]) as b from vpairs, centre)"
 
 
-@query(with_(VECS, VPAIRS, _CENTRE, _CENTRED) + f"select source_idx, target_idx, label, round({_COS.format('a', 'b')}, 6) as value from cen")
+@query(with_(VECS, VPAIRS, _CENTRE, _CENTRED) + f"select source_idx, target_idx, label, round({COS.format('a', 'b')}, 6) as value from cen")
 def pair_centered_cosine(spark, sf_dir):
     return _values(spark, sf_dir, "centered_cosine")
 
@@ -100,7 +100,7 @@ def pair_neg_l2(spark, sf_dir):
     return _values(spark, sf_dir, "neg_l2")
 
 
-_FEATURES = f"""feats as (select label, 'cosine' as feature, {_COS.format("a", "b")} as p from vpairs union all select label, 'centered_cosine', {_COS.format("a", "b")} from cen
+_FEATURES = f"""feats as (select label, 'cosine' as feature, {COS.format("a", "b")} as p from vpairs union all select label, 'centered_cosine', {COS.format("a", "b")} from cen
   union all select label, 'dot', list_dot_product(a, b) from vpairs union all select label, 'neg_l2', -list_distance(a, b) from vpairs)"""
 
 
@@ -116,23 +116,26 @@ def raw_feature_auroc(spark, sf_dir):
 
 def _slices(spark, sf_dir):
     """The cosine of each pair in 4 layers and 3 seeds, which are slices of the vectors."""
+    return sliced(views.vector_pairs(spark, sf_dir)).select("source_idx", "target_idx", "label", "layer", "seed", "f")
+
+
+def sliced(pairs_):
     layer, seed = F.explode(F.sequence(F.lit(0), F.lit(3))), F.explode(F.sequence(F.lit(0), F.lit(2)))
-    rows = views.vector_pairs(spark, sf_dir).withColumn("layer", layer).withColumn("seed", seed)
     part = lambda c: F.slice(c, F.col("layer") * 16 + 1 + F.col("seed"), 13)
-    return rows.select("source_idx", "target_idx", "label", "layer", "seed", vectors.cosine(part("a"), part("b")).alias("f"))
+    return pairs_.withColumn("layer", layer).withColumn("seed", seed).withColumn("f", vectors.cosine(part("a"), part("b")))
 
 
-_SLICED = f"""sl as (select source_idx, target_idx, label, layer, seed, {_COS.format("sa", "sb")} as f from (select source_idx, target_idx, label, layer, seed,
+SLICED = f"""sl as (select source_idx, target_idx, label, layer, seed, {COS.format("sa", "sb")} as f from (select source_idx, target_idx, label, layer, seed,
   a[16 * layer + 1 + seed : 16 * layer + 13 + seed] as sa, b[16 * layer + 1 + seed : 16 * layer + 13 + seed] as sb from vpairs, range(4) l(layer), range(3) s(seed)))"""
 
 
-@query(with_(VECS, VPAIRS, _SLICED) + f"select source_idx, target_idx, label, {', '.join(f'round(max(f) filter (layer = {i}), 6) as layer_{i}' for i in range(4))} from sl where seed = 0 group by all")
+@query(with_(VECS, VPAIRS, SLICED) + f"select source_idx, target_idx, label, {', '.join(f'round(max(f) filter (layer = {i}), 6) as layer_{i}' for i in range(4))} from sl where seed = 0 group by all")
 def layer_bundle(spark, sf_dir):
     wide = _slices(spark, sf_dir).where("seed = 0").groupBy("source_idx", "target_idx", "label").pivot("layer", [0, 1, 2, 3]).agg(six(F.max("f")))
     return wide.toDF("source_idx", "target_idx", "label", *[f"layer_{i}" for i in range(4)])
 
 
-@query(with_(VECS, VPAIRS, _SLICED) + "select source_idx, target_idx, label, layer::int as layer, count(*) as n_seeds, round(avg(f), 6) as f from sl group by all")
+@query(with_(VECS, VPAIRS, SLICED) + "select source_idx, target_idx, label, layer::int as layer, count(*) as n_seeds, round(avg(f), 6) as f from sl group by all")
 def seed_ensemble(spark, sf_dir):
     return _slices(spark, sf_dir).groupBy("source_idx", "target_idx", "label", "layer").agg(F.count("*").alias("n_seeds"), six(F.avg("f")).alias("f"))
 
@@ -140,7 +143,7 @@ def seed_ensemble(spark, sf_dir):
 _BUNDLES = "bun as (select bundle, seed, source_idx, target_idx, label, avg(f) as p from sl, (values ('l0', 0, 0), ('l0-1', 0, 1), ('l1-3', 1, 3), ('l0-3', 0, 3)) b(bundle, lo, hi) where layer between lo and hi group by all)"
 
 
-@query(with_(VECS, VPAIRS, _SLICED, _BUNDLES) + f"""select bundle, count(*) as n_seeds, round(avg(auroc), 5) as mean_auroc, round(stddev_samp(auroc), 5) as sd_auroc, round(min(auroc), 5) as min_auroc from ({sql.auroc("bun", "bundle, seed", "label", "p")}) group by bundle""")
+@query(with_(VECS, VPAIRS, SLICED, _BUNDLES) + f"""select bundle, count(*) as n_seeds, round(avg(auroc), 5) as mean_auroc, round(stddev_samp(auroc), 5) as sd_auroc, round(min(auroc), 5) as min_auroc from ({sql.auroc("bun", "bundle, seed", "label", "p")}) group by bundle""")
 def seed_bundle_summary(spark, sf_dir):
     bundles = spark.createDataFrame([("l0", 0, 0), ("l0-1", 0, 1), ("l1-3", 1, 3), ("l0-3", 0, 3)], "bundle string, lo int, hi int")
     rows = _slices(spark, sf_dir).join(F.broadcast(bundles), F.col("layer").between(F.col("lo"), F.col("hi"))).groupBy("bundle", "seed", "source_idx", "target_idx", "label").agg(F.avg("f").alias("p"))
@@ -148,10 +151,12 @@ def seed_bundle_summary(spark, sf_dir):
     return seeds.groupBy("bundle").agg(F.count("*").alias("n_seeds"), F.round(F.avg("auroc"), 5).alias("mean_auroc"), F.round(F.stddev_samp("auroc"), 5).alias("sd_auroc"), F.round(F.min("auroc"), 5).alias("min_auroc"))
 
 
-@query(with_(VECS, VPAIRS, _SLICED, "ok as (select source_idx, target_idx, layer, seed, abs(f) > 0.02 as ok from sl)") + "select source_idx, target_idx from ok group by all having count(*) = 12 and bool_and(ok)")
+@query(with_(VECS, VPAIRS, SLICED, "ok as (select source_idx, target_idx, layer, seed, abs(f) > 0.02 as ok from sl)") + "select source_idx, target_idx from ok group by all having count(*) = 12 and bool_and(ok)")
 def valid_in_all_slices(spark, sf_dir):
-    rows = _slices(spark, sf_dir).withColumn("ok", F.abs("f") > 0.02)
-    return pairs.valid_everywhere(rows, ["source_idx", "target_idx"], 12)
+    numbered = ranking.numbered(views.vector_pairs(spark, sf_dir), [], metrics.score_slice(F.col("source_idx").cast("double")), [F.col("source_idx"), F.col("target_idx")], "pair")
+    numbered = settled(numbered.select("pair", "source_idx", "target_idx", "a", "b"), "pairs", small=False)
+    maps = pairs.validity_maps(sliced(numbered).withColumn("ok", F.abs("f") > 0.02), "pair", ["layer", "seed"])
+    return pairs.valid_in_all(numbered.select("pair", "source_idx", "target_idx"), maps, 12, "pair").select("source_idx", "target_idx")
 
 
 @query("""select c_custkey as name, n_nationkey as id, r_regionkey as token from (select distinct c_custkey, c_nationkey from customer) join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_regionkey between 0 and 2""")

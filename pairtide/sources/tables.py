@@ -71,6 +71,17 @@ def run_catalog(spark: SparkSession, path, keys: tuple[str, ...] = ("domain", "s
     return files.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("_b").alias("n_bytes"))
 
 
+def write_runs(df: DataFrame, path, keys: list[str]) -> None:
+    """``df`` as a folder of runs, one for each combination of ``keys``; rows of a run may lie in several files."""
+    df.repartition(*keys, F.pmod(F.hash(*[c for c in df.columns if c not in keys]), F.lit(8))).write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def read_runs(spark: SparkSession, path, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The runs below ``path`` whose ``keys`` are in ``wanted``, a small table such as a filtered catalog; which folders are read is decided by its rows when the query runs."""
+    runs = require_columns(spark.read.parquet(path), keys)
+    return runs.join(F.broadcast(wanted.select(*keys).distinct()), keys)
+
+
 def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``left`` joined with ``right`` by a row id; an id that is missing on a side, or is there twice, is an error."""
     one = lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
