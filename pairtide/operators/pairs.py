@@ -31,8 +31,8 @@ def numbered(nodes: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("_r", inside).join(F.broadcast(before), "_s").select(column, (F.col("_b") + F.col("_r")).alias("i"))
 
 
-def _first(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """The n rows that are smallest by a unique number; only the slice at the boundary is ordered."""
+def _first(rows: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
+    """The n rows that are smallest by a number, equal ones by ``ties``; only the slice at the boundary is ordered."""
     top = rows.agg(F.max(order)).first()[0]
     step = max(1, (top or 0) // 4096 + 1)
     total, cut = 0, None
@@ -43,7 +43,7 @@ def _first(rows: DataFrame, order: str, n: int) -> DataFrame:
         total += c
     if cut is None:
         return rows
-    edge = rows.where((F.col(order) >= cut * step) & (F.col(order) < (cut + 1) * step)).orderBy(order).limit(n - total)
+    edge = rows.where((F.col(order) >= cut * step) & (F.col(order) < (cut + 1) * step)).orderBy(order, *ties).limit(n - total)
     return rows.where(F.col(order) < cut * step).unionByName(edge)
 
 
@@ -70,11 +70,9 @@ def negatives(positive: DataFrame, ratio: float = 3.0, seed: int = 42) -> DataFr
             drawn = drawn.join(sources.withColumnRenamed("i", "_i"), "_i").join(targets.withColumnRenamed("i", "_j"), "_j")
             listed = drawn.groupBy("source", "target").agg(F.min("d").alias("d"))
         free = listed.where("source <> target").join(positive, ["source", "target"], "left_anti").select("source", "target", "d")
-        if dense:  # equal hashes are told apart by the pair
-            return free.orderBy("d", "source", "target").limit(n).select("source", "target")
         free = settled(free, "free", small=False)
-        if free.count() >= n:
-            return _first(free, "d", n).select("source", "target")
+        if dense or free.count() >= n:  # equal hashes of listed pairs are told apart by the pair
+            return _first(free, "d", n, "source", "target").select("source", "target")
         draws *= 2
 
 

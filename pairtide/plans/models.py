@@ -34,36 +34,49 @@ def _calibrated(spark, sf_dir, method):
 
 #: Rows of the folds 0 to 4 (repeat 0) with the fold that each fit leaves out.
 TAUGHT = "dealt as (select o.*, fold from oof o join folds using (domain, event_id) where rep = 0), taught as (select d.*, held::int as held from dealt d, range(5) h(held) where fold <> held)"
-#: Newton steps on slope a and intercept b of the balanced logistic loss with half the squared slope.
-_NEWTON = """classes as (select domain, held, count(*) / 2.0::double / greatest(sum(label), 1) as w1, count(*) / 2.0::double / greatest(sum(1 - label), 1) as w0 from taught group by all),
-  steps as (select domain, held, 0 as it, 0.0::double as a, 0.0::double as b from classes union all
-    select domain, held, it + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) from
-      (select domain, held, it, a, b, sum(w * (p - label) * x) + a as ga, sum(w * (p - label)) as gb, sum(w * p * (1 - p) * x * x) + 1 as haa, sum(w * p * (1 - p) * x) as hab, sum(w * p * (1 - p)) as hbb from
-        (select s.*, t.label, stacked_prob as x, case when label = 1 then w1 else w0 end as w, 1 / (1 + exp(-(a * stacked_prob + b))) as p from steps s join taught t using (domain, held) join classes using (domain, held) where it < 12) group by domain, held, it, a, b)),
-  fitted as (select d.domain, label, stacked_prob, 1 / (1 + exp(-(a * stacked_prob + b))) as calibrated from dealt d join steps s on s.domain = d.domain and s.held = d.fold where it = 12)"""
-#: Neighbouring violators are pooled until none is left; between two blocks the fit is a line.
-_POOLED = """blocks as (select domain, held, stacked_prob as lo, stacked_prob as hi, count(*)::bigint as w, sum(label)::bigint as s, 0 as it from taught group by domain, held, stacked_prob union all
+
+
+def _newton(x: str) -> str:
+    """CTEs up to platt_x (domain, event_id, label, x, calibrated): Newton steps on slope a and intercept b of the balanced logistic loss with half the squared slope."""
+    return f"""classes_{x} as (select domain, held, count(*) / 2.0::double / greatest(sum(label), 1) as w1, count(*) / 2.0::double / greatest(sum(1 - label), 1) as w0 from taught group by all),
+  steps_{x} as (select domain, held, 0 as it, 0.0::double as a, 0.0::double as b from classes_{x} union all
+    select domain, held, it + 1, a - (ga * hbb - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) from
+      (select domain, held, it, a, b, sum(w * (p - label) * {x}) + a as ga, sum(w * (p - label)) as gb, sum(w * p * (1 - p) * {x} * {x}) + 1 as haa, sum(w * p * (1 - p) * {x}) as hab, sum(w * p * (1 - p)) as hbb from
+        (select s.*, t.label, {x}, case when label = 1 then w1 else w0 end as w, 1 / (1 + exp(-(a * {x} + b))) as p from steps_{x} s join taught t using (domain, held) join classes_{x} using (domain, held) where it < 12) group by domain, held, it, a, b)),
+  platt_{x} as (select d.domain, event_id, label, {x}, 1 / (1 + exp(-(a * {x} + b))) as calibrated from dealt d join steps_{x} s on s.domain = d.domain and s.held = d.fold where it = 12)"""
+
+
+def _pooled(x: str) -> str:
+    """CTEs up to isotonic_x (domain, event_id, label, x, calibrated): neighbouring violators are pooled until none is left; between two blocks the fit is a line."""
+    before = lambda c: f"lag({c}) over (partition by domain, held order by lo)"
+    return f"""blocks_{x} as (select domain, held, {x} as lo, {x} as hi, count(*)::bigint as w, sum(label)::bigint as s, 0 as it from taught group by domain, held, {x} union all
     select domain, held, min(lo), max(hi), sum(w)::bigint, sum(s)::bigint, it + 1 from (select *, sum(case when down then 0 else 1 end) over (partition by domain, held order by lo) as run from
-      (select *, bool_or(down) over (partition by domain, held) as any_down from (select *, coalesce(lag(s) over (partition by domain, held order by lo) * w >= s * lag(w) over (partition by domain, held order by lo), false) as down from blocks)) where any_down)
+      (select *, bool_or(down) over (partition by domain, held) as any_down from (select *, coalesce({before('s')} * w >= s * {before('w')}, false) as down from blocks_{x})) where any_down)
     group by domain, held, run, it),
-  ended as (select domain, held, max(it) as it from blocks group by all),
-  knots as (select domain, held, lo, hi, s / w as v, lead(lo) over (partition by domain, held order by lo) as next_lo, lead(s / w) over (partition by domain, held order by lo) as next_v, first_value(s / w) over (partition by domain, held order by lo) as least from blocks join ended using (domain, held, it)),
-  lows as (select domain, held, min(least) as least from knots group by all),
-  fitted as (select d.domain, label, stacked_prob, case when k.lo is null then l.least when stacked_prob <= hi or next_lo is null then v else v + (next_v - v) / (next_lo - hi) * (stacked_prob - hi) end as calibrated
-    from dealt d asof left join knots k on d.domain = k.domain and d.fold = k.held and d.stacked_prob >= k.lo join lows l on l.domain = d.domain and l.held = d.fold)"""
+  ended_{x} as (select domain, held, max(it) as it from blocks_{x} group by all),
+  knots_{x} as (select domain, held, lo, hi, s / w as v, lead(lo) over (partition by domain, held order by lo) as next_lo, lead(s / w) over (partition by domain, held order by lo) as next_v, first_value(s / w) over (partition by domain, held order by lo) as least from blocks_{x} join ended_{x} using (domain, held, it)),
+  lows_{x} as (select domain, held, min(least) as least from knots_{x} group by all),
+  isotonic_{x} as (select d.domain, event_id, label, {x}, case when k.lo is null then l.least when {x} <= hi or next_lo is null then v else v + (next_v - v) / (next_lo - hi) * ({x} - hi) end as calibrated
+    from dealt d asof left join knots_{x} k on d.domain = k.domain and d.fold = k.held and d.{x} >= k.lo join lows_{x} l on l.domain = d.domain and l.held = d.fold)"""
 
 
-def _calibrated_sql(fit: str) -> str:
+def _calibrated_sql(fit: str, name: str) -> str:
     columns = ", ".join(f"round({p}_{m}, 6) as {p}_{m}" for p in ("raw", "calibrated") for m in ("brier", "auc", "ece"))
-    return "with recursive " + ", ".join((OOF, FOLDS, TAUGHT, fit)) + f" select domain, {columns} from ({sql.summary('fitted', 'domain', 'label', 'stacked_prob', 'raw_')}) join ({sql.summary('fitted', 'domain', 'label', 'calibrated', 'calibrated_')}) using (domain)"
+    return "with recursive " + ", ".join((OOF, FOLDS, TAUGHT, fit)) + f" select domain, {columns} from ({sql.summary(name, 'domain', 'label', 'stacked_prob', 'raw_')}) join ({sql.summary(name, 'domain', 'label', 'calibrated', 'calibrated_')}) using (domain)"
 
 
-@query(_calibrated_sql(_NEWTON))
+_SCORES = ("a_prob", "b_prob", "stacked_prob")
+_LOCKED = ", ".join((OOF, FOLDS, TAUGHT, *map(_newton, _SCORES), *map(_pooled, _SCORES))) + ", cal as (select event_id, domain, source_id, label, 'raw' as method, a_prob, b_prob, stacked_prob from oof union all " + " union all ".join(
+    f"select o.event_id, o.domain, source_id, o.label, '{method}', " + ", ".join(f"{method}_{c}.calibrated as {c}" for c in _SCORES) + " from oof o " + " ".join(f"join {method}_{c} using (domain, event_id)" for c in _SCORES) for method in ("platt", "isotonic")
+) + ")"
+
+
+@query(_calibrated_sql(_newton('stacked_prob'), 'platt_stacked_prob'))
 def platt_crossfit(spark, sf_dir):
     return _calibrated(spark, sf_dir, "platt")
 
 
-@query(_calibrated_sql(_POOLED))
+@query(_calibrated_sql(_pooled('stacked_prob'), 'isotonic_stacked_prob'))
 def isotonic_crossfit(spark, sf_dir):
     return _calibrated(spark, sf_dir, "isotonic")
 
@@ -232,7 +245,7 @@ def _locked(spark, sf_dir):
     return settled(rows, "locked", small=False)
 
 
-@query()
+@query("with recursive " + sql.grid_of(_LOCKED, (0.05,)) + " from grid")
 def calibration_lock(spark, sf_dir):
     return policy.candidates(_locked(spark, sf_dir), (0.05,))
 

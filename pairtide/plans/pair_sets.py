@@ -106,10 +106,9 @@ _FEATURES = f"""feats as (select label, 'cosine' as feature, {COS.format("a", "b
 
 @query(with_(VECS, VPAIRS, _CENTRE, _CENTRED, _FEATURES) + f"""select feature, round(auroc, 5) as auroc, round(aupr, 5) as aupr from ({sql.auroc("feats", "feature", "label", "p")}) join ({sql.aupr("feats", "feature", "label", "p")}) using (feature)""")
 def raw_feature_auroc(spark, sf_dir):
-    rows = None
-    for name in ("cosine", "centered_cosine", "dot", "neg_l2"):
-        one = _feature(spark, sf_dir, name).select("label", F.lit(name).alias("feature"), F.col("f").alias("p"))
-        rows = one if rows is None else rows.unionByName(one)
+    centre = F.broadcast(vectors.mean_vectors(views.vectors(spark, sf_dir), "v"))  # one row
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), vectors.feature(n, F.col("a"), F.col("b"), F.col("mean")).alias("p")) for n in ("cosine", "centered_cosine", "dot", "neg_l2")])
+    rows = views.vector_pairs(spark, sf_dir).crossJoin(centre).select("label", F.explode(each).alias("_e")).select("label", "_e.*")
     out = metrics.auroc(rows, ["feature"], "label", "p").join(metrics.average_precision(rows, ["feature"], "label", "p"), "feature")
     return out.select("feature", F.round("auroc", 5).alias("auroc"), F.round("aupr", 5).alias("aupr"))
 

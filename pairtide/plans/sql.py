@@ -68,9 +68,11 @@ BASED = f"""auc_a as ({auroc("cal", "domain, method", "label", "a_prob", "auc_a"
   based as (select cal.*, case when auc_a >= auc_b then 'a' else 'b' end as best_single_model, case when auc_a >= auc_b then a_prob else b_prob end as best_prob
   from cal join auc_a using (domain, method) join auc_b using (domain, method))"""
 _M = ("auc", "ece", "brier")
-GRID = f"""{OOF}, {CAL}, {BASED},
+def grid_of(cal: str, thresholds) -> str:
+    """The candidate grid over the CTE ``cal``, whose text ends ``cal``."""
+    return f"""{cal}, {BASED},
   long as (select based.*, threshold, (abs(b_prob - a_prob) >= threshold)::int as referred, case when abs(b_prob - a_prob) >= threshold then stacked_prob else best_prob end as policy_prob
-    from based, (values {", ".join(f"({t!r}::double)" for t in THRESHOLDS)}) t(threshold)),
+    from based, (values {", ".join(f"({t!r}::double)" for t in thresholds)}) t(threshold)),
   grid as (select domain, method, threshold, best_single_model, n, n_positive, n_referred, round(coverage, 6) as coverage,
     {", ".join(f"round({p}_{m}, 6) as {p}_{m}" for p in ("policy", "best") for m in _M)}, {", ".join(f"round(policy_{m} - best_{m}, 6) + 0.0::double as delta_{m}" for m in _M)}
     from (select domain, method, threshold, count(*) as n, sum(label)::bigint as n_positive, sum(referred)::bigint as n_referred, avg(referred) as coverage, any_value(best_single_model) as best_single_model
@@ -78,6 +80,9 @@ GRID = f"""{OOF}, {CAL}, {BASED},
       join ({summary("based", "domain, method", "label", "best_prob", "best_")}) using (domain, method))"""
 
 
+GRID = grid_of(f"{OOF}, {CAL}", THRESHOLDS)
+
+
 def best(src: str, keys: str, order: str, k: int = 1) -> str:
     return f"select * exclude (_r) from (select *, row_number() over (partition by {keys} order by {order}) as _r from ({src})) where _r <= {k}"
 
