@@ -97,7 +97,19 @@ def stacking_ablation(spark, sf_dir):
     return out.select("domain", "n", "n_positive", six(F.col("auc_stacked_prob")).alias("with_base"), six(F.col("auc_stacked_plain_prob")).alias("without_base"), six(F.col("auc_stacked_prob") - F.col("auc_stacked_plain_prob")).alias("gain"))
 
 
-@query()
+#: The baseline's features and those added to it.
+MODELS = {"base": BASE, "a": [*BASE, "a_prob"], "b": [*BASE, "b_prob"]}
+BOTH = MODELS | {"both": [*BASE, "a_prob", "b_prob"]}
+ROWS = f"{OOF}, rows as (select *, sin(base_prob * 6.283185307179586) as hour_sin from oof)"
+
+
+def _incremental_sql(source: str, groups: str, models: dict = MODELS, folds: int = 5, more: str = "") -> str:
+    """The gains over the rows that the CTEs ``more`` derive."""
+    parts = [ROWS, *([more] if more else []), sql.cross_predicted("fit", source, groups, "event_id", models, folds)]
+    return "with recursive " + ", ".join(parts) + " " + sql.incremental("fit", groups, [m for m in models if m != "base"])
+
+
+@query(_incremental_sql("rows", "domain"))
 def incremental_value(spark, sf_dir):
     return models.incremental(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]})
 
@@ -119,7 +131,7 @@ def _gains(told, groups, names):
     return out
 
 
-@query()
+@query(_incremental_sql("parts", "domain, subset", more="parts as (select *, 'all' as subset from rows union all select *, 'matched' from rows where abs(b_prob - a_prob) < 0.2::double)"))
 def matched_subset(spark, sf_dir):
     """Gains over all pairs and over those that both models score alike; each is fitted anew."""
     alike = F.abs(F.col("b_prob") - F.col("a_prob")) < 0.2
@@ -127,7 +139,11 @@ def matched_subset(spark, sf_dir):
     return models.incremental(rows, ["domain", "subset"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]})
 
 
-@query()
+_OF_SOURCES = sql.cross_predicted("fit", "rows", "source_id", "event_id", {"base": BASE, "plus": [*BASE, "a_prob"]}, 3)
+
+
+@query("with recursive " + ROWS + ", " + _OF_SOURCES + ", base as (from fit_p where model = 'base'), plus as (from fit_p where model = 'plus') select source_id, n, n_positive, " + ", ".join(f"round({m}_{c}, 6) as {m}_{c}" for m in ("base", "plus") for c in ("brier", "auc", "ece"))
+       + f" from fit_k join ({sql.summary('base', 'source_id', 'label', 'p', 'base_')}) using (source_id) join ({sql.summary('plus', 'source_id', 'label', 'p', 'plus_')}) using (source_id)")
 def source_calibration(spark, sf_dir):
     """Out-of-fold AUROC, ECE and Brier score of each source, for the baseline and with model A; sources that can't be folded have no row."""
     told = settled(models.cross_predict(_rows(spark, sf_dir), ["source_id"], "event_id", "label", {"base": BASE, "plus": [*BASE, "a_prob"]}, folds=3), "told", small=False)
@@ -137,7 +153,7 @@ def source_calibration(spark, sf_dir):
     return out.select("source_id", "n", "n_positive", *[six(F.col(c)).alias(c) for c in out.columns if c.startswith(("base_", "plus_"))])
 
 
-@query()
+@query(_incremental_sql("cells", "domain, source_group, replicate", folds=3, more="cells as (select *, source_id % 5 as source_group, (event_id % 2)::int as replicate from rows)").replace(" select domain, source_group, replicate, n,", " select *, case when gain_a >= gain_b then 'a' when gain_b is not null then 'b' end as best_feature, round(abs(gain_a - gain_b), 6) as lead from (select domain, source_group, replicate, n,") + ")")
 def source_layer_sweep(spark, sf_dir):
     """Gains of each feature in turn for every domain, source group and replicate, the best feature, and its lead over the next."""
     rows = _rows(spark, sf_dir).withColumn("source_group", F.col("source_id") % 5).withColumn("replicate", (F.col("event_id") % 2).cast("int"))
@@ -199,7 +215,11 @@ def layer_sweep(spark, sf_dir):
     return out.withColumn("best", F.row_number().over(Window.partitionBy("source_group").orderBy(F.desc("mean_gain"), "layer")) == 1)
 
 
-@query()
+_ABLATED = """ordered as (select *, row_number() over (partition by domain order by n desc, source_id) as r, ceil(count(*) over (partition by domain) * 0.2::double) as fifth from (select domain, source_id, count(*) as n from rows group by all)),
+  kept as (select rows.*, scenario from rows join ordered using (domain, source_id), (values ('all', 0), ('less_5', 5), ('less_20', 20), ('less_fifth', -1)) s(scenario, least) where r > case when least < 0 then fifth else least end)"""
+
+
+@query(_incremental_sql("kept", "domain, scenario", more=_ABLATED))
 def source_ablation_gap(spark, sf_dir):
     """Gains with the largest sources of a domain left out, for several counts and shares of its sources."""
     rows = _rows(spark, sf_dir)
@@ -213,20 +233,20 @@ def source_ablation_gap(spark, sf_dir):
     return models.incremental(kept, ["domain", "scenario"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]})
 
 
-@query()
+@query(_incremental_sql("rows", "domain", BOTH).replace(" select domain, n,", " select *, round(auc_both - greatest(auc_a, auc_b), 6) as both_less_best from (select domain, n,") + ")")
 def fusion(spark, sf_dir):
     out = models.incremental(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"], "both": ["a_prob", "b_prob"]})
     return out.withColumn("both_less_best", six(F.col("auc_both") - F.greatest("auc_a", "auc_b")))
 
 
-@query()
+@query(_incremental_sql("parts", "domain, grp", BOTH, more="parts as (select *, case when (label = 1 and b_prob - a_prob >= 0.2::double) or (label = 0 and a_prob - b_prob >= 0.2::double) then 'hard' else 'non_hard' end as grp from rows)"))
 def residual_model(spark, sf_dir):
     hard = F.expr("(label = 1 and b_prob - a_prob >= 0.2D) or (label = 0 and a_prob - b_prob >= 0.2D)")
     rows = _rows(spark, sf_dir).withColumn("grp", F.when(hard, "hard").otherwise("non_hard"))
     return models.incremental(rows, ["domain", "grp"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"], "both": ["a_prob", "b_prob"]})
 
 
-@query()
+@query(_incremental_sql("rows", "source_id", folds=3))
 def per_source_sweep(spark, sf_dir):
     return models.incremental(_rows(spark, sf_dir), ["source_id"], "event_id", "label", BASE, {"a": ["a_prob"], "b": ["b_prob"]}, folds=3)
 

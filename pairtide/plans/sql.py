@@ -130,3 +130,43 @@ def with_(*parts: str) -> str:
 
 def sql_hash(*parts: str) -> str:
     return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::bigint"
+
+
+def _solved(d: int, source: str) -> str:
+    """A subquery that solves h x = g for ``d`` unknowns by eliminating one after the other; its columns are those named in ``source`` and x0, x1, ..."""
+    cells = [(i, j) for i in range(d) for j in range(d)]
+    for k in range(d):
+        kept = ", ".join([*(f"h{i}{j} - h{i}{k} / h{k}{k} * h{k}{j} as h{i}{j}" if i != k else f"h{i}{j}" for i, j in cells), *(f"g{i} - h{i}{k} / h{k}{k} * g{k} as g{i}" if i != k else f"g{i}" for i in range(d))])
+        source = f"(select fit, {kept} from {source})"
+    return f"(select fit, {', '.join(f'g{i} / h{i}{i} as x{i}' for i in range(d))} from {source})"
+
+
+def cross_predicted(name: str, rows: str, groups: str, key: str, models: dict[str, list[str]], folds: int = 5, steps: int = 12) -> str:
+    """CTEs name_k (groups, n, n_positive, k) and name_p (groups, key, label, model, p): out-of-fold probabilities of balanced logistic fits with standardised features
+    and half the squared slopes, by Newton steps; the last unknown is the intercept."""
+    d = max(map(len, models.values()))
+    xs, zs = [f"x{i}" for i in range(d)], [*(f"z{i}" for i in range(d)), "1.0::double"]
+    own = ", ".join(f"r.{g.strip()}" for g in groups.split(","))
+    picked = ", ".join(f"case model {' '.join(f'when {m!r} then {fs[i]}' for m, fs in models.items() if i < len(fs))} else 0 end as x{i}" for i in range(d))
+    line = " + ".join(f"b{i} * {z}" for i, z in enumerate(zs))
+    fit = f"{groups}, model, held"
+    gradient = [f"sum(w * (p - label) * {z})" + (f" + b{i}" if i < d else "") + f" as g{i}" for i, z in enumerate(zs)]
+    hessian = [f"sum(w * p * (1 - p) * {zs[i]} * {zs[j]})" + (" + 1" if i == j < d else "") + f" as h{i}{j}" for i in range(d + 1) for j in range(d + 1)]
+    betas = [f"b{i}" for i in range(d + 1)]
+    at = "{" + ", ".join(f"'{c}': {c}" for c in [c.strip() for c in fit.split(",")] + ["it", *betas]) + "} as fit"
+    sums = f"(select {at}, {', '.join(gradient + hessian)} from (select *, 1 / (1 + exp(-({line}))) as p from {name}_n join {name}_z using ({fit}) where it < {steps} and fold <> held) group by {fit}, it, {', '.join(betas)})"
+    return f"""{name}_k as (select {groups}, count(*) as n, sum(label)::bigint as n_positive, least({folds}, sum(label), count(*) - sum(label)) as k from {rows} group by all),
+  {name}_f as (select r.*, k, (row_number() over (partition by {own}, r.label order by {sql_hash("'42'", "0", key)}, {key}) - 1) % k as fold from {rows} r join {name}_k using ({groups}) where k >= 2),
+  {name}_t as (select {groups}, {key}, label, fold, model, held::int as held, {picked} from {name}_f, range({folds}) h(held), (values {", ".join(f"({m!r})" for m in models)}) m(model) where held < k),
+  {name}_s as (select {fit}, {", ".join(f"avg({x}) as m{i}, case when stddev_pop({x}) > 1e-12 then stddev_pop({x}) else 1 end as s{i}" for i, x in enumerate(xs))}, count(*) / 2.0::double / greatest(sum(label), 1) as w1, count(*) / 2.0::double / greatest(sum(1 - label), 1) as w0 from {name}_t where fold <> held group by all),
+  {name}_z as (select {fit}, {key}, label, fold, {", ".join(f"({x} - m{i}) / s{i} as z{i}" for i, x in enumerate(xs))}, case when label = 1 then w1 else w0 end as w from {name}_t join {name}_s using ({fit})),
+  {name}_n as (select {fit}, 0 as it, {", ".join(f"0.0::double as {b}" for b in betas)} from {name}_s union all
+    select {", ".join(f"fit.{c.strip()}" for c in fit.split(","))}, fit.it + 1, {", ".join(f"fit.{b} - x{i}" for i, b in enumerate(betas))} from {_solved(d + 1, sums)}),
+  {name}_p as (select {groups}, {key}, label, model, 1 / (1 + exp(-({line}))) as p from {name}_z join {name}_n using ({fit}) where it = {steps} and fold = held)"""
+
+
+def incremental(name: str, groups: str, features: list[str]) -> str:
+    """Gains over the model ``base`` from the CTEs of :func:`cross_predicted`; too small groups have NULLs."""
+    of = lambda m: f"case when n >= 8 and n_positive >= 2 and n - n_positive >= 2 then max(auc) filter (model = '{m}') end"
+    columns = [f"round({of(m)}, 6) as auc_{m}" for m in ("base", *features)] + [f"round({of(m)} - {of('base')}, 6) as gain_{m}" for m in features]
+    return f"select {groups}, n, n_positive, {', '.join(columns)} from {name}_k left join ({auroc(f'{name}_p', f'{groups}, model', 'label', 'p', 'auc')}) using ({groups}) group by {groups}, n, n_positive"
