@@ -159,6 +159,7 @@ def _stepped(width: int, fits: int, scale: bool):
         best = np.where(better[:, None], beta, state[:, at["best"]])
         direction = np.where(better[:, None], newton, state[:, at["direction"]] / 2)
         done = np.where(better, np.abs(gradient).max(1) < 1e-9 * state[:, at["rows"]][:, 0], np.abs(direction).max(1) < 1e-12)
+        best = np.where((done & better)[:, None], beta - newton, best)  # the last step is taken too
         new = {"best": best, "direction": direction, "loss": np.where(better, loss, before)[:, None], "done": done[:, None].astype(float), "beta": np.where(done[:, None], best, best - direction)}
         for c, v in new.items():
             state[active, at[c]] = v[active]

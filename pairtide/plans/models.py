@@ -81,28 +81,47 @@ def isotonic_crossfit(spark, sf_dir):
     return _calibrated(spark, sf_dir, "isotonic")
 
 
+#: The baseline's features and those added to it.
+MODELS = {"base": BASE, "a": [*BASE, "a_prob"], "b": [*BASE, "b_prob"]}
+BOTH = MODELS | {"both": [*BASE, "a_prob", "b_prob"]}
+ROWS = f"{OOF}, rows as (select *, sin(base_prob * 6.283185307179586) as hour_sin from oof)"
+
+
 def _stack(spark, sf_dir):
     return models.stacked(_rows(spark, sf_dir), ["domain"], "event_id", "label", BASE, ["a_prob"], ["b_prob"])
 
 
-@query()
+def _stacked_sql() -> str:
+    """CTEs up to stacked: scores of the held-out rows by fits on the other outer folds, scores of these rows by inner folds, and the stack on the latter."""
+    of = lambda *models: ", ".join(f"max(p) filter (model = '{m}') as {m}" for m in models)
+    outer = sql.cross_predicted("outr", "rows", "domain", "event_id", {"base": BASE, "a": ["a_prob"], "b": ["b_prob"]})
+    inner = f"""inner_folds as (select event_id, ((row_number() over (partition by r.domain, r.label order by {sql_hash("'43'", "0", "event_id")}, event_id) - 1) % k)::int as inner_fold from rows r join outr_k using (domain)),
+  nest as (select o.domain, v::int as h, event_id, o.label, o.a_prob, o.b_prob, inner_fold as fold, 5 as k from outr_f o join inner_folds using (event_id), range(5) hs(v) where o.fold <> v),
+  {sql.cross_predicted("nested", "nest", "domain, h", "event_id", {"a": ["a_prob"], "b": ["b_prob"]}, dealt=True)}"""
+    inputs = f"""held as (select domain, event_id, {of("base", "a", "b")} from outr_p group by all),
+  inputs as (select domain, h, event_id, label, {of("a", "b")}, 1 as fold from nested_p group by all union all select f.domain, f.fold::int, event_id, label, a, b, 0 from outr_f f join held using (domain, event_id)),
+  stacks as (select i.*, base_prob, hour_sin, 1 as k from inputs i join (select event_id, base_prob, hour_sin from rows) using (event_id))"""
+    stack = sql.cross_predicted("stack", "stacks", "domain, h", "event_id", {"whole": ["a", "b", *BASE], "plain": ["a", "b"]}, folds=1, dealt=True)
+    last = f"final as (select domain, event_id, label, {of('whole', 'plain')} from stack_p group by all), stacked as (select f.*, base, a, b from final f join held using (domain, event_id))"
+    return "with recursive " + ", ".join((ROWS, outer, inner, inputs, stack, last)) + " "
+
+
+_STACKED = _stacked_sql()
+
+
+@query(_STACKED + "select domain, event_id, label, round(base, 6) as base_prob, round(a, 6) as model_a_prob, round(b, 6) as model_b_prob, round(whole, 6) as stacked_prob from stacked")
 def stacked_oof(spark, sf_dir):
     out = _stack(spark, sf_dir)
     return out.select("domain", "event_id", "label", *[six(F.col(c)).alias(c) for c in ("base_prob", "model_a_prob", "model_b_prob", "stacked_prob")])
 
 
-@query()
+@query(_STACKED + f"""select domain, n, n_positive, round(u, 6) as with_base, round(v, 6) as without_base, round(u - v, 6) as gain from (select domain, count(*) as n, sum(label)::bigint as n_positive from stacked group by domain)
+  join ({sql.auroc('stacked', 'domain', 'label', 'whole', 'u')}) using (domain) join ({sql.auroc('stacked', 'domain', 'label', 'plain', 'v')}) using (domain)""")
 def stacking_ablation(spark, sf_dir):
     out = models.guarded_auroc(_stack(spark, sf_dir), ["domain"], "label", ["stacked_prob", "stacked_plain_prob"])
     return out.select("domain", "n", "n_positive", six(F.col("auc_stacked_prob")).alias("with_base"), six(F.col("auc_stacked_plain_prob")).alias("without_base"), six(F.col("auc_stacked_prob") - F.col("auc_stacked_plain_prob")).alias("gain"))
 
 
-#: The baseline's features and those added to it.
-MODELS = {"base": BASE, "a": [*BASE, "a_prob"], "b": [*BASE, "b_prob"]}
-BOTH = MODELS | {"both": [*BASE, "a_prob", "b_prob"]}
-ROWS = f"{OOF}, rows as (select *, sin(base_prob * 6.283185307179586) as hour_sin from oof)"
-
-
 def _incremental_sql(source: str, groups: str, models: dict = MODELS, folds: int = 5, more: str = "") -> str:
     """The gains over the rows that the CTEs ``more`` derive."""
     parts = [ROWS, *([more] if more else []), sql.cross_predicted("fit", source, groups, "event_id", models, folds)]

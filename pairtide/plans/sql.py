@@ -141,9 +141,9 @@ def _solved(d: int, source: str) -> str:
     return f"(select fit, {', '.join(f'g{i} / h{i}{i} as x{i}' for i in range(d))} from {source})"
 
 
-def cross_predicted(name: str, rows: str, groups: str, key: str, models: dict[str, list[str]], folds: int = 5, steps: int = 12) -> str:
+def cross_predicted(name: str, rows: str, groups: str, key: str, models: dict[str, list[str]], folds: int = 5, steps: int = 12, dealt: bool = False) -> str:
     """CTEs name_k (groups, n, n_positive, k) and name_p (groups, key, label, model, p): out-of-fold probabilities of balanced logistic fits with standardised features
-    and half the squared slopes, by Newton steps; the last unknown is the intercept."""
+    and half the squared slopes, by Newton steps; the last unknown is the intercept.  ``dealt``: the rows have their fold and the number k of folds."""
     d = max(map(len, models.values()))
     xs, zs = [f"x{i}" for i in range(d)], [*(f"z{i}" for i in range(d)), "1.0::double"]
     own = ", ".join(f"r.{g.strip()}" for g in groups.split(","))
@@ -155,8 +155,9 @@ def cross_predicted(name: str, rows: str, groups: str, key: str, models: dict[st
     betas = [f"b{i}" for i in range(d + 1)]
     at = "{" + ", ".join(f"'{c}': {c}" for c in [c.strip() for c in fit.split(",")] + ["it", *betas]) + "} as fit"
     sums = f"(select {at}, {', '.join(gradient + hessian)} from (select *, 1 / (1 + exp(-({line}))) as p from {name}_n join {name}_z using ({fit}) where it < {steps} and fold <> held) group by {fit}, it, {', '.join(betas)})"
-    return f"""{name}_k as (select {groups}, count(*) as n, sum(label)::bigint as n_positive, least({folds}, sum(label), count(*) - sum(label)) as k from {rows} group by all),
-  {name}_f as (select r.*, k, (row_number() over (partition by {own}, r.label order by {sql_hash("'42'", "0", key)}, {key}) - 1) % k as fold from {rows} r join {name}_k using ({groups}) where k >= 2),
+    dealt_ = f"{name}_f as (from {rows})" if dealt else f"""{name}_k as (select {groups}, count(*) as n, sum(label)::bigint as n_positive, least({folds}, sum(label), count(*) - sum(label)) as k from {rows} group by all),
+  {name}_f as (select r.*, k, (row_number() over (partition by {own}, r.label order by {sql_hash("'42'", "0", key)}, {key}) - 1) % k as fold from {rows} r join {name}_k using ({groups}) where k >= 2)"""
+    return f"""{dealt_},
   {name}_t as (select {groups}, {key}, label, fold, model, held::int as held, {picked} from {name}_f, range({folds}) h(held), (values {", ".join(f"({m!r})" for m in models)}) m(model) where held < k),
   {name}_s as (select {fit}, {", ".join(f"avg({x}) as m{i}, case when stddev_pop({x}) > 1e-12 then stddev_pop({x}) else 1 end as s{i}" for i, x in enumerate(xs))}, count(*) / 2.0::double / greatest(sum(label), 1) as w1, count(*) / 2.0::double / greatest(sum(1 - label), 1) as w0 from {name}_t where fold <> held group by all),
   {name}_z as (select {fit}, {key}, label, fold, {", ".join(f"({x} - m{i}) / s{i} as z{i}" for i, x in enumerate(xs))}, case when label = 1 then w1 else w0 end as w from {name}_t join {name}_s using ({fit})),
