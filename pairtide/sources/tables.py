@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,9 +110,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables of this process that were settled and not removed.
+_settled: list[str] = []
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Removes the tables that were settled inside the block at its end, when all results that read them must have been written."""
+    start = len(_settled)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _settled[start:]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        del _settled[start:]
+
+
 def settled(df: DataFrame, name: str = "table", small: bool = True) -> DataFrame:
     """A table that later steps use several times, written once to the folder that the cluster shares; a small one, with a few rows a group, as one file."""
     path = shared_path(df.sparkSession, name)
+    _settled.append(path)
     (df.repartition(1) if small else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from pairtide.operators import pairs
@@ -33,3 +35,13 @@ def test_bitmaps_equal_rows(spark):
     want = {r.pair for r in pairs.valid_everywhere(rows.withColumn("ok", F.coalesce("ok", F.lit(False))), ["pair"], 3).collect()}
     assert got == want and 0 < len(got) < n
     assert pairs.valid_in_all(numbers, maps.where("layer < 2"), 3, "pair").count() == 0
+
+
+def test_settled_tables_go_with_their_block(spark, tmp_path):
+    kept = tables.settled(spark.range(3), "kept")
+    with tables.passing(spark):
+        inner = tables.settled(kept.withColumn("x", F.col("id") * 2), "inner")
+        files = inner.inputFiles()
+        inner.write.parquet(str(tmp_path / "out"))
+    assert not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == kept.count() == 3
