@@ -40,10 +40,10 @@ _END = 10
 _END_WORD = hash_words(pa.array(["\n"], pa.large_string()))[0]
 
 
-def _streams(texts: pa.Array, depth: int):
-    """Codes and keys of the byte strings and of the words of each text, with each text's bounds among them.
+def _keys(texts: pa.Array, depth: int):
+    """The key of each byte of each text, the texts' bounds among them, and (words, bounds).
 
-    A byte string's key has its nearest context byte highest and the byte itself lowest."""
+    A key has the nearest context byte highest and the byte itself lowest."""
     words, bounds = split_words(pc.ascii_lower(texts))
     joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), words), pa.scalar(" ", pa.large_string()))
     scalar = lambda s: pa.scalar(s, pa.large_string())
@@ -56,14 +56,29 @@ def _streams(texts: pa.Array, depth: int):
     own = np.ones(len(data), bool)
     for k in range(depth):
         own[starts[:-1] + k] = False
-    keys = keys[own[depth:]]
-    byte_bounds = starts - depth * np.arange(len(starts))
-    codes, distinct = pd.factorize(keys)
-    codes = codes.astype(np.int32)
+    return keys[own[depth:]], starts - depth * np.arange(len(starts)), (words, bounds)
+
+
+def _word_codes(words: pa.Array, bounds: np.ndarray):
+    """Codes, hashes and bounds of the words with an end after each text."""
     word_codes, vocabulary = encode_words(words)
     hashes = np.append(hash_words(vocabulary), _END_WORD)
     word_codes = np.insert(word_codes, bounds[1:], len(vocabulary))
-    return (codes, distinct, byte_bounds), (word_codes, hashes, bounds + np.arange(len(bounds)))
+    return word_codes, hashes, bounds + np.arange(len(bounds))
+
+
+def _streams(texts: pa.Array, depth: int):
+    """Codes and keys of the byte strings and of the words of each text, with each text's bounds among them."""
+    keys, byte_bounds, words = _keys(texts, depth)
+    codes, distinct = pd.factorize(keys)
+    return (codes.astype(np.int32), distinct, byte_bounds), _word_codes(*words)
+
+
+def _distinct(values: np.ndarray):
+    """The distinct values in order, and how often each is there."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[first], np.diff(np.append(first, len(values)))
 
 
 def _is_in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -95,7 +110,7 @@ def hot_contexts(docs: DataFrame, total_bytes: int, depth: int, n_parts: int) ->
     def run(batches):
         for batch in batches:
             for part in chunks(batch, most=STEP_BYTES):
-                keys = np.sort(_streams(string_array(part.column("text")), depth)[0][1].astype(np.uint64))
+                keys = _distinct(_keys(string_array(part.column("text")), depth)[0])[0]
                 rows = []
                 for j in range(2, depth):
                     context, n = np.unique(keys >> np.uint64(8 * (depth + 1 - j)), return_counts=True)
@@ -120,9 +135,8 @@ class _Tally:
     def __init__(self):
         self.keys, self.counts, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
-    def add(self, codes, distinct, bounds, train) -> None:
-        counted = np.repeat(train, np.diff(bounds))
-        self.new.append((distinct.astype(np.uint64), np.bincount(codes[counted], minlength=len(distinct))))
+    def add(self, distinct: np.ndarray, counts: np.ndarray) -> None:
+        self.new.append((distinct, counts))
         if sum(len(k) for k, _ in self.new) > 2 << 20:
             self.merge()
 
@@ -131,8 +145,8 @@ class _Tally:
             return
         keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
         counts = np.concatenate([self.counts, *(c for _, c in self.new)])
-        self.keys, inverse = np.unique(keys, return_inverse=True)
-        self.counts, self.new = np.bincount(inverse, weights=counts, minlength=len(self.keys)).astype(np.int64), []
+        self.keys, counts = _summed(keys, counts)
+        self.counts, self.new = counts.astype(np.int64), []
 
     def rows(self, kind: int, depth: int, n_parts: int, hot):
         """(kind, part, keys, counts) with the keys in ascending order in each part."""
@@ -149,8 +163,14 @@ def _tally(parts, depth: int) -> tuple[_Tally, _Tally]:
     grams, words = _Tally(), _Tally()
     for part in parts:
         train = np.asarray(part.column("train"), bool)
-        for tally, (codes, distinct, bounds) in zip((grams, words), _streams(string_array(part.column("text")), depth), strict=True):
-            tally.add(codes, distinct, bounds, train)
+        keys, bounds, split = _keys(string_array(part.column("text")), depth)
+        learnt = np.repeat(train, np.diff(bounds))
+        grams.add(*_distinct(keys[learnt]))
+        if not train.all():
+            others = _distinct(keys[~learnt])[0]
+            grams.add(others, np.zeros(len(others), np.int64))
+        codes, hashes, bounds = _word_codes(*split)
+        words.add(hashes.astype(np.uint64), np.bincount(codes[np.repeat(train, np.diff(bounds))], minlength=len(hashes)))
     return grams, words
 
 
@@ -169,9 +189,8 @@ def _gather(table: pa.Table):
     """All keys of a part with their summed counts, and each row's keys as places among them."""
     rows = [from_rising_planes(k.as_buffer(), np.uint64) for k in table.column("keys")]
     counts = np.concatenate([from_planes(c.as_buffer(), np.uint32) for c in table.column("counts")])
-    keys, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64)
-    return keys, total, np.split(inverse, np.cumsum([len(r) for r in rows])[:-1])
+    keys, total = _summed(np.concatenate(rows), counts)
+    return keys, total.astype(np.int64), rows
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -183,9 +202,18 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
 
 
+#: log Gamma at n + 1/2 and n + 1 for the counts n below 65536; nearly all are.
+_HALVES, _WHOLES = (_log_gamma(np.arange(1 << 16) + x) for x in (0.5, 1.0))
+
+
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - np.log(np.pi)
+    n = a + b
+    large = np.flatnonzero(n >= len(_WHOLES))
+    x, y, z = (np.minimum(v, len(_WHOLES) - 1).astype(np.int32) for v in (a, b, n))
+    out = _HALVES[x] + _HALVES[y] - _WHOLES[z]
+    out[large] = _log_gamma(a[large] + 0.5) + _log_gamma(b[large] + 0.5) - _log_gamma(n[large] + 1.0)
+    return out - np.log(np.pi)
 
 
 def _weigh(a, b, children):
@@ -201,8 +229,10 @@ def _up(ids: np.ndarray) -> np.ndarray:
 
 
 def _summed(ids: np.ndarray, *values: np.ndarray):
-    ids, inverse = np.unique(ids, return_inverse=True)
-    return (ids, *(np.bincount(inverse, weights=x, minlength=len(ids)) for x in values))
+    """Distinct ids in order with the sums of their values.  The ids come in runs of rising order, so each is looked up near the one before."""
+    distinct = _distinct(ids)[0]
+    at = np.searchsorted(distinct, ids)
+    return (distinct, *(np.bincount(at, weights=x, minlength=len(distinct)) for x in values))
 
 
 class Subtrees:
@@ -213,7 +243,7 @@ class Subtrees:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, hot):
         self.depth, self.levels, self.tops = depth, {}, []
         seen = counts > 0
-        ids, total, one = _summed(*_decisions(keys[seen], counts[seen]))
+        ids, total, one = _decisions(keys[seen], counts[seen])
         below = None
         for j in range(depth, 1, -1):
             zeros = total - one
@@ -232,43 +262,69 @@ class Subtrees:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0)] * 3)
 
     def log10(self, keys: np.ndarray, top: dict) -> np.ndarray:
-        """log10 probability of each byte string's last byte; ``top``: see :func:`top_levels`."""
+        """log10 probability of each byte string's last byte, the strings in order; ``top``: see :func:`top_levels`.
+
+        From the top down every node gets the probabilities of a zero and a one with itself as the deepest context, so
+        a string only looks for its deepest node."""
+        mixed = {}
+        for j in sorted(self.levels):
+            mixed[j] = _mixed(*self.levels[j], [m for m in (mixed.get(j - 1), top.get(j - 1)) if m])
         out = np.zeros(len(keys))
         byte, context = keys & np.uint64(255), keys >> np.uint64(8)
         for t in range(8):
-            node = ((byte | np.uint64(256)) >> np.uint64(8 - t)).astype(np.uint64)
+            node = (byte | np.uint64(256)) >> np.uint64(8 - t)
             bit = ((byte >> np.uint64(7 - t)) & np.uint64(1)) == 1
-            p, known = np.zeros(len(keys)), np.zeros(len(keys), bool)
+            p, left = np.full(len(keys), 0.5), np.arange(len(keys))
             for j in range(self.depth, -1, -1):
-                wanted = (context >> np.uint64(8 * (self.depth - j)) << np.uint64(8)) | node
-                for levels in (self.levels, top):
-                    if j in levels:
-                        p, known = _mix(p, known, wanted, *levels[j], bit)
-            out += np.log10(np.where(known, p, 0.5))
+                for levels in (mixed, top):
+                    if j not in levels or not len(left):
+                        continue
+                    ids, zero, one, *_ = levels[j]
+                    at, seen = _places(ids, (context[left] >> np.uint64(8 * (self.depth - j)) << np.uint64(8)) | node[left])
+                    here = left[seen]
+                    p[here] = np.where(bit[here], one[at[seen]], zero[at[seen]])
+                    left = left[~seen]
+            out += np.log10(p)
         return out
 
 
 def _decisions(keys: np.ndarray, counts: np.ndarray):
-    """For each of the eight decisions of each string: its node under the whole context, its ones and its count."""
+    """For the eight decisions of the strings, which are in order: the distinct nodes under the whole context, their counts and ones, by node."""
     byte, context = keys & np.uint64(255), keys >> np.uint64(8) << np.uint64(8)
-    ids = np.concatenate([context | ((byte | np.uint64(256)) >> np.uint64(8 - t)) for t in range(8)])
-    bits = np.concatenate([(byte >> np.uint64(7 - t)) & np.uint64(1) for t in range(8)])
-    n = np.tile(counts, 8).astype(float)
-    return ids, n, n * bits
-
-
-def _mix(p, known, wanted, ids, zeros, ones, own, bit):
+    parts = []
+    for t in range(8):
+        ids = context | ((byte | np.uint64(256)) >> np.uint64(8 - t))
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+        bits = ((byte >> np.uint64(7 - t)) & np.uint64(1)).astype(np.int64)
+        parts.append((ids[first], *(np.add.reduceat(x, first) if len(first) else x for x in (counts, counts * bits))))
+    ids, n, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], n[order].astype(float), ones[order].astype(float)
+
+
+def _places(ids: np.ndarray, wanted: np.ndarray):
+    """Where each wanted id is among the sorted ids, and whether it is there."""
     if not len(ids):
-        return p, known
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
     at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
-    seen = ids[at] == wanted
-    kt = (np.where(bit, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)
-    w = own[at]
-    return np.where(seen, np.where(known, w * kt + (1 - w) * p, kt), p), known | seen
+    return at, ids[at] == wanted
+
+
+def _mixed(ids, zeros, ones, own, above: list):
+    """(ids, P(0), P(1) with the node as the deepest, P(0) and P(1) that the node and those above it give to deeper ones, the weight that is left to them).
+
+    ``above``: tables of this form of the nodes with one context byte less; none for the root."""
+    n = zeros + ones + 1
+    kt, rest = np.stack([(zeros + 0.5) / n, (ones + 0.5) / n]), np.ones(len(ids))
+    given = np.zeros_like(kt)
+    for up, _, _, given_0, given_1, left in above:
+        at, seen = _places(up, _up(ids))
+        given[0, seen], given[1, seen], rest[seen] = given_0[at[seen]], given_1[at[seen]], left[at[seen]]
+    return ids, *(given + rest * kt), *(given + rest * own * kt), rest * (1 - own)
 
 
 def top_levels(level: np.ndarray, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_pw: np.ndarray, depth: int) -> dict:
-    """(ids, zeros, ones, own weight) of the nodes above the subtrees by their number of context bytes, down to the root's 0."""
+    """The nodes above the subtrees by their number of context bytes, down to the root's 0, as tables of :func:`_mixed`."""
     out, empty = {}, np.zeros(0)
     came = np.zeros(0, np.uint64), empty, empty, empty
     for j in range(depth - 1, -1, -1):
@@ -279,6 +335,8 @@ def top_levels(level: np.ndarray, ids: np.ndarray, zeros: np.ndarray, ones: np.n
         up, own = _weigh(z, o, below)
         out[j] = ids_, z, o, own
         came = _up(ids_), z, o, up
+    for j in sorted(out):
+        out[j] = _mixed(*out[j], [out[j - 1]] if j else [])
     return out
 
 
@@ -329,7 +387,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
             told = Subtrees(keys, counts, depth, hot).log10(keys, shared.value).astype(np.float32)
         else:
             told = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
-        return pa.table({"gid": table.column("gid"), "kind": table.column("kind"), "part": table.column("part"), "told": pa.array([planes(told[r]) for r in rows], pa.binary())})
+        return pa.table({"gid": table.column("gid"), "kind": table.column("kind"), "part": table.column("part"), "told": pa.array([planes(told[np.searchsorted(keys, r)]) for r in rows], pa.binary())})
 
     def settle(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         parts = list(chunks(left, most=STEP_BYTES))
@@ -338,13 +396,13 @@ def score(docs: DataFrame, *, depth: int = DEPTH, group_bytes: int = GROUP_BYTES
         sums = [[] for _ in parts]
         for kind, form in enumerate((np.float32, np.uint32)):
             each = [s[kind][1].astype(np.uint64) for s in streams]
-            keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
+            keys = _distinct(np.concatenate(each))[0]
             order = np.argsort(_parts(keys, kind == 0, depth, n_parts, hot), kind="stable")
             told = [from_planes(raw.as_buffer(), form) for _, _, raw in sorted((r for r in rows if r[0] == kind), key=lambda r: r[1])]
             values = np.empty(len(keys))
             values[order] = np.concatenate(told)
-            for out, (codes, _, bounds), at in zip(sums, (s[kind] for s in streams), np.split(inverse, np.cumsum([len(x) for x in each])[:-1]), strict=True):
-                of = values[at]
+            for out, (codes, _, bounds), some in zip(sums, (s[kind] for s in streams), each, strict=True):
+                of = values[np.searchsorted(keys, some)]
                 if kind == 0:
                     out.append(sums_by_text(of[codes], bounds))
                 else:
