@@ -1,7 +1,7 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Every rule is a score between 0 and 1 (symbols, capitals, separators, repeated
-phrases, repeated lines, insulting words).  A bounded sample of the labelled documents teaches what scores mean: a rule's
+phrases, repeated lines, insulting words, the share of words that begin as those of toxic documents do).  A bounded sample of the labelled documents teaches what scores mean: a rule's
 risk at a score is the share of bad documents among those with that score or more, made monotone.  A rule rejects a document if its risk reaches the risk cutoff of the document's
 stratum (its language), so one number for each stratum fixes the cutoffs of all rules.
 
@@ -42,10 +42,14 @@ from .text import (
     without,
 )
 
-RULES = ("symbols", "capitals", "separators", "marks", "repeats", "lines", "insults")
+RULES = ("symbols", "capitals", "separators", "marks", "repeats", "lines", "insults", "tone")
 BINS = 200
 #: Terms that may insult: whole words (0) and first letters of words, which endings leave alone.
 STEMS = (0, 3, 4, 5, 6, 7)
+#: Share of words with a toxic beginning at which the tone is 1/2.
+EVEN_TONE = 0.02
+#: How often a term must be found in toxic documents, against the same number of words of others, to count for the tone.
+LEAST_RATIO = 4.0
 #: Weight of clean documents rejected against bad ones when a valid cutoff is chosen.
 CLEAN_WEIGHT = 10.0
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -57,6 +61,7 @@ class QualityModel:
     """Word risks, rule risks by bin of the score, and certified cutoffs: ``cutoffs[stratum][rule]``; a missing entry rejects nothing."""
 
     insults: dict[str, float] = field(default_factory=dict)
+    tones: dict[str, float] = field(default_factory=dict)
     risks: dict[str, list[float]] = field(default_factory=dict)
     cutoffs: dict[str, dict[str, float]] = field(default_factory=dict)
     report: list[dict] = field(default_factory=list)
@@ -115,7 +120,14 @@ def _terms(words: pa.Array, at: int) -> pa.Array:
     return pc.if_else(longer, pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, at), pa.scalar("*", pa.large_string()), pa.scalar("", pa.large_string())), pa.scalar(None, pa.large_string()))
 
 
-def _features(texts: pa.Array, insults: dict[str, float]) -> dict[str, np.ndarray]:
+def _of_words(bare: pa.Array, terms: dict[str, float]) -> np.ndarray:
+    """The largest value of each bare word's terms, 0 for words without any."""
+    values = np.append(np.fromiter(terms.values(), float, len(terms)), 0.0)
+    known = pa.array(list(terms), pa.large_string())
+    return np.max([values[np.asarray(pc.fill_null(pc.index_in(_terms(bare, n), value_set=known), len(terms)))] for n in STEMS], axis=0)
+
+
+def _features(texts: pa.Array, insults: dict[str, float], tones: dict[str, float]) -> dict[str, np.ndarray]:
     data, spans = raw_bytes(texts)
     words, bounds = split_words(texts)
     codes, distinct = encode_words(words)
@@ -125,13 +137,15 @@ def _features(texts: pa.Array, insults: dict[str, float]) -> dict[str, np.ndarra
     symbols = sums_by_text(_SYMBOL[data], spans)
     lines, dup_lines = _dup_lines(texts)
     repeats = _repeat_words(codes, bounds)
-    risk = np.zeros(len(texts))
-    if insults and len(codes):
-        bare, values = _bare(distinct), np.append(np.fromiter(insults.values(), float, len(insults)), 0.0)
-        terms = pa.array(list(insults), pa.large_string())
-        of_word = np.max([values[np.asarray(pc.fill_null(pc.index_in(_terms(bare, n), value_set=terms), len(insults)))] for n in STEMS], axis=0)
-        hit = np.flatnonzero(of_word[codes] > 0)
-        np.maximum.at(risk, rows_of(bounds)[hit], of_word[codes[hit]])
+    risk, tone = np.zeros(len(texts)), np.zeros(len(texts))
+    if (insults or tones) and len(codes):
+        bare = _bare(distinct)
+        if insults:
+            of_word = _of_words(bare, insults)
+            hit = np.flatnonzero(of_word[codes] > 0)
+            np.maximum.at(risk, rows_of(bounds)[hit], of_word[codes[hit]])
+        if tones:
+            tone = sums_by_text(_of_words(bare, tones)[codes], bounds) / np.maximum(n_words, 1)
     some = np.maximum(word_chars, 1)
     letters = np.maximum(sums_by_text(_LETTER[data], spans), 1)
     alone = np.asarray(pc.equal(distinct, "|"), bool) if len(distinct) else np.zeros(0, bool)
@@ -148,6 +162,7 @@ def _features(texts: pa.Array, insults: dict[str, float]) -> dict[str, np.ndarra
         "repeats_score": repeats / np.maximum(n_words, 1),
         "lines_score": dup_lines / np.maximum(lines, 1),
         "insults_score": risk,
+        "tone_score": tone / (tone + EVEN_TONE),
     }
 
 
@@ -181,11 +196,15 @@ def lower_bound(hits: int, n: int, level: float) -> float:
     return 1 - upper_bound(n - hits, n, level)
 
 
-def fit_insults(labelled: DataFrame, level: float = 0.02, least: float = 0.5) -> dict[str, float]:
-    """Words and first letters of words (``STEMS``) of toxic documents, with an exact lower bound on the share of documents with them that are toxic.
+def fit_terms(labelled: DataFrame, level: float = 0.02, least: float = 0.5) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and first letters of words (``STEMS``) of toxic documents: insults, and terms that are only more frequent there.
 
-    ``labelled`` has (text, toxic).  Terms whose bound is below ``least`` are
-    left out, so the size is bounded by the terms of the labelled sample."""
+    ``labelled`` has (text, toxic).  An insult has an exact lower bound on the share of documents with it that are
+    toxic of ``least`` or more.  A term counts for the tone if its places, not its documents, are in toxic documents more often than
+    in as many words of others: by the exact lower bound on the share of its places, at ``level / 100`` as places of one document are not
+    independent, ``LEAST_RATIO`` times as often; it must stand in three toxic documents, and its value is the part of its places that the bound
+    leaves to them.  So a beginning that any text may have by chance tells by its share of the words, and
+    few toxic documents of a language are enough.  The size is bounded by the terms of the labelled sample."""
 
     def bare_words(batches):
         for batch in batches:
@@ -196,20 +215,29 @@ def fit_insults(labelled: DataFrame, level: float = 0.02, least: float = 0.5) ->
                     terms = _terms(bare, stem)
                     there = np.asarray(terms.is_valid(), bool)
                     codes, distinct = encode_words(terms.filter(pa.array(there)))
-                    keys = pd.unique(rows[there] * max(1, len(distinct)) + codes)
+                    keys, times = np.unique(rows[there] * max(1, len(distinct)) + codes, return_counts=True)
                     toxic = np.asarray(part.column("toxic"))[keys // max(1, len(distinct))]
-                    yield pa.RecordBatch.from_arrays([distinct.take(pa.array(keys % max(1, len(distinct)))).cast(pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
+                    yield pa.RecordBatch.from_arrays([distinct.take(pa.array(keys % max(1, len(distinct)))).cast(pa.string()), pa.array(toxic, pa.int32()), pa.array(times, pa.int64())], names=["word", "toxic", "times"])
 
+    known = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
+    words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), "[\\x20\\x09-\\x0D]+"))
+    total = {r.toxic: r.n for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.sum(words).alias("n")).collect()}
+    odds = total.get(True, 0) / max(1, total.get(False, 0))
     counted = (
-        labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
-        .where("toxic is not null")
-        .mapInArrow(bare_words, "word string, toxic int")
+        known.mapInArrow(bare_words, "word string, toxic int, times long")
         .groupBy("word")
-        .agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
-        .where((F.col("hits") >= 4) & (F.col("hits") >= least * F.col("n")) & (F.col("word") != ""))
+        .agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"), F.sum(F.col("times") * F.col("toxic")).alias("places"), F.sum("times").alias("times"))
+        .where("word <> ''")
+        .where(((F.col("hits") >= 4) & (F.col("hits") >= least * F.col("n"))) | ((F.col("hits") >= 3) & (F.col("places") >= LEAST_RATIO * odds * (F.col("times") - F.col("places")))))
+        .collect()
     )
-    found = {r.word: lower_bound(r.hits, r.n, level) for r in counted.collect()}
-    return {w: round(p, 6) for w, p in sorted(found.items()) if p >= least}
+    insults = {r.word: lower_bound(r.hits, r.n, level) for r in counted if r.hits >= 4 and r.hits >= least * r.n}
+    tones = {}
+    for r in counted:
+        share = lower_bound(r.places, r.times, level / 100)
+        if r.hits >= 3 and share >= LEAST_RATIO * odds * (1 - share):
+            tones[r.word] = share / (share + odds * (1 - share))
+    return {w: round(p, 6) for w, p in sorted(insults.items()) if p >= least}, {w: round(p, 6) for w, p in sorted(tones.items())}
 
 
 def rule_risks(counts) -> dict[str, list[float]]:
@@ -289,7 +317,7 @@ def fit(
     delta: float = 0.05,
     max_learnt: int = 20_000,
 ) -> QualityModel:
-    """Learn the insulting words and the rules' risks on one part of the labelled documents and certify the cutoffs on the rest.
+    """Learn the toxic terms and the rules' risks on one part of the labelled documents and certify the cutoffs on the rest.
 
     ``labels`` has (doc_id, quality, toxic); a document is clean if its quality
     is 1 and it is not toxic, bad otherwise.  Rows of ``labels`` with a null id or
@@ -309,11 +337,12 @@ def fit(
     ids = ids.withColumn("learn", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
     sample = written(picked.join(F.broadcast(ids.where("learn").select("doc_id", "toxic", "clean")), "doc_id"), "learnt")
-    model = QualityModel(insults=fit_insults(sample.select("text", "toxic")))
+    model = QualityModel(*fit_terms(sample.select("text", "toxic")))
     learnt = score(sample, model).where(~_base_failed()).select("clean", F.posexplode(_bins()).alias("at", "bin")).groupBy("at", "bin").agg(F.sum("clean").alias("clean"), F.sum(1 - F.col("clean")).alias("bad"))
     model.risks = rule_risks((RULES[r["at"]], r.bin, r.clean, r.bad) for r in learnt.collect())
-    if not model.insults:
-        del model.risks["insults"]
+    for rule, terms in (("insults", model.insults), ("tone", model.tones)):
+        if not terms:
+            del model.risks[rule]
     levels = [F.element_at(F.array(*[F.lit(_level(x)) for x in model.risks[r]]), F.element_at("bins", i + 1) + 1) for i, r in enumerate(RULES) if r in model.risks]
     level = score(picked, model).where(~_base_failed()).select("doc_id", "stratum", _bins().alias("bins")).select("doc_id", "stratum", F.greatest(*levels).alias("level"))
     counts = level.join(ids.where("not learn").select("doc_id", "clean"), "doc_id").groupBy("stratum", "level").agg(F.sum("clean").alias("clean"), F.sum(1 - F.col("clean")).alias("bad"))
@@ -327,12 +356,12 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     A null or empty text has zero words and all scores 0."""
     docs = without(docs, [f.split()[0] for f in FEATURES.split(", ")])
-    insults = model.insults
+    insults, tones = model.insults, model.tones
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                yield appended(part, **_features(string_array(part.column("text")), insults))
+                yield appended(part, **_features(string_array(part.column("text")), insults, tones))
 
     return docs.mapInArrow(run, widened(docs, FEATURES))
 

@@ -404,6 +404,31 @@ def test_quality_certifies_a_null_stratum(spark):
     model = quality.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 8 < 4, F.col("lang"))), labels)
     assert {"", "xx"} == {r["stratum"] for r in model.report} and "" in model.cutoffs
 
+def test_tone_tells_by_the_share_of_words(spark):
+    """Beginnings that every text has by chance, but toxic ones ten times as often, in a language of few toxic rows."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 9 == 0
+        words = [rng.choice(("zork", "mulp")) + "".join(rng.choices("aeiou", k=3)) if rng.random() < (0.05 if toxic else 0.002) else "".join(rng.choices("bcdfghjklm", k=5)) for _ in range(rng.randint(150, 400))]
+        rows.append((i, " ".join(w.capitalize() + "." if rng.random() < 0.1 else w for w in words), "xx", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {"zork*", "mulp*"} <= set(model.tones) and all(t[:3] in ("zor", "mul") for t in model.tones)
+    got = {r.doc_id: r for r in quality.apply(docs, model).collect()}
+    assert sum(not got[i].kept for i in range(0, 900, 9)) >= 95 and sum(not got[i].kept for i in range(900) if i % 9) <= 8
+    for i, text, *_ in rows[:60]:
+        values = []
+        for word in text.split():
+            bare = word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+            values.append(max([model.tones.get(bare, 0.0)] + [model.tones.get(bare[:n] + "*", 0.0) for n in (3, 4, 5, 6, 7) if len(bare) > n]))
+        share = sum(values) / len(values)
+        assert abs(got[i].tone_score - share / (share + quality.EVEN_TONE)) < 1e-9
+    odd = docs.limit(1).select("doc_id", "lang", F.explode(F.array(F.lit(None).cast("string"), F.lit(""), F.lit("?! ..."))).alias("text"))
+    assert [r.tone_score for r in quality.apply(odd, model).collect()] == [0.0, 0.0, 0.0]
+
+
 def test_ctw_is_a_distribution_and_learns(spark, docs, rows, empty):
     keys = np.unique(np.frombuffer(np.random.default_rng(0).integers(97, 101, 8 * 4000, dtype=np.uint8).tobytes(), ">u8") >> np.uint64(40))
     counts = np.arange(len(keys)) % 5
