@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.scalars import joined, mode_metric, shift_magnitude, six
-from .ranking import best_rows, row_windows
+from .ranking import best_rows
+from .windows import permuted_windows, window_summaries
 
 
 def baselines(log: DataFrame) -> DataFrame:
@@ -25,14 +26,15 @@ def with_alerts(windows: DataFrame, auc_cap: float, ece_cap: float, coverage_cap
     return out.withColumn("performance_alert", performance).withColumn("any_alert", F.col("coverage_alert") | F.col("performance_alert"))
 
 
-def window_metrics(log: DataFrame, sizes, auc_cap: float = 0.05, ece_cap: float = 0.05, coverage_cap: float = 0.2, order: list[str] = ("event_id",), extra: list[str] = (), base: DataFrame | None = None) -> DataFrame:
+def window_metrics(log: DataFrame, sizes, auc_cap: float = 0.05, ece_cap: float = 0.05, coverage_cap: float = 0.2, order: list[str] = ("event_id",), extra: list[str] = (), base: DataFrame | None = None, permutations: int = 0) -> DataFrame:
     """Metrics of every full window of each size, their change against the whole log (or ``base``), and alerts; values rounded.
 
-    A key without a baseline is an error.  Without coverage in the baseline there is no drift and no coverage alert."""
+    With ``permutations`` the windows are those of as many hash orders (permutation_id) of the one column in ``order``.  A key without a baseline is an error.  Without coverage in the baseline there is no drift and no coverage alert."""
     keys = ["domain", "mode"]
-    groups = ["window_size", *keys, *extra, "window_id"]
-    cut = row_windows(log.select(*{*keys, *extra, *order, "label", "policy_prob", "referral_flag"}), [*keys, *extra], list(order), *sizes)
-    seen = metrics.window_summary(cut, groups, "label", "policy_prob", F.avg(F.col("referral_flag").cast("double")).alias("window_coverage"), prefix="window_").drop("window_brier")
+    own, columns = [*keys, *extra], ("label", "policy_prob", "referral_flag")
+    rows = log.select(*{*own, *order, *columns})
+    seen = permuted_windows(rows, own, order[0], permutations, sizes, *columns) if permutations else window_summaries(rows, own, list(order), sizes, *columns)
+    groups = ["window_size", *own, *(["permutation_id"] if permutations else []), "window_id"]
     seen = seen.where(F.col("window_ece").isNotNull()).join(baselines(log if base is None else base), keys, "left")
     missing = F.raise_error(F.concat_ws(" ", F.lit("no baseline for"), *keys)).cast("double")
     base_coverage = F.col("baseline_coverage")
