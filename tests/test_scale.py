@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairtide.functions import hashes, metrics
-from pairtide.operators import monitor, ranking, resample, windows
+from pairtide.operators import models, monitor, ranking, resample, windows
 
 
 def _shuffled(spark, df) -> int:
@@ -93,3 +93,28 @@ def test_windows_of_permutations_and_sizes_travel_once(spark):
     rows = spark.range(40000).select(F.lit("d").alias("domain"), F.lit("ranking_first").alias("mode"), i.alias("event_id"), (i % 3 == 0).cast("int").alias("label"), (i * 7919 % 10007 / 10007).alias("policy_prob"), (i % 2).cast("int").alias("referral_flag")).cache()
     assert _shuffled(spark, monitor.window_metrics(rows, (100, 250, 500))) < 3_500_000
     assert _shuffled(spark, monitor.window_metrics(rows, (250, 500, 1000), permutations=20)) < 18_000_000
+
+
+def test_small_designs_are_fitted_in_a_task_as_by_steps(spark, monkeypatch):
+    """Eighty designs of a few rows beside a large one; all went through every step over all blocks."""
+    i = F.col("id")
+    x = F.array((i * 7919 % 1009 / 1009).cast("double"), F.when(i % 97 == 0, None).otherwise((i * 31 % 211 / 211).cast("double")))
+    rows = spark.range(9000).select(F.when(i < 6600, "large").otherwise(F.concat(F.lit("s"), i % 80)).alias("design"), F.when(i % 83 == 0, None).otherwise((i * 13 % 29 < 11).cast("int")).alias("y"), x.alias("x"), (i % 3 + 1).alias("bits")).cache()
+    got = {r.design: r.coefficients for r in models.fit_designs(rows, 2, 3).collect()}
+    stepped = []
+    monkeypatch.setattr(models, "_summed", lambda width, fits, own=models._summed: stepped.append(1) or own(width, fits))
+    models.fit_designs(rows.where("design <> 'large'"), 2, 3)
+    assert not stepped
+    monkeypatch.setattr(models, "LEAST_FEW", 10**9)
+    want = {r.design: r.coefficients for r in models.fit_designs(rows, 2, 3).collect()}
+    assert stepped and set(got) == set(want) and len(got) == 81
+    for d, line in want.items():
+        assert got[d] == [None if v is None else pytest.approx(v, rel=1e-7, abs=1e-9) for v in line], d
+
+
+def test_models_of_one_row_are_read_off_together(spark):
+    """Out-of-fold scores of three models were gathered by a shuffle of three rows each."""
+    i = F.col("id")
+    df = spark.range(20000).select(F.lit("d").alias("g"), i.alias("k"), (i * 13 % 29 < 11).cast("int").alias("y"), *[(i * p % 1009 / 1009).alias(c) for c, p in (("u", 7919), ("v", 31), ("w", 17))])
+    told = models.cross_predict(df, ["g"], "k", "y", {"a": ["u"], "b": ["u", "v"], "c": ["w"]}, 3)
+    assert "Generate" not in told._jdf.queryExecution().toString() and told.where("a is null or b is null or c is null").isEmpty()
