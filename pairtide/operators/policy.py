@@ -22,13 +22,17 @@ def refer_row(a: float, b: float, stacked: float, best: float, threshold: float)
     return stacked if abs(b - a) >= threshold else best
 
 
-def best_single(pairs: DataFrame, groups: list[str]) -> DataFrame:
-    """``pairs`` with best_prob and best_single_model: model A where its AUROC is at least B's; B if either is missing."""
+def best_models(pairs: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, auc_a, auc_b, best_single_model): model A where its AUROC is at least B's; B if either is missing."""
     long = pairs.select(*groups, "label", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{m}_prob").alias("p")) for m in "ab"])).alias("s")).select(*groups, "label", "s.*")
     each = metrics.auroc(long, [*groups, "model"], "label", "p", "auc")
     of = lambda m: F.max(F.when(F.col("model") == m, F.col("auc")))
-    choice = each.groupBy(*groups).agg(of("a").alias("auc_a"), of("b").alias("auc_b")).withColumn("best_single_model", F.when(F.col("auc_a") >= F.col("auc_b"), "a").otherwise("b"))
-    out = pairs.join(choice, groups)
+    return each.groupBy(*groups).agg(of("a").alias("auc_a"), of("b").alias("auc_b")).withColumn("best_single_model", F.when(F.col("auc_a") >= F.col("auc_b"), "a").otherwise("b"))
+
+
+def best_single(pairs: DataFrame, groups: list[str]) -> DataFrame:
+    """``pairs`` with best_prob and best_single_model of :func:`best_models`."""
+    out = pairs.join(best_models(pairs, groups), groups)
     return out.withColumn("best_prob", F.when(F.col("best_single_model") == "a", F.col("a_prob")).otherwise(F.col("b_prob")))
 
 

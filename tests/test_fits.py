@@ -129,3 +129,15 @@ def test_a_million_rows_of_one_group(spark):
     out = models.isotonic_points(df, 4)
     r = out.agg(F.count("*").alias("n"), F.max(F.abs(F.col("calibrated") - F.col("x"))).alias("off")).first()
     assert r.n == 1_000_000 and r.off < 0.06
+
+
+def test_scores_are_calibrated_together_from_one_deal_of_folds(spark, table, monkeypatch):
+    """Every score and method dealt the same folds anew: four times here."""
+    df, dealt = spark.createDataFrame(table, SCHEMA), []
+    want = {(m, s): {r.rep: r.calibrated for r in models.calibrate(df, ["model"], "rep", "y", s, m).collect()} for m in ("platt", "isotonic") for s in ("fold", "held")}
+    deal = models.stratified_folds
+    monkeypatch.setattr(models, "stratified_folds", lambda *a, **k: dealt.append(1) or deal(*a, **k))
+    rows = models.calibrations(df, ["model"], "rep", "y", ["fold", "held"], ["raw", "platt", "isotonic"]).collect()
+    assert len(rows) == len(table) and len(dealt) == 1
+    assert all(r.raw_fold == r.fold and r.raw_held == r.held for r in rows)
+    assert all(r[f"{m}_{s}"] == pytest.approx(p[r.rep], abs=1e-9) for (m, s), p in want.items() for r in rows)
