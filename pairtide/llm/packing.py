@@ -17,7 +17,8 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .text import chunks, encode_words, split_words, string_array
 CAPACITY = 4096
 #: Bytes of text in one group; a single longer row is a group of its own.
 GROUP_BYTES = 1 << 20
+#: Bytes of text that are turned into ids together, so that a word of several groups is looked up once.
+LOT_BYTES = 8 << 20
 PIECES = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -144,7 +147,9 @@ class WordTokenizer:
         """The number in the store of each piece; unseen pieces are encoded together and added."""
         codes, distinct = encode_words(pa.array(split, pa.large_string()))
         listed = distinct.to_pylist()
-        unseen = [p for p in listed if p not in self.known]
+        numbers = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(numbers < 0)
+        unseen = [listed[i] for i in new.tolist()]
         ids = []
         for at in range(0, len(unseen), 500):
             ids += self.pieces.encode_batch_fast([" ".join(unseen[at : at + 500])], add_special_tokens=False)[0].ids
@@ -152,16 +157,16 @@ class WordTokenizer:
         ends = np.flatnonzero(self.last[ids])
         if len(ends) != len(unseen):
             raise ValueError("a piece without an end")
-        for p in unseen:
-            self.known[p] = len(self.known)
+        numbers[new] = np.arange(len(self.known), len(self.known) + len(unseen))
+        self.known.update(zip(unseen, numbers[new].tolist(), strict=True))
         self.piece_ids = np.concatenate([self.piece_ids, ids])
         self.piece_sizes = np.concatenate([self.piece_sizes, np.diff(ends, prepend=-1).astype(np.int32)])
-        return np.fromiter((self.known[p] for p in listed), np.int64, len(listed))[codes]
+        return numbers[codes]
 
-    def _learn(self, new: list[str], plain: list[bool]) -> None:
-        """Append the ids of new words to the store."""
-        odd = [w for w, p in zip(new, plain, strict=True) if not p]
-        even = [w for w, p in zip(new, plain, strict=True) if p]
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """Append the ids of new words to the store; their numbers in it."""
+        plain = pc.and_not(pc.match_substring_regex(fresh, _PLAIN_WORD), pc.match_substring(fresh, "<|"))
+        odd, even = fresh.filter(pc.invert(plain)).to_pylist(), fresh.filter(plain).to_pylist()
         found = [self.whole.encode(w, add_special_tokens=False).ids for w in odd]
         pieces = self._pieces_of(_PLAIN_SPLIT.findall(" ".join(even).lower()))
         sizes = self.piece_sizes[pieces]
@@ -169,8 +174,9 @@ class WordTokenizer:
         per_word = np.bincount(word, weights=sizes, minlength=len(even)).astype(np.int32) if even else np.zeros(0, np.int32)
         self.word_ids = np.concatenate([self.word_ids, np.fromiter(chain.from_iterable(found), np.uint32), runs(self.piece_ids, self.piece_sizes, pieces)])
         self.word_sizes = np.concatenate([self.word_sizes, np.fromiter(map(len, found), np.int32, len(found)), per_word])
-        for w in chain(odd, even):
-            self.words[w] = len(self.words)
+        numbers = np.arange(len(self.words), len(self.words) + len(fresh))
+        self.words.update(zip(chain(odd, even), numbers.tolist(), strict=True))
+        return numbers[np.argsort(np.argsort(np.asarray(plain), kind="stable"))]
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end_id`` after each text, and each text's first id."""
@@ -179,12 +185,10 @@ class WordTokenizer:
         if len(self.words) > self.most:
             self._forget()
         listed = distinct.to_pylist()
-        new = np.array([w not in self.words for w in listed], bool)
+        at = np.fromiter(map(self.words.get, listed, repeat(-1)), np.int64, len(listed))
+        new = at < 0
         if new.any():
-            fresh = distinct.filter(pa.array(new))
-            plain = pc.and_not(pc.match_substring_regex(fresh, _PLAIN_WORD), pc.match_substring(fresh, "<|"))
-            self._learn(fresh.to_pylist(), plain.to_pylist())
-        at = np.fromiter((self.words[w] for w in listed), np.int64, len(listed))
+            at[new] = self._learn(distinct.filter(pa.array(new)))
         # The end id is one more word, after each text's own.
         sequence = np.insert(at[codes], bounds[1:], len(self.word_sizes))
         sizes = np.append(self.word_sizes, np.int32(1))
@@ -192,6 +196,26 @@ class WordTokenizer:
         return runs(np.append(self.word_ids, np.uint32(end_id)), sizes, sequence), upto[bounds + np.arange(len(bounds))]
 
 
+@lru_cache(1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker, which read the file once and share the words they know."""
+    return WordTokenizer(path)
+
+
+def _lots(batch: pa.RecordBatch, group_bytes: int, most: int):
+    """Groups of rows of up to ``group_bytes`` of text, in lots of some ``most`` bytes: a lot's rows and where its groups begin and end."""
+    first, ends, size = 0, [0], 0
+    for part in chunks(batch, most=group_bytes):
+        own = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        if size and size + own > most:
+            yield batch.slice(first, ends[-1]), ends
+            first, ends, size = first + ends[-1], [0], 0
+        ends.append(ends[-1] + part.num_rows)
+        size += own
+    if ends[-1]:
+        yield batch.slice(first, ends[-1]), ends
+
+
 def runs(flat: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """The picked runs of ``flat``, which holds runs of ``sizes`` back to back."""
     firsts = np.cumsum(sizes, dtype=np.int32) - sizes
@@ -209,28 +233,30 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_
     counts windows in its lower half.  The tokenizer file is read where the task runs."""
 
     def run(batches):
-        tokenize = WordTokenizer(tokenizer_path)
+        tokenize = _tokenizer(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in chunks(batch, most=group_bytes):
-                ids, starts = tokenize(string_array(part.column("text")), end_id)
-                lengths = np.diff(starts)
-                windows = plan(lengths, capacity)
-                rows = np.array([(doc, start, length, sequence + w) for w, window in enumerate(windows) for doc, start, length in window], np.int64).reshape(-1, 4)
-                sequence += len(windows)
-                doc, start, length, seq = rows.T
-                upto = np.cumsum(length)
-                first = np.concatenate([[True], seq[1:] != seq[:-1]]) if len(rows) else np.zeros(0, bool)
-                base = (upto - length)[first]
-                offset = upto - length - np.repeat(base, np.diff(np.append(np.flatnonzero(first), len(rows))))
-                raw = ids.tobytes()
-                at = (starts[doc] + start) * 4
-                tokens = [raw[a:b] for a, b in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
-                for lo in range(0, len(rows), 2000):
-                    s = slice(lo, lo + 2000)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(doc[s])).cast(pa.int64()), pa.array(start[s]), pa.array(length[s]), pa.array(tokens[s], pa.binary()), pa.array(lengths[doc[s]]), pa.array(seq[s]), pa.array(offset[s])],
-                        names=["doc_id", "start", "length", "tokens", "doc_tokens", "sequence_id", "offset"],
-                    )
+            for lot, ends in _lots(batch, group_bytes, LOT_BYTES):
+                ids, firsts = tokenize(string_array(lot.column("text")), end_id)
+                raw = memoryview(ids).cast("B")
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    part, starts = lot.slice(a, b - a), firsts[a : b + 1]
+                    lengths = np.diff(starts)
+                    windows = plan(lengths, capacity)
+                    rows = np.array([(doc, start, length, sequence + w) for w, window in enumerate(windows) for doc, start, length in window], np.int64).reshape(-1, 4)
+                    sequence += len(windows)
+                    doc, start, length, seq = rows.T
+                    upto = np.cumsum(length)
+                    first = np.concatenate([[True], seq[1:] != seq[:-1]]) if len(rows) else np.zeros(0, bool)
+                    base = (upto - length)[first]
+                    offset = upto - length - np.repeat(base, np.diff(np.append(np.flatnonzero(first), len(rows))))
+                    at = (starts[doc] + start) * 4
+                    tokens = [bytes(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
+                    for lo in range(0, len(rows), 2000):
+                        s = slice(lo, lo + 2000)
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("doc_id").take(pa.array(doc[s])).cast(pa.int64()), pa.array(start[s]), pa.array(length[s]), pa.array(tokens[s], pa.binary()), pa.array(lengths[doc[s]]), pa.array(seq[s]), pa.array(offset[s])],
+                            names=["doc_id", "start", "length", "tokens", "doc_tokens", "sequence_id", "offset"],
+                        )
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)

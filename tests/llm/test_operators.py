@@ -272,6 +272,35 @@ def test_packing_round_trip(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_groups_are_turned_into_ids_in_lots(monkeypatch):
+    """Every group of 1 MB looked its words up anew, and every task read the tokenizer's file; the pieces are the same."""
+    import public_tokenizers
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    path, asked = public_tokenizers.path("word_bpe_49k.json"), []
+    texts = [None, "", "a b " * 700, *(f"word{i % 7} other{i}" for i in range(300)), "long " * 3000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    tokens = packing.WordTokenizer.__call__
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    monkeypatch.setattr(packing.WordTokenizer, "__call__", lambda self, column, end: asked.append((id(self), len(column))) or tokens(self, column, end))
+    run = packing.pack(Docs(), path, group_bytes=1000)
+    whole = pa.Table.from_batches(run([batch, batch.slice(5, 0), batch.slice(7)])).to_pylist()
+    assert [n for _, n in asked] == [len(texts), len(texts) - 7] and len({i for i, _ in asked}) == 1
+    monkeypatch.setattr(packing, "LOT_BYTES", 1)
+    assert pa.Table.from_batches(run([batch, batch.slice(7)])).to_pylist() == whole
+    assert len(asked) > 12
+
+
 def test_tokenizer_words_are_exact():
     import public_tokenizers
     from tokenizers import Tokenizer
