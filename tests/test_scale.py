@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairtide.functions import hashes, metrics
-from pairtide.operators import models, monitor, ranking, resample, windows
+from pairtide.operators import models, monitor, pairs, ranking, resample, windows
 
 
 def _shuffled(spark, df) -> int:
@@ -118,3 +118,24 @@ def test_models_of_one_row_are_read_off_together(spark):
     df = spark.range(20000).select(F.lit("d").alias("g"), i.alias("k"), (i * 13 % 29 < 11).cast("int").alias("y"), *[(i * p % 1009 / 1009).alias(c) for c, p in (("u", 7919), ("v", 31), ("w", 17))])
     told = models.cross_predict(df, ["g"], "k", "y", {"a": ["u"], "b": ["u", "v"], "c": ["w"]}, 3)
     assert "Generate" not in told._jdf.queryExecution().toString() and told.where("a is null or b is null or c is null").isEmpty()
+
+
+def test_no_more_negatives_are_drawn_than_needed(spark, monkeypatch):
+    """Sixteen draws were made for every positive pair, and some thirteen free pairs written for the three that are wanted; too few draws are doubled."""
+    positive = spark.range(400).select((F.col("id") % 100).alias("source"), (F.col("id") * 37 % 1009 + 1000).alias("target"))
+    free, settle = [], pairs.settled
+
+    def seen(df, name="table", small=True):
+        out = settle(df, name, small)
+        if name == "free":
+            free.append(out.count())
+        return out
+
+    monkeypatch.setattr(pairs, "settled", seen)
+    monkeypatch.setattr(pairs, "FIRST_DRAWS", 0)
+    got = sorted(map(tuple, pairs.negatives(positive).collect()))
+    assert len(got) == 1200 and max(free) < 1600
+    monkeypatch.setattr(pairs, "FIRST_DRAWS", -1400)
+    assert sorted(map(tuple, pairs.negatives(positive).collect())) == got and len(free) > 3
+    monkeypatch.setattr(pairs, "FIRST_DRAWS", 4900)  # as many as before
+    assert sorted(map(tuple, pairs.negatives(positive).collect())) == got
