@@ -52,7 +52,7 @@ def anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.nd
     n = len(grams) - span + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    best, at = grams, np.arange(len(grams))
+    best, at = grams, np.arange(len(grams), dtype=np.int32)
     reach = 1
     while reach < span:  # sliding minimum by doubling
         step = min(reach, span - reach)
@@ -64,7 +64,7 @@ def anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.nd
 
 
 def _anchors_of(texts: pa.Array, size: int, gram: int):
-    words, bounds, hashes, codes = _words(texts)
+    words, bounds, hashes = _words(texts)[:3]
     best, at = anchors(hashes, size, gram)
     ok = np.flatnonzero(starts_of(bounds, size)[: len(best)])
     return words, bounds, hashes, ok, best, at
@@ -206,9 +206,10 @@ def _bit_table(repeated: DataFrame, bucket_bits: int) -> tuple[int, bytes]:
 
 def _candidates(texts: pa.Array, ids: np.ndarray, size: int, gram: int, bits: int, table: np.ndarray):
     """Windows with a repeated anchor: their entry's number, and the sorted distinct entries (high, low, id, start) of these texts."""
-    words, bounds, hashes, ok, best, _ = _anchors_of(texts, size, gram)
+    words, bounds, hashes, ok, best = _anchors_of(texts, size, gram)[:5]
     slot = best[ok] >> np.uint64(64 - bits)
     ok = ok[(table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    del best, slot  # a group's arrays are what a worker's memory goes to
     high = window_hashes(hashes, size)[ok]
     low = (window_hashes(hashes ^ (hashes >> np.uint64(29)) * np.uint64(0x9FB21C651E98DF25), size)[ok] >> np.uint64(32)).astype(np.uint32) if len(ok) else np.zeros(0, np.uint32)
     rows = rows_of(bounds)[ok]

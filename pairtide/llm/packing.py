@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -26,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import lent
 from .text import chunks, encode_words, split_words, string_array
 
 CAPACITY = 4096
@@ -196,10 +196,9 @@ class WordTokenizer:
         return runs(np.append(self.word_ids, np.uint32(end_id)), sizes, sequence), upto[bounds + np.arange(len(bounds))]
 
 
-@lru_cache(1)
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for all tasks of a worker, which read the file once and share the words they know."""
-    return WordTokenizer(path)
+def _tokenizer(path: str):
+    """One for all tasks of a worker, which read the file once and share the words they know; it goes when the worker packs no more."""
+    return lent(f"tokenizer of {path}", lambda: WordTokenizer(path))
 
 
 def _lots(batch: pa.RecordBatch, group_bytes: int, most: int):
@@ -233,7 +232,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_
     counts windows in its lower half.  The tokenizer file is read where the task runs."""
 
     def run(batches):
-        tokenize = _tokenizer(tokenizer_path)
+        with _tokenizer(tokenizer_path) as tokenize:
+            yield from packed(batches, tokenize)
+
+    def packed(batches, tokenize):
         sequence = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lot, ends in _lots(batch, group_bytes, LOT_BYTES):

@@ -6,10 +6,12 @@ import atexit
 import shutil
 import sys
 import tempfile
+import threading
 import types
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,34 @@ def kept(name: str, make):
     return getattr(store, name)
 
 
+#: Seconds after which a worker gives up what it was lent: longer than a worker waits for its next task of a stage, shorter than the stages that follow.
+IDLE = 15.0
+
+
+@contextmanager
+def lent(name: str, make, idle: float | None = None):
+    """A value made once a worker process as in :func:`kept`, for large ones: a worker that has not used it for ``idle`` seconds (``IDLE``) gives it up, so it does not take memory from later stages."""
+    store = vars(kept("lent", lambda: types.SimpleNamespace(values={}, timers={})))
+    timer = store["timers"].pop(name, None)
+    if timer:
+        timer.cancel()
+    value = store["values"].get(name)
+    if value is None:
+        value = make()
+    store["values"][name] = value
+
+    def give_up():
+        store["values"].pop(name, None)
+        pa.default_memory_pool().release_unused()
+
+    try:
+        yield value
+    finally:
+        timer = store["timers"][name] = threading.Timer(IDLE if idle is None else idle, give_up)
+        timer.daemon = True
+        timer.start()
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 

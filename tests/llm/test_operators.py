@@ -301,6 +301,38 @@ def test_groups_are_turned_into_ids_in_lots(monkeypatch):
     assert len(asked) > 12
 
 
+def test_a_worker_gives_the_tokenizer_up(monkeypatch):
+    """A worker that had packed kept the tokenizer and its words for ever, so later stages of the pipeline ran out of memory."""
+    import gc
+    import time
+    import weakref
+
+    import public_tokenizers
+
+    from pairtide.llm import shared
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    used, tokens = [], packing.WordTokenizer.__call__
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    monkeypatch.setattr(shared, "IDLE", 1.5, raising=False)
+    monkeypatch.setattr(packing.WordTokenizer, "__call__", lambda self, column, end: used.append(weakref.ref(self)) or tokens(self, column, end))
+    run = packing.pack(Docs(), public_tokenizers.path("word_bpe_49k.json"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", "c"]})
+    first, second = (pa.Table.from_batches(run([batch])).to_pylist() for _ in range(2))
+    assert first == second and used[0]() is used[1]() is not None  # a stage's tasks share it
+    time.sleep(2.5)
+    gc.collect()
+    assert used[1]() is None
+    assert pa.Table.from_batches(run([batch])).to_pylist() == first
+
+
 def test_tokenizer_words_are_exact():
     import public_tokenizers
     from tokenizers import Tokenizer
