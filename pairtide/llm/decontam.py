@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dedup import anchors
-from .shared import written
+from .shared import tidy, written
 from .text import chunks, encode_words, from_bytes, hash_words, raw_bytes, rows_of, split_words, starts_of, string_array
 
 SPAN, GRAM = 10, 5
@@ -90,7 +90,7 @@ def fingerprints(items: DataFrame, spans=None, table=None, key: str = "item_id")
                 row += part.num_rows
 
     kind = items.schema[key].dataType.simpleString()
-    return items.select(key, "text").mapInArrow(run, f"row long, `{key}` {kind}, n_words long, marks {MARKS}")
+    return items.select(key, "text").mapInArrow(tidy(run), f"row long, `{key}` {kind}, n_words long, marks {MARKS}")
 
 
 def _extend(batches):
@@ -139,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
         .join(distinct, ["span", "fp"])
         .select("row", "context_id", "span", "at", "d_left", "d_context", "left", "context")
     )
-    hits = written(pairs.mapInArrow(_extend, "row long, context_id long, first long, last long"), "hits")
+    hits = written(pairs.mapInArrow(tidy(_extend), "row long, context_id long, first long, last long"), "hits")
     merged = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s")).select("row", F.expr(_MERGE).alias("spans"))
     owners = contexts.where("item is not null").select("context_id", "item").distinct()
     named = hits.select("row", "context_id").distinct().join(owners, "context_id").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))

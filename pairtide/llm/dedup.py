@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import grouped, new_path, remove, text_bytes
+from .shared import give_back, grouped, new_path, remove, text_bytes, tidy
 from .text import chunks, encode_words, from_planes, from_rising_planes, hash_words, planes, rising_planes, rows_of, split_words, starts_of, string_array, sums_by_text, window_hashes
 
 SIZE, GRAM = 20, 8
@@ -35,6 +35,8 @@ SIZE, GRAM = 20, 8
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 5, 16
 #: Anchors that a task sorts before it hands them on.
 HELD = 2 << 20
+#: Bytes of text whose words a worker works on at one time; of a group only windows with a repeated anchor are kept (and its words, where they are returned).
+PART_BYTES = 1 << 20
 #: Bits of the table of repeated anchors: 16 for each, between these powers of two. A full table costs work, never results.
 LEAST_BITS, MOST_BITS = 20, 29
 
@@ -91,7 +93,7 @@ def batch_anchors(docs: DataFrame, size: int, gram: int, bits: int) -> DataFrame
 
         held, n = [], 0
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=PART_BYTES):
                 _, _, _, ok, best, at = _anchors_of(string_array(part.column("text")), size, gram)
                 place, first = np.unique(at[ok], return_index=True)
                 held.append(best[ok][first])
@@ -102,7 +104,7 @@ def batch_anchors(docs: DataFrame, size: int, gram: int, bits: int) -> DataFrame
         if n:
             yield packed()
 
-    return docs.select("text").mapInArrow(run, "bucket int, fps binary")
+    return docs.select("text").mapInArrow(tidy(run), "bucket int, fps binary")
 
 
 def _split(runs: DataFrame, bits: int) -> DataFrame:
@@ -113,7 +115,7 @@ def _split(runs: DataFrame, bits: int) -> DataFrame:
             pieces = [_pieces(np.frombuffer(fps.as_buffer(), np.uint64), bits) for fps in batch.column("fps")]
             yield from pa.Table.from_batches(pieces).combine_chunks().to_batches() if pieces else ()
 
-    return runs.select("fps").mapInArrow(run, "bucket int, fps binary")
+    return runs.select("fps").mapInArrow(tidy(run), "bucket int, fps binary")
 
 
 def _numbers(column, kind) -> np.ndarray:
@@ -199,21 +201,35 @@ def _bit_table(repeated: DataFrame, bucket_bits: int) -> tuple[int, bytes]:
                 out.append((bucket, np.packbits(mask, bitorder="little").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "fps"])
 
-    for r in repeated.mapInArrow(slices, "bucket int, fps binary").toLocalIterator():
+    for r in repeated.mapInArrow(tidy(slices), "bucket int, fps binary").toLocalIterator():
         table[r.bucket * width : (r.bucket + 1) * width] |= np.frombuffer(r.fps, np.uint8)
     return bits, table.tobytes()
 
 
-def _candidates(texts: pa.Array, ids: np.ndarray, size: int, gram: int, bits: int, table: np.ndarray):
-    """Windows with a repeated anchor: their entry's number, and the sorted distinct entries (high, low, id, start) of these texts."""
+def _marked(texts: pa.Array, ids: np.ndarray, size: int, gram: int, bits: int, table: np.ndarray):
+    """The words of these texts, each text's first one, and of windows with a repeated anchor: first word, high, low, id, start."""
     words, bounds, hashes, ok, best = _anchors_of(texts, size, gram)[:5]
     slot = best[ok] >> np.uint64(64 - bits)
     ok = ok[(table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-    del best, slot  # a group's arrays are what a worker's memory goes to
     high = window_hashes(hashes, size)[ok]
     low = (window_hashes(hashes ^ (hashes >> np.uint64(29)) * np.uint64(0x9FB21C651E98DF25), size)[ok] >> np.uint64(32)).astype(np.uint32) if len(ok) else np.zeros(0, np.uint32)
     rows = rows_of(bounds)[ok]
-    doc, start = ids[rows], ok - bounds[rows]
+    return words, bounds, (ok, high, low, ids[rows], (ok - bounds[rows]).astype(np.int32))
+
+
+def _candidates(docs, size: int, gram: int, bits: int, table: np.ndarray, split: list | None = None):
+    """Windows of ``docs`` (doc_id, text) with a repeated anchor: their entry's number, and the sorted distinct entries (high, low, id, start).
+
+    Words are counted through all texts.  ``split`` gets the words of one part of the texts after the other, with each text's first one."""
+    found, n_words = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32))], 0
+    for part in chunks(docs, most=PART_BYTES):
+        words, bounds, (ok, *rest) = _marked(string_array(part.column("text")), _ids(part), size, gram, bits, table)
+        found.append((ok + n_words, *rest))
+        n_words += len(words)
+        if split is not None:
+            split.append((words, bounds))
+    ok, high, low, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     order = np.lexsort((start, doc, low, high))
     h, w = high[order], low[order]
     new = np.ones(len(order), bool)
@@ -222,7 +238,7 @@ def _candidates(texts: pa.Array, ids: np.ndarray, size: int, gram: int, bits: in
     entry[order] = np.cumsum(new) - 1
     pick = order[new]
     is_first = (doc == doc[pick][entry]) & (start == start[pick][entry])
-    return words, bounds, ok, entry, is_first, (high[pick], low[pick], doc[pick], start[pick].astype(np.int32))
+    return ok, entry, is_first, (high[pick], low[pick], doc[pick], start[pick])
 
 
 def _cut(entries, n_buckets: int) -> np.ndarray:
@@ -279,40 +295,51 @@ def remove_repeats(batch: DataFrame, index: FingerprintIndex, history: DataFrame
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bits, raw = shared.value
-        found = _candidates(string_array(table.column("text")), _ids(table), size, gram, bits, np.frombuffer(raw, np.uint8))
-        return pa.Table.from_batches([_requests(key[0].as_py(), found[-1], n_buckets)])
+        out = _requests(key[0].as_py(), _candidates(table, size, gram, bits, np.frombuffer(raw, np.uint8))[-1], n_buckets)
+        give_back()
+        return pa.Table.from_batches([out])
 
     def ask_old(batches):
         bits, raw = shared.value
         for b in batches:
             for part in chunks(b):
-                found = _candidates(string_array(part.column("text")), _ids(part), size, gram, bits, np.frombuffer(raw, np.uint8))
-                yield _requests(None, found[-1], n_buckets)
+                yield _requests(None, _candidates(part, size, gram, bits, np.frombuffer(raw, np.uint8))[-1], n_buckets)
 
     asked = docs.select("doc_id", "text", "gid").groupBy("gid").applyInArrow(ask, REQUEST)
     if history is not None:
-        asked = asked.unionByName(history.select("doc_id", "text").mapInArrow(ask_old, REQUEST))
+        asked = asked.unionByName(history.select("doc_id", "text").mapInArrow(tidy(ask_old), REQUEST))
     told = asked.groupBy("bucket").applyInArrow(_resolve, "gid int, bucket int, later binary")
     names = batch.columns
 
     def settle(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out = settled(left, right)
+        give_back()
+        return out
+
+    def settled(left: pa.Table, right: pa.Table) -> pa.Table:
         bits, raw = shared.value
-        words, bounds, ok, entry, is_first, entries = _candidates(string_array(left.column("text")), _ids(left), size, gram, bits, np.frombuffer(raw, np.uint8))
+        split = []
+        ok, entry, is_first, entries = _candidates(left, size, gram, bits, np.frombuffer(raw, np.uint8), split)
         cut, later = _cut(entries, n_buckets), np.zeros(len(entries[0]), bool)
         for bucket, mask in zip(right.column("bucket").to_pylist(), right.column("later"), strict=True):
             n = cut[bucket + 1] - cut[bucket]
             later[cut[bucket] : cut[bucket + 1]] = np.unpackbits(np.frombuffer(mask.as_buffer(), np.uint8), count=n)
         repeats = ok[~is_first | later[entry]] if len(ok) else ok
-        step = np.zeros(len(words) + 1, np.int32)
+        del ok, entry, is_first, entries, later
+        step = np.zeros(sum(len(words) for words, _ in split) + 1, np.int32)
         np.add.at(step, repeats, 1)
         np.add.at(step, repeats + size, -1)
-        gone = np.cumsum(step[:-1]) > 0
-        kept = words.filter(pa.array(~gone))
-        upto = np.concatenate([[0], np.cumsum(~gone)])[bounds]
-        lists = pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), kept)
-        text = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
-        out = {n: left.column(n) for n in names} | {"n_words": pa.array(np.diff(bounds)), "n_removed": pa.array(sums_by_text(gone, bounds)), "kept_text": text.cast(pa.string())}
-        return pa.table(out)
+        all_gone, at, out = np.cumsum(step[:-1]) > 0, 0, []
+        for words, bounds in split:
+            gone = all_gone[at : at + len(words)]
+            at += len(words)
+            kept = words.filter(pa.array(~gone))
+            upto = np.concatenate([[0], np.cumsum(~gone)])[bounds]
+            lists = pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), kept)
+            text = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+            out.append(pa.table({"n_words": pa.array(np.diff(bounds)), "n_removed": pa.array(sums_by_text(gone, bounds)), "kept_text": text.cast(pa.string())}))
+        added = pa.concat_tables(out) if out else pa.table({"n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
+        return pa.table({n: left.column(n) for n in names} | {n: added.column(n) for n in added.column_names})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields) + ", n_words long, n_removed long, kept_text string"
     return docs.groupBy("gid").cogroup(told.groupBy("gid")).applyInArrow(settle, schema)

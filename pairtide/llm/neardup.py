@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import tidy, written
 from .text import chunks, encode_words, hash_words, mix, rows_of, split_words, starts_of, string_array, window_hashes
 
 SHINGLE, PERCENT = 5, 75
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, key: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "signature", *carried])
 
     schema = ", ".join(["doc_id long, n_shingles long, set_key binary, signature binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)])
-    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(tidy(run), schema)
 
 
 def _signature_rows(column) -> np.ndarray:
@@ -109,7 +109,7 @@ def bands(sketch: DataFrame) -> DataFrame:
             band = np.tile(np.arange(BANDS, dtype=np.int32), len(s))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(ids)], names=["bucket", "band", "doc_id"])
 
-    return sketch.select("doc_id", "signature").mapInArrow(run, "bucket long, band int, doc_id long")
+    return sketch.select("doc_id", "signature").mapInArrow(tidy(run), "bucket long, band int, doc_id long")
 
 
 def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
             same = (_signature_rows(batch.column("su")) == _signature_rows(batch.column("sv"))).sum(axis=1)
             yield batch.select(["u", "v"]).filter(pa.array(same >= LEAST_AGREEING))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(tidy(run), "u long, v long")
 
 
 def _id_table(ids: DataFrame) -> bytes:
@@ -143,14 +143,14 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             slot = np.asarray(batch.column("slot"), np.int64)
             needed = batch.filter(pa.array(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1) == 1))
-            for part in chunks(needed):
+            for part in chunks(needed, most=1 << 20):
                 values, bounds = shingles(string_array(part.column("text")))
                 raw, at = values.tobytes(), (bounds * 8).tolist()
                 sets = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     slotted = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << ID_BITS)).alias("slot"))
-    return slotted.mapInArrow(run, "doc_id long, shingles binary")
+    return slotted.mapInArrow(tidy(run), "doc_id long, shingles binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, linked boolean")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(tidy(run), "u long, v long, linked boolean")
 
 
 def _cross_pairs(ids, comp, minor, sig, left, right, band: int):

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import lent
+from .shared import lent, tidy
 from .text import chunks, encode_words, split_words, string_array
 
 CAPACITY = 4096
@@ -261,4 +261,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_
                             names=["doc_id", "start", "length", "tokens", "doc_tokens", "sequence_id", "offset"],
                         )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidy, written
 from .text import (
     appended,
     chunks,
@@ -208,7 +208,7 @@ def fit_terms(labelled: DataFrame, level: float = 0.02, least: float = 0.5) -> t
 
     def bare_words(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=2 << 20):
                 words, bounds = split_words(string_array(part.column("text")))
                 bare, rows = _bare(words), rows_of(bounds)
                 for stem in STEMS:
@@ -224,7 +224,7 @@ def fit_terms(labelled: DataFrame, level: float = 0.02, least: float = 0.5) -> t
     total = {r.toxic: r.n for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.sum(words).alias("n")).collect()}
     odds = total.get(True, 0) / max(1, total.get(False, 0))
     counted = (
-        known.mapInArrow(bare_words, "word string, toxic int, times long")
+        known.mapInArrow(tidy(bare_words), "word string, toxic int, times long")
         .groupBy("word")
         .agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"), F.sum(F.col("times") * F.col("toxic")).alias("places"), F.sum("times").alias("times"))
         .where("word <> ''")
@@ -360,10 +360,10 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=2 << 20):
                 yield appended(part, **_features(string_array(part.column("text")), insults, tones))
 
-    return docs.mapInArrow(run, widened(docs, FEATURES))
+    return docs.mapInArrow(tidy(run), widened(docs, FEATURES))
 
 
 def apply(docs: DataFrame, model: QualityModel, *, stratum: str = "lang") -> DataFrame:

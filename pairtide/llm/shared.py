@@ -70,6 +70,21 @@ def kept(name: str, make):
     return getattr(store, name)
 
 
+def give_back() -> None:
+    """Hands what Arrow has freed back to the system.  A worker lives through many stages; else it keeps the most that Arrow ever took in one of them."""
+    pa.default_memory_pool().release_unused()
+
+
+def tidy(run):
+    """``run``, a function for ``mapInArrow``, that gives memory back at the end of a task, when its own variables have gone."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 #: Seconds after which a worker gives up what it was lent: longer than a worker waits for its next task of a stage, shorter than the stages that follow.
 IDLE = 15.0
 
@@ -88,7 +103,7 @@ def lent(name: str, make, idle: float | None = None):
 
     def give_up():
         store["values"].pop(name, None)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     try:
         yield value

@@ -214,6 +214,34 @@ def test_query_compacts_and_odd_ids_count(spark, docs, rows):
     assert sorted((r.doc_id or -1, r.n_removed) for r in dedup.remove_all(odd).collect()) == [(-1, 0), (-1, 0), (5, 25), (5, 25), (6, 25)]
 
 
+def test_a_group_is_worked_on_in_parts(monkeypatch):
+    """All words of a group of 8 MB had arrays at one time, and workers kept what Arrow had freed, so executors ran out of memory in the pipeline."""
+    from pairtide.llm import shared
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(60))) for _ in range(200)]
+    texts = [*texts, *texts[:50], None, "", "a b c d " * 3000, *texts[150:]]
+    docs = pa.table({"doc_id": [*range(len(texts) - 20), *range(20)], "text": texts})
+    table, seen, anchors_of = np.full(1 << 17, 0x5B, np.uint8), [], dedup._anchors_of
+    whole = dedup._candidates(docs, 20, 8, 20, table)
+    monkeypatch.setattr(dedup, "_anchors_of", lambda texts, *more: seen.append(texts.nbytes) or anchors_of(texts, *more))
+    monkeypatch.setattr(dedup, "PART_BYTES", 2000)
+    split = []
+    parts = dedup._candidates(docs, 20, 8, 20, table, split)
+    assert len(whole[0]) > 1000 and all((a == b).all() for a, b in zip([*whole[:3], *whole[3]], [*parts[:3], *parts[3]], strict=True))
+    assert [w for some, _ in split for w in some.to_pylist()] == [w for t in texts for w in words(t)]
+    assert len(seen) > 5 and sorted(seen)[-2] < 6000  # the longest text is a part of its own
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    given = []
+    monkeypatch.setattr(shared, "give_back", lambda: given.append(1))
+    assert list(dedup.batch_anchors(Docs(), 20, 8, 5)(docs.to_batches())) and given == [1]
+    assert list(dedup.batch_anchors(Docs(), 20, 8, 5)(iter([]))) == [] and given == [1, 1]
+
+
 def test_sharding(docs, rows, empty):
     got = shards.assign(clashing(docs, "size", "shard"), 4).collect()
     assert len(got) == len(rows)
