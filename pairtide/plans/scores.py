@@ -9,6 +9,7 @@ from ..functions import metrics, scalars
 from ..functions.scalars import six
 from ..operators import policy, ranking
 from ..sources import views
+from ..sources.tables import settled
 from . import sql
 from .registry import query
 from .sql import CAL, OOF, with_
@@ -216,12 +217,21 @@ _K = "domain, margin, grp, model"
 @query(with_(OOF, LONG, _MARGINS) + f"""select {_K}, n, round(positive_rate, 6) as positive_rate, round(mean_score, 6) as mean_score, round(auc, 6) as auc, round(ece, 6) as ece, round(brier, 6) as brier from
   (select {_K}, count(*) as n, avg(label) as positive_rate, avg(p) as mean_score from marg group by all) join ({sql.summary("marg", _K, "label", "p")}) using ({_K})""")
 def margin_sweep(spark, sf_dir):
-    rows = _stacked(spark, sf_dir, "a_prob", "b_prob").withColumn("margin", F.explode(F.array(*[F.lit(m) for m in (0.1, 0.2, 0.3, 0.4)])))
-    hard = F.expr(_hard("margin").replace("::double", ""))
-    rows = rows.withColumn("grp", F.explode(F.array(F.lit("all"), F.when(hard, "hard").otherwise("non_hard"))))
-    keys = ["domain", "margin", "grp", "model"]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), six(F.avg(F.col("label").cast("double"))).alias("positive_rate"), six(F.avg("p")).alias("mean_score"))
-    return counts.join(metrics.summary(rows, keys, "label", "p").select(*keys, *[six(F.col(c)).alias(c) for c in ("auc", "ece", "brier")]), keys)
+    margins = (0.1, 0.2, 0.3, 0.4)
+    hard = [F.when(F.expr(_hard(f"{m}D").replace("::double", "")), 1).otherwise(0) for m in margins]
+    # a row that is hard at a margin is hard at all smaller ones, so how many there are tells its group at each; rows become counts before they are copied for margins
+    rows = _stacked(spark, sf_dir, "a_prob", "b_prob").withColumn("level", sum(hard[1:], hard[0]))
+    points = settled(rows.groupBy("domain", "model", "level", "label", "p").agg(F.count("*").alias("w")), "points", small=False)
+    group = lambda i: F.when(F.col("level") > i, "hard").otherwise("non_hard")
+    each = F.array(F.struct(F.lit(-1).alias("at"), F.lit("all").alias("grp")), *[F.struct(F.lit(i).alias("at"), group(i).alias("grp")) for i in range(len(margins))])
+    rows = points.withColumn("_e", F.explode(each)).select("domain", "model", "label", "p", "w", "_e.*")
+    own, keys = ["domain", "at", "grp", "model"], ["domain", "margin", "grp", "model"]
+    mean = lambda c: six(F.sum(F.col(c) * F.col("w")) / F.sum(F.when(F.col(c).isNotNull(), F.col("w"))))
+    counts = rows.groupBy(*own).agg(F.sum("w").alias("n"), mean("label").alias("positive_rate"), mean("p").alias("mean_score"))
+    out = counts.join(metrics.summary(rows, own, "label", "p", weight="w").select(*own, *[six(F.col(c)).alias(c) for c in ("auc", "ece", "brier")]), own)
+    of = F.array(*map(F.lit, margins))
+    out = out.withColumn("margin", F.explode(F.when(F.col("at") < 0, of).otherwise(F.slice(of, F.col("at") + 1, 1))))
+    return out.select(*keys, *[c for c in out.columns if c not in (*own, *keys)])
 
 
 @query(with_(OOF) + f"""select domain, source_id, n, n_positive, case when n >= 8 and n_positive >= 2 and n - n_positive >= 2 then round(auc, 6) end as auc, n >= 20 and n_positive >= 3 as supported from

@@ -149,3 +149,17 @@ def test_nested_scores_are_read_off_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(models, "settled", lambda df, name="table", small=True: (sent.append(_shuffled(spark, df)) if name == "scores" else None) or settle(df, name, small))
     assert models.stacked(df, ["g"], "id", "y", ["c"], ["a"], ["b"]).where("stacked_prob between 0 and 1 and stacked_plain_prob between 0 and 1").count() == 3000
     assert len(sent) == 1 and sent[0] < 50_000
+
+
+def test_margins_copy_counts_and_not_rows(spark):
+    """Each row was copied 32 times (scores, margins, groups) for the counts, and again for the metrics, before anything was summed up."""
+    from pairtide import catalog
+
+    plan = catalog.QUERIES["margin_sweep"](spark, "/root/testdata/sf0.001")
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("json" in line or "md5" in line for line in lines)  # the rows are read once, for their counts
+    assert _shuffled(spark, plan) < 1_350_000
+    n = {(r.domain, r.margin, r.model): 0 for r in plan.collect()}
+    for r in plan.where("grp <> 'all'").collect():
+        n[r.domain, r.margin, r.model] += r.n
+    assert len(n) == 48 and all(n[r.domain, r.margin, r.model] == r.n for r in plan.where("grp = 'all'").collect())
