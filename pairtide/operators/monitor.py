@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.scalars import joined, mode_metric, shift_magnitude, six
+from ..sources.tables import settled
 from .ranking import best_rows
-from .windows import permuted_windows, window_summaries
+from .windows import permutable, permuted_windows, window_summaries, windows_of
 
 
 def baselines(log: DataFrame) -> DataFrame:
@@ -30,12 +33,37 @@ def window_metrics(log: DataFrame, sizes, auc_cap: float = 0.05, ece_cap: float
     """Metrics of every full window of each size, their change against the whole log (or ``base``), and alerts; values rounded.
 
     With ``permutations`` the windows are those of as many hash orders (permutation_id) of the one column in ``order``.  A key without a baseline is an error.  Without coverage in the baseline there is no drift and no coverage alert."""
-    keys = ["domain", "mode"]
-    own, columns = [*keys, *extra], ("label", "policy_prob", "referral_flag")
+    own, columns = ["domain", "mode", *extra], ("label", "policy_prob", "referral_flag")
     rows = log.select(*{*own, *order, *columns})
     seen = permuted_windows(rows, own, order[0], permutations, sizes, *columns) if permutations else window_summaries(rows, own, list(order), sizes, *columns)
     groups = ["window_size", *own, *(["permutation_id"] if permutations else []), "window_id"]
-    seen = seen.where(F.col("window_ece").isNotNull()).join(baselines(log if base is None else base), keys, "left")
+    return _against(seen, groups, baselines(log if base is None else base), auc_cap, ece_cap, coverage_cap)
+
+
+#: Rows that the permutations of a round have together; they travel as 17 bytes each.
+ROUND = 1 << 27
+
+
+def permuted_metrics(log: DataFrame, sizes, permutations: int, summed: Callable[[DataFrame], DataFrame], auc_cap: float = 0.05, ece_cap: float = 0.05, coverage_cap: float = 0.2, order: str = "event_id") -> DataFrame:
+    """``summed`` of the windows that :func:`window_metrics` finds in hash orders, which must keep permutations apart.
+
+    Permutations are worked out in rounds, so what lies in shuffle files at one time is some permutations of the log and not all of them; a round's windows are summed up before the next."""
+    own, columns = ["domain", "mode"], ("label", "policy_prob", "referral_flag")
+    rows = settled(permutable(log.select(*own, order, *columns), own, order, *columns), "rows", small=False, passed=True)
+    base = settled(baselines(log), "baselines", passed=True)
+    size, out = min(max(2, ROUND // max(rows.count(), 1)), permutations), None
+    for at in range(0, permutations, size):
+        seen = windows_of(rows, own, range(at, min(at + size, permutations)), sizes)
+        seen = _against(seen, ["window_size", *own, "permutation_id", "window_id"], F.broadcast(base), auc_cap, ece_cap, coverage_cap)  # a row for each group
+        one = settled(summed(seen), "round", passed=True)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _against(seen: DataFrame, groups: list[str], base: DataFrame, auc_cap: float, ece_cap: float, coverage_cap: float) -> DataFrame:
+    """Windows against baselines."""
+    keys = ["domain", "mode"]
+    seen = seen.where(F.col("window_ece").isNotNull()).join(base, keys, "left")
     missing = F.raise_error(F.concat_ws(" ", F.lit("no baseline for"), *keys)).cast("double")
     base_coverage = F.col("baseline_coverage")
     drift = F.when(base_coverage.isNull(), missing).when(base_coverage > 0, (F.col("window_coverage") - base_coverage) / F.greatest(base_coverage, F.lit(1e-8)))

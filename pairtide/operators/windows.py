@@ -127,9 +127,9 @@ def window_summaries(df: DataFrame, groups: list[str], order: list[str], sizes,
     return out
 
 
-def _dealt(n_groups: int, permutations: int, seed: int):
+def _dealt(n_groups: int, permutations: range, seed: int):
     """Numbered rows to packed records by permutation and the first bits of their hash, eight at most: hash, number, score, and label and flag in a byte (3: none)."""
-    prefixes = [f"{seed}|{g}" for g in range(permutations)]
+    prefixes = [f"{seed}|{g}" for g in permutations]
     kind = np.dtype([("h", "<u4"), ("i", "<u4"), ("p", "<f8"), ("b", "u1")])
 
     def dealt(batch):
@@ -141,7 +141,7 @@ def _dealt(n_groups: int, permutations: int, seed: int):
         line["b"] = np.where(np.isnan(y), 3, y).astype(np.uint8) * 4 + np.where(np.isnan(flag), 3, flag).astype(np.uint8)
         bits = min(8, max(0, math.ceil(math.log2(batch.column("_t")[0].as_py() / SLICE))))  # the same in all of the group
         slices, numbers, packed = [], [], []
-        for g, h in enumerate(hash_numbers(prefixes, keys)):
+        for g, h in zip(permutations, hash_numbers(prefixes, keys), strict=True):
             line["h"] = h
             top = (h >> np.uint32(24)).astype(np.uint8) >> (8 - bits)
             raw = line[np.argsort(top, kind="stable")].tobytes()
@@ -151,7 +151,7 @@ def _dealt(n_groups: int, permutations: int, seed: int):
                     slices.append(s)
                     numbers.append(g)
                     packed.append(raw[a:b])
-            if len(packed) > 20000 or g == permutations - 1:
+            if len(packed) > 20000 or g == permutations[-1]:
                 k = len(packed)
                 yield pa.RecordBatch.from_arrays([*[pa.array([v] * k, t) for v, t in zip(group, types, strict=True)], pa.array(numbers, pa.int32()), pa.array(slices, pa.int32()), pa.array(packed, pa.binary())], names=[*batch.schema.names[:n_groups], "permutation_id", "_slice", "rows"])
                 slices, numbers, packed = [], [], []
@@ -215,18 +215,27 @@ def _over_slices(n_groups: int, sizes: tuple[int, ...], kind):
     return run
 
 
-def permuted_windows(df: DataFrame, groups: list[str], key: str, permutations: int, sizes, label: str, score: str, flag: str, seed: int = 42) -> DataFrame:
-    """:func:`window_summaries` of ``df`` in the hash order of each permutation (permutation_id), equal hashes in order of the key; ``flag`` is 0, 1 or null.
+def permutable(df: DataFrame, groups: list[str], key: str, label: str, score: str, flag: str) -> DataFrame:
+    """Rows ready for :func:`windows_of`, which may read them several times."""
+    rows = numbered(df.select(*groups, key, *_ready(df, label, score, flag)), groups, slice_of(df, key), [F.col(key)], "_i", "_t")
+    return rows.select(*groups, F.to_json(F.struct(F.lit(0), *groups), {"ignoreNullFields": "false"}).alias("_g"), F.col("_i").cast("long").alias("_i"), F.col("_t").cast("long").alias("_t"), suffix(F.col(key)).alias("_k"), "_p", "_y", "_f")
+
+
+def windows_of(rows: DataFrame, groups: list[str], permutations: range, sizes, seed: int = 42) -> DataFrame:
+    """:func:`permuted_windows` of :func:`permutable` rows for some of the permutations.
 
     Rows are hashed block by block and travel as 17 bytes a permutation; a task puts one slice of a permutation (up to 256) in order at a time, so no permutation has to fit into a task."""
-    rows = numbered(df.select(*groups, key, *_ready(df, label, score, flag)), groups, slice_of(df, key), [F.col(key)], "_i", "_t")
-    rows = rows.select(*groups, F.to_json(F.struct(F.lit(0), *groups), {"ignoreNullFields": "false"}).alias("_g"), F.col("_i").cast("long").alias("_i"), F.col("_t").cast("long").alias("_t"), suffix(F.col(key)).alias("_k"), "_p", "_y", "_f")
-    named, own = _named(df, groups), [*groups, "permutation_id"]
+    named, own = _named(rows, groups), [*groups, "permutation_id"]
     deal, kind = _dealt(len(groups), permutations, seed)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # adaptive execution would join the small rows into one task
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # adaptive execution would join the small rows into one task
     cut = rows.repartition(n, "_k").mapInArrow(deal, named + "permutation_id int, _slice int, rows binary").repartition(n, *own).sortWithinPartitions(*own, "_slice")
     out = None
     for family in _families(sizes):
         one = cut.mapInArrow(_over_slices(len(groups), family, kind), named + "permutation_id int, " + _NAMES)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def permuted_windows(df: DataFrame, groups: list[str], key: str, permutations: int, sizes, label: str, score: str, flag: str, seed: int = 42) -> DataFrame:
+    """:func:`window_summaries` of ``df`` in the hash order of each permutation (permutation_id), equal hashes in order of the key; ``flag`` is 0, 1 or null."""
+    return windows_of(permutable(df, groups, key, label, score, flag), groups, range(permutations), sizes, seed)

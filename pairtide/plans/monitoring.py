@@ -114,9 +114,8 @@ PERMUTED_SIZES = (250, 500, 1000)
 
 @query(with_(REPLAY, _PERM, sql.windows("perm", PERMUTED_SIZES, ", permutation_id", "perm_order, event_id")) + "select window_size, mode, permutation_id::int as permutation_id, count(*) as n_windows, round(avg(auc_drop), 9) as mean_auc_drop, round(avg(any_alert::int), 6) as any_alert_rate from win group by all")
 def permutation_windows(spark, sf_dir):
-    replayed = settled(log(spark, sf_dir), "replay", small=False)
-    out = monitor.window_metrics(replayed, PERMUTED_SIZES, permutations=PERMUTATIONS)
-    return out.groupBy("window_size", "mode", "permutation_id").agg(F.count("*").alias("n_windows"), F.round(F.avg("auc_drop"), 9).alias("mean_auc_drop"), F.round(F.avg(F.col("any_alert").cast("double")), 6).alias("any_alert_rate"))
+    replayed = settled(log(spark, sf_dir), "replay", small=False, passed=True)
+    return monitor.permuted_metrics(replayed, PERMUTED_SIZES, PERMUTATIONS, lambda out: out.groupBy("window_size", "mode", "permutation_id").agg(F.count("*").alias("n_windows"), F.round(F.avg("auc_drop"), 9).alias("mean_auc_drop"), F.round(F.avg(F.col("any_alert").cast("double")), 6).alias("any_alert_rate")))
 
 
 _RULE = "d -> 'policy' -> 'cost_aware_default' -> 'rules' -> {0}"

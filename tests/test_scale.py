@@ -163,3 +163,29 @@ def test_margins_copy_counts_and_not_rows(spark):
     for r in plan.where("grp <> 'all'").collect():
         n[r.domain, r.margin, r.model] += r.n
     assert len(n) == 48 and all(n[r.domain, r.margin, r.model] == r.n for r in plan.where("grp = 'all'").collect())
+
+
+def test_permutations_in_rounds_leave_no_shuffle_files(spark, log, monkeypatch):
+    """The rows of all permutations lay in shuffle files together, and stayed there."""
+    seen, own = [], monitor.windows_of
+    monkeypatch.setattr(monitor, "windows_of", lambda rows, groups, permutations, sizes: seen.append(list(permutations)) or own(rows, groups, permutations, sizes))
+    df = log.select(F.col("g").alias("domain"), F.lit("ranking_first").alias("mode"), F.col("k").alias("event_id"), F.col("y").alias("label"), F.col("p").alias("policy_prob"), F.col("f").alias("referral_flag")).where("domain is not null")
+    summed = lambda out: out.groupBy("permutation_id", "window_size", "domain").agg(F.count("*").alias("n"), F.round(F.avg("auc_drop"), 9).alias("drop"), F.sum(F.col("any_alert").cast("int")).alias("alerts"))
+    want = sorted(map(tuple, summed(monitor.window_metrics(df, (20, 50), permutations=7)).collect()))
+    monkeypatch.setattr(monitor, "ROUND", 3 * df.count())
+    assert sorted(map(tuple, monitor.permuted_metrics(df, (20, 50), 7, summed).collect())) == want and len(want) == 14
+    assert seen == [[0, 1, 2], [3, 4, 5], [6]]
+
+
+def test_a_passed_table_leaves_no_shuffle_files(spark):
+    """They lay on disk until the driver's garbage was collected."""
+    from pairtide.sources.tables import settled
+
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(name)
+    df = spark.range(20000).repartition(3, "id").mapInArrow(lambda batches: batches, "id long")
+    for passed in (False, True):
+        settled(df, small=False, passed=passed)
+        tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+        seen.append(tracker.shuffleStatuses().size())
+    assert seen[1] == seen[0] and spark.conf.get(name) == before
