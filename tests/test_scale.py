@@ -223,3 +223,26 @@ def test_null_gains_do_not_copy_rows_for_repeats(spark, monkeypatch):
     assert sum(sent) < 40 * 20000 * 45
     one = models.incremental(df, ["g"], "k", "y", ["u"], {"v": ["v"]}).first()
     assert got.true_gain == one.gain_v
+
+
+def test_packed_records_are_read_some_megabytes_at_a_time(spark, monkeypatch):
+    """Up to 4,096 blocks of 160 kB were read at once, and 64 MB of them handed to Python, so a task's memory grew with its file."""
+    from pairtide.sources.tables import settled
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    big = spark.range(0, 96, 1, 1).select("id", F.expr("cast(repeat(md5(string(id)), 16000) as binary)").alias("v"))
+    read = settled(big, small=False, packed=True)
+    seen = settled(read.mapInArrow(sizes, "n long, bytes long"), small=False, packed=True).collect()
+    assert sum(r.n for r in seen) == 96 and max(r.bytes for r in seen) < 10_000_000
+    assert [spark.conf.get(n) for n in names] == before
+
+    asked, own = [], models.packed
+    monkeypatch.setattr(models, "packed", lambda df, name: asked.append(name) or own(df, name))
+    rows = spark.range(300).select(F.lit("d").alias("design"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.array((F.col("id") % 7).cast("double")).alias("x"), F.lit(1).alias("bits"))
+    models.fit_designs(rows, 1).collect()
+    assert asked[:2] == ["blocks", "fits"]
